@@ -6,4 +6,4 @@ from chatprep.plans.registry import QUERIES, ORACLE_SQL, register  # noqa: F401
 
 def load_all() -> None:
     """Import every plan module so its queries register themselves."""
-    from chatprep.plans import scalars, training, live, io  # noqa: F401
+    from chatprep.plans import training, live, scalars, io  # noqa: F401
