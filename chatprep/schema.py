@@ -42,3 +42,8 @@ RESPONSES = T.StructType([
 ])
 
 REPLY_TYPE = "struct<text:string,reply_to_message_id:bigint>"
+
+
+def with_fields(schema: T.StructType, **fields: T.DataType) -> T.StructType:
+    """A copy of ``schema`` with extra nullable fields (the original is not changed)."""
+    return T.StructType(list(schema.fields) + [T.StructField(k, v, True) for k, v in fields.items()])

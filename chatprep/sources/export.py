@@ -47,7 +47,7 @@ def _part_text(e: Column) -> Column:
     inner_join = F.array_join(F.transform(inner, lambda x: F.coalesce(
         F.try_variant_get(x, "$.text", "string"), F.try_variant_get(x, "$", "string"), F.lit(""))), "")
     obj = F.coalesce(F.try_variant_get(e, "$.text", "string"), inner_join)
-    return F.when(F.schema_of_variant(e) == "OBJECT", F.coalesce(obj, F.lit(""))) \
+    return F.when(F.schema_of_variant(e).startswith("OBJECT"), F.coalesce(obj, F.lit(""))) \
         .otherwise(F.coalesce(as_str, F.lit("")))
 
 
@@ -69,7 +69,7 @@ def unsupported_text_shapes(msgs: DataFrame, col: str = "msg") -> DataFrame:
                                                   F.array().cast("array<variant>")),
                                        lambda x: F.schema_of_variant(x).startswith("ARRAY")
                                        | (F.schema_of_variant(F.try_variant_get(x, "$.text", "variant")) != "STRING")
-                                       & (F.schema_of_variant(x) == "OBJECT")))
+                                       & F.schema_of_variant(x).startswith("OBJECT")))
     return msgs.where(deep)
 
 

@@ -17,11 +17,12 @@ def unix_to_ntz(c, tz: str = "UTC"):
     return utc if tz == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
 
 
-def normalize_live(live: DataFrame, tz: str = "UTC") -> DataFrame:
+def normalize_live(live: DataFrame, tz: str = "UTC", keep=()) -> DataFrame:
     """Live record -> message row plus the live-only columns (content_type, sender_id,
-    date, reply_to_sender_id when present)."""
+    date, reply_to_sender_id when present) and any ``keep`` columns."""
     sent = unix_to_ntz("date", tz)
     extra = [F.col("reply_to_sender_id")] if "reply_to_sender_id" in live.columns else []
+    extra += [F.col(c) for c in keep]
     return live.select(
         F.col("chat_id"), F.col("message_id").alias("id"), sent.alias("sent_at"),
         F.date_format(sent, K.TIME_FORMAT).alias("hhmm"),
