@@ -69,9 +69,12 @@ def build_segments(msgs: DataFrame, *, max_chars: int = K.SEGMENT_MAX_CHARS, seg
     return s.withColumn("record", encode_record("id", "hhmm", "sender", "text", "reply_to_message_id"))
 
 
-def segment_prompt(segs: DataFrame) -> DataFrame:
-    """One prompt per segment: its records in order, each followed by a newline."""
-    recs = F.transform(F.array_sort(F.collect_list(F.struct("seg_pos", "record"))), lambda e: e["record"])
+def segment_prompt(segs: DataFrame, render=None) -> DataFrame:
+    """One prompt per segment: its records in order, each followed by a newline.
+    ``render`` (a Column) replaces the delimited record as the per-message text."""
+    rec = F.col("record") if render is None else render
+    recs = F.transform(F.array_sort(F.collect_list(F.struct(F.col("seg_pos"), rec.alias("record")))),
+                       lambda e: e["record"])
     return segs.groupBy(*SEG_KEY).agg(F.count(F.lit(1)).cast("bigint").alias("n_messages"),
                                      F.concat(F.array_join(recs, "\n"), F.lit("\n")).alias("prompt"))
 

@@ -14,7 +14,7 @@ from chatprep.operators import context as C
 from chatprep.operators import routing as R
 from chatprep.operators import responses as RS
 from chatprep.operators.segments import build_segments
-from chatprep.plans.registry import (register, CONV_MESSAGES_SQL, events_messages_sql, ascii_handle_sql,
+from chatprep.plans.registry import (register, ORACLE_SQL, CONV_MESSAGES_SQL, events_messages_sql, ascii_handle_sql,
                                      content_json_sql, seeded_u32_sql, pmod_sql)
 from chatprep.sources.live import normalize_live
 from chatprep.sources.tables import messages_from_conversations, messages_from_events, live_from_events
@@ -428,3 +428,13 @@ def q_union_bot(spark, sf):
     m = normalize_live(live_from_events(spark, sf, 3))
     sent = m.groupBy("chat_id").agg((F.max("id") + 1).alias("id")).withColumn("sender", F.lit(K.BOT_NAME_API))
     return m.select("chat_id", "id", "sender").unionByName(sent)
+
+
+@register("parse_responses", sql=f"""SELECT 'api' AS mode, * FROM ({ORACLE_SQL['filter_responses']})
+UNION ALL SELECT 'local' AS mode, * FROM ({ORACLE_SQL['parse_record_replies']})""")
+def q_parse_responses(spark, sf):
+    """Both answer formats: API answers (one reply, pass/placeholder dropped) and
+    delimited continuations (records kept while from the bot)."""
+    a = RS.parse_responses(api_responses(spark, sf), "api").withColumn("mode", F.lit("api"))
+    b = RS.parse_responses(local_responses(spark, sf), "local", K.SEGMENT_BOT_NAME).withColumn("mode", F.lit("local"))
+    return a.unionByName(b).select("mode", "chat_id", "prompt_id", "reply_idx", "text", "reply_to_message_id")

@@ -274,3 +274,24 @@ def q_eval_sample(spark, sf):
     n_seg = segs.agg(F.max("seg_id")).first()[0] + 1
     d = P.draw_with_replacement(segs, "seg_id", n_seg, 200, SEED)
     return d.select("draw", "seg_id", "seg_pos", "record")
+
+
+@register("custom_renderer", sql=f"""WITH {seg_sql(CONV_MESSAGES_SQL)}
+SELECT chat_id, seg_id, CAST(count(*) AS BIGINT) AS n_messages,
+       string_agg(sender || ': ' || text, chr(10) ORDER BY seg_pos) || chr(10) AS prompt
+FROM rec GROUP BY chat_id, seg_id""")
+def q_custom_renderer(spark, sf):
+    """A user renderer (``sender: text`` lines) in place of the delimited record."""
+    segs = G.build_segments(messages_from_conversations(spark, sf), seed=SEED)
+    return G.segment_prompt(segs, render=F.concat(F.col("sender"), F.lit(": "), F.col("text")))
+
+
+@register("content_recover_compat")
+def q_content_recover_compat(spark, sf):
+    """The original's dict-text recovery of assistant contents (quote swap, 'nan' ->
+    'null', positional scrub, JSON parse; failures keep the dict text)."""
+    from chatprep.operators.compat import content_recover_compat
+    seqs = S.build_sequences(_ev(spark, sf, None), length=15).where(F.col("role") == "assistant")
+    r = seqs.withColumn("_r", content_recover_compat())
+    return r.select("chat_id", "seq_id", "seq_pos", F.col("_r.content").alias("content"),
+                    F.col("_r.failed").alias("failed"))

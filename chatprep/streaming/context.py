@@ -11,10 +11,13 @@ Seed rows (``_seed``) fill the state from stored history and are not emitted.
 
 from __future__ import annotations
 
+import sys
+
 import uuid
 from collections import deque
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,9 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from chatprep.operators import routing as R
 from chatprep.session import scratch_path
 
+# Python workers need not have this package installed: its UDF code travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CONTEXT_OUT = T.StructType([
     T.StructField("chat_id", T.LongType()),
     T.StructField("id", T.LongType()),
