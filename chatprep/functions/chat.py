@@ -9,7 +9,7 @@ from chatprep import constants as K
 from chatprep.functions.text import ascii_handle
 
 __all__ = [
-    "TURN_TYPE", "encode_content", "encode_chat_turn", "system_turn", "reply_prefix_content",
+    "TURN_TYPE", "chat_name", "encode_content", "encode_chat_turn", "system_turn", "reply_prefix_content",
     "is_bot_handle", "turn_json_length",
 ]
 
@@ -37,6 +37,12 @@ def is_bot_handle(handle, bot_name: str = K.BOT_NAME_API, aliases=K.BOT_ALIASES)
     return _c(handle).isin(*names)
 
 
+def chat_name(sender) -> Column:
+    """Turn name: the folded handle; a handle that folds to nothing (an emoji-only
+    name) becomes ``Anonym``."""
+    return F.coalesce(F.nullif(ascii_handle(sender), F.lit("")), F.lit(K.DEFAULT_SENDER))
+
+
 def encode_chat_turn(id_, hhmm, sender, text, reply, bot_name: str = K.BOT_NAME_API) -> Column:
     """Chat turn: the bot's own messages become ``assistant`` turns holding the bare
     text; everyone else is a ``user`` turn named by handle, holding the JSON content."""
@@ -44,7 +50,7 @@ def encode_chat_turn(id_, hhmm, sender, text, reply, bot_name: str = K.BOT_NAME_
     bot = is_bot_handle(handle, bot_name)
     return F.when(bot, F.struct(F.lit("assistant").alias("role"), F.lit(None).cast("string").alias("name"),
                                 _c(text).alias("content"))) \
-        .otherwise(F.struct(F.lit("user").alias("role"), handle.alias("name"),
+        .otherwise(F.struct(F.lit("user").alias("role"), chat_name(sender).alias("name"),
                             encode_content(id_, hhmm, sender, text, reply).alias("content")))
 
 

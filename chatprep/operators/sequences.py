@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatprep import constants as K
-from chatprep.functions.chat import encode_content, reply_prefix_content, system_turn, TURN_TYPE
+from chatprep.functions.chat import chat_name, encode_content, reply_prefix_content, system_turn, TURN_TYPE
 from chatprep.functions.text import ascii_handle
 from chatprep.operators.positions import number_rows
 
@@ -109,7 +109,7 @@ def relabel_last_speaker(seqs: DataFrame, by: str = "sender") -> DataFrame:
 def sequence_turns(seqs: DataFrame) -> DataFrame:
     """Chat turn per row: the model's turns hold ``@<reply> text`` and no name; the
     others are named by handle and hold the message as JSON."""
-    user = F.struct(F.lit("user").alias("role"), ascii_handle("sender").alias("name"),
+    user = F.struct(F.lit("user").alias("role"), chat_name("sender").alias("name"),
                     encode_content("id", "hhmm", "sender", "text", "reply_to_message_id").alias("content"))
     bot = F.struct(F.lit("assistant").alias("role"), F.lit(None).cast("string").alias("name"),
                    reply_prefix_content("text", "reply_to_message_id").alias("content"))

@@ -14,7 +14,7 @@ from chatprep.operators import context as C
 from chatprep.operators import routing as R
 from chatprep.operators import responses as RS
 from chatprep.operators.segments import build_segments
-from chatprep.plans.registry import (register, ORACLE_SQL, CONV_MESSAGES_SQL, events_messages_sql, ascii_handle_sql,
+from chatprep.plans.registry import (register, ORACLE_SQL, CONV_MESSAGES_SQL, events_messages_sql, ascii_handle_sql, chat_name_sql,
                                      content_json_sql, seeded_u32_sql, pmod_sql)
 from chatprep.sources.live import normalize_live
 from chatprep.sources.tables import messages_from_conversations, messages_from_events, live_from_events
@@ -81,7 +81,7 @@ def _bot_sql(handle: str) -> str:
 def chat_turn_sql() -> str:
     h = ascii_handle_sql("sender")
     return f"""CASE WHEN {_bot_sql(h)} THEN '{{"role":"assistant","content":' || CAST(to_json(text) AS VARCHAR) || '}}'
-        ELSE '{{"role":"user","name":' || CAST(to_json({h}) AS VARCHAR) || ',"content":'
+        ELSE '{{"role":"user","name":' || CAST(to_json({chat_name_sql('sender')}) AS VARCHAR) || ',"content":'
              || CAST(to_json({content_json_sql()}) AS VARCHAR) || '}}' END"""
 
 

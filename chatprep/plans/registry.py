@@ -50,6 +50,10 @@ def ascii_handle_sql(x: str) -> str:
     return f"regexp_replace({s}, '[^\\x00-\\x7F]', '', 'g')"
 
 
+def chat_name_sql(x: str) -> str:
+    return f"COALESCE(NULLIF({ascii_handle_sql(x)}, ''), 'Anonym')"
+
+
 def pmod_sql(a: str, n: int | str) -> str:
     return f"((({a}) % ({n}) + ({n})) % ({n}))"
 

@@ -8,7 +8,7 @@ from chatprep import constants as K
 from chatprep.operators import segments as G
 from chatprep.operators import sequences as S
 from chatprep.operators import splits as P
-from chatprep.plans.registry import (register, events_messages_sql, CONV_MESSAGES_SQL, ascii_handle_sql,
+from chatprep.plans.registry import (register, events_messages_sql, CONV_MESSAGES_SQL, chat_name_sql,
                                      pmod_sql, content_json_sql, seeded_md5_sql, seeded_u32_sql)
 from chatprep.sources.tables import messages_from_events, messages_from_conversations
 
@@ -46,7 +46,7 @@ r AS (SELECT *, CASE WHEN sender IS NOT DISTINCT FROM last_value(sender) OVER (P
 def turn_json_sql() -> str:
     content_a = "CASE WHEN reply_to_message_id IS NOT NULL THEN '@' || CAST(reply_to_message_id AS VARCHAR) || ' ' || text ELSE text END"
     return (f"""CASE WHEN role = 'assistant' THEN '{{"role":"assistant","content":' || CAST(to_json({content_a}) AS VARCHAR) || '}}'
-        ELSE '{{"role":"user","name":' || CAST(to_json({ascii_handle_sql('sender')}) AS VARCHAR) || ',"content":'
+        ELSE '{{"role":"user","name":' || CAST(to_json({chat_name_sql('sender')}) AS VARCHAR) || ',"content":'
              || CAST(to_json({content_json_sql()}) AS VARCHAR) || '}}' END""")
 
 
