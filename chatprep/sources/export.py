@@ -46,7 +46,9 @@ def _part_text(e: Column) -> Column:
     inner = F.try_variant_get(e, "$.text", "array<variant>")
     inner_join = F.array_join(F.transform(inner, lambda x: F.coalesce(
         F.try_variant_get(x, "$.text", "string"), F.try_variant_get(x, "$", "string"), F.lit(""))), "")
-    obj = F.coalesce(F.try_variant_get(e, "$.text", "string"), inner_join)
+    inner_v = F.try_variant_get(e, "$.text", "variant")
+    obj = F.when(F.schema_of_variant(inner_v).startswith("ARRAY"), inner_join) \
+        .otherwise(F.try_variant_get(e, "$.text", "string"))
     return F.when(F.schema_of_variant(e).startswith("OBJECT"), F.coalesce(obj, F.lit(""))) \
         .otherwise(F.coalesce(as_str, F.lit("")))
 
