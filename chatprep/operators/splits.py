@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chatprep.functions.hashing import seeded_md5, seeded_int
 from chatprep.operators.positions import number_rows
+from chatprep.session import checkpoint_dir
 
 
 def shuffle_key(df: DataFrame, keys, seed: int = 42, name: str = "shuffle_key") -> DataFrame:
@@ -25,14 +26,17 @@ def split_random(df: DataFrame, keys, frac: float, seed: int = 42,
     bucket counts (bounded) and one hash value reach the driver.
     """
     h = df.withColumn("_h", seeded_md5(seed, *keys))
-    n = h.count()
+    # the cut passes read only the hashes: materialise them once (reliable checkpoint
+    # in the shared folder) instead of recomputing the upstream plan for every pass
+    checkpoint_dir(df.sparkSession)
+    hs = h.select("_h").checkpoint(eager=True)
+    n = hs.count()
     k = int(n * frac)
     if k <= 0:
         return h.drop("_h").withColumn("split", F.lit(names[0]))
     if k >= n:
         return h.drop("_h").withColumn("split", F.lit(names[1]))
     prefix, remaining, size = "", k, n
-    hs = h.select("_h")
     while size > RANK_DIRECT_MAX and len(prefix) < 28:
         d = len(prefix) + 4
         part = hs.where(F.startswith("_h", F.lit(prefix))) if prefix else hs
