@@ -124,3 +124,30 @@ def chat_prompts_at_each_message(msgs: DataFrame, max_tokens: int = K.TOKEN_BUDG
     c = context_at_each_message(msgs, chat_turn_length(bot_name), chat_budget_chars(max_tokens, pre_prompt),
                                 payload=turn)
     return c.withColumn("prompt", chat_prompt_json(F.col("context"), pre_prompt)).drop("context")
+
+
+MODEL_ACTIONS = ("joke", "random", "trigger", "reply_to_bot")
+
+
+def response_prompts(routed: DataFrame, max_tokens: int = K.TOKEN_BUDGET_APP, bot_name: str = K.BOT_NAME_API,
+                     pre_prompt: str | None = K.CHAT_PRE_PROMPT, instruction: Column | None = None) -> DataFrame:
+    """Prompt text for every routed message that needs the model: the chat prompt of
+    the context as of that message; for ``joke`` a trailing system turn holds the
+    ``instruction`` (the API head's joke request)."""
+    import json
+    turn = encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id", bot_name)
+    c = context_at_each_message(routed, chat_turn_length(bot_name), chat_budget_chars(max_tokens, pre_prompt),
+                                payload=F.to_json(turn))
+    c = c.where(F.col("action").isin(*MODEL_ACTIONS))
+    head = '{"messages":['
+    if pre_prompt is not None:
+        head += json.dumps({"role": "system", "content": pre_prompt}, ensure_ascii=False, separators=(",", ":"))
+    body = F.array_join(F.col("context"), ",")
+    sep = F.when((F.size("context") > 0) & F.lit(pre_prompt is not None), F.lit(",")).otherwise(F.lit(""))
+    tail = F.lit("")
+    if instruction is not None:
+        sys_turn = F.to_json(system_turn(instruction))
+        lead = F.when((F.size("context") > 0) | F.lit(pre_prompt is not None), F.lit(",")).otherwise(F.lit(""))
+        tail = F.when(F.col("action") == "joke", F.concat(lead, sys_turn)).otherwise(F.lit(""))
+    prompt = F.concat(F.lit(head), sep, body, tail, F.lit("]}"))
+    return c.select("chat_id", "id", "action", prompt.alias("prompt"))

@@ -49,7 +49,7 @@ _FOLDER_PAT = r"folder=([^/]+)/[^/]+$"
 
 
 def _exports(spark, sf) -> str:
-    path = scratch_path(spark, "derived", "exports", _tag(sf))
+    path = _run_dir(spark, "derived", "exports", _tag(sf))
     return X.write_exports(messages_from_events(spark, sf, 3), path)
 
 
@@ -130,7 +130,7 @@ def q_union_exports(spark, sf):
 # ------------------------------------------------------------------ history CSV
 
 def _csv(spark, sf, by_chat=False) -> str:
-    path = scratch_path(spark, "derived", "history_csv" + ("_by_chat" if by_chat else ""), _tag(sf))
+    path = _run_dir(spark, "derived", "history_csv" + ("_by_chat" if by_chat else ""), _tag(sf))
     H.history_csv_sink(messages_from_events(spark, sf, 3), path, by_chat=by_chat)
     return path
 
@@ -168,7 +168,7 @@ SELECT CASE WHEN rk <= CAST(floor(n * 0.2) AS BIGINT) THEN 'validation' ELSE 'tr
 def q_jsonl_sink(spark, sf):
     ex = S.training_examples(messages_from_events(spark, sf, None), length=15, system_text=K.SYSTEM_TEXT_V2)
     ex = P.split_random(ex, ["chat_id", "seq_id"], 0.2, SEED)
-    path = scratch_path(spark, "derived", "jsonl", _tag(sf))
+    path = _run_dir(spark, "derived", "jsonl", _tag(sf))
     jsonl_sink(ex, path)
     return read_jsonl(spark, path).select("split", "doc")
 
@@ -193,7 +193,7 @@ def q_chat_log_append(spark, sf):
 def _live_files(spark, sf) -> str:
     """Live events as they would land from the chat service, with the author of the
     replied-to message attached (the service sends it with the reply)."""
-    path = scratch_path(spark, "derived", "live", _tag(sf))
+    path = _run_dir(spark, "derived", "live", _tag(sf))
     lv = live_from_events(spark, sf, 3)
     tgt = lv.select("chat_id", F.col("message_id").alias("reply_to_message_id"),
                     F.col("sender_id").alias("reply_to_sender_id"))

@@ -438,3 +438,24 @@ def q_parse_responses(spark, sf):
     a = RS.parse_responses(api_responses(spark, sf), "api").withColumn("mode", F.lit("api"))
     b = RS.parse_responses(local_responses(spark, sf), "local", K.SEGMENT_BOT_NAME).withColumn("mode", F.lit("local"))
     return a.unionByName(b).select("mode", "chat_id", "prompt_id", "reply_idx", "text", "reply_to_message_id")
+
+
+_RP_TOK = 400
+
+
+@register("response_prompts", sql=f"""WITH {ROUTE_INPUT_SQL}, rt AS (SELECT *, {route_case_sql()} AS action FROM ri),
+t AS (SELECT *, {chat_turn_sql()} AS tj FROM rt),
+l AS (SELECT *, length(tj) + CASE WHEN {_bot_sql(ascii_handle_sql('sender'))} THEN 3 ELSE 5 END + 2 AS len FROM t),
+p AS (SELECT *, sum(len) OVER (PARTITION BY chat_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS P FROM l),
+q AS (SELECT *, P - len AS Q FROM p)
+SELECT a.chat_id, a.id, a.action,
+       '{{"messages":[{_sq(_SYS_JSON)}' || COALESCE(',' || string_agg(e.tj, ',' ORDER BY e.id), '')
+       || CASE WHEN a.action = 'joke' THEN ',{{"role":"system","content":' || CAST(to_json(
+            CASE WHEN len(string_split(a.text, ' ')) > 1 THEN '{_sq(K.JOKE_TOPIC_PROMPT)}' || array_to_string(string_split(a.text, ' ')[2:], ' ')
+                 ELSE '{_sq(K.JOKE_RANDOM_PROMPT)}' END) AS VARCHAR) || '}}' ELSE '' END || ']}}' AS prompt
+FROM q a LEFT JOIN q e ON e.chat_id = a.chat_id AND e.id <= a.id AND e.Q >= a.P - {C.chat_budget_chars(_RP_TOK)}
+WHERE a.action IN ('joke', 'random', 'trigger', 'reply_to_bot') GROUP BY a.chat_id, a.id, a.action, a.text""")
+def q_response_prompts(spark, sf):
+    """Prompts of the routed messages that go to the model (API head, 400 tokens)."""
+    routed = R.route_messages(routing_input(spark, sf), R.default_rules("api", bot_id=0, seed=SEED))
+    return C.response_prompts(routed, max_tokens=_RP_TOK, instruction=R.command_prompt("api"))

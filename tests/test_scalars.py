@@ -93,3 +93,15 @@ def test_encode_content_json(spark):
     df = spark.createDataFrame([(1, "12:00", "A", 'sa"nan', None)], "id bigint, t string, f string, x string, r bigint")
     got = df.select(CH.encode_content("id", "t", "f", "x", "r")).first()[0]
     assert got == '{"id":1,"time":"12:00","from":"A","text":"sa\\"nan","reply_to_message_id":null}'
+
+
+def test_compat_paths(spark):
+    from chatprep.operators.compat import content_recover_compat, content_repr_compat, recover_one
+    rows = [(1, "12:00", "Anna", "it's fine", None), (2, "12:01", "Bo", 'say "hi"', 1), (3, "12:02", "Cai", "banana", 2)]
+    df = spark.createDataFrame(rows, "id bigint, hhmm string, sender string, text string, reply_to_message_id bigint")
+    reprs = [r[0] for r in df.select(content_repr_compat()).collect()]
+    assert reprs[0] == "{'id': 1, 'time': '12:00', 'from': 'Anna', 'text': \"it's fine\", 'reply_to_message_id': nan}"
+    got = [tuple(r[0]) for r in df.select(content_recover_compat()).collect()]
+    assert got == [recover_one(*r) for r in rows]
+    assert got[2] == ("@2 banulla", False)          # "nan" inside a word is corrupted
+    assert got[0][1] and got[1][1]                    # quotes make the dict text unparsable
