@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from chatprep import constants as K
 from chatprep.functions.chat import encode_chat_turn, turn_json_length
 from chatprep.functions.records import encode_record, encode_record_prefix
-from chatprep.functions.text import approx_tokens
 from chatprep.operators import context as C
 from chatprep.operators import routing as R
 from chatprep.operators import responses as RS
