@@ -5,8 +5,8 @@ import __spark_entry__ as E
 
 def test_entry_runs(spark):
     df = E.entry(spark)
-    assert df.columns == ["chat_id", "seq_id", "n_messages", "doc"]
-    assert df.count() >= 0
+    assert df.columns == ["chat_id", "seg_id", "n_messages", "prompt"]
+    assert df.count() > 0
 
 
 def test_every_query_has_sql_or_is_known_rows_only():
