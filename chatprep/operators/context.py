@@ -84,23 +84,58 @@ def context_at_each_message(msgs: DataFrame, length: Column, budget_chars: int,
     m = msgs.withColumn("_len", length.cast("bigint"))
     m = number_rows(m, ["chat_id"], [order_col, "sent_at"], block_col=order_col,
                     sums={"_P": F.col("_len")})
-    m = m.withColumn("_Q", F.col("_P") - F.col("_len")).withColumn("_bk", F.floor(F.col("_P") / B).cast("bigint"))
-    item = [F.col("_Q").alias("q"), F.col("pos").alias("pos"), F.col(order_col).alias("oid")]
-    if payload is not None:
-        item.append(payload.alias("payload"))
+    m = m.withColumn("_Q", F.col("_P") - F.col("_len"))
+    if payload is None:
+        return _context_counts(m, B, order_col)
+    return _context_items(m, B, payload, order_col)
+
+
+def _context_counts(m: DataFrame, B: int, order_col: str) -> DataFrame:
+    """Counts only, as an as-of lookup: the oldest kept message of anchor r is the
+    first message e with Q_e >= P_r - B. Anchors (key P - B) and messages (key Q)
+    meet in buckets of width B; a running minimum over keys in descending order
+    finds it in O(1) per row after the sort (no sliding frame)."""
+    cols = [c for c in m.columns if c not in ("_len", "_P", "_Q")]
+    anchor_key = F.col("_P") - B
+    anchors = m.select(
+        "chat_id", F.floor(anchor_key / B).cast("bigint").alias("_bk"), anchor_key.alias("_key"),
+        F.lit(0).alias("_tag"), F.struct(*cols, "_P").alias("_row"),
+        F.lit(None).cast("struct<pos:bigint,q:bigint,oid:bigint>").alias("_m"))
+    home = F.floor(F.col("_Q") / B).cast("bigint")
+    members = m.select(
+        "chat_id", F.explode(F.array(home, home - 1)).alias("_bk"), F.col("_Q").alias("_key"),
+        F.lit(1).alias("_tag"), F.lit(None).cast(anchors.schema["_row"].dataType).alias("_row"),
+        F.struct(F.col("pos").alias("pos"), F.col("_Q").alias("q"), F.col(order_col).cast("bigint").alias("oid"))
+        .alias("_m"))
+    w = Window.partitionBy("chat_id", "_bk").orderBy(F.col("_key").desc(), F.col("_tag").desc()) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    u = anchors.unionByName(members).withColumn("_first", F.min("_m").over(w)).where(F.col("_tag") == 0)
+    n = F.col("_row.pos") - F.col("_first.pos") + 1
+    ok = F.col("_first").isNotNull() & (F.col("_first.pos") <= F.col("_row.pos"))
+    return u.select(
+        *[F.col(f"_row.{c}").alias(c) for c in cols],
+        F.when(ok, n).otherwise(F.lit(0)).cast("bigint").alias("n_context"),
+        F.when(ok, F.col("_row._P") - F.col("_first.q")).otherwise(F.lit(0)).cast("bigint").alias("context_chars"),
+        F.when(ok, F.col("_first.oid")).alias("context_start_id"))
+
+
+def _context_items(m: DataFrame, B: int, payload: Column, order_col: str) -> DataFrame:
+    """Kept payloads per anchor: a range window over the anchor's bucket and the one
+    before (each row is copied into both), bounded by the budget."""
+    m = m.withColumn("_bk", F.floor(F.col("_P") / B).cast("bigint"))
+    item = [F.col("_Q").alias("q"), F.col("pos").alias("pos"), F.col(order_col).alias("oid"),
+            payload.alias("payload")]
     m = m.withColumn("_item", F.struct(*item))
     copies = m.withColumn("_mb", F.explode(F.array(F.col("_bk"), F.col("_bk") + 1)))
     w = Window.partitionBy("chat_id", "_mb").orderBy("_P").rangeBetween(-B, 0)
     anchors = copies.withColumn("_ctx", F.collect_list("_item").over(w)).where(F.col("_mb") == F.col("_bk"))
-    kept = F.filter("_ctx", lambda e: e["q"] >= F.col("_P") - B)
-    kept = F.array_sort(kept)  # by q, i.e. oldest first
+    kept = F.array_sort(F.filter("_ctx", lambda e: e["q"] >= F.col("_P") - B))  # by q: oldest first
     out = anchors.withColumn("_kept", kept) \
         .withColumn("n_context", F.size("_kept").cast("bigint")) \
         .withColumn("context_chars", F.when(F.size("_kept") > 0, F.col("_P") - F.get("_kept", 0)["q"])
                     .otherwise(F.lit(0)).cast("bigint")) \
-        .withColumn("context_start_id", F.get("_kept", 0)["oid"])
-    if payload is not None:
-        out = out.withColumn("context", F.transform("_kept", lambda e: e["payload"]))
+        .withColumn("context_start_id", F.get("_kept", 0)["oid"]) \
+        .withColumn("context", F.transform("_kept", lambda e: e["payload"]))
     return out.drop("_len", "_P", "_Q", "_bk", "_item", "_mb", "_ctx", "_kept")
 
 
