@@ -41,3 +41,11 @@ def test_hot_chat_is_spread(spark):
     assert out.agg(F.max("pos")).first()[0] == 4999
     tasks = out.groupBy(F.spark_partition_id().alias("p")).count().count()
     assert tasks > 1
+
+
+def test_null_keys_and_orders_are_kept(spark):
+    rows = [(None, 1), (None, 2), (1, None), (1, 5), (1, 6), (2, None)]
+    df = spark.createDataFrame(rows, "k bigint, id bigint")
+    got = sorted((r.k if r.k is not None else -1, r.id if r.id is not None else -1, r.pos, r.n)
+                 for r in number_rows(df, ["k"], ["id"], block_col="id", width=2, total_col="n").collect())
+    assert got == [(-1, 1, 0, 2), (-1, 2, 1, 2), (1, -1, 0, 3), (1, 5, 1, 3), (1, 6, 2, 3), (2, -1, 0, 1)]
