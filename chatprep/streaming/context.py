@@ -14,8 +14,7 @@ from __future__ import annotations
 import sys
 
 import uuid
-from collections import deque
-
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -48,34 +47,47 @@ _STATE = T.StructType([
 
 
 def _context_updater(budget: int):
+    """State update for one chat and one micro-batch, vectorised: with the state's
+    messages followed by the batch (sorted by id), P = running length and Q = P - len,
+    the context after message i starts at the first j with Q_j >= P_i - budget
+    (``searchsorted`` on the increasing Q). The new state is the context after the
+    last message."""
     def update(key, pdfs, state):
         if state.exists:
-            ids, lens, pays, seen = state.get
-            ids, lens, pays = deque(ids or []), deque(lens or []), deque(pays or [])
+            s_ids, s_lens, s_pays, seen = state.get
         else:
-            ids, lens, pays, seen = deque(), deque(), deque(), False
-        total = sum(lens)
+            s_ids, s_lens, s_pays, seen = [], [], [], False
         frames = [p for p in pdfs if len(p)]
-        out = []
-        if frames:
-            batch = pd.concat(frames, ignore_index=True).sort_values("_oid", kind="stable")
-            for oid, ln, pay, seed, want, tag in zip(batch["_oid"], batch["_len"], batch["_payload"],
-                                                     batch["_seed"], batch["_want"], batch["_tag"]):
-                ids.append(int(oid))
-                lens.append(int(ln))
-                pays.append(pay)
-                total += int(ln)
-                while ids and total > budget:
-                    ids.popleft()
-                    total -= lens.popleft()
-                    pays.popleft()
-                first = not seen
-                seen = True
-                if not seed:
-                    out.append((key[0], int(oid), len(ids), total, ids[0] if ids else None, first,
-                                tag, list(pays) if want else []))
-        state.update((list(ids), list(lens), list(pays), seen))
-        yield pd.DataFrame(out, columns=CONTEXT_OUT.fieldNames())
+        if not frames:
+            yield pd.DataFrame([], columns=CONTEXT_OUT.fieldNames())
+            return
+        batch = pd.concat(frames, ignore_index=True).sort_values("_oid", kind="stable")
+        k = len(s_ids or [])
+        ids = np.concatenate([np.asarray(s_ids or [], dtype=np.int64), batch["_oid"].to_numpy(dtype=np.int64)])
+        lens = np.concatenate([np.asarray(s_lens or [], dtype=np.int64), batch["_len"].to_numpy(dtype=np.int64)])
+        pays = list(s_pays or []) + list(batch["_payload"])
+        P = np.cumsum(lens)
+        Q = P - lens
+        start = np.searchsorted(Q, P - budget, side="left")   # first j with Q_j >= P_i - budget
+        i = np.arange(len(ids))
+        n = np.maximum(i - start + 1, 0)
+        chars = np.where(n > 0, P - Q[np.minimum(start, len(ids) - 1)], 0)
+        new = slice(k, len(ids))
+        seed = batch["_seed"].to_numpy(dtype=bool)
+        want = batch["_want"].to_numpy(dtype=bool)
+        first = np.zeros(len(batch), dtype=bool)
+        if not seen:
+            first[0] = True
+        starts, ns = start[new], n[new]
+        out = pd.DataFrame({
+            "chat_id": key[0], "id": ids[new], "n_context": ns, "context_chars": chars[new],
+            "context_start_id": [int(ids[j]) if c > 0 else None for j, c in zip(starts, ns)],
+            "is_first": first, "tag": batch["_tag"].to_numpy(),
+            "context": [pays[j:k + r + 1] if (w and c > 0) else [] for r, (j, c, w) in enumerate(zip(starts, ns, want))],
+        })
+        last = int(start[-1])
+        state.update((ids[last:].tolist(), lens[last:].tolist(), pays[last:], True))
+        yield out[~seed]
     return update
 
 
