@@ -138,3 +138,23 @@ def test_non_boolean_rule_rejected(spark):
         assert "bad" in str(e)
     else:
         raise AssertionError("expected TypeError")
+
+
+def test_renumbered_id_range(spark):
+    """Segment id bases lie in [-1000, 1000]; ids run on from the base."""
+    s = G.build_segments(messages_from_events(spark, SF001, 3))
+    r = s.groupBy("chat_id", "seg_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi"),
+                                           F.count(F.lit(1)).alias("n")).collect()
+    assert all(-1000 <= x.lo <= 1000 and x.hi - x.lo + 1 == x.n for x in r)
+
+
+def test_gates_route_only(spark):
+    """Messages outside the allow-list still count in the context; they are only not routed."""
+    rows = [(c, i, "2024-01-01 10:00:00", "a", "hello bot", None) for c in (1, 2) for i in range(3)]
+    m = messages_df(spark, rows).withColumn("content_type", F.lit("text"))
+    m = R.with_reply_author(R.with_first_flag(m.withColumn("sender_id", F.lit(1))))
+    routed = R.route_messages(m, R.default_rules("api", probability=0.0), gate=R.default_gate(allowed_chats=[1]))
+    acts = {(r.chat_id, r.id): r.action for r in routed.collect()}
+    assert acts[(2, 0)] == "none" and acts[(1, 0)] == "intro" and acts[(1, 1)] == "trigger"
+    ctx = C.context_at_each_message(m, F.length("text") + 2, 1000)
+    assert {r.chat_id: r.n_context for r in ctx.where(F.col("id") == 2).collect()} == {1: 3, 2: 3}
