@@ -88,7 +88,15 @@ def parse_record_replies(c, bot_name) -> Column:
     first_reply = F.struct(F.get(first, 0).alias("text"),
                            F.trim(F.get(first, 1)).try_cast("bigint").alias("reply_to_message_id"))
     rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    recs = F.transform(rest, lambda p: decode_record(F.concat(p, F.lit(K.END_MSG))))
+    # each part lost its end marker to the split and holds no other one: it decodes
+    # when it has a begin marker and 4 or 5 fields. Split once per part, then read
+    # the fields from the bound array (no re-evaluation inside the lambda).
+    has_begin = F.transform(rest, lambda p: p.contains(K.BEGIN_MSG))
+    fields = F.transform(rest, lambda p: F.split(F.replace(p, F.lit(K.BEGIN_MSG), F.lit("")), _SEP_RE, -1))
+    recs = F.transform(fields, lambda f, i: F.when(
+        F.element_at(has_begin, i + 1) & F.size(f).isin(4, 5),
+        F.struct(F.get(f, 0).alias("id"), F.get(f, 1).alias("time"), F.get(f, 2).alias("from"),
+                 F.get(f, 3).alias("text"), F.when(F.size(f) == 5, F.get(f, 4)).alias("reply_to_message_id"))))
     bad = F.transform(recs, lambda r: r.isNull() | (r["from"] != bot))
     stop = F.array_position(bad, True)
     taken = F.when(stop == 0, recs).otherwise(F.slice(recs, 1, F.greatest(stop - 1, F.lit(0))))

@@ -58,7 +58,7 @@ def _export_msgs(spark, sf, exclude=None):
 
 
 EXPORT_SQL = f"""m AS ({events_messages_sql(3)}),
-x AS (SELECT *, 'chat_' || CAST(chat_id AS VARCHAR) || '_' || strftime(sent_at, '%Y%m%d') || '_' || CAST(id // 1000 AS VARCHAR) AS folder FROM m),
+x AS (SELECT *, 'chat_' || CAST(chat_id AS VARCHAR) || '_' || strftime(sent_at, '%Y%m%d') || '_' || CAST(id // 10000 AS VARCHAR) AS folder FROM m),
 e AS (SELECT folder AS chat_id, CAST(row_number() OVER (PARTITION BY folder ORDER BY id) AS BIGINT) AS pos, id, hhmm, sender, text,
              reply_to_message_id FROM x)"""
 

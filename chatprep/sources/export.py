@@ -104,7 +104,7 @@ def _json_str(c: Column) -> Column:
     return F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
 
 
-def write_exports(msgs: DataFrame, path: str, rich_every: int = 7, docs_max_rows: int = 1000) -> str:
+def write_exports(msgs: DataFrame, path: str, rich_every: int = 7, docs_max_rows: int = 10000) -> str:
     """Write messages as export documents, one file per ``chat_<chat>_<day>_<part>``
     folder (at most ``docs_max_rows`` messages per document, so no group is
     unbounded), each starting with a service record. Every ``rich_every``-th text is
