@@ -15,8 +15,9 @@ def jsonl_sink(examples: DataFrame, path: str, split_col: str = "split") -> None
 
 
 def parquet_log_sink(msgs: DataFrame, path: str) -> None:
-    """Message log partitioned by chat (the per-chat files of the live bot)."""
-    msgs.write.mode("append").partitionBy("chat_id").parquet(path)
+    """Message log partitioned by chat (the per-chat files of the live bot). The
+    rebalance hint keeps the file count per chat low while AQE splits a hot chat."""
+    msgs.hint("rebalance", "chat_id").write.mode("append").partitionBy("chat_id").parquet(path)
 
 
 def read_jsonl(spark, path: str) -> DataFrame:
