@@ -132,9 +132,12 @@ def assemble_examples(turns: DataFrame, system_text: str | None = K.SYSTEM_TEXT_
 def build_sequences(msgs: DataFrame, *, length: int = K.SEQ_LEN_V1, min_len: int = K.SEQ_MIN_LEN,
                     max_id_gap: int | None = K.SEQ_MAX_ID_GAP, max_minutes: int | None = K.SEQ_MAX_MINUTES,
                     clock: str = "hhmm", drop_tail: bool = True, scope: str = "chat",
-                    relabel_by: str = "sender") -> DataFrame:
-    """messages -> one row per kept sequence message, with seq ids and roles."""
-    m = positions(with_scope(msgs, scope))
+                    relabel_by: str = "sender", order_col: str = "id") -> DataFrame:
+    """messages -> one row per kept sequence message, with seq ids and roles.
+
+    Rows are taken in ``order_col`` order (an integral column: the message id, or an
+    ingest position when ids repeat across the chats of a combined history)."""
+    m = positions(with_scope(msgs, scope), order_col=order_col)
     m = chunk_fixed(m, length, drop_tail)
     m = prefix_until_break(gap_breaks(m, max_id_gap, max_minutes, clock))
     m = filter_min_length(m, min_len)

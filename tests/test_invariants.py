@@ -158,3 +158,14 @@ def test_gates_route_only(spark):
     assert acts[(2, 0)] == "none" and acts[(1, 0)] == "intro" and acts[(1, 1)] == "trigger"
     ctx = C.context_at_each_message(m, F.length("text") + 2, 1000)
     assert {r.chat_id: r.n_context for r in ctx.where(F.col("id") == 2).collect()} == {1: 3, 2: 3}
+
+
+def test_global_scope_ingest_order(spark):
+    """Chats appended end to end with repeating ids: an ingest position keeps file order."""
+    rows = [(c, i, f"2024-01-01 10:{i:02d}:00", "ab"[i % 2], "t", None) for c in (1, 2) for i in range(12)]
+    df = messages_df(spark, rows).withColumn("ingest_pos", (F.col("chat_id") - 1) * 100 + F.col("id"))
+    seqs = S.build_sequences(df, length=5, min_len=3, scope="global", order_col="ingest_pos", max_id_gap=None)
+    got = sorted((r.seq_id, r.seq_pos, r.id) for r in seqs.collect())
+    assert [x[2] for x in got[:5]] == [0, 1, 2, 3, 4]
+    # chunk 2 straddles the chats: the clock goes back (10:10 -> 10:00), so it breaks after 2 rows
+    assert {x[0] for x in got} == {0, 1, 3}
