@@ -6,10 +6,12 @@ rendered lengths sum to at most the budget B (a dropped message never returns,
 because lengths are positive). With P the running length and Q = P - len, the
 context of r is every e <= r with Q_e >= P_r - B.
 
-Scale: P comes from the blocked numbering (no whole-chat window). Members of r's
-context have P in [P_r - B, P_r], so with buckets ``P div B`` they lie in r's bucket
-or the one before; each row is copied into its own and the next bucket and the
-window runs per ``(chat, bucket)``, a group of at most 2B/min_len rows.
+Lengths must be positive (every rendered message has at least its separators).
+
+Scale: P comes from the blocked numbering (no whole-chat window). The oldest kept
+message is an as-of lookup (first e with Q_e >= P_r - B), done per bucket of width
+B with a running minimum; when the kept messages themselves are needed, a range
+window per ``(chat, bucket)`` collects them, a group of at most 2B/min_len rows.
 """
 
 from __future__ import annotations
@@ -56,17 +58,17 @@ def chat_budget_chars(max_tokens: int, pre_prompt: str | None = K.CHAT_PRE_PROMP
 def context_budget(msgs: DataFrame, length: Column, budget_chars: int, last_n: int | None = K.CONTEXT_INIT_ROWS,
                    order_col: str = "id") -> DataFrame:
     """Current context per chat: of the newest ``last_n`` messages (all when None),
-    keep the newest ones whose lengths sum to at most ``budget_chars``."""
+    keep the newest ones whose lengths sum to at most ``budget_chars``.
+
+    Every length is at least 1, so no more than ``budget_chars`` messages can fit:
+    that exact bound limits the candidates per chat (a partial group limit before the
+    exchange), and the suffix sums run over the bounded remainder."""
     m = msgs.withColumn("_len", length.cast("bigint"))
-    if last_n is not None:
-        m = last_n_per_chat(m, last_n, order_col)
-        w = Window.partitionBy("chat_id").orderBy(F.col(order_col).desc()) \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        m = m.withColumn("suffix_chars", F.sum("_len").over(w)).drop("rn")
-    else:
-        m = m.withColumn("_neg", -F.col(order_col))
-        m = number_rows(m, ["chat_id"], ["_neg"], block_col="_neg", pos_col="_rpos",
-                        sums={"suffix_chars": F.col("_len")}).drop("_neg", "_rpos")
+    n = budget_chars if last_n is None else min(last_n, max(budget_chars, 0))
+    m = last_n_per_chat(m, max(n, 1), order_col)
+    w = Window.partitionBy("chat_id").orderBy(F.col(order_col).desc()) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    m = m.withColumn("suffix_chars", F.sum("_len").over(w)).drop("rn")
     return m.where(F.col("suffix_chars") <= budget_chars).drop("_len")
 
 
