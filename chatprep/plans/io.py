@@ -195,10 +195,11 @@ def _live_files(spark, sf) -> str:
     replied-to message attached (the service sends it with the reply)."""
     path = _run_dir(spark, "derived", "live", _tag(sf))
     lv = live_from_events(spark, sf, 3)
-    tgt = lv.select("chat_id", F.col("message_id").alias("reply_to_message_id"),
-                    F.col("sender_id").alias("reply_to_sender_id"))
+    tgt = lv.groupBy("chat_id", F.col("message_id").alias("reply_to_message_id")) \
+        .agg(F.max("sender_id").alias("reply_to_sender_id"))
     lv = lv.join(tgt, ["chat_id", "reply_to_message_id"], "left")
-    lv.repartitionByRange(4, "message_id").write.mode("overwrite").parquet(path)
+    # files in id ranges, as arrivals land over time
+    lv.repartitionByRange("message_id").write.mode("overwrite").parquet(path)
     return path
 
 
