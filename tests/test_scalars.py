@@ -105,3 +105,9 @@ def test_compat_paths(spark):
     assert got == [recover_one(*r) for r in rows]
     assert got[2] == ("@2 banulla", False)          # "nan" inside a word is corrupted
     assert got[0][1] and got[1][1]                    # quotes make the dict text unparsable
+
+
+def test_reply_id_from_csv_text(spark):
+    """Reply ids as a pandas-written CSV stores them (floats, 'nan', blanks)."""
+    rows = [("1190.0",), ("",), ("abc",), ("nan",), (" 12 ",), (None,), ("-5",)]
+    assert one(spark, TX.to_reply_id("s"), rows=rows) == [1190, None, None, None, 12, None, -5]
