@@ -16,16 +16,25 @@ def _q(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+_ISO = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})T([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})$"
+_ISO_TS = ("try_make_timestamp_ntz("
+           + ", ".join(f"try_cast(regexp_extract(x, '{_ISO}', {i}) AS INT)" for i in range(1, 7)) + ")")
+_ISO_HHMM = (f"CASE WHEN x RLIKE '{_ISO}' AND try_cast(regexp_extract(x, '{_ISO}', 6) AS INT) < 60 "
+             f"THEN concat(lpad(cast(hour({_ISO_TS}) AS STRING), 2, '0'), ':', "
+             f"lpad(cast(minute({_ISO_TS}) AS STRING), 2, '0')) END")
+
 SQL_FUNCTIONS = {
     "chat_default_sender": ("x STRING", "STRING", f"coalesce(nullif(x, ''), {_q(K.DEFAULT_SENDER)})"),
     "chat_handle": ("x STRING", "STRING",
                     "regexp_replace(translate(substring(regexp_replace(coalesce(nullif(x, ''), "
                     f"{_q(K.DEFAULT_SENDER)}), '[^\\\\p{{L}}\\\\p{{N}}]', ''), 1, {K.HANDLE_MAX_LEN}), "
                     f"{_q(K.HANDLE_FOLD_FROM)}, {_q(K.HANDLE_FOLD_TO)}), '[^\\\\x00-\\\\x7F]', '')"),
-    "chat_iso_to_hhmm": ("x STRING", "STRING",
-                         f"date_format(try_to_timestamp(x, {_q(K.ISO_FORMAT)}), {_q(K.TIME_FORMAT)})"),
+    "chat_iso_to_hhmm": ("x STRING", "STRING", _ISO_HHMM),
     "chat_unix_to_iso": ("x BIGINT", "STRING",
-                         f"date_format(timestampadd(SECOND, x, TIMESTAMP_NTZ '1970-01-01 00:00:00'), {_q(K.ISO_FORMAT)})"),
+                         "concat_ws('T', cast(to_date(timestampadd(SECOND, x, TIMESTAMP_NTZ '1970-01-01 00:00:00')) AS STRING), "
+                         "concat(lpad(cast(hour(timestampadd(SECOND, x, TIMESTAMP_NTZ '1970-01-01 00:00:00')) AS STRING), 2, '0'), ':', "
+                         "lpad(cast(minute(timestampadd(SECOND, x, TIMESTAMP_NTZ '1970-01-01 00:00:00')) AS STRING), 2, '0'), ':', "
+                         "lpad(cast(second(timestampadd(SECOND, x, TIMESTAMP_NTZ '1970-01-01 00:00:00')) AS STRING), 2, '0')))"),
     "chat_placeholder_text": ("t STRING, e STRING", "STRING",
                               f"coalesce(nullif(t, ''), nullif(e, ''), {_q(K.PLACEHOLDER_TEXT)})"),
     "chat_encode_record_prefix": ("id BIGINT, hhmm STRING, sender STRING", "STRING",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chatprep import constants as K
 
 __all__ = [
-    "default_sender", "ascii_handle", "iso_to_hhmm", "unix_to_iso", "current_hhmm",
+    "default_sender", "ascii_handle", "iso_to_ntz", "iso_to_hhmm", "hhmm_of", "iso_of", "ymd_of", "unix_to_iso", "current_hhmm",
     "placeholder_text", "clean_text", "to_reply_id", "approx_tokens", "strip_prompt",
     "cut_at_newline", "cut_at_marker", "joke_topic_local", "joke_topic_api", "py_strip",
 ]
@@ -35,10 +35,43 @@ def ascii_handle(c) -> Column:
     return F.regexp_replace(s, r"[^\x00-\x7F]", "")
 
 
+_ISO_RE = r"^(\d{4})-(\d{1,2})-(\d{1,2})T(\d{1,2}):(\d{1,2}):(\d{1,2})$"
+
+
+def iso_to_ntz(c) -> Column:
+    """``YYYY-MM-DDTHH:MM:SS`` (fields after the year may have one digit) -> wall-clock
+    TIMESTAMP_NTZ, independent of the session zone; null when it is not a valid time."""
+    x = _c(c)
+    y, mo, d, h, mi, sec = [F.regexp_extract(x, _ISO_RE, i).try_cast("int") for i in range(1, 7)]
+    ok = x.rlike(_ISO_RE) & (sec < 60)
+    return F.when(ok, F.try_make_timestamp_ntz(y, mo, d, h, mi, sec))
+
+
+def _pad(c: Column, n: int) -> Column:
+    return F.lpad(c.cast("string"), n, "0")
+
+
+def hhmm_of(ts) -> Column:
+    """``HH:MM`` of a wall-clock timestamp, built from its fields (no session zone)."""
+    t = _c(ts)
+    return F.concat(_pad(F.hour(t), 2), F.lit(":"), _pad(F.minute(t), 2))
+
+
+def iso_of(ts) -> Column:
+    """``YYYY-MM-DDTHH:MM:SS`` of a wall-clock timestamp, built from its fields."""
+    t = _c(ts)
+    return F.concat(_pad(F.year(t), 4), F.lit("-"), _pad(F.month(t), 2), F.lit("-"), _pad(F.dayofmonth(t), 2),
+                    F.lit("T"), hhmm_of(t), F.lit(":"), _pad(F.second(t), 2))
+
+
+def ymd_of(ts) -> Column:
+    t = _c(ts)
+    return F.concat(_pad(F.year(t), 4), _pad(F.month(t), 2), _pad(F.dayofmonth(t), 2))
+
+
 def iso_to_hhmm(c) -> Column:
     """``YYYY-MM-DDTHH:MM:SS`` -> ``HH:MM``; null when the text does not parse."""
-    ts = F.try_to_timestamp(_c(c), F.lit(K.ISO_FORMAT))
-    return F.date_format(ts, K.TIME_FORMAT)
+    return hhmm_of(iso_to_ntz(c))
 
 
 def unix_to_iso(c, tz: str = "UTC") -> Column:
@@ -46,14 +79,14 @@ def unix_to_iso(c, tz: str = "UTC") -> Column:
     ntz = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
     utc = F.timestamp_add("SECOND", _c(c).cast("bigint"), ntz)
     local = utc if tz == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
-    return F.date_format(local, K.ISO_FORMAT)
+    return iso_of(local)
 
 
 def current_hhmm(now=None) -> Column:
     """Current clock as ``HH:MM``; pass a literal for reproducible output."""
     if now is None:
         return F.date_format(F.current_timestamp(), K.TIME_FORMAT)
-    return F.lit(now) if isinstance(now, str) else F.date_format(_c(now), K.TIME_FORMAT)
+    return F.lit(now) if isinstance(now, str) else hhmm_of(now)
 
 
 def placeholder_text(text, sticker=None) -> Column:

@@ -44,7 +44,7 @@ def q_ascii_handle(spark, sf):
 FROM events""")
 def q_iso_to_hhmm(spark, sf):
     e = read_table(spark, sf, "events")
-    return e.select("event_id", TX.iso_to_hhmm(F.date_format("ts", K.ISO_FORMAT)).alias("hhmm"))
+    return e.select("event_id", TX.iso_to_hhmm(TX.iso_of("ts")).alias("hhmm"))
 
 
 @register("unix_to_iso", sql=f"""SELECT message_id, strftime(TIMESTAMP '1970-01-01 00:00:00' + date * INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%S') AS iso

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep import constants as K
-from chatprep.functions.text import default_sender, iso_to_hhmm, placeholder_text
+from chatprep.functions.text import default_sender, iso_of, iso_to_hhmm, iso_to_ntz, placeholder_text, ymd_of
 
 EXPORT_FILE = "result.json"
 
@@ -85,7 +85,7 @@ def normalize_export(msgs: DataFrame, col: str = "msg") -> DataFrame:
     return msgs.select(
         "chat_id", "pos",
         F.try_variant_get(m, "$.id", "bigint").alias("id"),
-        F.try_to_timestamp(date, F.lit(K.ISO_FORMAT)).cast("timestamp_ntz").alias("sent_at"),
+        iso_to_ntz(date).alias("sent_at"),
         iso_to_hhmm(date).alias("hhmm"),
         default_sender(F.try_variant_get(m, "$.from", "string")).alias("sender"),
         placeholder_text(text, F.try_variant_get(m, "$.sticker_emoji", "string")).alias("text"),
@@ -110,7 +110,7 @@ def write_exports(msgs: DataFrame, path: str, rich_every: int = 7, docs_max_rows
     unbounded), each starting with a service record. Every ``rich_every``-th text is
     written as a rich-text list ``["head ", {"type": "bold", "text": "tail"}]``.
     Returns the glob to read them back."""
-    date = F.date_format("sent_at", K.ISO_FORMAT)
+    date = iso_of("sent_at")
     text = F.col("text")
     sp = F.instr(text, " ")
     rich = F.concat(F.lit("["), _json_str(F.substr(text, F.lit(1), sp)), F.lit(',{"type":"bold","text":'),
@@ -125,7 +125,7 @@ def write_exports(msgs: DataFrame, path: str, rich_every: int = 7, docs_max_rows
                    F.lit(',"text":'), text_json, reply, F.lit("}"))
     part = F.floor(F.col("id") / docs_max_rows).cast("bigint")
     folder = F.concat(F.lit("chat_"), F.col("chat_id").cast("string"), F.lit("_"),
-                      F.date_format("sent_at", "yyyyMMdd"), F.lit("_"), part.cast("string"))
+                      ymd_of("sent_at"), F.lit("_"), part.cast("string"))
     docs = msgs.withColumn("folder", folder).groupBy("folder").agg(
         F.array_sort(F.collect_list(F.struct(F.col("id").alias("k"), rec.alias("r")))).alias("items"),
         F.min(date).alias("d0"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep import constants as K
-from chatprep.functions.text import default_sender, placeholder_text
+from chatprep.functions.text import default_sender, hhmm_of, placeholder_text
 from chatprep.schema import LIVE
 
 
@@ -25,7 +25,7 @@ def normalize_live(live: DataFrame, tz: str = "UTC", keep=()) -> DataFrame:
     extra += [F.col(c) for c in keep]
     return live.select(
         F.col("chat_id"), F.col("message_id").alias("id"), sent.alias("sent_at"),
-        F.date_format(sent, K.TIME_FORMAT).alias("hhmm"),
+        hhmm_of(sent).alias("hhmm"),
         default_sender("username").alias("sender"),
         placeholder_text(F.col("text"), F.col("sticker_emoji")).alias("text"),
         F.col("reply_to_message_id"), F.col("content_type"), F.col("sender_id"), F.col("date"), *extra)

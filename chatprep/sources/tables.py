@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep import constants as K
+from chatprep.functions.text import hhmm_of
 
 CONV_START = "2024-01-01 00:00:00"
 
@@ -28,7 +29,7 @@ def messages_from_events(spark: SparkSession, sf_dir: str, n_chats: int | None =
         chat.cast("bigint").alias("chat_id"),
         F.col("event_id").alias("id"),
         F.col("ts").cast("timestamp_ntz").alias("sent_at"),
-        F.date_format(F.col("ts"), K.TIME_FORMAT).alias("hhmm"),
+        hhmm_of(F.col("ts")).alias("hhmm"),
         F.concat(F.lit("user_"), (F.col("user_id") % 6).cast("string")).alias("sender"),
         F.concat(F.col("event_type"), F.lit(" "), F.col("props")).alias("text"),
         reply.cast("bigint").alias("reply_to_message_id"),
@@ -44,7 +45,7 @@ def messages_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").alias("chat_id"),
         (F.col("turn") + 1).alias("id"),
         sent.alias("sent_at"),
-        F.date_format(sent, K.TIME_FORMAT).alias("hhmm"),
+        hhmm_of(sent).alias("hhmm"),
         F.col("role").alias("sender"),
         F.col("text"),
         F.lit(None).cast("bigint").alias("reply_to_message_id"),

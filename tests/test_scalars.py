@@ -111,3 +111,13 @@ def test_reply_id_from_csv_text(spark):
     """Reply ids as a pandas-written CSV stores them (floats, 'nan', blanks)."""
     rows = [("1190.0",), ("",), ("abc",), ("nan",), (" 12 ",), (None,), ("-5",)]
     assert one(spark, TX.to_reply_id("s"), rows=rows) == [1190, None, None, None, 12, None, -5]
+
+
+def test_iso_parse_is_zone_free(spark):
+    rows = [("2021-3-28T3:30:05",), ("2021-03-28T03:30:00",), ("2021-02-30T10:00:00",), ("2021-01-01T10:00:60",)]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Helsinki")  # 03:30 on 2021-03-28 is a DST gap there
+        assert one(spark, TX.iso_to_hhmm("s"), rows=rows) == ["03:30", "03:30", None, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

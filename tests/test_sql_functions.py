@@ -37,3 +37,10 @@ def test_sql_functions_match_columns(spark):
                     reply_prefix_content("text", "reply_to_message_id").alias("c"), F.col("hhmm").alias("t"),
                     TX.unix_to_iso(F.col("id") * 60).alias("u"), TX.placeholder_text(F.lit(""), "sender").alias("x"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_sql_iso_edge_cases(spark):
+    register_sql_functions(spark)
+    got = [r[0] for r in spark.sql("""SELECT chat_iso_to_hhmm(x) FROM VALUES ('2021-3-28T3:30:05'), ('2021-02-30T10:00:00'),
+                                      ('2021-01-01T10:00:60'), ('bad') AS t(x)""").collect()]
+    assert got == ["03:30", None, None, None]
