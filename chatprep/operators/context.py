@@ -25,15 +25,24 @@ from chatprep.operators.positions import number_rows
 
 PROMPT_OVERHEAD = 16  # '{"messages": [' + ']}'
 TURN_SEPARATOR = 2    # ', '
+# the shortest rendered chat turn, '{"role": "assistant", "content": ""}', plus its separator
+MIN_CHAT_TURN_CHARS = 36 + TURN_SEPARATOR
 
 
 def last_n_per_chat(msgs: DataFrame, n: int = K.CONTEXT_INIT_ROWS, order_col: str = "id") -> DataFrame:
     """The newest ``n`` messages of every chat (``rn`` = 1 for the newest).
 
-    ``row_number() <= n`` is planned with a partial group limit before the exchange,
-    so a huge chat sends at most n rows per input partition to the final window."""
-    w = Window.partitionBy("chat_id").orderBy(F.col(order_col).desc())
-    return msgs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    Up to the optimizer's group-limit threshold, ``row_number() <= n`` is planned with
+    a partial group limit before the exchange, so a huge chat sends at most n rows per
+    input partition to the final window. Beyond it, the blocked numbering over the
+    reversed order ranks every chat without a whole-chat window."""
+    limit = int(msgs.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n <= limit:
+        w = Window.partitionBy("chat_id").orderBy(F.col(order_col).desc())
+        return msgs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    ranked = number_rows(msgs.withColumn("_neg", -F.col(order_col)), ["chat_id"], ["_neg"], block_col="_neg",
+                         pos_col="_rpos")
+    return ranked.where(F.col("_rpos") < n).withColumn("rn", (F.col("_rpos") + 1).cast("int")).drop("_neg", "_rpos")
 
 
 def chat_turn_length(bot_name: str = K.BOT_NAME_API) -> Column:
@@ -56,16 +65,18 @@ def chat_budget_chars(max_tokens: int, pre_prompt: str | None = K.CHAT_PRE_PROMP
 
 
 def context_budget(msgs: DataFrame, length: Column, budget_chars: int, last_n: int | None = K.CONTEXT_INIT_ROWS,
-                   order_col: str = "id") -> DataFrame:
+                   order_col: str = "id", min_length: int = 1) -> DataFrame:
     """Current context per chat: of the newest ``last_n`` messages (all when None),
     keep the newest ones whose lengths sum to at most ``budget_chars``.
 
-    Every length is at least 1, so no more than ``budget_chars`` messages can fit:
-    that exact bound limits the candidates per chat (a partial group limit before the
-    exchange), and the suffix sums run over the bounded remainder."""
+    Every length is at least ``min_length`` (>= 1), so no more than
+    ``budget_chars // min_length`` messages can fit: that exact bound limits the
+    candidates per chat, and the suffix sums run over the bounded remainder."""
     m = msgs.withColumn("_len", length.cast("bigint"))
-    n = budget_chars if last_n is None else min(last_n, max(budget_chars, 0))
+    fit = max(budget_chars, 0) // max(min_length, 1)
+    n = fit if last_n is None else min(last_n, fit)
     m = last_n_per_chat(m, max(n, 1), order_col)
+    # at most n rows per chat remain: a plain window over them is bounded
     w = Window.partitionBy("chat_id").orderBy(F.col(order_col).desc()) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     m = m.withColumn("suffix_chars", F.sum("_len").over(w)).drop("rn")

@@ -99,7 +99,8 @@ FROM s WHERE suf <= {_BUDGET} GROUP BY chat_id""")
 def q_chat_prompt(spark, sf):
     m = _conv(spark, sf)
     turn = encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id", K.BOT_NAME_API)
-    cur = C.context_budget(m.withColumn("turn", turn), turn_json_length(turn) + 2, _BUDGET, last_n=None)
+    cur = C.context_budget(m.withColumn("turn", turn), turn_json_length(turn) + 2, _BUDGET, last_n=None,
+                           min_length=C.MIN_CHAT_TURN_CHARS)
     g = cur.groupBy("chat_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_turns"),
         F.transform(F.array_sort(F.collect_list(F.struct("id", "turn"))), lambda e: e["turn"]).alias("turns"))
@@ -116,7 +117,7 @@ def q_prompt_size(spark, sf):
     """Prompt size in tokens (characters div 3) as the budget measures it."""
     m = _conv(spark, sf)
     turn = encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id", K.BOT_NAME_API)
-    cur = C.context_budget(m, turn_json_length(turn) + 2, _BUDGET, last_n=None)
+    cur = C.context_budget(m, turn_json_length(turn) + 2, _BUDGET, last_n=None, min_length=C.MIN_CHAT_TURN_CHARS)
     fixed = C.PROMPT_OVERHEAD + len(json.dumps({"role": "system", "content": K.CHAT_PRE_PROMPT}, ensure_ascii=False))
     return cur.groupBy("chat_id").agg(((F.lit(fixed) + F.max("suffix_chars")) / 3).cast("bigint").alias("n_tokens"))
 

@@ -169,3 +169,22 @@ def test_global_scope_ingest_order(spark):
     assert [x[2] for x in got[:5]] == [0, 1, 2, 3, 4]
     # chunk 2 straddles the chats: the clock goes back (10:10 -> 10:00), so it breaks after 2 rows
     assert {x[0] for x in got} == {0, 1, 3}
+
+
+def test_last_n_above_group_limit_threshold(spark):
+    """Beyond the optimizer's group-limit threshold the blocked ranking gives the same rows."""
+    m = messages_from_events(spark, SF001, 3)
+    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    try:
+        a = {(r.chat_id, r.id, r.rn) for r in C.last_n_per_chat(m, 40).select("chat_id", "id", "rn").collect()}
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
+        b = {(r.chat_id, r.id, r.rn) for r in C.last_n_per_chat(m, 40).select("chat_id", "id", "rn").collect()}
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
+    assert a == b and len(a) == 120
+
+
+def test_min_chat_turn_length(spark):
+    df = messages_df(spark, [(1, 1, "2024-01-01 10:00:00", "Teekkariäly", "", None)])
+    n = df.select(C.chat_turn_length()).first()[0]
+    assert n == C.MIN_CHAT_TURN_CHARS
