@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chatprep import constants as K
 from chatprep.functions import chat as CH
 from chatprep.functions import records as RC
 from chatprep.functions import text as TX
+from chatprep.operators.positions import number_rows
 from chatprep.plans.live import LIVE_MSGS_SQL, LIVE_SQL
 from chatprep.plans.registry import (register, events_messages_sql, CONV_MESSAGES_SQL, ascii_handle_sql, chat_name_sql,
                                      content_json_sql)
@@ -147,9 +147,9 @@ def q_encode_chat_turn(spark, sf):
 SELECT conv_id, turn, substr(text || nxt, length(text) + 1) AS completion FROM c WHERE nxt IS NOT NULL""")
 def q_strip_prompt(spark, sf):
     """Completion = model output minus the echoed prompt (output = turn text + next turn)."""
-    c = read_table(spark, sf, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = c.withColumn("nxt", F.lead("text").over(w)).where(F.col("nxt").isNotNull())
+    c = number_rows(read_table(spark, sf, "conversations"), ["conv_id"], ["turn"], block_col="turn")
+    nxt = c.select("conv_id", (F.col("pos") - 1).alias("pos"), F.col("text").alias("nxt"))
+    c = c.join(nxt, ["conv_id", "pos"], "inner")  # the next turn: equi-join on (conversation, position)
     return c.select("conv_id", "turn", TX.strip_prompt(F.concat("text", "nxt"), F.col("text")).alias("completion"))
 
 
