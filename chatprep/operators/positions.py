@@ -45,13 +45,11 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     # struct(keys) is never null and null fields compare equal, so rows of a null
     # chat are numbered like any other chat; null order values sort first and get
     # the lowest block. Join and window share the key (_gk, _blk): one exchange.
-    x = df.withColumn("_gk", F.struct(*keys)) \
-        .withColumn("_blk", F.coalesce(block_of(block_col, width), F.lit(NULL_BLOCK)))
-    for name, c in sums.items():
-        x = x.withColumn(f"_v_{name}", c.cast("bigint"))
+    x = df.withColumns({"_gk": F.struct(*keys),
+                        "_blk": F.coalesce(block_of(block_col, width), F.lit(NULL_BLOCK)),
+                        **{f"_v_{n}": c.cast("bigint") for n, c in sums.items()}})
 
     aggs = [F.count(F.lit(1)).alias("_bn")] + [F.sum(f"_v_{n}").alias(f"_bs_{n}") for n in sums]
-    blocks = x.groupBy("_gk", "_blk").agg(*aggs)
     w_before = Window.partitionBy("_gk").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy("_gk")
     offs = [F.coalesce(F.sum("_bn").over(w_before), F.lit(0)).alias("_off_n")]
@@ -60,13 +58,12 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
         offs.append(F.sum("_bn").over(w_all).cast("bigint").alias(total_col))
     if sum_totals:
         offs += [F.sum(f"_bs_{n}").over(w_all).cast("bigint").alias(f"{n}_total") for n in sums]
-    blocks = blocks.select("_gk", "_blk", *offs)
+    blocks = x.groupBy("_gk", "_blk").agg(*aggs).select("_gk", "_blk", *offs)
 
     w = Window.partitionBy("_gk", "_blk").orderBy(*order)
-    y = x.join(blocks, on=["_gk", "_blk"], how="inner")
-    y = y.withColumn(pos_col, (F.col("_off_n") + F.row_number().over(w) - 1).cast("bigint"))
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for n in sums:
-        y = y.withColumn(n, (F.col(f"_off_{n}") + F.sum(f"_v_{n}").over(run)).cast("bigint"))
-    drop = ["_gk", "_blk", "_off_n"] + [f"_off_{n}" for n in sums] + [f"_v_{n}" for n in sums]
-    return y.drop(*drop)
+    out = [F.col(c) for c in df.columns if c not in {pos_col, *sums}]
+    out.append((F.col("_off_n") + F.row_number().over(w) - 1).cast("bigint").alias(pos_col))
+    out += [(F.col(f"_off_{n}") + F.sum(f"_v_{n}").over(run)).cast("bigint").alias(n) for n in sums]
+    out += [F.col(c) for c in ([total_col] if total_col else []) + ([f"{n}_total" for n in sums] if sum_totals else [])]
+    return x.join(blocks, on=["_gk", "_blk"], how="inner").select(*out)

@@ -45,8 +45,8 @@ def chunk_fixed(numbered: DataFrame, length: int = K.SEQ_LEN_V1, drop_tail: bool
     With ``drop_tail`` a chunk is used only when a row follows it (start < n - L),
     so the last chunk is dropped even when complete and n <= L gives nothing.
     """
-    out = numbered.withColumn("seq_id", F.floor(F.col("pos") / length).cast("bigint")) \
-        .withColumn("seq_pos", F.pmod(F.col("pos"), F.lit(length)))
+    out = numbered.withColumns({"seq_id": F.floor(F.col("pos") / length).cast("bigint"),
+                                "seq_pos": F.pmod(F.col("pos"), F.lit(length))})
     if drop_tail:
         out = out.where((F.col("seq_id") + 1) * length < F.col("n_chat"))
     return out
@@ -78,14 +78,14 @@ def gap_breaks(chunked: DataFrame, max_id_gap: int | None = K.SEQ_MAX_ID_GAP,
             t_brk = F.coalesce(secs > max_minutes * 60, F.lit(False))
         else:
             raise ValueError("clock must be 'hhmm' or 'timestamp'")
-    return chunked.withColumn("brk_id", id_brk).withColumn("brk_time", t_brk & ~id_brk)
+    return chunked.withColumns({"brk_id": id_brk, "brk_time": t_brk & ~id_brk})
 
 
 def prefix_until_break(flagged: DataFrame) -> DataFrame:
     """Keep each chunk's rows before its first break; the rest of the chunk is dropped."""
     w = Window.partitionBy(*SEQ_KEY).orderBy("seq_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = F.max((F.col("brk_id") | F.col("brk_time")).cast("int")).over(w)
-    return flagged.withColumn("_cut", cut).where(F.col("_cut") == 0).drop("_cut")
+    return flagged.select("*", cut.alias("_cut")).where(F.col("_cut") == 0).drop("_cut")
 
 
 def filter_min_length(seqs: DataFrame, min_len: int = K.SEQ_MIN_LEN) -> DataFrame:
