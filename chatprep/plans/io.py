@@ -185,7 +185,8 @@ def q_chat_log_append(spark, sf):
     m = normalize_live(live_from_events(spark, sf, 3)).select("chat_id", "id", "sender", "text", "date")
     parquet_log_sink(m.where(F.col("date") < _START).drop("date"), path)
     parquet_log_sink(m.where(F.col("date") >= _START).drop("date"), path)
-    return spark.read.parquet(path).select("chat_id", "id", "sender", "text")
+    # partition discovery infers the folder value's type; the log's chat ids are BIGINT
+    return spark.read.parquet(path).select(F.col("chat_id").cast("bigint").alias("chat_id"), "id", "sender", "text")
 
 
 # ------------------------------------------------------------------ streams
@@ -218,7 +219,7 @@ def q_live_source(spark, sf):
 def q_stream_append(spark, sf):
     s = normalize_live(_live_stream(spark, sf)).select("chat_id", "id", "sender", "text")
     out = SC.run_available_now(s, "stream_append", partition_by="chat_id")
-    return spark.read.parquet(out).select("chat_id", "id", "sender", "text")
+    return spark.read.parquet(out).select(F.col("chat_id").cast("bigint").alias("chat_id"), "id", "sender", "text")
 
 
 _B = 400

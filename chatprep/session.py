@@ -19,6 +19,8 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of collected datasets are removed, so the shared folder does not grow
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
