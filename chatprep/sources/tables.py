@@ -61,8 +61,10 @@ _EVENT_CONTENT = {"click": "text", "view": "text", "signup": "sticker", "purchas
 def live_from_events(spark: SparkSession, sf_dir: str, n_chats: int = 3) -> DataFrame:
     """``events`` as live chat events (unix dates, usernames, content types, commands).
 
-    Every 50th event of a user is a help command and every 40th a joke command, so
-    the command rules see real traffic; user 0 of each chat is the bot account.
+    Content types follow the event type (text, sticker, photo). Events with
+    ``event_id % 50 == 7`` carry a help command and ``% 40 == 3`` a joke command, so
+    the command rules see traffic; users with ``user_id % 6 == 0`` post as the bot
+    account (sender id 0) and ``% 6 == 5`` have no username.
     """
     e = read_table(spark, sf_dir, "events")
     ctype = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in _EVENT_CONTENT.items()],
