@@ -188,3 +188,15 @@ def test_min_chat_turn_length(spark):
     df = messages_df(spark, [(1, 1, "2024-01-01 10:00:00", "Teekkariäly", "", None)])
     n = df.select(C.chat_turn_length()).first()[0]
     assert n == C.MIN_CHAT_TURN_CHARS
+
+
+def test_content_recover_compat_brute_force(spark):
+    """The registered compat query equals plain Python over the same rows (sf0.01)."""
+    import __spark_entry__ as E
+    from chatprep.operators.compat import recover_one
+    got = {(r.chat_id, r.seq_id, r.seq_pos): (r.content, r.failed)
+           for r in E.queries()["content_recover_compat"](spark, SF001).collect()}
+    seqs = S.build_sequences(messages_from_events(spark, SF001, None), length=15).where(F.col("role") == "assistant")
+    want = {(r.chat_id, r.seq_id, r.seq_pos): recover_one(r.id, r.hhmm, r.sender, r.text, r.reply_to_message_id)
+            for r in seqs.collect()}
+    assert len(got) == 1947 and got == want
