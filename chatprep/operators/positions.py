@@ -36,7 +36,9 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     ``block_col`` must be integral and non-decreasing along ``order`` (normally the
     first order column). A block then holds at most ``width`` rows when
     ``block_col`` is unique per key, so no task receives more than one block of a
-    key. ``sums`` maps new column names to non-negative per-row values and adds
+    key. The block table has one row per block, so ``block_col`` should be dense
+    (message ids, ingest positions); for sparse values choose a larger ``width``.
+    ``order`` should end in a unique tie-break for reproducible positions. ``sums`` maps new column names to non-negative per-row values and adds
     their running (inclusive) sums; ``total_col`` adds the row count of the key,
     ``sum_totals`` the full sum per key as ``<name>_total``.
     """

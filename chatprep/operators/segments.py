@@ -24,7 +24,8 @@ def filter_length(msgs: DataFrame, max_chars: int = K.SEGMENT_MAX_CHARS) -> Data
 
 def segment_fixed(msgs: DataFrame, segment_len: int = K.SEGMENT_LEN, order_col: str = "id") -> DataFrame:
     """Consecutive segments of ``segment_len`` rows; the short tail segment is kept."""
-    m = number_rows(msgs, ["chat_id"], [order_col, "sent_at"], block_col=order_col)
+    order = [order_col] + [c for c in ("sent_at", "sender", "text") if c in msgs.columns]
+    m = number_rows(msgs, ["chat_id"], order, block_col=order_col)
     return m.withColumn("seg_id", F.floor(F.col("pos") / segment_len).cast("bigint")) \
         .withColumn("seg_pos", F.pmod(F.col("pos"), F.lit(segment_len)).cast("bigint"))
 

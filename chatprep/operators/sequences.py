@@ -28,9 +28,13 @@ def with_scope(msgs: DataFrame, scope: str = "chat") -> DataFrame:
     return msgs
 
 
-def positions(msgs: DataFrame, order_col: str = "id", tiebreak: str | None = "sent_at", **kw) -> DataFrame:
-    """0-based ``pos`` and chat size ``n_chat`` per message, ordered by ``order_col``."""
-    order = [order_col] + ([tiebreak] if tiebreak else [])
+TIEBREAK = ("sent_at", "sender", "text")
+
+
+def positions(msgs: DataFrame, order_col: str = "id", tiebreak=TIEBREAK, **kw) -> DataFrame:
+    """0-based ``pos`` and chat size ``n_chat`` per message, ordered by ``order_col``
+    (duplicate ids are ordered by time, sender and text, so positions are reproducible)."""
+    order = [order_col] + [c for c in (tiebreak or ()) if c in msgs.columns]
     return number_rows(msgs, ["chat_id"], order, block_col=order_col, total_col="n_chat", **kw)
 
 
