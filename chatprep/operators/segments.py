@@ -92,3 +92,17 @@ def eval_pairs(segs: DataFrame, pre_prompt: str = "") -> DataFrame:
     body = F.transform(F.filter("_items", lambda e: e["seg_pos"] < F.col("_last")), lambda e: e["record"])
     body_text = F.when(F.size(body) > 0, F.concat(F.array_join(body, "\n"), F.lit("\n"))).otherwise(F.lit(""))
     return g.select(*SEG_KEY, F.concat(F.lit(pre_prompt), body_text, F.col("_open")).alias("prompt"), "truth")
+
+
+def segments_per_split(msgs: DataFrame, test_frac: float = K.SEGMENT_TEST_FRAC, order_col: str = "id",
+                       **kw) -> DataFrame:
+    """The delimited training flow's split: the first ``int(n * (1 - test_frac))``
+    messages are train, the rest test; each part is filtered and segmented on its
+    own. Returns the prepared segment rows with a ``split`` column."""
+    from chatprep.operators.splits import split_ordered
+    parts = split_ordered(msgs, order_col, test_frac)
+    out = None
+    for name in ("train", "test"):
+        seg = build_segments(parts.where(F.col("split") == name).drop("split"), **kw).withColumn("split", F.lit(name))
+        out = seg if out is None else out.unionByName(seg)
+    return out

@@ -295,3 +295,17 @@ def q_content_recover_compat(spark, sf):
     r = seqs.withColumn("_r", content_recover_compat())
     return r.select("chat_id", "seq_id", "seq_pos", F.col("_r.content").alias("content"),
                     F.col("_r.failed").alias("failed"))
+
+
+@register("segments_per_split", sql=f"""WITH m AS ({events_messages_sql(None)}),
+p AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS gpos, count(*) OVER () AS n FROM m),
+s AS (SELECT *, CASE WHEN gpos < CAST(floor(n * 0.9 + 1e-9) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM p),
+fl AS (SELECT * FROM s WHERE length(text) < 200),
+q AS (SELECT *, (row_number() OVER (PARTITION BY split, chat_id ORDER BY id) - 1) // 10 AS seg_id FROM fl)
+SELECT split, CAST(count(*) AS BIGINT) AS n_messages, CAST(count(DISTINCT seg_id) AS BIGINT) AS n_segments
+FROM q GROUP BY split""")
+def q_segments_per_split(spark, sf):
+    """Rows after filtering and segments per split (ordered 90/10 split of one history)."""
+    s = G.segments_per_split(_ev(spark, sf, None), 0.1, seed=SEED)
+    return s.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("n_messages"),
+                                  F.countDistinct("chat_id", "seg_id").cast("bigint").alias("n_segments"))
