@@ -173,3 +173,16 @@ def sequence_stats(msgs: DataFrame, *, length: int = K.SEQ_LEN_V1, min_len: int
     return per.groupBy("end_reason", "discarded").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_sequences"),
         F.sum("kept").cast("bigint").alias("n_messages"))
+
+
+def observe_examples(examples: DataFrame, name: str = "examples"):
+    """Attach counters to the examples (documents, messages, shortest and longest
+    sequence) that are filled by whatever action runs next (e.g. the JSONL write),
+    without an extra job. Returns ``(df, observation)``; read ``observation.get``
+    after the action."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    df = examples.observe(obs, F.count(F.lit(1)).alias("n_documents"),
+                          F.sum("n_messages").cast("bigint").alias("n_messages"),
+                          F.min("n_messages").alias("min_messages"), F.max("n_messages").alias("max_messages"))
+    return df, obs

@@ -200,3 +200,12 @@ def test_content_recover_compat_brute_force(spark):
     want = {(r.chat_id, r.seq_id, r.seq_pos): recover_one(r.id, r.hhmm, r.sender, r.text, r.reply_to_message_id)
             for r in seqs.collect()}
     assert len(got) == 1947 and got == want
+
+
+def test_observed_counters(spark, tmp_path):
+    from chatprep.sources.sinks import jsonl_sink
+    ex = P.split_random(S.training_examples(messages_from_events(spark, SF001, None), length=15),
+                        ["chat_id", "seq_id"], 0.2)
+    ex, obs = S.observe_examples(ex)
+    jsonl_sink(ex, str(tmp_path / "out"))
+    assert obs.get == {"n_documents": 618, "n_messages": 8619, "min_messages": 10, "max_messages": 15}
