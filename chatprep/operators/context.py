@@ -166,11 +166,16 @@ def chat_prompt_json(turns: Column, pre_prompt: str | None = K.CHAT_PRE_PROMPT,
 
 def chat_prompts_at_each_message(msgs: DataFrame, max_tokens: int = K.TOKEN_BUDGET_APP,
                                  bot_name: str = K.BOT_NAME_API,
-                                 pre_prompt: str | None = K.CHAT_PRE_PROMPT) -> DataFrame:
-    """Chat prompt per message as the API head would send it after that message."""
-    turn = encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id", bot_name)
-    c = context_at_each_message(msgs, chat_turn_length(bot_name), chat_budget_chars(max_tokens, pre_prompt),
-                                payload=turn)
+                                 pre_prompt: str | None = K.CHAT_PRE_PROMPT,
+                                 turn: Column | None = None, length: Column | None = None) -> DataFrame:
+    """Chat prompt per message as the API head would send it after that message.
+
+    ``turn`` (a struct<role,name,content> Column) and ``length`` replace the default
+    turn renderer and its measured length (a custom renderer / token count)."""
+    turn = turn if turn is not None else encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id",
+                                                          bot_name)
+    length = length if length is not None else turn_json_length(turn) + F.lit(TURN_SEPARATOR)
+    c = context_at_each_message(msgs, length, chat_budget_chars(max_tokens, pre_prompt), payload=turn)
     return c.withColumn("prompt", chat_prompt_json(F.col("context"), pre_prompt)).drop("context")
 
 
@@ -178,13 +183,17 @@ MODEL_ACTIONS = ("joke", "random", "trigger", "reply_to_bot")
 
 
 def response_prompts(routed: DataFrame, max_tokens: int = K.TOKEN_BUDGET_APP, bot_name: str = K.BOT_NAME_API,
-                     pre_prompt: str | None = K.CHAT_PRE_PROMPT, instruction: Column | None = None) -> DataFrame:
+                     pre_prompt: str | None = K.CHAT_PRE_PROMPT, instruction: Column | None = None,
+                     turn: Column | None = None, length: Column | None = None) -> DataFrame:
     """Prompt text for every routed message that needs the model: the chat prompt of
     the context as of that message; for ``joke`` a trailing system turn holds the
-    ``instruction`` (the API head's joke request)."""
+    ``instruction`` (the API head's joke request). ``turn`` / ``length`` override the
+    turn renderer and its measured length."""
     import json
-    turn = encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id", bot_name)
-    c = context_at_each_message(routed, chat_turn_length(bot_name), chat_budget_chars(max_tokens, pre_prompt),
+    turn = turn if turn is not None else encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id",
+                                                          bot_name)
+    length = length if length is not None else turn_json_length(turn) + F.lit(TURN_SEPARATOR)
+    c = context_at_each_message(routed, length, chat_budget_chars(max_tokens, pre_prompt),
                                 payload=F.to_json(turn))
     c = c.where(F.col("action").isin(*MODEL_ACTIONS))
     head = '{"messages":['

@@ -109,15 +109,20 @@ def stream_context(stream: DataFrame, budget_chars: int, length: Column, *, payl
 
 def stream_route(stream: DataFrame, budget_chars: int, length: Column, rules_after_intro, *,
                  payload: Column | None = None, want_actions=("random", "trigger", "reply_to_bot"),
-                 seed: Column | None = None) -> DataFrame:
+                 seed: Column | None = None, gate: Column | None = None) -> DataFrame:
     """Routing per arrival: the stateless rules run on the stream; the first-message
     rule needs state and is decided by ``stream_context``. The reply author comes
-    with the live record (``reply_to_sender_id``)."""
+    with the live record (``reply_to_sender_id``). Every arrival enters the context;
+    ``gate`` (allow-list, staleness) only decides whether it is routed."""
     pre = R.route_messages(stream.withColumn("reply_author", F.col("reply_to_sender_id")), rules_after_intro,
                            action_col="_pre")
+    gated = F.lit(True) if gate is None else F.coalesce(gate, F.lit(False))
+    pre = pre.withColumn("_pre", F.when(gated, F.col("_pre")).otherwise(F.lit("blocked")))
     want = F.col("_pre").isin(*want_actions)
     ctx = stream_context(pre, budget_chars, length, payload=payload, want=want, tag=F.col("_pre"), seed=seed)
-    return ctx.withColumn("action", F.when(F.col("is_first"), F.lit("intro")).otherwise(F.col("tag")))
+    act = F.when(F.col("tag") == "blocked", F.lit(R.NO_ACTION)).when(F.col("is_first"), F.lit("intro")) \
+        .otherwise(F.col("tag"))
+    return ctx.withColumn("action", act)
 
 
 def stream_prompts(routed: DataFrame, system_json: str | None) -> DataFrame:

@@ -108,3 +108,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
     firsts = spark.read.parquet(out).where("is_first").count()
     assert firsts == lv.select("chat_id").distinct().count()
+
+
+def test_stream_route_gate(spark, tmp_path):
+    """Blocked chats still fill the context but are not routed."""
+    from chatprep.operators import routing as R
+    lv = live_from_events(spark, SF0001, 3).withColumn("reply_to_sender_id", F.lit(None).cast("bigint"))
+    src = str(tmp_path / "live")
+    lv.coalesce(1).write.mode("overwrite").parquet(src)
+    from chatprep.schema import with_fields
+    from pyspark.sql import types as T
+    stream = normalize_live(live_source(spark, src, schema=with_fields(LIVE, reply_to_sender_id=T.LongType())))
+    rules = [r for r in R.default_rules("api", probability=1.0) if r.name != "intro"]
+    routed = SC.stream_route(stream, 300, F.length("text") + 2, rules, gate=F.col("chat_id") != 1)
+    out = SC.run_available_now(routed.select("chat_id", "id", "action", "n_context"), "gate")
+    res = spark.read.parquet(out)
+    assert {r.action for r in res.where("chat_id = 1").collect()} == {"none"}
+    assert res.where("chat_id = 0").select("action").distinct().count() >= 2
+    assert res.where("chat_id = 1").agg(F.max("n_context")).first()[0] > 0
