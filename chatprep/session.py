@@ -44,14 +44,15 @@ def get_spark(master: str | None = None, app: str = "chatprep",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and derived tables.
 
-    Read from the session (``spark.checkpoint.dir``); a private folder is created
-    only where the session has none, which is the case in tests and local runs.
+    Read from the session (``spark.checkpoint.dir``, or the context's checkpoint
+    directory). A private folder is created only where the session has none, which
+    is the case in tests and local runs; ``spark.checkpoint.dir`` is a static setting,
+    so only the context's checkpoint directory is set then.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="chatprep-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d.rstrip("/")
