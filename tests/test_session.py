@@ -32,10 +32,10 @@ class _Session:
 
 
 def test_configured_folder_is_used():
-    s = _Session("hdfs://cluster/shared/ckpt/")
-    assert checkpoint_dir(s) == "hdfs://cluster/shared/ckpt"
-    assert s.sparkContext.d == "hdfs://cluster/shared/ckpt/"
-    assert scratch_path(s, "a", "b") == "hdfs://cluster/shared/ckpt/chatprep/a/b"
+    s = _Session("/mnt/shared/ckpt/")
+    assert checkpoint_dir(s) == "/mnt/shared/ckpt"
+    assert s.sparkContext.d == "/mnt/shared/ckpt/"
+    assert scratch_path(s, "a", "b") == "/mnt/shared/ckpt/chatprep/a/b"
 
 
 def test_missing_folder_created_for_tests_only():
