@@ -13,12 +13,13 @@ from chatprep.operators import context as C
 from chatprep.operators import routing as R
 from chatprep.operators import responses as RS
 from chatprep.operators.segments import build_segments
-from chatprep.plans.registry import (register, ORACLE_SQL, CONV_MESSAGES_SQL, events_messages_sql, ascii_handle_sql, chat_name_sql,
+from chatprep.plans.registry import (register, ORACLE_SQL, bot_handles_sql, CONV_MESSAGES_SQL, events_messages_sql, ascii_handle_sql, chat_name_sql,
                                      content_json_sql, seeded_u32_sql, pmod_sql)
 from chatprep.sources.live import normalize_live
 from chatprep.sources.tables import messages_from_conversations, messages_from_events, live_from_events
 
 SEED = 42
+BOT = K.BOT_NAME_API
 
 
 def _sq(s: str) -> str:
@@ -74,7 +75,7 @@ def q_context_each_events(spark, sf):
 # ------------------------------------------------------------------ prompts
 
 def _bot_sql(handle: str) -> str:
-    return f"({handle} IN ('FinGPTbot', 'Teekkarialy'))"
+    return f"({handle} IN ({bot_handles_sql()}))"
 
 
 def chat_turn_sql() -> str:
@@ -150,9 +151,9 @@ def q_next_id(spark, sf):
 
 # ------------------------------------------------------------------ live adapter + routing
 
-LIVE_SQL = """SELECT event_id AS message_id, CAST(user_id % 3 AS BIGINT) AS chat_id,
+LIVE_SQL = f"""SELECT event_id AS message_id, CAST(user_id % 3 AS BIGINT) AS chat_id,
   date_diff('second', TIMESTAMP '1970-01-01 00:00:00', ts) AS date, user_id % 6 AS sender_id,
-  CASE WHEN user_id % 6 = 0 THEN 'Teekkariäly' WHEN user_id % 6 = 5 THEN '' ELSE 'user_' || CAST(user_id % 6 AS VARCHAR) END AS username,
+  CASE WHEN user_id % 6 = 0 THEN '{BOT}' WHEN user_id % 6 = 5 THEN '' ELSE 'user_' || CAST(user_id % 6 AS VARCHAR) END AS username,
   ct AS content_type,
   CASE WHEN ct = 'text' THEN (CASE WHEN event_id % 50 = 7 THEN '/gpt-help ' WHEN event_id % 40 = 3 THEN '/vitsi ' || event_type
        ELSE event_type || ' ' || props END) END AS text,

@@ -10,7 +10,7 @@ from chatprep.functions import records as RC
 from chatprep.functions import text as TX
 from chatprep.operators.positions import number_rows
 from chatprep.plans.live import LIVE_MSGS_SQL, LIVE_SQL
-from chatprep.plans.registry import (register, events_messages_sql, CONV_MESSAGES_SQL, ascii_handle_sql, chat_name_sql,
+from chatprep.plans.registry import (register, bot_handles_sql, events_messages_sql, CONV_MESSAGES_SQL, ascii_handle_sql, chat_name_sql,
                                      content_json_sql)
 from chatprep.sources.live import normalize_live
 from chatprep.sources.tables import (messages_from_conversations, messages_from_events, live_from_events,
@@ -130,10 +130,10 @@ def q_encode_content(spark, sf):
 
 
 @register("encode_chat_turn", sql=f"""WITH m AS ({CONV_MESSAGES_SQL}),
-h AS (SELECT *, CASE WHEN sender = 'assistant' THEN 'Teekkariäly' ELSE sender END AS who FROM m)
-SELECT chat_id, id, CASE WHEN {ascii_handle_sql('who')} IN ('FinGPTbot', 'Teekkarialy') THEN 'assistant' ELSE 'user' END AS role,
-  CASE WHEN {ascii_handle_sql('who')} IN ('FinGPTbot', 'Teekkarialy') THEN NULL ELSE {chat_name_sql('who')} END AS name,
-  CASE WHEN {ascii_handle_sql('who')} IN ('FinGPTbot', 'Teekkarialy') THEN text ELSE {content_json_sql(sender='who')} END AS content
+h AS (SELECT *, CASE WHEN sender = 'assistant' THEN '{K.BOT_NAME_API}' ELSE sender END AS who FROM m)
+SELECT chat_id, id, CASE WHEN {ascii_handle_sql('who')} IN ({bot_handles_sql()}) THEN 'assistant' ELSE 'user' END AS role,
+  CASE WHEN {ascii_handle_sql('who')} IN ({bot_handles_sql()}) THEN NULL ELSE {chat_name_sql('who')} END AS name,
+  CASE WHEN {ascii_handle_sql('who')} IN ({bot_handles_sql()}) THEN text ELSE {content_json_sql(sender='who')} END AS content
 FROM h""")
 def q_encode_chat_turn(spark, sf):
     """Chat turns of conversations, the assistant role standing for the bot account."""
