@@ -14,7 +14,8 @@ ORACLE_SQL: dict[str, str] = {}
 def register(key: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``key`` with its oracle SQL."""
     def deco(fn: QueryFn) -> QueryFn:
-        if key in QUERIES:
+        old = QUERIES.get(key)
+        if old is not None and (old.__module__, old.__qualname__) != (fn.__module__, fn.__qualname__):
             raise KeyError(f"duplicate query key {key}")
         QUERIES[key] = fn
         if sql is not None:
