@@ -1,9 +1,10 @@
 """Chat exports: one JSON document ``{"messages": [...]}`` per chat folder.
 
-Each file is read as a single VARIANT value (a multi-line JSON document is one
-task, so many exports read in parallel; one huge export is repartitioned right
-after its message array is exploded). Message fields are optional and the text is
-a string or a list of strings and ``{"text": ...}`` parts.
+Each file is read as a single VARIANT value: a multi-line JSON document is one
+task, so many exports read in parallel, and one export is bounded by the size of a
+VARIANT value (reading fails loudly beyond it). Big exports belong in JSON lines
+(``export_lines_scan``), which split across tasks. Message fields are optional and
+the text is a string or a list of strings and ``{"text": ...}`` parts.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ def export_scan(spark: SparkSession, path_glob: str, chat_pattern: str = r"([^/]
 
     ``chat_pattern`` extracts the chat id from the file path (default: the folder
     name). ``exclude`` is a regex on that chat id; matching folders are skipped."""
-    raw = spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(path_glob)
+    # FAILFAST: a document that cannot be read (malformed, or larger than one VARIANT
+    # value may be) raises instead of turning into an empty export
+    raw = spark.read.option("multiLine", True).option("singleVariantColumn", "v").option("mode", "FAILFAST") \
+        .json(path_glob)
     raw = raw.select(F.regexp_extract(F.col("_metadata.file_path"), chat_pattern, 1).alias("chat_id"), "v")
     if exclude:
         raw = raw.where(~F.col("chat_id").rlike(exclude))
@@ -34,6 +38,18 @@ def export_scan(spark: SparkSession, path_glob: str, chat_pattern: str = r"([^/]
     return msgs
 
 
+def export_lines_scan(spark: SparkSession, path_glob: str, chat_pattern: str = r"([^/]+)/[^/]+$",
+                      exclude: str | None = None) -> DataFrame:
+    """Exports converted to JSON lines (one message object per line) -> (chat_id,
+    pos, msg VARIANT). Line files split across tasks, so one huge chat reads in
+    parallel; ``pos`` is the message id (export ids run in message order)."""
+    raw = spark.read.option("singleVariantColumn", "msg").option("mode", "FAILFAST").json(path_glob)
+    raw = raw.select(F.regexp_extract(F.col("_metadata.file_path"), chat_pattern, 1).alias("chat_id"), "msg")
+    if exclude:
+        raw = raw.where(~F.col("chat_id").rlike(exclude))
+    return raw.select("chat_id", F.try_variant_get("msg", "$.id", "bigint").alias("pos"), "msg")
+
+
 def skip_head(msgs: DataFrame, n: int = 1) -> DataFrame:
     """Drop the first ``n`` records of every export (a service record)."""
     return msgs.where(F.col("pos") >= n)

@@ -126,3 +126,25 @@ def test_stream_route_gate(spark, tmp_path):
     assert {r.action for r in res.where("chat_id = 1").collect()} == {"none"}
     assert res.where("chat_id = 0").select("action").distinct().count() >= 2
     assert res.where("chat_id = 1").agg(F.max("n_context")).first()[0] > 0
+
+
+def test_export_lines_match_documents(spark, tmp_path):
+    """The JSON-lines form of the golden exports normalises to the same rows."""
+    write_golden(tmp_path / "docs")
+    for chat, msgs in GOLDEN.items():
+        os.makedirs(tmp_path / "lines" / chat, exist_ok=True)
+        (tmp_path / "lines" / chat / "part.jsonl").write_text(
+            "\n".join(json.dumps(m, ensure_ascii=False) for m in msgs) + "\n")
+    a = X.normalize_export(X.skip_head(X.export_scan(spark, str(tmp_path / "docs" / "*" / "result.json"))))
+    b = X.normalize_export(X.export_lines_scan(spark, str(tmp_path / "lines" / "*" / "part.jsonl"))
+                           .where(F.col("msg").isNotNull() & (F.try_variant_get("msg", "$.type", "string").isNull())))
+    cols = ["chat_id", "id", "hhmm", "sender", "text", "reply_to_message_id"]
+    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+
+
+def test_unreadable_export_fails_loudly(spark, tmp_path):
+    os.makedirs(tmp_path / "bad", exist_ok=True)
+    (tmp_path / "bad" / "result.json").write_text('{"messages": [{"id": 1, "date": ')
+    import pytest
+    with pytest.raises(Exception):
+        X.export_scan(spark, str(tmp_path / "*" / "result.json")).count()
