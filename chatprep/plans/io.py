@@ -126,6 +126,15 @@ def q_union_exports(spark, sf):
     return u.select("chat_id", "id")
 
 
+@register("export_lines_scan", sql=f"""SELECT 'chat_' || CAST(chat_id AS VARCHAR) AS chat_id, id, hhmm, sender, text,
+  reply_to_message_id FROM ({events_messages_sql(3)})""")
+def q_export_lines_scan(spark, sf):
+    """Exports as JSON lines (one message per line, one folder per chat), read back."""
+    glob = X.write_export_lines(messages_from_events(spark, sf, 3), _run_dir(spark, "derived", "export_lines", _tag(sf)))
+    m = X.normalize_export(X.export_lines_scan(spark, glob, chat_pattern=_FOLDER_PAT))
+    return m.select("chat_id", "id", "hhmm", "sender", "text", "reply_to_message_id")
+
+
 # ------------------------------------------------------------------ history CSV
 
 def _csv(spark, sf, by_chat=False) -> str:

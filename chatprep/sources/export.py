@@ -120,13 +120,9 @@ def _json_str(c: Column) -> Column:
     return F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
 
 
-def write_exports(msgs: DataFrame, path: str, rich_every: int = 7, docs_max_rows: int = 10000) -> str:
-    """Write messages as export documents, one file per ``chat_<chat>_<day>_<part>``
-    folder (at most ``docs_max_rows`` messages per document, so no group is
-    unbounded), each starting with a service record. Every ``rich_every``-th text is
-    written as a rich-text list ``["head ", {"type": "bold", "text": "tail"}]``.
-    Returns the glob to read them back."""
-    date = iso_of("sent_at")
+def _message_json(rich_every: int = 7) -> Column:
+    """One export message object as JSON text; every ``rich_every``-th text is a
+    rich-text list ``["head ", {"type": "bold", "text": "tail"}]``."""
     text = F.col("text")
     sp = F.instr(text, " ")
     rich = F.concat(F.lit("["), _json_str(F.substr(text, F.lit(1), sp)), F.lit(',{"type":"bold","text":'),
@@ -136,9 +132,28 @@ def write_exports(msgs: DataFrame, path: str, rich_every: int = 7, docs_max_rows
     reply = F.when(F.col("reply_to_message_id").isNotNull(),
                    F.concat(F.lit(',"reply_to_message_id":'), F.col("reply_to_message_id").cast("string"))) \
         .otherwise(F.lit(""))
-    rec = F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit(',"date":'), _json_str(date),
-                   F.lit(',"from":'), F.coalesce(_json_str(F.col("sender")), F.lit("null")),
-                   F.lit(',"text":'), text_json, reply, F.lit("}"))
+    return F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit(',"date":'), _json_str(iso_of("sent_at")),
+                    F.lit(',"from":'), F.coalesce(_json_str(F.col("sender")), F.lit("null")),
+                    F.lit(',"text":'), text_json, reply, F.lit("}"))
+
+
+def write_export_lines(msgs: DataFrame, path: str, rich_every: int = 7) -> str:
+    """Write messages as JSON-lines exports, one folder per chat (``chat_<id>``);
+    returns the glob to read them back."""
+    folder = F.concat(F.lit("chat_"), F.col("chat_id").cast("string"))
+    msgs.select(folder.alias("folder"), _message_json(rich_every).alias("value")) \
+        .hint("rebalance", "folder").write.mode("overwrite").partitionBy("folder").text(path)
+    return f"{path}/folder=*/*.txt"
+
+
+def write_exports(msgs: DataFrame, path: str, rich_every: int = 7, docs_max_rows: int = 10000) -> str:
+    """Write messages as export documents, one file per ``chat_<chat>_<day>_<part>``
+    folder (at most ``docs_max_rows`` messages per document, so no group is
+    unbounded), each starting with a service record. Every ``rich_every``-th text is
+    written as a rich-text list ``["head ", {"type": "bold", "text": "tail"}]``.
+    Returns the glob to read them back."""
+    date = iso_of("sent_at")
+    rec = _message_json(rich_every)
     part = F.floor(F.col("id") / docs_max_rows).cast("bigint")
     folder = F.concat(F.lit("chat_"), F.col("chat_id").cast("string"), F.lit("_"),
                       ymd_of("sent_at"), F.lit("_"), part.cast("string"))
