@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatprep import constants as K
 from chatprep.functions.chat import encode_chat_turn, system_turn, turn_json_length
@@ -93,7 +94,13 @@ def context_at_each_message(msgs: DataFrame, length: Column, budget_chars: int,
     """
     B = int(budget_chars)
     if B <= 0:
-        raise ValueError("budget must be positive")
+        # the fixed part of the prompt alone exceeds the budget: every context is empty
+        empty = {"n_context": F.lit(0).cast("bigint"), "context_chars": F.lit(0).cast("bigint"),
+                 "context_start_id": F.lit(None).cast("bigint")}
+        if payload is not None:
+            item_type = msgs.select(payload.alias("_p")).schema["_p"].dataType
+            empty["context"] = F.array().cast(T.ArrayType(item_type))
+        return msgs.withColumns(empty)
     m = msgs.withColumn("_len", length.cast("bigint"))
     m = number_rows(m, ["chat_id"], [order_col, "sent_at"], block_col=order_col,
                     sums={"_P": F.col("_len")})

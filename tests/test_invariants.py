@@ -209,3 +209,14 @@ def test_observed_counters(spark, tmp_path):
     ex, obs = S.observe_examples(ex)
     jsonl_sink(ex, str(tmp_path / "out"))
     assert obs.get == {"n_documents": 618, "n_messages": 8619, "min_messages": 10, "max_messages": 15}
+
+
+def test_preamble_longer_than_budget(spark):
+    """The fixed prompt alone exceeds the budget: contexts are empty, prompts hold only the preamble."""
+    m = messages_from_conversations(spark, SF001)
+    assert C.chat_budget_chars(10) < 0
+    p = C.chat_prompts_at_each_message(m, max_tokens=10)
+    r = p.agg(F.max("n_context"), F.count(F.lit(1))).first()
+    assert tuple(r) == (0, 536)
+    assert json.loads(p.first().prompt)["messages"] == [{"role": "system", "content": K.CHAT_PRE_PROMPT}]
+    assert C.context_budget(m, F.length("text") + 2, -5, last_n=None).count() == 0
