@@ -271,8 +271,9 @@ d AS (SELECT range AS draw, {pmod_sql(seeded_u32_sql(SEED, 'range'), '(SELECT co
 SELECT d.draw, rec.seg_id, rec.seg_pos, rec.record FROM d JOIN rec USING (seg_id)""")
 def q_eval_sample(spark, sf):
     segs = G.build_segments(_ev(spark, sf, None), seed=SEED)
-    n_seg = segs.agg(F.max("seg_id")).first()[0] + 1
-    d = P.draw_with_replacement(segs, "seg_id", n_seg, 200, SEED)
+    last = segs.agg(F.max("seg_id")).first()[0]  # one number reaches the driver
+    n_seg = 0 if last is None else last + 1
+    d = P.draw_with_replacement(segs, "seg_id", n_seg, 200 if n_seg else 0, SEED)
     return d.select("draw", "seg_id", "seg_pos", "record")
 
 
