@@ -52,6 +52,13 @@ def chat_turn_length(bot_name: str = K.BOT_NAME_API) -> Column:
     return turn_json_length(turn) + F.lit(TURN_SEPARATOR)
 
 
+def fits_budget(max_tokens: int = K.TOKEN_BUDGET_APP, bot_name: str = K.BOT_NAME_API,
+                pre_prompt: str | None = K.CHAT_PRE_PROMPT) -> Column:
+    """The message alone fits the prompt budget, i.e. the chat's context is not empty
+    right after it arrives (the newest message is kept exactly when it fits)."""
+    return chat_turn_length(bot_name) <= F.lit(chat_budget_chars(max_tokens, pre_prompt))
+
+
 def chat_budget_chars(max_tokens: int, pre_prompt: str | None = K.CHAT_PRE_PROMPT) -> int:
     """Characters left for message turns: tokens are characters div 3, so a prompt
     fits while its length is at most 3 * max_tokens + 2."""

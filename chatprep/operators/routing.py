@@ -102,15 +102,20 @@ def match_reply_to_bot(bot_id) -> Column:
 
 
 def default_rules(variant: str = "api", *, bot_id: int = 0, seed: int = 42,
-                  trigger_phrases: Sequence[str] | None = None, probability: float | None = None) -> list[Rule]:
-    """The bot's handler order: intro, help, joke, random, trigger, reply-to-bot."""
+                  trigger_phrases: Sequence[str] | None = None, probability: float | None = None,
+                  context_nonempty: Column | None = None) -> list[Rule]:
+    """The bot's handler order: intro, help, joke, random, trigger, reply-to-bot.
+
+    The random reply needs a non-empty context: pass ``context_nonempty`` (e.g.
+    ``context.fits_budget(max_tokens)``); without it every context counts as non-empty."""
     phrases = trigger_phrases or (K.TRIGGERS_API if variant == "api" else K.TRIGGERS_LOCAL)
     p = probability if probability is not None else (K.PROB_API if variant == "api" else K.PROB_LOCAL)
+    rand = match_random(p, seed) if context_nonempty is None else (match_random(p, seed) & context_nonempty)
     return [
         Rule("intro", F.col("is_first")),
         Rule("help", match_command(K.CMD_HELP)),
         Rule("joke", match_command(K.CMD_JOKE)),
-        Rule("random", match_random(p, seed)),
+        Rule("random", rand),
         Rule("trigger", match_trigger_phrases(phrases)),
         Rule("reply_to_bot", match_reply_to_bot(bot_id)),
     ]

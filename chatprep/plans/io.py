@@ -21,7 +21,7 @@ from chatprep.operators import context as C
 from chatprep.operators import routing as R
 from chatprep.operators import sequences as S
 from chatprep.operators import splits as P
-from chatprep.plans.live import (LIVE_SQL, LIVE_MSGS_SQL, ROUTE_INPUT_SQL, route_case_sql, chat_turn_sql,
+from chatprep.plans.live import (LIVE_SQL, LIVE_MSGS_SQL, ROUTE_INPUT_SQL, route_case_sql, chat_turn_sql, bot_rules,
                                  _bot_sql, _ctx_sql, SEED)
 from chatprep.plans.registry import register, events_messages_sql, ascii_handle_sql, seeded_md5_sql
 from chatprep.plans.training import seq_sql, docs_sql
@@ -271,7 +271,7 @@ def q_stream_context_init(spark, sf):
 
 
 def _rules_after_intro():
-    return [r for r in R.default_rules("api", bot_id=0, seed=SEED) if r.name != "intro"]
+    return [r for r in bot_rules("api") if r.name != "intro"]
 
 
 @register("stream_route", sql=f"WITH {ROUTE_INPUT_SQL} SELECT chat_id, id, {route_case_sql()} AS action FROM ri")

@@ -177,13 +177,25 @@ ri AS (SELECT lm.*, (fm.fid IS NOT NULL) AS is_first, ta.reply_author FROM lm
        LEFT JOIN ta ON ta.chat_id = lm.chat_id AND ta.tid = lm.reply_to_message_id)"""
 
 
+def fits_sql() -> str:
+    """The message alone fits the app's prompt budget (its context is not empty)."""
+    bot = _bot_sql(ascii_handle_sql("sender"))
+    return (f"(length({chat_turn_sql()}) + CASE WHEN {bot} THEN 3 ELSE 5 END + 2 "
+            f"<= {C.chat_budget_chars(K.TOKEN_BUDGET_APP)})")
+
+
+def bot_rules(variant: str = "api", **kw):
+    """Default rules; the random reply requires a non-empty context under the app budget."""
+    return R.default_rules(variant, bot_id=0, seed=SEED, context_nonempty=C.fits_budget(K.TOKEN_BUDGET_APP), **kw)
+
+
 def route_case_sql(p: float = K.PROB_API, phrases=K.TRIGGERS_API) -> str:
     trig = " OR ".join(f"contains(lower(text), '{_sq(x)}')" for x in phrases)
     frac = f"({seeded_u32_sql(SEED, 'chat_id', 'id')} / 4294967296.0)"
     return f"""CASE WHEN is_first THEN 'intro'
      WHEN content_type = 'text' AND starts_with(text, '/gpt-help') THEN 'help'
      WHEN content_type = 'text' AND starts_with(text, '/vitsi') THEN 'joke'
-     WHEN {frac} < {p} THEN 'random'
+     WHEN {frac} < {p} AND {fits_sql()} THEN 'random'
      WHEN content_type = 'text' AND ({trig}) THEN 'trigger'
      WHEN content_type = 'text' AND reply_to_message_id IS NOT NULL AND reply_author = 0 THEN 'reply_to_bot'
      ELSE 'none' END"""
@@ -196,14 +208,14 @@ def routing_input(spark, sf):
 
 @register("route_messages", sql=f"WITH {ROUTE_INPUT_SQL} SELECT chat_id, id, {route_case_sql()} AS action FROM ri")
 def q_route(spark, sf):
-    return R.route_messages(routing_input(spark, sf), R.default_rules("api", bot_id=0, seed=SEED)) \
+    return R.route_messages(routing_input(spark, sf), bot_rules("api")) \
         .select("chat_id", "id", "action")
 
 
 @register("route_counts", sql=f"""WITH {ROUTE_INPUT_SQL}
 SELECT action, CAST(count(*) AS BIGINT) AS n FROM (SELECT {route_case_sql(K.PROB_LOCAL, K.TRIGGERS_LOCAL)} AS action FROM ri) GROUP BY action""")
 def q_route_counts(spark, sf):
-    rules = R.default_rules("local", bot_id=0, seed=SEED)
+    rules = bot_rules("local")
     return R.route_counts(R.route_messages(routing_input(spark, sf), rules))
 
 
@@ -223,7 +235,7 @@ def q_custom_rule(spark, sf):
 SELECT chat_id, id, {route_case_sql(0.3, ('k": 1', 'error'))} AS action FROM ri""")
 def q_custom_params(spark, sf):
     """Bot-level overrides: trigger phrases and reply probability."""
-    rules = R.default_rules("api", bot_id=0, seed=SEED, trigger_phrases=('k": 1', "error"), probability=0.3)
+    rules = bot_rules("api", trigger_phrases=('k": 1', "error"), probability=0.3)
     return R.route_messages(routing_input(spark, sf), rules).select("chat_id", "id", "action")
 
 
@@ -302,7 +314,7 @@ SELECT chat_id, id, CASE WHEN chat_id IN (0, 2) AND date >= {_START} THEN {route
 def q_route_gated(spark, sf):
     """Allow-list and staleness gate routing only; every message still enters the context."""
     gate = R.default_gate(allowed_chats=[0, 2], start_unix=_START)
-    return R.route_messages(routing_input(spark, sf), R.default_rules("api", bot_id=0, seed=SEED), gate) \
+    return R.route_messages(routing_input(spark, sf), bot_rules("api"), gate) \
         .select("chat_id", "id", "action")
 
 
@@ -315,7 +327,7 @@ SELECT chat_id, id, action,
   CASE WHEN action IN ('help', 'joke') THEN id END AS reply_to_message_id
 FROM rt WHERE action <> 'none'""")
 def q_response_plan(spark, sf):
-    routed = R.route_messages(routing_input(spark, sf), R.default_rules("api", bot_id=0, seed=SEED))
+    routed = R.route_messages(routing_input(spark, sf), bot_rules("api"))
     return R.response_plan(routed, "api")
 
 
@@ -458,5 +470,5 @@ FROM q a LEFT JOIN q e ON e.chat_id = a.chat_id AND e.id <= a.id AND e.Q >= a.P
 WHERE a.action IN ('joke', 'random', 'trigger', 'reply_to_bot') GROUP BY a.chat_id, a.id, a.action, a.text""")
 def q_response_prompts(spark, sf):
     """Prompts of the routed messages that go to the model (API head, 400 tokens)."""
-    routed = R.route_messages(routing_input(spark, sf), R.default_rules("api", bot_id=0, seed=SEED))
+    routed = R.route_messages(routing_input(spark, sf), bot_rules("api"))
     return C.response_prompts(routed, max_tokens=_RP_TOK, instruction=R.command_prompt("api"))

@@ -220,3 +220,14 @@ def test_preamble_longer_than_budget(spark):
     assert tuple(r) == (0, 536)
     assert json.loads(p.first().prompt)["messages"] == [{"role": "system", "content": K.CHAT_PRE_PROMPT}]
     assert C.context_budget(m, F.length("text") + 2, -5, last_n=None).count() == 0
+
+
+def test_random_needs_nonempty_context(spark):
+    """A message longer than the whole budget leaves the context empty: no random reply."""
+    rows = [(1, 0, "2024-01-01 10:00:00", "a", "hi", None), (1, 1, "2024-01-01 10:01:00", "a", "x" * 5000, None),
+            (1, 2, "2024-01-01 10:02:00", "a", "ok", None)]
+    m = messages_df(spark, rows).withColumn("content_type", F.lit("text")).withColumn("sender_id", F.lit(1))
+    m = R.with_reply_author(R.with_first_flag(m))
+    rules = R.default_rules("api", probability=1.0, context_nonempty=C.fits_budget(max_tokens=1000))
+    got = {r.id: r.action for r in R.route_messages(m, rules).collect()}
+    assert got == {0: "intro", 1: "none", 2: "random"}
