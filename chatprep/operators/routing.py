@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 from chatprep import constants as K
 from chatprep.functions.hashing import seeded_fraction, seeded_int
-from chatprep.functions.text import joke_topic_api, joke_topic_local
+from chatprep.functions.records import encode_record_prefix
+from chatprep.functions.text import current_hhmm, joke_topic_api, joke_topic_local
 
 NO_ACTION = "none"
 
@@ -133,9 +134,12 @@ def default_gate(allowed_chats: Sequence[int] | None = None, start_unix: int | N
 
 # ---- what to send ----------------------------------------------------------------
 
-def command_prompt(variant: str = "api", seed: int = 42) -> Column:
+def command_prompt(variant: str = "api", seed: int = 42, bot_name: str = K.BOT_NAME_LOCAL,
+                   clock: Column | None = None) -> Column:
     """Joke command prompt. API head: a system instruction with the words after the
-    command; local head: an opener (seeded choice), the topic and a joke beginning."""
+    command; local head: an open record for the bot (message id, ``clock`` or the
+    current time, bot name), then an opener (seeded choice), the topic and a joke
+    beginning."""
     if variant == "api":
         topic = joke_topic_api(F.col("text"))
         return F.when(topic.isNull(), F.lit(K.JOKE_RANDOM_PROMPT)) \
@@ -147,7 +151,8 @@ def command_prompt(variant: str = "api", seed: int = 42) -> Column:
     topic = joke_topic_local(F.col("text"))
     part1 = F.concat(opener, F.when(topic.isNotNull(), F.concat(F.lit(" aiheesta '"), topic, F.lit("'")))
                      .otherwise(F.lit("")), F.lit(": "))
-    return F.concat(part1, begin)
+    head = encode_record_prefix(F.col("id"), clock if clock is not None else current_hhmm(), F.lit(bot_name))
+    return F.concat(head, part1, begin)
 
 
 def response_plan(routed: DataFrame, variant: str = "api") -> DataFrame:

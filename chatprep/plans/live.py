@@ -333,6 +333,7 @@ def q_response_plan(spark, sf):
 
 @register("command_prompt", sql=f"""WITH lm AS ({LIVE_MSGS_SQL})
 SELECT chat_id, id,
+  '[MSG]' || CAST(id AS VARCHAR) || '[FS]' || hhmm || '[FS]{K.BOT_NAME_LOCAL}[FS]' ||
   ['{"', '".join(_sq(o) for o in K.JOKE_OPENERS)}'][1 + {pmod_sql(seeded_u32_sql(SEED, 'chat_id', 'id', "'o'"), len(K.JOKE_OPENERS))}]
   || CASE WHEN NULLIF(trim(replace(lower(text), '/vitsi', ''), ' ' || chr(9) || chr(10) || chr(13)), '') IS NOT NULL
           THEN ' aiheesta ''' || trim(replace(lower(text), '/vitsi', ''), ' ' || chr(9) || chr(10) || chr(13)) || '''' ELSE '' END
@@ -341,7 +342,7 @@ FROM lm WHERE content_type = 'text' AND starts_with(text, '/vitsi')""".replace("
 def q_command_prompt(spark, sf):
     """Local head's joke prompt: seeded opener, topic, seeded joke beginning."""
     m = normalize_live(live_from_events(spark, sf, 3)).where(R.match_command(K.CMD_JOKE))
-    return m.select("chat_id", "id", R.command_prompt("local", SEED).alias("prompt"))
+    return m.select("chat_id", "id", R.command_prompt("local", SEED, clock=F.col("hhmm")).alias("prompt"))
 
 
 # ------------------------------------------------------------------ responses
