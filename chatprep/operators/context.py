@@ -55,8 +55,21 @@ def chat_turn_length(bot_name: str = K.BOT_NAME_API) -> Column:
 def fits_budget(max_tokens: int = K.TOKEN_BUDGET_APP, bot_name: str = K.BOT_NAME_API,
                 pre_prompt: str | None = K.CHAT_PRE_PROMPT) -> Column:
     """The message alone fits the prompt budget, i.e. the chat's context is not empty
-    right after it arrives (the newest message is kept exactly when it fits)."""
-    return chat_turn_length(bot_name) <= F.lit(chat_budget_chars(max_tokens, pre_prompt))
+    right after it arrives (the newest message is kept exactly when it fits).
+
+    A cheap bound decides short messages: the content is JSON inside JSON, so every
+    character becomes at most 36 (a control character written as ``\\u00XX``, twice),
+    plus fixed keys and punctuation. Only messages the bound cannot clear are measured
+    exactly (``to_json`` of the turn)."""
+    budget = chat_budget_chars(max_tokens, pre_prompt)
+    chars = F.coalesce(F.length("text"), F.lit(0)) + F.coalesce(F.length("sender"), F.lit(0)) \
+        + F.coalesce(F.length("hhmm"), F.lit(0)) + F.lit(40)
+    bound = F.lit(JSON_WORST_CASE) * chars + F.lit(200)
+    return F.when(bound <= F.lit(budget), F.lit(True)) \
+        .otherwise(chat_turn_length(bot_name) <= F.lit(budget))
+
+
+JSON_WORST_CASE = 36  # characters per input character after two JSON encodings
 
 
 def chat_budget_chars(max_tokens: int, pre_prompt: str | None = K.CHAT_PRE_PROMPT) -> int:
