@@ -65,8 +65,10 @@ def fits_budget(max_tokens: int = K.TOKEN_BUDGET_APP, bot_name: str = K.BOT_NAME
     chars = F.coalesce(F.length("text"), F.lit(0)) + F.coalesce(F.length("sender"), F.lit(0)) \
         + F.coalesce(F.length("hhmm"), F.lit(0)) + F.lit(40)
     bound = F.lit(JSON_WORST_CASE) * chars + F.lit(200)
-    return F.when(bound <= F.lit(budget), F.lit(True)) \
-        .otherwise(chat_turn_length(bot_name) <= F.lit(budget))
+    # a number, not a boolean branch: "when(c, true) else e" would be simplified into
+    # "c OR e", whose repeated parts subexpression elimination then computes for every row
+    measured = F.when(bound <= F.lit(budget), F.lit(0)).otherwise(chat_turn_length(bot_name))
+    return measured <= F.lit(budget)
 
 
 JSON_WORST_CASE = 36  # characters per input character after two JSON encodings
