@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from chatprep import constants as K
 from chatprep.functions.chat import encode_chat_turn, system_turn, turn_json_length
+from chatprep.functions.text import ascii_handle
 from chatprep.operators.positions import number_rows
 
 PROMPT_OVERHEAD = 16  # '{"messages": [' + ']}'
@@ -46,32 +47,36 @@ def last_n_per_chat(msgs: DataFrame, n: int = K.CONTEXT_INIT_ROWS, order_col: st
     return ranked.where(F.col("_rpos") < n).withColumn("rn", (F.col("_rpos") + 1).cast("int")).drop("_neg", "_rpos")
 
 
+def _json_literal_length(c: Column) -> Column:
+    """Length of a string written as a JSON string literal (quotes and escapes)."""
+    return F.length(F.to_json(F.array(c))).cast("bigint") - F.lit(2)
+
+
 def chat_turn_length(bot_name: str = K.BOT_NAME_API) -> Column:
-    """Rendered length of a message's chat turn plus its separator."""
-    turn = encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id", bot_name)
-    return turn_json_length(turn) + F.lit(TURN_SEPARATOR)
+    """Rendered length of a message's chat turn plus its separator, measured piece by
+    piece (each JSON literal once, the handle once) instead of rendering the turn.
 
+    Equal to ``turn_json_length(encode_chat_turn(...)) + 2`` for non-null texts."""
+    from chatprep.functions.chat import encode_content
+    bot_names = [F.lit(a) for a in K.BOT_ALIASES] + [ascii_handle(F.lit(bot_name))]
+    content = encode_content("id", "hhmm", "sender", "text", "reply_to_message_id")
 
-def fits_budget(max_tokens: int = K.TOKEN_BUDGET_APP, bot_name: str = K.BOT_NAME_API,
-                pre_prompt: str | None = K.CHAT_PRE_PROMPT) -> Column:
-    """The message alone fits the prompt budget, i.e. the chat's context is not empty
-    right after it arrives (the newest message is kept exactly when it fits).
+    def measure(handle: Column) -> Column:
+        name = F.coalesce(F.nullif(handle, F.lit("")), F.lit(K.DEFAULT_SENDER))
+        # '{"role":"assistant","content":' + text + '}' (+3 for the spaced form)
+        bot_len = F.lit(30 + 1 + 3) + _json_literal_length(F.col("text"))
+        # '{"role":"user","name":' + name + ',"content":' + content + '}' (+5)
+        user_len = F.lit(22 + 11 + 1 + 5) + _json_literal_length(name) + _json_literal_length(content)
+        return F.when(handle.isin(*bot_names), bot_len).otherwise(user_len) + F.lit(TURN_SEPARATOR)
 
-    A cheap bound decides short messages: the content is JSON inside JSON, so every
-    character becomes at most 36 (a control character written as ``\\u00XX``, twice),
-    plus fixed keys and punctuation. Only messages the bound cannot clear are measured
-    exactly (``to_json`` of the turn)."""
-    budget = chat_budget_chars(max_tokens, pre_prompt)
-    chars = F.coalesce(F.length("text"), F.lit(0)) + F.coalesce(F.length("sender"), F.lit(0)) \
-        + F.coalesce(F.length("hhmm"), F.lit(0)) + F.lit(40)
-    bound = F.lit(JSON_WORST_CASE) * chars + F.lit(200)
-    # a number, not a boolean branch: "when(c, true) else e" would be simplified into
-    # "c OR e", whose repeated parts subexpression elimination then computes for every row
-    measured = F.when(bound <= F.lit(budget), F.lit(0)).otherwise(chat_turn_length(bot_name))
-    return measured <= F.lit(budget)
+    return F.get(F.transform(F.array(ascii_handle("sender")), measure), 0)
 
 
-JSON_WORST_CASE = 36  # characters per input character after two JSON encodings
+def fits_budget(max_tokens: int = K.TOKEN_BUDGET_APP, bot_name: str = K.BOT_NAME_API,
+                pre_prompt: str | None = K.CHAT_PRE_PROMPT) -> Column:
+    """The message alone fits the prompt budget, i.e. the chat's context is not empty
+    right after it arrives (the newest message is kept exactly when it fits)."""
+    return chat_turn_length(bot_name) <= F.lit(chat_budget_chars(max_tokens, pre_prompt))
 
 
 def chat_budget_chars(max_tokens: int, pre_prompt: str | None = K.CHAT_PRE_PROMPT) -> int:
@@ -201,9 +206,10 @@ def chat_prompts_at_each_message(msgs: DataFrame, max_tokens: int = K.TOKEN_BUDG
 
     ``turn`` (a struct<role,name,content> Column) and ``length`` replace the default
     turn renderer and its measured length (a custom renderer / token count)."""
+    if length is None:
+        length = chat_turn_length(bot_name) if turn is None else turn_json_length(turn) + F.lit(TURN_SEPARATOR)
     turn = turn if turn is not None else encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id",
                                                           bot_name)
-    length = length if length is not None else turn_json_length(turn) + F.lit(TURN_SEPARATOR)
     c = context_at_each_message(msgs, length, chat_budget_chars(max_tokens, pre_prompt), payload=turn)
     return c.withColumn("prompt", chat_prompt_json(F.col("context"), pre_prompt)).drop("context")
 
@@ -219,9 +225,10 @@ def response_prompts(routed: DataFrame, max_tokens: int = K.TOKEN_BUDGET_APP, bo
     ``instruction`` (the API head's joke request). ``turn`` / ``length`` override the
     turn renderer and its measured length."""
     import json
+    if length is None:
+        length = chat_turn_length(bot_name) if turn is None else turn_json_length(turn) + F.lit(TURN_SEPARATOR)
     turn = turn if turn is not None else encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id",
                                                           bot_name)
-    length = length if length is not None else turn_json_length(turn) + F.lit(TURN_SEPARATOR)
     c = context_at_each_message(routed, length, chat_budget_chars(max_tokens, pre_prompt),
                                 payload=F.to_json(turn))
     c = c.where(F.col("action").isin(*MODEL_ACTIONS))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatprep import constants as K
-from chatprep.functions.chat import encode_chat_turn, turn_json_length
+from chatprep.functions.chat import encode_chat_turn
 from chatprep.operators import context as C
 from chatprep.operators import routing as R
 from chatprep.operators import sequences as S
@@ -304,6 +304,6 @@ def q_stream_prompts(spark, sf):
     """Chat prompt (API head, 400-token budget) for each arrival routed to the model."""
     s = normalize_live(_live_stream(spark, sf))
     turn = encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id", K.BOT_NAME_API)
-    routed = SC.stream_route(s, _PB, turn_json_length(turn) + 2, _rules_after_intro(), payload=F.to_json(turn))
+    routed = SC.stream_route(s, _PB, C.chat_turn_length(), _rules_after_intro(), payload=F.to_json(turn))
     out = SC.run_available_now(SC.stream_prompts(routed, _SYS), "stream_prompts")
     return spark.read.parquet(out)

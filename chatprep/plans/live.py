@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from chatprep import constants as K
-from chatprep.functions.chat import encode_chat_turn, turn_json_length
+from chatprep.functions.chat import encode_chat_turn
 from chatprep.functions.records import encode_record, encode_record_prefix
 from chatprep.operators import context as C
 from chatprep.operators import routing as R
@@ -100,7 +100,7 @@ FROM s WHERE suf <= {_BUDGET} GROUP BY chat_id""")
 def q_chat_prompt(spark, sf):
     m = _conv(spark, sf)
     turn = encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id", K.BOT_NAME_API)
-    cur = C.context_budget(m.withColumn("turn", turn), turn_json_length(turn) + 2, _BUDGET, last_n=None,
+    cur = C.context_budget(m.withColumn("turn", turn), C.chat_turn_length(), _BUDGET, last_n=None,
                            min_length=C.MIN_CHAT_TURN_CHARS)
     g = cur.groupBy("chat_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_turns"),
@@ -117,8 +117,7 @@ FROM s WHERE suf <= {_BUDGET} GROUP BY chat_id""")
 def q_prompt_size(spark, sf):
     """Prompt size in tokens (characters div 3) as the budget measures it."""
     m = _conv(spark, sf)
-    turn = encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id", K.BOT_NAME_API)
-    cur = C.context_budget(m, turn_json_length(turn) + 2, _BUDGET, last_n=None, min_length=C.MIN_CHAT_TURN_CHARS)
+    cur = C.context_budget(m, C.chat_turn_length(), _BUDGET, last_n=None, min_length=C.MIN_CHAT_TURN_CHARS)
     fixed = C.PROMPT_OVERHEAD + len(json.dumps({"role": "system", "content": K.CHAT_PRE_PROMPT}, ensure_ascii=False))
     return cur.groupBy("chat_id").agg(((F.lit(fixed) + F.max("suffix_chars")) / 3).cast("bigint").alias("n_tokens"))
 

@@ -231,3 +231,13 @@ def test_random_needs_nonempty_context(spark):
     rules = R.default_rules("api", probability=1.0, context_nonempty=C.fits_budget(max_tokens=1000))
     got = {r.id: r.action for r in R.route_messages(m, rules).collect()}
     assert got == {0: "intro", 1: "none", 2: "random"}
+
+
+def test_fast_turn_length_equals_rendered(spark):
+    """The piecewise chat-turn length equals the rendered turn's length (+ separator)."""
+    for m in (messages_from_conversations(spark, SF001), messages_from_events(spark, SF001, 3),
+              messages_df(spark, [(1, 1, "2024-01-01 10:00:00", "Teekkariäly", 'q"\\\n😀', None),
+                                  (1, 2, "2024-01-01 10:00:00", "😀", "x", 1), (1, 3, "2024-01-01 10:00:00", "", "", None)])):
+        turn = encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id", K.BOT_NAME_API)
+        bad = m.where(C.chat_turn_length() != turn_json_length(turn) + 2).count()
+        assert bad == 0
