@@ -148,3 +148,28 @@ def test_unreadable_export_fails_loudly(spark, tmp_path):
     import pytest
     with pytest.raises(Exception):
         X.export_scan(spark, str(tmp_path / "*" / "result.json")).count()
+
+
+def test_seeded_stream_over_batches(spark, tmp_path):
+    """Seeds (stored history) fill the state first and are not emitted; later micro-batches
+    continue the same state, equal to the batch context over seeds + live rows."""
+    from pyspark.sql import types as T
+    from chatprep.schema import with_fields
+    lv = live_from_events(spark, SF0001, 3).withColumn("reply_to_sender_id", F.lit(None).cast("bigint"))
+    ids = sorted(r.message_id for r in lv.select("message_id").collect())
+    cut1, cut2 = ids[len(ids) // 2], ids[3 * len(ids) // 4]
+    seeds = lv.where(F.col("message_id") < cut1).withColumn("is_seed", F.lit(True))
+    live = lv.where(F.col("message_id") >= cut1).withColumn("is_seed", F.lit(False))
+    src = str(tmp_path / "src")
+    for part in (seeds, live.where(F.col("message_id") < cut2), live.where(F.col("message_id") >= cut2)):
+        part.coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    schema = with_fields(LIVE, reply_to_sender_id=T.LongType(), is_seed=T.BooleanType())
+    stream = normalize_live(live_source(spark, src, max_files_per_trigger=1, schema=schema), keep=("is_seed",))
+    out = SC.run_available_now(SC.stream_context(stream, 250, F.length("text") + 2, seed=F.col("is_seed"))
+                               .drop("context", "tag"), "seeded")
+    res = spark.read.parquet(out)
+    assert res.count() == live.count() and res.where("is_first").count() == 0
+    got = {tuple(r) for r in res.select("chat_id", "id", "n_context", "context_chars").collect()}
+    batch = C.context_at_each_message(normalize_live(lv), F.length("text") + 2, 250).where(F.col("id") >= cut1)
+    assert got == {tuple(r) for r in batch.select("chat_id", "id", "n_context", "context_chars").collect()}
