@@ -49,3 +49,27 @@ def test_null_keys_and_orders_are_kept(spark):
     got = sorted((r.k if r.k is not None else -1, r.id if r.id is not None else -1, r.pos, r.n)
                  for r in number_rows(df, ["k"], ["id"], block_col="id", width=2, total_col="n").collect())
     assert got == [(-1, 1, 0, 2), (-1, 2, 1, 2), (1, -1, 0, 3), (1, 5, 1, 3), (1, 6, 2, 3), (2, -1, 0, 1)]
+
+
+def test_single_exchange_between_join_and_window(spark):
+    """With a sort-merge join (no broadcast), the window reuses the join's partitioning:
+    no exchange sits between them, so the data is shuffled once."""
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                                 "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in old:
+            spark.conf.set(k, "-1")
+        df = spark.range(0, 20000).select((F.col("id") % 3).alias("chat_id"), F.col("id"))
+        out = number_rows(df, ["chat_id"], ["id"], block_col="id", width=1000)
+        out.write.format("noop").mode("overwrite").save()
+        lines = out._jdf.queryExecution().executedPlan().toString().split("\n")
+        start = next(i for i, l in enumerate(lines) if "row_number()" in l)
+        stop = next(i for i, l in enumerate(lines) if i > start and "SortMergeJoin" in l)
+        assert not any("Exchange" in l for l in lines[start:stop])
+        assert not any("isnull(" in l for l in lines if "hashpartitioning" in l)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
