@@ -121,3 +121,24 @@ def test_iso_parse_is_zone_free(spark):
         assert one(spark, TX.iso_to_hhmm("s"), rows=rows) == ["03:30", "03:30", None, None]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+from hypothesis import given, settings, strategies as st, HealthCheck  # noqa: E402
+
+_MARKERS = ("[MSG]", "[MEG]", "[FS]")
+_field = st.text(alphabet=st.characters(blacklist_categories=("Cs",)), max_size=40) \
+    .filter(lambda t: not any(m in t for m in _MARKERS))
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(-10**12, 10**12), _field, _field, _field,
+                          st.one_of(st.none(), st.integers(0, 10**9))), min_size=1, max_size=40))
+def test_record_roundtrip_property(spark, rows):
+    """decode(encode(x)) = x for any texts without markers (reply: null <-> empty field)."""
+    df = spark.createDataFrame(rows, "id bigint, t string, f string, x string, r bigint")
+    enc = df.select("id", "t", "f", "x", "r", RC.encode_record("id", "t", "f", "x", "r").alias("e"))
+    got = enc.select("id", "t", "f", "x", "r", RC.decode_record("e").alias("d")).collect()
+    for r in got:
+        assert r.d is not None
+        assert (r.d["id"], r.d["time"], r.d["from"], r.d["text"]) == (str(r.id), r.t, r.f, r.x)
+        assert r.d["reply_to_message_id"] == ("" if r.r is None else str(r.r))
