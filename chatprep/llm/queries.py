@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatprep.llm import quality
+from chatprep.llm import quality, url_filter
 from chatprep.llm import sql as S
+from chatprep.llm.common import Scratch
 from chatprep.llm.registry import ORACLE_SQL, QUERIES, register, table  # noqa: F401
 
 QUALITY_POLICY = "v1"
@@ -16,3 +17,18 @@ def op3_quality_rules(spark, sf_dir):
     rows = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return quality.apply_policy(rows, QUALITY_POLICY).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+URL_RULES = [
+    url_filter.UrlRule("org", "/", "allow"),
+    url_filter.UrlRule("example.org", "/es/", "block"),
+    url_filter.UrlRule("example.org", "/en/1", "block"),
+    url_filter.UrlRule("com", "/fr/", "allow"),
+    url_filter.UrlRule("com", "/de/", "block"),
+]
+
+
+@register("op7_url_filters", S.OP7)
+def op7_url_filters(spark, sf_dir):
+    rows = url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, Scratch(spark, "op7"))
+    return rows.select("page_id", "host", "path", "rule", "verdict")

@@ -3,8 +3,8 @@
 OP3 = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+         [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS ws,
+         [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls,
          row_number() OVER () AS rid
   FROM documents),
 g AS (
@@ -26,3 +26,56 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
          AND NOT (10 * n_symbols > n_words OR 100 * n_upper > 30 * word_chars) AS kept
 FROM m
 """
+
+OP7 = r"""
+WITH RECURSIVE p AS (
+  SELECT row_number() OVER () AS rid, page_id, url, coalesce(html, '') AS html,
+         CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest,
+         CASE WHEN contains(url, '://') THEN substr(url, 1, instr(url, '://') - 1) ELSE '' END AS scheme
+  FROM pages),
+h AS (
+  SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path,
+         regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<(script|style)\b.*?</(script|style)\s*>', '', 'g') AS body
+  FROM p),
+t AS (
+  SELECT rid, regexp_extract(tag, '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1) AS to_url
+  FROM (SELECT rid, unnest(regexp_extract_all(body, '(?is)<link\b[^>]*>')) AS tag FROM h)
+  WHERE regexp_matches(tag, '(?i)rel\s*=\s*["'']?canonical')
+  UNION ALL
+  SELECT rid, regexp_extract(tag, '(?i)url\s*=\s*[''"]?([^"''\s>]+)', 1)
+  FROM (SELECT rid, unnest(regexp_extract_all(body, '(?is)<meta\b[^>]*>')) AS tag FROM h)
+  WHERE regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh')),
+e AS (
+  SELECT regexp_replace(h.url, '#.*$', '') AS a,
+         regexp_replace(CASE WHEN contains(to_url, '://') THEN to_url
+              WHEN starts_with(to_url, '//') THEN scheme || ':' || to_url
+              WHEN starts_with(to_url, '/') THEN scheme || '://' || regexp_extract(rest, '^[^/?#]*') || to_url
+              ELSE scheme || '://' || regexp_extract(rest, '^[^/?#]*') || regexp_replace(coalesce(nullif(path, ''), '/'), '[^/]*$', '') || to_url END, '#.*$', '') AS b
+  FROM t JOIN h USING (rid) WHERE to_url <> '' AND scheme <> ''),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (
+  SELECT a AS node, a AS seen FROM u
+  UNION SELECT r.node, u.b FROM reach r JOIN u ON u.a = r.seen),
+nodes AS (
+  SELECT node, CASE WHEN contains(node, '://') THEN substr(node, instr(node, '://') + 3) ELSE '' END AS rest
+  FROM (SELECT DISTINCT seen AS node FROM reach)),
+rules(rhost, rpath, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+judged AS (
+  SELECT node, arg_max(verdict, length(rhost || rpath)) AS verdict
+  FROM (SELECT node, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM nodes)
+  JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY node),
+alias AS (
+  SELECT r.node, bool_or(j.verdict = 'block') AND NOT bool_or(j.verdict = 'allow') AS blocked
+  FROM reach r JOIN judged j ON j.node = r.seen GROUP BY r.node),
+own AS (
+  SELECT rid, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+  FROM h JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY rid)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, own.rule AS rule,
+       coalesce(own.verdict, CASE WHEN alias.blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN own USING (rid) LEFT JOIN alias ON alias.node = regexp_replace(h.url, '#.*$', '')
+"""
