@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from chatprep.session import checkpoint_dir
 
-#: White space that separates words (space, tab, line feed, vertical tab, form feed, return).
-SPACES = " \t\n\x0b\f\r"
+#: White space between words: space, tab, line feed, vertical tab, form feed, return.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Everything ASCII that is neither a digit nor a lower-case letter separates alphanumeric words.
 ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,8 +36,7 @@ class Scratch:
 
 def spaced_words(text: Column) -> Column:
     """Words between white space, of a whole text; null and blank texts have none."""
-    body = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACE_RUN))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
 
 
 def alnum_words(text: Column) -> Column:
@@ -49,14 +47,9 @@ def alnum_words(text: Column) -> Column:
     and word boundaries are exactly those of lower-casing A-Z alone.
     """
     t = F.coalesce(text, F.lit(""))
-    low = F.when(t.rlike("[\u0130\u212A]"),
-                 F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(t))
-    parts = F.split(low, ALNUM_GAP)
-    # only the first and the last part can be empty
-    first = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0)
-    last = F.when(F.get(parts, F.size(parts) - 1) == "", 1).otherwise(0)
-    return F.when(F.btrim(low) == "", F.array().cast("array<string>")).otherwise(
-        F.slice(parts, first + 1, F.greatest(F.size(parts) - first - last, F.lit(0))))
+    odd = t.contains("\u0130") | t.contains("\u212A")
+    low = F.when(odd, F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(t))
+    return F.array_remove(F.split(low, ALNUM_GAP), "")
 
 
 def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> list:

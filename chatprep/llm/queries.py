@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatprep.llm import quality, url_filter
+from chatprep.llm import license_scan, quality, url_filter
 from chatprep.llm import sql as S
 from chatprep.llm.common import Scratch
 from chatprep.llm.registry import ORACLE_SQL, QUERIES, register, table  # noqa: F401
@@ -32,3 +32,8 @@ URL_RULES = [
 def op7_url_filters(spark, sf_dir):
     rows = url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, Scratch(spark, "op7"))
     return rows.select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op9_license_scans", S.OP9)
+def op9_license_scans(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))

@@ -79,3 +79,48 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, own.rule
        coalesce(own.verdict, CASE WHEN alias.blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN own USING (rid) LEFT JOIN alias ON alias.node = regexp_replace(h.url, '#.*$', '')
 """
+
+
+def _op9() -> str:
+    """The templates of the operator as a VALUES list; every step in plain SQL."""
+    from chatprep.llm.license_scan import (BAND, BASE_TEMPLATES, MAX_STRETCH, MIN_COVER, MORE_TEMPLATES,
+                                           PHRASE_GRAMS)
+
+    values = ", ".join(f"({i}, '{t.label}', {str(t.base).lower()}, '{t.text.replace(chr(39), chr(39) * 2)}')"
+                       for i, t in enumerate(BASE_TEMPLATES + MORE_TEMPLATES))
+
+    def words(x: str) -> str:
+        low = f"translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return f"[x FOR x IN regexp_split_to_array({low}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') IF x <> '']"
+
+    return f"""
+WITH tpl(tpl, label, base, body) AS (VALUES {values}),
+tw AS (SELECT tpl, label, base, {words('body')} AS ws FROM tpl),
+tg AS (SELECT tpl, label, base, len(ws) - 2 AS n_grams, i - 1 AS tpos, row(ws[i], ws[i + 1], ws[i + 2]) AS g
+       FROM (SELECT *, unnest(range(1, len(ws) - 1)) AS i FROM tw)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {words('text')} AS ws FROM documents),
+dg AS (SELECT rid, i - 1 AS pos, row(ws[i], ws[i + 1], ws[i + 2]) AS g
+       FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+v AS (SELECT rid, tpl, label, base, n_grams, pos - tpos AS diag, min(pos) AS lo, max(pos) AS hi, list(tpos) AS tp
+      FROM dg JOIN tg USING (g) GROUP BY ALL),
+n AS (SELECT *, CASE WHEN n_grams > {PHRASE_GRAMS} AND diag - lag(diag) OVER (PARTITION BY rid, tpl ORDER BY diag)
+                <= {BAND} THEN 0 ELSE 1 END AS fresh FROM v),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, tpl ORDER BY diag) AS span FROM n),
+m AS (SELECT rid, tpl, label, base, n_grams, span, min(lo) AS first, max(hi) + 2 AS last,
+             len(list_distinct(flatten(list(tp)))) AS held FROM s GROUP BY ALL),
+f AS (SELECT *, held / n_grams AS cover FROM m
+      WHERE CASE WHEN n_grams <= {PHRASE_GRAMS} THEN held = n_grams
+                 ELSE held / n_grams >= {MIN_COVER} AND last - first + 1 <= {MAX_STRETCH} * (n_grams + 2) END),
+p AS (SELECT rid, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word,
+             max(first) FILTER (base) AS last_word,
+             array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels,
+             array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(cover) AS score
+      FROM f GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN p USING (rid)
+"""
+
+
+OP9 = _op9()
