@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatprep.llm import license_scan, quality, url_filter
+from chatprep.llm import bpe, license_scan, quality, url_filter
 from chatprep.llm import sql as S
 from chatprep.llm.common import Scratch
 from chatprep.llm.registry import ORACLE_SQL, QUERIES, register, table  # noqa: F401
@@ -37,3 +37,17 @@ def op7_url_filters(spark, sf_dir):
 @register("op9_license_scans", S.OP9)
 def op9_license_scans(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+
+
+TOKENIZER_FILE = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER_FILE)
+
+
+@register("op8_bpe")
+def op8_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
