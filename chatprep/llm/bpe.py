@@ -16,6 +16,7 @@ import re
 import sys
 from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -263,7 +264,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``rows`` with the decoded text of an id array; null ids give null."""
-    import pandas as pd
+
 
     @F.pandas_udf("string")
     def run(col: pd.Series) -> pd.Series:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatprep.llm import bpe, license_scan, quality, url_filter
+from chatprep.llm import bpe, license_scan, quality, simhash, url_filter
 from chatprep.llm import sql as S
 from chatprep.llm.common import Scratch
 from chatprep.llm.registry import ORACLE_SQL, QUERIES, register, table  # noqa: F401
@@ -51,3 +51,13 @@ def tokenizer_path() -> str:
 @register("op8_bpe")
 def op8_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+#: The near-duplicate contract: words of a shingle, bits that may differ.
+SIMHASH = {"shingle": 3, "bits": 3}
+
+
+@register("op1_simhash_near_dedup")
+def op1_simhash_near_dedup(spark, sf_dir):
+    rows = simhash.near_groups(table(spark, sf_dir, "documents"), Scratch(spark, "op1"), **SIMHASH)
+    return rows.select("doc_id", "fingerprint", "component_id", "n_same")
