@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatprep.llm import bpe, license_scan, quality, simhash, url_filter
+from chatprep.llm import bpe, decontaminate, license_scan, quality, simhash, url_filter
 from chatprep.llm import sql as S
 from chatprep.llm.common import Scratch
 from chatprep.llm.registry import ORACLE_SQL, QUERIES, register, table  # noqa: F401
@@ -61,3 +61,9 @@ SIMHASH = {"shingle": 3, "bits": 3}
 def op1_simhash_near_dedup(spark, sf_dir):
     rows = simhash.near_groups(table(spark, sf_dir, "documents"), Scratch(spark, "op1"), **SIMHASH)
     return rows.select("doc_id", "fingerprint", "component_id", "n_same")
+
+
+@register("op6_decontamination", S.OP6)
+def op6_decontamination(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                                Scratch(spark, "op6"))

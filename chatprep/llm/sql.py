@@ -124,3 +124,29 @@ FROM d LEFT JOIN p USING (rid)
 
 
 OP9 = _op9()
+
+OP6 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS ws FROM documents),
+b AS (
+  SELECT item_id,
+         [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS ws FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS size, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS body
+  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+dw AS (
+  SELECT rid, size, i, array_to_string(ws[i:i + size - 1], ' ') AS body
+  FROM (SELECT rid, ws, size, unnest(range(1, len(ws) - size + 2)) AS i
+        FROM d, (SELECT DISTINCT size FROM bw) WHERE len(ws) >= size)),
+hit AS (SELECT rid, i, size, body FROM dw WHERE body IN (SELECT body FROM bw)),
+w AS (SELECT rid, count(DISTINCT i + j) AS n_hit FROM (SELECT rid, i, unnest(range(0, size)) AS j FROM hit) GROUP BY rid),
+it AS (
+  SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hit JOIN bw USING (body)) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN w USING (rid) LEFT JOIN it USING (rid)
+"""
