@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatprep.llm import bpe, decontaminate, license_scan, quality, simhash, url_filter
+from chatprep.llm import bpe, decontaminate, language_id, license_scan, quality, simhash, url_filter
 from chatprep.llm import sql as S
 from chatprep.llm.common import Scratch
 from chatprep.llm.registry import ORACLE_SQL, QUERIES, register, table  # noqa: F401
@@ -67,3 +67,11 @@ def op1_simhash_near_dedup(spark, sf_dir):
 def op6_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
                                 Scratch(spark, "op6"))
+
+
+@register("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    rows = language_id.predict(docs, model)
+    return rows.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
