@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatprep.llm import bpe, decontaminate, language_id, license_scan, quality, simhash, url_filter
+from chatprep.llm import bpe, decontaminate, language_id, license_scan, quality, simhash, url_filter, warc
 from chatprep.llm import sql as S
 from chatprep.llm.common import Scratch
 from chatprep.llm.registry import ORACLE_SQL, QUERIES, register, table  # noqa: F401
@@ -75,3 +75,9 @@ def op10_language_id(spark, sf_dir):
     model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
     rows = language_id.predict(docs, model)
     return rows.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@register("op5_warc", S.OP5)
+def op5_warc(spark, sf_dir):
+    index = warc.write_archives(table(spark, sf_dir, "pages"), Scratch(spark, "op5"), min_bytes=0)
+    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

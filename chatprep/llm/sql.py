@@ -150,3 +150,20 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN w USING (rid) LEFT JOIN it USING (rid)
 """
+
+OP5 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, row_number() OVER () AS rid FROM pages),
+k AS (
+  SELECT *, min(page_id) OVER (PARTITION BY h) AS first,
+         row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST, rid) AS r,
+         CAST(CAST(unhex(sha1(h)) AS BIT) AS VARCHAR) AS bits FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+         + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INTEGER) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INTEGER)
+         + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INTEGER) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INTEGER)
+         + CAST(substr(bits, 5 * i + 5, 1) AS INTEGER), 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN r > 1 THEN first END AS refers_to
+FROM k
+"""
