@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatprep.llm import bpe, decontaminate, language_id, license_scan, quality, simhash, url_filter, warc
+from chatprep.llm import (bpe, decontaminate, html_extract, language_id, license_scan, quality, simhash, url_filter,
+                          warc)
 from chatprep.llm import sql as S
 from chatprep.llm.common import Scratch
 from chatprep.llm.registry import ORACLE_SQL, QUERIES, register, table  # noqa: F401
@@ -81,3 +82,8 @@ def op10_language_id(spark, sf_dir):
 def op5_warc(spark, sf_dir):
     index = warc.write_archives(table(spark, sf_dir, "pages"), Scratch(spark, "op5"), min_bytes=0)
     return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op2_html_extraction")
+def op2_html_extraction(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
