@@ -170,3 +170,15 @@ def report(docs: DataFrame, items: DataFrame, scratch: Scratch, keep: tuple[str,
                       F.coalesce("n_items", none).alias("n_items"),
                       F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
                       (F.coalesce("n_hit", none) > 0).alias("contaminated"))
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id",
+               **options) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item; the columns are those of ``docs``."""
+    mark = F.xxhash64(text)
+    rows = report(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"), mark.alias("_mark")), items, scratch,
+                  keep=("_id", "_mark"), **options)
+    hit = rows.filter("contaminated").select("_id", "_mark").distinct()
+    found = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_doc_id"), mark.alias("_m"))
+    same = F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark"))
+    return found.join(hit, same, "left_anti").select("_row.*")

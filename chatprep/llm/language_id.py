@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -170,35 +171,30 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return KernelModel(names, features, mark_cols, (root @ weights).astype(np.float32), max_gram)
 
 
-def predict(docs: DataFrame, model: KernelModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, lang_pred, score: one row per row of ``docs``, by its whole text alone.
+def prediction(model: KernelModel, text: Column) -> Column:
+    """struct(lang_pred, score) of whole texts, by the text alone.
 
     A text that is null or has no letter is ``und`` with score 0; the score is that of the best
     one-versus-rest regression (about 1 for its own language, -1 for others). Ties go to the
-    language that sorts first. ``keep`` may hold the text itself.
+    language that sorts first.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    n = len(keep)
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes), "lang_pred string", "score double"])
+    def run(texts: pd.Series) -> pd.DataFrame:
+        pred, best = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        real = [k for k, t in enumerate(texts) if model.languages and has_letter(t)]
+        for at in range(0, len(real), BLOCK):
+            rows = real[at:at + BLOCK]
+            scores = model.scores([texts.iloc[k] for k in rows])
+            for k, j, s in zip(rows, scores.argmax(axis=1), scores.max(axis=1)):
+                pred[k], best[k] = model.languages[j], s
+        return pd.DataFrame({"lang_pred": pred, "score": best})
 
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                texts = part.column(n).to_pylist()
-                real = [k for k, t in enumerate(texts) if m.languages and has_letter(t)]
-                pred, best = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-                if real:
-                    scores = m.scores([texts[k] for k in real])
-                    top = scores.argmax(axis=1)
-                    for k, j, s in zip(real, top, scores.max(axis=1)):
-                        pred[k], best[k] = m.languages[j], s
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(n)] + [pa.array(pred, pa.string()),
-                                                                                       pa.array(best)],
-                                                 [*keep, "lang_pred", "score"])
-
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return F.pandas_udf(run, "struct<lang_pred:string,score:double>")(text)
+
+
+def predict(docs: DataFrame, model: KernelModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, lang_pred, score: one row per row of ``docs``, repeated rows included."""
+    rows = docs.select(*keep, prediction(model, F.col(text)).alias("_p"))
+    return rows.select(*keep, "_p.lang_pred", "_p.score")
 
 
 def held_out(key: Column, parts: int = 4, part: int = 2) -> Column:

@@ -62,6 +62,8 @@ def _sum_steps(positions: Column) -> Column:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measurements of ``text`` appended (null: no words, no lines).
 
+    Columns of ``docs`` named like a measurement are replaced by it.
+
     Repeated windows: the hash of each 3-word window (its upper 40 bits) and its place are packed
     into one number and sorted, so equal windows are neighbours. Neighbours of equal hash are
     compared word by word; a text with a clash, or of more than 2^24 words, is sorted by the
@@ -89,7 +91,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda x: x.i))
     few = F.size(w) < F.lit(1 << _POS_BITS)
     return (
-        docs.withColumn("_t", t)
+        docs.select(F.struct(*[c for c in docs.columns if c not in MEASURES]).alias("_row"), t.alias("_t"))
         .withColumn("_w", spaced_words(F.col("_t")))
         .withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
         .withColumn("_s", F.when(few & (F.size(w) >= 3), packed).otherwise(F.array().cast("array<bigint>")))
@@ -104,7 +106,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("n_repeat_words", _sum_steps(F.col("_p")))
         .withColumn("n_lines", F.size(lines).cast("long"))
         .withColumn("n_upper", F.regexp_count("_t", F.lit(r"\p{Lu}")).cast("long"))
-        .drop("_t", "_w", "_lines", "_s", "_pairs", "_slow", "_x", "_p"))
+        .select("_row.*", *MEASURES))
 
 
 def ledger(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
@@ -118,7 +120,9 @@ def ledger(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text")
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    return measure(docs.drop(*MEASURES, "fail_bits"), text).withColumn("fail_bits", total)
+    # not a deterministic column, so a filter on it is not rewritten into copies of all measurements
+    total = F.when(F.monotonically_increasing_id() >= 0, total)
+    return measure(docs.drop("fail_bits"), text).withColumn("fail_bits", total)
 
 
 def apply_policy(rows: DataFrame, version: str = "v1", rules: list[Rule] | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from chatprep.llm.common import HOT_SHARE, Scratch, skew_join
@@ -226,25 +226,42 @@ def links(fps: DataFrame, count: int, bits: int, scratch: Scratch) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, scratch: Scratch, shingle: int = 3, bits: int = 3, text: str = "text",
-                doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id, n_same): one row per row of ``docs``.
+                doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ``keep``, fp, fingerprint, component_id, n_same, group_key): one row per row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable over fingerprints that differ in at most
-    ``bits`` bits; ``n_same`` counts the rows with the same fingerprint. Null and empty texts
-    have fingerprint zero and are linked like any other; rows with a null id are grouped too and
-    never name a group unless it has no other id; repeated rows give repeated results; an empty
-    table gives an empty one.
+    ``bits`` bits, ``group_key`` the smallest of these fingerprints; ``n_same`` counts the rows
+    with the same fingerprint. Null and empty texts have fingerprint zero and are linked like any
+    other; rows with a null id are grouped too and never name a group unless it has no other id;
+    repeated rows give repeated results; an empty table gives an empty one.
     """
-    rows = scratch.table(with_fingerprints(docs, shingle, text, (doc_id,)), "fingerprints")
+    rows = scratch.table(with_fingerprints(docs, shingle, text, (doc_id, *keep)), "fingerprints")
     same = scratch.table(rows.groupBy("fp").agg(F.min(doc_id).alias("first"), F.count(F.lit(1)).alias("n_same")), "same")
     count, total = same.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_same"), F.lit(0))).first()
     edges = links(same, count, bits, scratch)
     member = connected_components(edges, scratch).withColumnRenamed("node", "fp")
     member = scratch.table(member.join(same.select("fp", "first"), "fp"), "members")
     smallest = member.groupBy("label").agg(F.min("first").alias("component"))
-    of_fp = skew_join(member, smallest, "label", F.col("fp")).select("fp", "component")
+    of_fp = skew_join(member, smallest, "label", F.col("fp")).select("fp", "component", "label")
     groups = same.join(of_fp, "fp", "left").select(
-        "fp", F.coalesce("component", "first").alias("component_id"), "n_same")
+        "fp", F.coalesce("component", "first").alias("component_id"), "n_same", F.coalesce("label", "fp").alias("group_key"))
     hot = [r[0] for r in same.filter(F.col("n_same") * HOT_SHARE > max(total, 10_000)).select("fp").collect()]
-    out = skew_join(rows, groups, "fp", F.col(doc_id), hot=hot)
-    return out.select(doc_id, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same")
+    out = skew_join(rows, groups, "fp", F.xxhash64(doc_id, *keep), hot=hot)
+    return out.select(doc_id, *keep, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                      "component_id", "n_same", "group_key")
+
+
+def one_of_each_group(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id",
+                      **options) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the one with the smallest id (nulls last;
+    ties: smallest hash of the text), once if it is repeated. The columns are those of ``docs``."""
+    mark = F.xxhash64(text)
+    rows = near_groups(docs.select(doc_id, text, mark.alias("_mark")), scratch, text=text, doc_id=doc_id,
+                       keep=("_mark",), **options)
+    stay = rows.groupBy("group_key").agg(F.min(F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"),
+                                                        F.col("_mark").alias("mark"))).alias("k"))
+    stay = stay.select(F.col("k.id").alias("_id"), F.col("k.mark").alias("_mark")).distinct()
+    found = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_doc_id"), mark.alias("_m"))
+    found = found.join(stay, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")))
+    once = W.partitionBy("_doc_id", "_m").orderBy("_m")
+    return found.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("_row.*")
