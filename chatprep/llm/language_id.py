@@ -109,8 +109,12 @@ def sample_rows(rows: DataFrame, lang: str, key: Column, fit_rows: int) -> DataF
     """At most ``fit_rows`` rows, the same number of each language, smallest hash of ``key`` first."""
     n_lang = rows.select(lang).distinct().count()
     each = max(1, fit_rows // max(1, n_lang))
-    by = W.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    return rows.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= each).drop("_r")
+    # first within parts of a language, so that a frequent language is not one task
+    order = (F.xxhash64(key), key)
+    some = rows.withColumn("_part", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(16)))
+    for by in (W.partitionBy(lang, "_part").orderBy(*order), W.partitionBy(lang).orderBy(*order)):
+        some = some.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= each).drop("_r")
+    return some.drop("_part")
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatprep.llm import (bpe, decontaminate, html_extract, language_id, license_scan, quality, simhash, url_filter,
-                          warc)
+from chatprep.llm import (bpe, decontaminate, html_extract, language_id, license_scan, lm_score, quality, simhash,
+                          url_filter, warc)
 from chatprep.llm import sql as S
 from chatprep.llm.common import Scratch
 from chatprep.llm.registry import ORACLE_SQL, QUERIES, register, table  # noqa: F401
@@ -87,3 +87,10 @@ def op5_warc(spark, sf_dir):
 @register("op2_html_extraction")
 def op2_html_extraction(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@register("op4_lm_scoring")
+def op4_lm_scoring(spark, sf_dir):
+    part = lm_score.crc_part(F.col("doc_id"))
+    rows, _ = lm_score.score(table(spark, sf_dir, "documents"), Scratch(spark, "op4"), part)
+    return rows.withColumn("held_out", lm_score.crc_part(F.col("doc_id")) == 0)
