@@ -279,7 +279,7 @@ def min_cut(costs: np.ndarray, edges: list[tuple[int, int, float]]) -> list[bool
 
 
 def _max_flow(nodes: list[int], own: list[float], near: list[dict[int, float]]) -> set[int]:
-    """Nodes on the source's side: shortest augmenting paths, by levels."""
+    """Nodes on the source's side, ties included: shortest augmenting paths, by levels."""
     source, sink = -1, -2
     rest: dict[int, dict[int, float]] = {i: dict(near[i]) for i in nodes}
     rest[source], rest[sink] = {}, {}
@@ -299,7 +299,7 @@ def _max_flow(nodes: list[int], own: list[float], near: list[dict[int, float]])
                     level[v] = level[u] + 1
                     queue.append(v)
         if sink not in level:
-            return {i for i in level if i >= 0}
+            break
         todo = {u: list(rest[u]) for u in level}
         path = [source]
         while path:
@@ -319,6 +319,14 @@ def _max_flow(nodes: list[int], own: list[float], near: list[dict[int, float]])
                 path.pop()
                 if path:
                     todo[path[-1]].pop()
+    lost, queue = {sink}, deque([sink])  # what still reaches the sink is on its side
+    while queue:
+        v = queue.popleft()
+        for u in rest[v]:
+            if u not in lost and rest[u].get(v, 0.0) > 1e-9:
+                lost.add(u)
+                queue.append(u)
+    return {i for i in nodes if i not in lost}
 
 
 def smoothness(blocks: list[Block], elements: list[Element]) -> list[tuple[int, int, float]]:
