@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from chatprep import constants as K
 from chatprep.functions.chat import encode_chat_turn, system_turn, turn_json_length
 from chatprep.functions.text import ascii_handle
-from chatprep.operators.positions import number_rows
+from chatprep.operators.positions import BLOCK_WIDTH, number_rows
 
 PROMPT_OVERHEAD = 16  # '{"messages": [' + ']}'
 TURN_SEPARATOR = 2    # ', '
@@ -31,8 +31,10 @@ TURN_SEPARATOR = 2    # ', '
 MIN_CHAT_TURN_CHARS = 36 + TURN_SEPARATOR
 
 
-def last_n_per_chat(msgs: DataFrame, n: int = K.CONTEXT_INIT_ROWS, order_col: str = "id") -> DataFrame:
-    """The newest ``n`` messages of every chat (``rn`` = 1 for the newest).
+def last_n_per_chat(msgs: DataFrame, n: int = K.CONTEXT_INIT_ROWS, order_col: str = "id",
+                    width: int = BLOCK_WIDTH) -> DataFrame:
+    """The newest ``n`` messages of every chat (``rn`` = 1 for the newest); rows whose order is
+    null come after all others.
 
     Up to the optimizer's group-limit threshold, ``row_number() <= n`` is planned with
     a partial group limit before the exchange, so a huge chat sends at most n rows per
@@ -40,10 +42,11 @@ def last_n_per_chat(msgs: DataFrame, n: int = K.CONTEXT_INIT_ROWS, order_col: st
     reversed order ranks every chat without a whole-chat window."""
     limit = int(msgs.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if n <= limit:
-        w = Window.partitionBy("chat_id").orderBy(F.col(order_col).desc())
+        w = Window.partitionBy("chat_id").orderBy(F.col(order_col).desc_nulls_last())
         return msgs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
-    ranked = number_rows(msgs.withColumn("_neg", -F.col(order_col)), ["chat_id"], ["_neg"], block_col="_neg",
-                         pos_col="_rpos")
+    neg = F.coalesce(-F.col(order_col).cast("bigint"), F.lit((1 << 63) - 1))  # rows without order come last
+    ranked = number_rows(msgs.withColumn("_neg", neg), ["chat_id"], ["_neg"], block_col="_neg", pos_col="_rpos",
+                         width=width)
     return ranked.where(F.col("_rpos") < n).withColumn("rn", (F.col("_rpos") + 1).cast("int")).drop("_neg", "_rpos")
 
 
@@ -92,7 +95,7 @@ def chat_budget_chars(max_tokens: int, pre_prompt: str | None = K.CHAT_PRE_PROMP
     return limit - fixed
 
 
-def context_budget(msgs: DataFrame, length: Column, budget_chars: int, last_n: int | None = K.CONTEXT_INIT_ROWS,
+def context_budget(msgs: DataFrame, length: Column, budget_chars: int, last_n: int | None = None,
                    order_col: str = "id", min_length: int = 1) -> DataFrame:
     """Current context per chat: of the newest ``last_n`` messages (all when None),
     keep the newest ones whose lengths sum to at most ``budget_chars``.
@@ -112,7 +115,8 @@ def context_budget(msgs: DataFrame, length: Column, budget_chars: int, last_n: i
 
 
 def context_at_each_message(msgs: DataFrame, length: Column, budget_chars: int, *,
-                            payload: Column | None = None, order_col: str = "id") -> DataFrame:
+                            payload: Column | None = None, order_col: str = "id",
+                            width: int = BLOCK_WIDTH) -> DataFrame:
     """Per message (anchor): the context the live path holds right after it arrives.
 
     Output: the anchor's columns plus ``n_context`` (messages kept), ``context_chars``
@@ -130,7 +134,7 @@ def context_at_each_message(msgs: DataFrame, length: Column, budget_chars: int,
         return msgs.withColumns(empty)
     m = msgs.withColumn("_len", length.cast("bigint"))
     m = number_rows(m, ["chat_id"], [order_col, "sent_at"], block_col=order_col,
-                    sums={"_P": F.col("_len")})
+                    width=width, sums={"_P": F.col("_len")})
     m = m.withColumn("_Q", F.col("_P") - F.col("_len"))
     if payload is None:
         return _context_counts(m, B, order_col)

@@ -66,12 +66,24 @@ def with_first_flag(msgs: DataFrame, order_col: str = "id") -> DataFrame:
         .withColumn("is_first", F.coalesce(F.col("is_first"), F.lit(False)))
 
 
+def join_reply_target(msgs: DataFrame, targets: DataFrame, id_col: str = "id") -> DataFrame:
+    """``msgs`` left-joined with ``targets`` (chat_id, _target_id, ...) on the message replied to.
+
+    Messages that are no reply get a key of their own (their id, marked as no reply), which
+    meets no target; so they spread over the partitions however many a chat has."""
+    is_reply = F.col("reply_to_message_id").isNotNull()
+    left = msgs.withColumn("_target_id", F.coalesce("reply_to_message_id", id_col)).withColumn("_is_reply", is_reply)
+    right = targets.where(F.col("_target_id").isNotNull()).withColumn("_is_reply", F.lit(True))
+    return left.join(right, ["chat_id", "_target_id", "_is_reply"], "left").drop("_target_id", "_is_reply")
+
+
 def with_reply_author(msgs: DataFrame, author_col: str = "sender_id") -> DataFrame:
     """``reply_author``: ``author_col`` of the replied-to message (null when not a
-    reply or the target is unknown). Duplicate ids: the later message wins."""
-    tgt = msgs.groupBy("chat_id", "id").agg(F.max_by(author_col, "sent_at").alias("reply_author")) \
-        .withColumnRenamed("id", "reply_to_message_id")
-    return msgs.join(tgt, ["chat_id", "reply_to_message_id"], "left")
+    reply or the target is unknown). Duplicate ids: the later message wins (ties: the
+    larger author)."""
+    tgt = msgs.groupBy("chat_id", F.col("id").alias("_target_id")).agg(
+        F.max_by(author_col, F.struct("sent_at", author_col)).alias("reply_author"))
+    return join_reply_target(msgs, tgt)
 
 
 # ---- predicates -----------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chatprep import constants as K
 from chatprep.functions.hashing import seeded_int
 from chatprep.functions.records import encode_record, encode_record_prefix
-from chatprep.operators.positions import number_rows
+from chatprep.operators.positions import BLOCK_WIDTH, number_rows
 
 SEG_KEY = ["chat_id", "seg_id"]
 
@@ -22,18 +22,21 @@ def filter_length(msgs: DataFrame, max_chars: int = K.SEGMENT_MAX_CHARS) -> Data
     return msgs.where(F.length("text") < max_chars)
 
 
-def segment_fixed(msgs: DataFrame, segment_len: int = K.SEGMENT_LEN, order_col: str = "id") -> DataFrame:
-    """Consecutive segments of ``segment_len`` rows; the short tail segment is kept."""
+def segment_fixed(msgs: DataFrame, segment_len: int = K.SEGMENT_LEN, order_col: str = "id",
+                  by: tuple[str, ...] = (), width: int = BLOCK_WIDTH) -> DataFrame:
+    """Consecutive segments of ``segment_len`` rows; the short tail segment is kept.
+    ``by`` names columns that split a chat into parts, each segmented on its own."""
     order = [order_col] + [c for c in ("sent_at", "sender", "text") if c in msgs.columns]
-    m = number_rows(msgs, ["chat_id"], order, block_col=order_col)
+    m = number_rows(msgs, ["chat_id", *by], order, block_col=order_col, width=width)
     return m.withColumn("seg_id", F.floor(F.col("pos") / segment_len).cast("bigint")) \
         .withColumn("seg_pos", F.pmod(F.col("pos"), F.lit(segment_len)).cast("bigint"))
 
 
-def relabel_segment_speaker(segs: DataFrame, bot_name: str = K.SEGMENT_BOT_NAME) -> DataFrame:
+def relabel_segment_speaker(segs: DataFrame, bot_name: str = K.SEGMENT_BOT_NAME,
+                            by: tuple[str, ...] = ()) -> DataFrame:
     """Every message by the segment's last sender is attributed to ``bot_name``
     (``orig_sender`` keeps the original)."""
-    w = Window.partitionBy(*SEG_KEY).orderBy("seg_pos") \
+    w = Window.partitionBy(*SEG_KEY, *by).orderBy("seg_pos") \
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     last = F.last("sender").over(w)
     return segs.withColumn("orig_sender", F.col("sender")) \
@@ -47,13 +50,13 @@ def renumber_ids(segs: DataFrame, seed: int = 42, lo: int = K.SEGMENT_ID_BASE_MI
     return segs.withColumn("orig_id", F.col("id")).withColumn("id", (base + F.col("seg_pos")).cast("bigint"))
 
 
-def reply_remap(segs: DataFrame) -> DataFrame:
+def reply_remap(segs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Map reply ids onto the renumbered ids of the same segment; a target outside
     the segment becomes null. With duplicate ids the later row wins.
 
     The segment's (old id, new id) pairs are gathered by a window over the bounded
     segment, so no join is needed."""
-    w = Window.partitionBy(*SEG_KEY).orderBy("seg_pos") \
+    w = Window.partitionBy(*SEG_KEY, *by).orderBy("seg_pos") \
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     pairs = F.collect_list(F.struct("seg_pos", "orig_id", "id")).over(w)
     hits = F.filter(F.array_sort(pairs), lambda e: e["orig_id"] == F.col("orig_reply_to_message_id"))
@@ -63,10 +66,11 @@ def reply_remap(segs: DataFrame) -> DataFrame:
 
 
 def build_segments(msgs: DataFrame, *, max_chars: int = K.SEGMENT_MAX_CHARS, segment_len: int = K.SEGMENT_LEN,
-                   bot_name: str = K.SEGMENT_BOT_NAME, seed: int = 42) -> DataFrame:
+                   bot_name: str = K.SEGMENT_BOT_NAME, seed: int = 42, by: tuple[str, ...] = (),
+                   width: int = BLOCK_WIDTH) -> DataFrame:
     """messages -> prepared segment rows with the delimited ``record`` column."""
-    s = segment_fixed(filter_length(msgs, max_chars), segment_len)
-    s = reply_remap(renumber_ids(relabel_segment_speaker(s, bot_name), seed))
+    s = segment_fixed(filter_length(msgs, max_chars), segment_len, by=by, width=width)
+    s = reply_remap(renumber_ids(relabel_segment_speaker(s, bot_name, by), seed), by)
     return s.withColumn("record", encode_record("id", "hhmm", "sender", "text", "reply_to_message_id"))
 
 
@@ -100,9 +104,4 @@ def segments_per_split(msgs: DataFrame, test_frac: float = K.SEGMENT_TEST_FRAC,
     messages are train, the rest test; each part is filtered and segmented on its
     own. Returns the prepared segment rows with a ``split`` column."""
     from chatprep.operators.splits import split_ordered
-    parts = split_ordered(msgs, order_col, test_frac)
-    out = None
-    for name in ("train", "test"):
-        seg = build_segments(parts.where(F.col("split") == name).drop("split"), **kw).withColumn("split", F.lit(name))
-        out = seg if out is None else out.unionByName(seg)
-    return out
+    return build_segments(split_ordered(msgs, order_col, test_frac), by=("split",), **kw)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatprep import constants as K
 from chatprep.functions.hashing import seeded_md5, seeded_int
-from chatprep.operators.positions import number_rows
-from chatprep.session import checkpoint_dir
+from chatprep.operators.positions import BLOCK_WIDTH, number_rows
+from chatprep.session import scratch_path
 
 
 def shuffle_key(df: DataFrame, keys, seed: int = 42, name: str = "shuffle_key") -> DataFrame:
@@ -15,60 +18,75 @@ def shuffle_key(df: DataFrame, keys, seed: int = 42, name: str = "shuffle_key")
     return df.withColumn(name, seeded_md5(seed, *keys))
 
 
-def split_random(df: DataFrame, keys, frac: float, seed: int = 42,
+def _cut(hashes: DataFrame, k: int) -> tuple[str, int]:
+    """(cut, need): of the rows sorted by ``h`` (``c`` rows each), the k-th has hash ``cut`` and
+    is the ``need``-th of the rows with that hash.
+
+    A histogram over 4 more hex digits of the hash (at most 65,536 buckets) locates the bucket
+    of the k-th row, until that bucket holds one hash. Only bucket counts reach the driver."""
+    prefix, need = "", k
+    while True:
+        part = hashes.where(F.startswith("h", F.lit(prefix)))
+        buckets = part.groupBy(F.substring("h", 1, len(prefix) + 4).alias("b")).agg(
+            F.sum("c").alias("c"), F.min("h").alias("low"), F.max("h").alias("high")).collect()
+        for b in sorted(buckets, key=lambda r: r["b"]):
+            if b["c"] >= need:
+                break
+            need -= b["c"]
+        if b["low"] == b["high"]:
+            return b["low"], need
+        prefix = b["b"]
+
+
+def split_random(df: DataFrame, keys, frac: float = K.VALIDATION_FRAC, seed: int = 42,
                  names: tuple[str, str] = ("train", "validation")) -> DataFrame:
     """Exactly ``int(n * frac)`` rows (smallest seeded hash of ``keys``) go to the
     second split, the rest to the first.
 
-    The cut is found without sorting the table: a histogram over 4 more hex digits of
-    the hash (at most 65,536 buckets) locates the bucket holding the k-th smallest
-    hash, level by level, until that bucket is small enough to rank directly. Only
-    bucket counts (bounded) and one hash value reach the driver.
+    The table is never sorted: ``_cut`` finds the hash of the last row that goes. Where rows
+    share that hash, a hash of the whole row decides among them, and among identical rows their
+    number. The counted hashes are written once to the shared folder, so finding the cut reads
+    the input once.
     """
     h = df.withColumn("_h", seeded_md5(seed, *keys))
-    # the cut passes read only the hashes: materialise them once (reliable checkpoint
-    # in the shared folder) instead of recomputing the upstream plan for every pass
-    checkpoint_dir(df.sparkSession)
-    hs = h.select("_h").checkpoint(eager=True)
-    n = hs.count()
+    path = scratch_path(df.sparkSession, "split", uuid.uuid4().hex)
+    h.groupBy(F.col("_h").alias("h")).agg(F.count(F.lit(1)).alias("c")).write.parquet(path)
+    counts = df.sparkSession.read.schema("h string, c bigint").parquet(path)
+    n = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     k = int(n * frac)
-    if k <= 0:
-        return h.drop("_h").withColumn("split", F.lit(names[0]))
-    if k >= n:
-        return h.drop("_h").withColumn("split", F.lit(names[1]))
-    prefix, remaining, size = "", k, n
-    while size > RANK_DIRECT_MAX and len(prefix) < 28:
-        d = len(prefix) + 4
-        part = hs.where(F.startswith("_h", F.lit(prefix))) if prefix else hs
-        counts = sorted(part.groupBy(F.substring("_h", 1, d).alias("b")).count().collect())
-        for b, c in counts:
-            if c >= remaining:
-                prefix, size = b, c
-                break
-            remaining -= c
-    part = hs.where(F.startswith("_h", F.lit(prefix))) if prefix else hs
-    cut = part.orderBy("_h").limit(remaining).agg(F.max("_h")).first()[0]
-    return h.withColumn("split", F.when(F.col("_h") <= F.lit(cut), F.lit(names[1])).otherwise(F.lit(names[0]))) \
-        .drop("_h")
-
-
-RANK_DIRECT_MAX = 200_000
-
-
-def split_ordered(df: DataFrame, order_col: str, test_frac: float, keys=(),
-                  names: tuple[str, str] = ("train", "test")) -> DataFrame:
+    if k <= 0 or k >= n:
+        return h.drop("_h").withColumn("split", F.lit(names[0] if k <= 0 else names[1]))
+    cut, need = _cut(counts, k)
+    first = F.col("_h") < F.lit(cut)
+    ties = counts.where(F.col("h") == cut).first()["c"]
+    label = lambda cond: F.when(cond, F.lit(names[1])).otherwise(F.lit(names[0]))
+    if need == ties:
+        return h.withColumn("split", label(first | (F.col("_h") == cut))).drop("_h")
+    rest = h.where(F.col("_h") != cut).withColumn("split", label(first)).drop("_h")
+    same = h.where(F.col("_h") == cut).drop("_h").groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c")) \
+        .withColumn("_r", F.md5(F.to_json(F.struct(*df.columns))))
+    cut, need = _cut(same.select(F.col("_r").alias("h"), F.col("_c").alias("c")), need)
+    copies = same.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_c"))))
+    goes = (F.col("_r") < cut) | ((F.col("_r") == cut) & (F.col("_k") <= need))
+    return rest.unionByName(copies.withColumn("split", label(goes)).drop("_c", "_r", "_k"))
+
+
+def split_ordered(df: DataFrame, order_col: str, test_frac: float = K.SEGMENT_TEST_FRAC, keys=(),
+                  names: tuple[str, str] = ("train", "test"), width: int = BLOCK_WIDTH) -> DataFrame:
     """The first ``int(n * (1 - test_frac))`` rows in order are train, the rest test
-    (n per ``keys`` group, or over the whole table)."""
+    (n per ``keys`` group, or over the whole table). Ties of ``order_col`` are ordered by a hash
+    of the row, so every evaluation splits alike."""
     keys = list(keys)
     g = df if keys else df.withColumn("_all", F.lit(0))
     gk = keys or ["_all"]
-    m = number_rows(g, gk, [order_col], block_col=order_col, pos_col="_pos", total_col="_n")
-    train_n = F.floor(F.col("_n") * F.lit(1.0 - test_frac) + F.lit(1e-9)).cast("bigint")
+    m = number_rows(g, gk, [order_col, F.xxhash64(*df.columns)], block_col=order_col, pos_col="_pos", total_col="_n",
+                    width=width)
+    train_n = F.floor(F.col("_n") * F.lit(1.0 - test_frac)).cast("bigint")
     out = m.withColumn("split", F.when(F.col("_pos") < train_n, F.lit(names[0])).otherwise(F.lit(names[1])))
     return out.drop("_pos", "_n", *([] if keys else ["_all"]))
 
 
-def head_sample(df: DataFrame, order_col: str, n: int = 100) -> DataFrame:
+def head_sample(df: DataFrame, order_col: str, n: int = K.HEAD_SAMPLE_ROWS) -> DataFrame:
     """The first ``n`` rows in order (trial runs): a top-n, not a sort of the table."""
     return df.orderBy(order_col).limit(n)
 

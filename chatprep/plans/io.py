@@ -204,9 +204,9 @@ def _live_files(spark, sf) -> str:
     replied-to message attached (the service sends it with the reply)."""
     path = _run_dir(spark, "derived", "live", _tag(sf))
     lv = live_from_events(spark, sf, 3)
-    tgt = lv.groupBy("chat_id", F.col("message_id").alias("reply_to_message_id")) \
+    tgt = lv.groupBy("chat_id", F.col("message_id").alias("_target_id")) \
         .agg(F.max("sender_id").alias("reply_to_sender_id"))
-    lv = lv.join(tgt, ["chat_id", "reply_to_message_id"], "left")
+    lv = R.join_reply_target(lv, tgt, id_col="message_id")
     # one availableNow batch reads all files; the state sorts each chat's arrivals by id
     lv.write.mode("overwrite").parquet(path)
     return path

@@ -43,19 +43,11 @@ CONV_MESSAGES_SQL = """SELECT conv_id AS chat_id, turn + 1 AS id,
 FROM conversations"""
 
 
-def fold_handle(name: str) -> str:
-    """The handle rule in plain Python, for building SQL literals from the fixed names."""
-    from chatprep import constants as K
-    kept = "".join(ch for ch in name if ch.isalnum())[:K.HANDLE_MAX_LEN]
-    kept = kept.translate(str.maketrans(K.HANDLE_FOLD_FROM, K.HANDLE_FOLD_TO))
-    return kept.encode("ascii", errors="ignore").decode()
-
-
 def bot_handles_sql(bot_name: str | None = None) -> str:
     """SQL list of the handles that count as the bot (aliases and the folded name)."""
     from chatprep import constants as K
-    names = list(K.BOT_ALIASES) + [fold_handle(bot_name or K.BOT_NAME_API)]
-    return ", ".join("'" + n.replace("'", "''") + "'" for n in names)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join([quoted(n) for n in K.BOT_ALIASES] + [ascii_handle_sql(quoted(bot_name or K.BOT_NAME_API))])
 
 
 def ascii_handle_sql(x: str) -> str:

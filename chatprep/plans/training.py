@@ -242,8 +242,7 @@ SELECT chat_id, seq_id FROM ex ANTI JOIN v USING (chat_id, seq_id)""")
 def q_split_anti(spark, sf):
     ex = S.build_sequences(_ev(spark, sf, None), length=15).select("chat_id", "seq_id").distinct()
     sp = P.split_random(ex, ["chat_id", "seq_id"], 0.2, SEED)
-    val = sp.where(F.col("split") == "validation").select("chat_id", "seq_id")
-    return ex.join(val, ["chat_id", "seq_id"], "left_anti")
+    return sp.where(F.col("split") == "train").select("chat_id", "seq_id")
 
 
 @register("shuffle_examples", sql=f"""WITH {seq_sql(25, None)}, ex AS (SELECT DISTINCT chat_id, seq_id FROM r)
@@ -255,7 +254,7 @@ def q_shuffle_examples(spark, sf):
 
 @register("split_ordered", sql=f"""WITH m AS ({events_messages_sql(3)}),
 p AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n FROM m)
-SELECT id, CASE WHEN pos < CAST(floor(n * 0.9 + 1e-9) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM p""")
+SELECT id, CASE WHEN pos < CAST(floor(n * (1.0::DOUBLE - 0.1::DOUBLE)) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM p""")
 def q_split_ordered(spark, sf):
     return P.split_ordered(_ev(spark, sf, 3), "id", 0.1).select("id", "split")
 
@@ -287,10 +286,32 @@ def q_custom_renderer(spark, sf):
     return G.segment_prompt(segs, render=F.concat(F.col("sender"), F.lit(": "), F.col("text")))
 
 
-@register("content_recover_compat")
+_REPR_SQL = """CASE WHEN contains({x}, chr(39)) AND NOT contains({x}, '"') THEN '"' || {e} || '"'
+  ELSE chr(39) || replace({e}, chr(39), chr(92) || chr(39)) || chr(39) END"""
+
+
+def _repr_sql(x: str) -> str:
+    e = f"replace(replace(replace(replace({x}, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
+    return _REPR_SQL.format(x=x, e=e)
+
+
+@register("content_recover_compat", sql=f"""WITH {seq_sql(15, None)},
+raw AS (SELECT *, '{{''id'': ' || id || ', ''time'': ' || {_repr_sql('hhmm')} || ', ''from'': ' || {_repr_sql('sender')}
+  || ', ''text'': ' || {_repr_sql('text')} || ', ''reply_to_message_id'': ' || coalesce(CAST(reply_to_message_id AS VARCHAR), 'nan') || '}}' AS raw
+  FROM r WHERE role = 'assistant'),
+sw AS (SELECT *, replace(replace(replace(raw, '"', chr(39)), 'nan', 'null'), chr(39), '"') AS s FROM raw),
+pl AS (SELECT *, instr(substr(s, 2), '{{') AS first, length(s) - instr(reverse(s), '}}') AS last FROM sw),
+fx AS (SELECT *, CASE WHEN first = 0 OR last <= first THEN s ELSE
+  array_to_string([CASE WHEN substr(s, first + i, 1) = '"' THEN chr(39) ELSE substr(s, i, 1) END FOR i IN range(1, last - first + 1)], '')
+  || substr(s, last - first + 1) END AS fixed FROM pl),
+j AS (SELECT *, NOT json_valid(fixed) AS failed FROM fx)
+SELECT chat_id, seq_id, seq_pos, failed, CASE WHEN failed THEN raw
+  ELSE coalesce('@' || (CAST(CASE WHEN failed THEN NULL ELSE fixed END AS JSON)->>'reply_to_message_id') || ' ', '')
+       || (CAST(CASE WHEN failed THEN NULL ELSE fixed END AS JSON)->>'text') END AS content
+FROM j""")
 def q_content_recover_compat(spark, sf):
-    """The original's dict-text recovery of assistant contents (quote swap, 'nan' ->
-    'null', positional scrub, JSON parse; failures keep the dict text)."""
+    """The dict-text recovery of assistant contents: quotes swapped, "nan" made null, quotes of an
+    inner brace scrubbed by their places; a text that is no JSON then stays as it is."""
     from chatprep.operators.compat import content_recover_compat
     seqs = S.build_sequences(_ev(spark, sf, None), length=15).where(F.col("role") == "assistant")
     r = seqs.withColumn("_r", content_recover_compat())
@@ -300,7 +321,7 @@ def q_content_recover_compat(spark, sf):
 
 @register("segments_per_split", sql=f"""WITH m AS ({events_messages_sql(None)}),
 p AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS gpos, count(*) OVER () AS n FROM m),
-s AS (SELECT *, CASE WHEN gpos < CAST(floor(n * 0.9 + 1e-9) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM p),
+s AS (SELECT *, CASE WHEN gpos < CAST(floor(n * (1.0::DOUBLE - 0.1::DOUBLE)) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM p),
 fl AS (SELECT * FROM s WHERE length(text) < 200),
 q AS (SELECT *, (row_number() OVER (PARTITION BY split, chat_id ORDER BY id) - 1) // 10 AS seg_id FROM fl)
 SELECT split, CAST(count(*) AS BIGINT) AS n_messages, CAST(count(DISTINCT seg_id) AS BIGINT) AS n_segments

@@ -96,6 +96,50 @@ def test_zero_validation(spark):
     assert {r.split for r in P.split_ordered(df, "k", 0.0).collect()} == {"train"}
 
 
+def test_random_split_is_exact_on_repeated_keys(spark):
+    df = spark.range(100).selectExpr("id % 4 as k", "id div 30 as x", "1 as y")
+    sp = P.split_random(df, ["k"], 0.1).collect()
+    assert len(sp) == 100 and sum(r.split == "validation" for r in sp) == 10
+    same = spark.range(50).selectExpr("7 as k")
+    assert P.split_random(same, ["k"], 0.3).where("split = 'validation'").count() == 15
+
+
+def test_ordered_split_takes_the_rule_without_rounding_up(spark):
+    df = spark.range(10).withColumnRenamed("id", "k")
+    for frac in (0.9, 0.8, 0.1, 0.5):
+        got = P.split_ordered(df, "k", frac).where("split = 'train'").count()
+        assert got == int(10 * (1 - frac))
+
+
+def test_last_n_orders_null_ids_last(spark):
+    df = spark.createDataFrame([(1, None), (1, 1), (1, 2), (1, 3)], "chat_id bigint, id bigint")
+    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    try:
+        for limit in ("1000", "1"):
+            spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", limit)
+            assert {r.id for r in C.last_n_per_chat(df, 2).collect()} == {2, 3}
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
+
+
+def test_reply_join_spreads_non_replies(spark):
+    """One chat, four of five messages no replies: no partition holds much more than the others."""
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m = spark.range(40_000).selectExpr("1L as chat_id", "id", "id % 9 as sender_id", "timestamp_seconds(id) as sent_at",
+                                           "if(id % 5 = 0, id div 2, null) as reply_to_message_id")
+        out = R.with_reply_author(m).withColumn("p", F.spark_partition_id())
+        sizes = [r[1] for r in out.groupBy("p").agg(F.count(F.lit(1)), F.max("reply_author")).collect()]
+        assert len(sizes) == 32 and max(sizes) < 3 * sorted(sizes)[16]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_duplicate_ids_last_wins(spark):
     rows = [(1, 1, "2024-01-01 10:00:00", "a", "x", None), (1, 1, "2024-01-01 10:01:00", "b", "y", None),
             (1, 2, "2024-01-01 10:02:00", "a", "z", 1)]
@@ -106,7 +150,7 @@ def test_duplicate_ids_last_wins(spark):
 def test_bot_turns_in_history(spark):
     """A history that contains the bot renders assistant turns (no failure), and the
     bot's folded name matches its folded handle."""
-    rows = [(1, 1, "2024-01-01 10:00:00", "Teekkariäly", "moi", None), (1, 2, "2024-01-01 10:01:00", "FinGPTbot", "hei", None),
+    rows = [(1, 1, "2024-01-01 10:00:00", K.BOT_NAME_API, "moi", None), (1, 2, "2024-01-01 10:01:00", "FinGPTbot", "hei", None),
             (1, 3, "2024-01-01 10:02:00", "Anna", "no?", 1)]
     df = messages_df(spark, rows)
     turns = df.select(encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id").alias("t")).collect()
@@ -185,23 +229,11 @@ def test_last_n_above_group_limit_threshold(spark):
 
 
 def test_min_chat_turn_length(spark):
-    df = messages_df(spark, [(1, 1, "2024-01-01 10:00:00", "Teekkariäly", "", None)])
+    df = messages_df(spark, [(1, 1, "2024-01-01 10:00:00", K.BOT_NAME_API, "", None)])
     n = df.select(C.chat_turn_length()).first()[0]
     assert n == C.MIN_CHAT_TURN_CHARS
 
 
-def test_content_recover_compat_brute_force(spark):
-    """The registered compat query equals plain Python over the same rows (sf0.01)."""
-    import __spark_entry__ as E
-    from chatprep.operators.compat import recover_one
-    got = {(r.chat_id, r.seq_id, r.seq_pos): (r.content, r.failed)
-           for r in E.queries()["content_recover_compat"](spark, SF001).collect()}
-    seqs = S.build_sequences(messages_from_events(spark, SF001, None), length=15).where(F.col("role") == "assistant")
-    want = {(r.chat_id, r.seq_id, r.seq_pos): recover_one(r.id, r.hhmm, r.sender, r.text, r.reply_to_message_id)
-            for r in seqs.collect()}
-    assert len(got) == 1947 and got == want
-
-
 def test_observed_counters(spark, tmp_path):
     from chatprep.sources.sinks import jsonl_sink
     ex = P.split_random(S.training_examples(messages_from_events(spark, SF001, None), length=15),
@@ -236,7 +268,7 @@ def test_random_needs_nonempty_context(spark):
 def test_fast_turn_length_equals_rendered(spark):
     """The piecewise chat-turn length equals the rendered turn's length (+ separator)."""
     for m in (messages_from_conversations(spark, SF001), messages_from_events(spark, SF001, 3),
-              messages_df(spark, [(1, 1, "2024-01-01 10:00:00", "Teekkariäly", 'q"\\\n😀', None),
+              messages_df(spark, [(1, 1, "2024-01-01 10:00:00", K.BOT_NAME_API, 'q"\\\n😀', None),
                                   (1, 2, "2024-01-01 10:00:00", "😀", "x", 1), (1, 3, "2024-01-01 10:00:00", "", "", None)])):
         turn = encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id", K.BOT_NAME_API)
         bad = m.where(C.chat_turn_length() != turn_json_length(turn) + 2).count()

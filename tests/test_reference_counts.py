@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from chatprep import constants as K
 from chatprep.operators import context as C
 from chatprep.operators import routing as R
 from chatprep.operators import segments as G
@@ -35,7 +36,7 @@ def test_segments(spark, src, n_msgs, n_segs, n_last):
         messages_from_events(spark, SF001, 3 if src == "events3" else None)
     s = G.relabel_segment_speaker(G.segment_fixed(G.filter_length(m)))
     r = s.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("chat_id", "seg_id").alias("k"),
-              F.sum(F.when(F.col("sender") == "FinGPT_bot", 1).otherwise(0)).alias("b")).first()
+              F.sum(F.when(F.col("sender") == K.SEGMENT_BOT_NAME, 1).otherwise(0)).alias("b")).first()
     assert (r.n, r.k, r.b) == (n_msgs, n_segs, n_last)
 
 
