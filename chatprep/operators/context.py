@@ -116,12 +116,13 @@ def context_budget(msgs: DataFrame, length: Column, budget_chars: int, last_n: i
 
 def context_at_each_message(msgs: DataFrame, length: Column, budget_chars: int, *,
                             payload: Column | None = None, order_col: str = "id",
-                            width: int = BLOCK_WIDTH) -> DataFrame:
+                            width: int = BLOCK_WIDTH, wanted: Column | None = None) -> DataFrame:
     """Per message (anchor): the context the live path holds right after it arrives.
 
     Output: the anchor's columns plus ``n_context`` (messages kept), ``context_chars``
     (their length sum), ``context_start_id`` and, with ``payload``, ``context``: the
-    payload values of the kept messages in order.
+    payload values of the kept messages in order. ``wanted`` limits the anchors (every
+    message still counts as a member), and only they collect payloads.
     """
     B = int(budget_chars)
     if B <= 0:
@@ -131,24 +132,26 @@ def context_at_each_message(msgs: DataFrame, length: Column, budget_chars: int,
         if payload is not None:
             item_type = msgs.select(payload.alias("_p")).schema["_p"].dataType
             empty["context"] = F.array().cast(T.ArrayType(item_type))
-        return msgs.withColumns(empty)
+        return (msgs if wanted is None else msgs.where(wanted)).withColumns(empty)
     m = msgs.withColumn("_len", length.cast("bigint"))
     m = number_rows(m, ["chat_id"], [order_col, "sent_at"], block_col=order_col,
                     width=width, sums={"_P": F.col("_len")})
     m = m.withColumn("_Q", F.col("_P") - F.col("_len"))
     if payload is None:
-        return _context_counts(m, B, order_col)
+        return _context_counts(m, B, order_col, wanted)
+    if wanted is not None:
+        return _wanted_items(m, B, payload, order_col, wanted)
     return _context_items(m, B, payload, order_col)
 
 
-def _context_counts(m: DataFrame, B: int, order_col: str) -> DataFrame:
+def _context_counts(m: DataFrame, B: int, order_col: str, wanted: Column | None = None) -> DataFrame:
     """Counts only, as an as-of lookup: the oldest kept message of anchor r is the
     first message e with Q_e >= P_r - B. Anchors (key P - B) and messages (key Q)
     meet in buckets of width B; a running minimum over keys in descending order
     finds it in O(1) per row after the sort (no sliding frame)."""
     cols = [c for c in m.columns if c not in ("_len", "_P", "_Q")]
     anchor_key = F.col("_P") - B
-    anchors = m.select(
+    anchors = (m if wanted is None else m.where(wanted)).select(
         "chat_id", F.floor(anchor_key / B).cast("bigint").alias("_bk"), anchor_key.alias("_key"),
         F.lit(0).alias("_tag"), F.struct(*cols, "_P").alias("_row"),
         F.lit(None).cast("struct<pos:bigint,q:bigint,oid:bigint>").alias("_m"))
@@ -170,6 +173,28 @@ def _context_counts(m: DataFrame, B: int, order_col: str) -> DataFrame:
         F.when(ok, F.col("_first.oid")).alias("context_start_id"))
 
 
+#: Positions of a stretch of members that anchors meet when only some of them are wanted.
+STRETCH = 64
+
+
+def _wanted_items(m: DataFrame, B: int, payload: Column, order_col: str, wanted: Column) -> DataFrame:
+    """Kept payloads of the wanted anchors: the count form gives each anchor's first and last
+    position, and the anchor meets the stretches of members in between (equal stretch numbers,
+    so a long chat spreads over many keys)."""
+    counts = _context_counts(m, B, order_col, wanted)
+    lo = F.col("pos") - F.col("n_context") + 1
+    stretches = F.when(F.col("n_context") > 0, F.sequence(F.floor(lo / STRETCH), F.floor(F.col("pos") / STRETCH)))
+    asked = counts.select("chat_id", F.col("pos").alias("_to"), lo.alias("_from"), F.explode(stretches).alias("_stretch"))
+    members = m.select("chat_id", F.floor(F.col("pos") / STRETCH).alias("_stretch"), F.col("pos").alias("_pos"),
+                       payload.alias("_payload"))
+    held = asked.join(members, ["chat_id", "_stretch"]).where(F.col("_pos").between(F.col("_from"), F.col("_to")))
+    items = F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_payload"))), lambda e: e["_payload"])
+    kept = held.groupBy("chat_id", F.col("_to").alias("pos")).agg(items.alias("context"))
+    kind = kept.schema["context"].dataType
+    return counts.join(kept, ["chat_id", "pos"], "left").withColumn(
+        "context", F.coalesce("context", F.array().cast(kind))).drop("pos")
+
+
 def _context_items(m: DataFrame, B: int, payload: Column, order_col: str) -> DataFrame:
     """Kept payloads per anchor: a range window over the anchor's bucket and the one
     before (each row is copied into both), bounded by the budget."""
@@ -234,8 +259,7 @@ def response_prompts(routed: DataFrame, max_tokens: int = K.TOKEN_BUDGET_APP, bo
     turn = turn if turn is not None else encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id",
                                                           bot_name)
     c = context_at_each_message(routed, length, chat_budget_chars(max_tokens, pre_prompt),
-                                payload=F.to_json(turn))
-    c = c.where(F.col("action").isin(*MODEL_ACTIONS))
+                                payload=F.to_json(turn), wanted=F.col("action").isin(*MODEL_ACTIONS))
     head = '{"messages":['
     if pre_prompt is not None:
         head += json.dumps({"role": "system", "content": pre_prompt}, ensure_ascii=False, separators=(",", ":"))

@@ -30,7 +30,7 @@ from chatprep.session import scratch_path
 from chatprep.sources import export as X
 from chatprep.sources import history_csv as H
 from chatprep.sources.live import live_source, normalize_live
-from chatprep.sources.sinks import jsonl_sink, parquet_log_sink, read_jsonl
+from chatprep.sources.sinks import jsonl_sink, parquet_log_sink, read_jsonl, read_log
 from chatprep.sources.tables import messages_from_events, live_from_events
 from chatprep.streaming import context as SC
 
@@ -193,8 +193,7 @@ def q_chat_log_append(spark, sf):
     m = normalize_live(live_from_events(spark, sf, 3)).select("chat_id", "id", "sender", "text", "date")
     parquet_log_sink(m.where(F.col("date") < _START).drop("date"), path)
     parquet_log_sink(m.where(F.col("date") >= _START).drop("date"), path)
-    # partition discovery infers the folder value's type; the log's chat ids are BIGINT
-    return spark.read.parquet(path).select(F.col("chat_id").cast("bigint").alias("chat_id"), "id", "sender", "text")
+    return read_log(spark, path).select("chat_id", "id", "sender", "text")
 
 
 # ------------------------------------------------------------------ streams
@@ -226,8 +225,9 @@ def q_live_source(spark, sf):
 @register("stream_append", sql=f"SELECT chat_id, id, sender, text FROM ({LIVE_MSGS_SQL})")
 def q_stream_append(spark, sf):
     s = normalize_live(_live_stream(spark, sf)).select("chat_id", "id", "sender", "text")
-    out = SC.run_available_now(s, "stream_append", partition_by="chat_id")
-    return spark.read.parquet(out).select(F.col("chat_id").cast("bigint").alias("chat_id"), "id", "sender", "text")
+    path = _run_dir(spark, "streams", "stream_append")
+    SC.finish(SC.stream_append(s, f"{path}/out", f"{path}/checkpoint").trigger(availableNow=True).start())
+    return read_log(spark, f"{path}/out").select("chat_id", "id", "sender", "text")
 
 
 _B = 400
@@ -252,7 +252,8 @@ FROM q a LEFT JOIN q e ON e.chat_id = a.chat_id AND e.id <= a.id AND e.Q >= a.P
 WHERE a.live GROUP BY a.chat_id, a.id, a.P""")
 def q_stream_context_init(spark, sf):
     """State seeded with the newest 20 stored messages of each chat (stored = before
-    process start); the seed rows go first into the source and are not emitted."""
+    process start): a first run over the seeds alone fills the state, and the run over the live
+    rows goes on from its checkpoint. Seeds are not emitted."""
     from chatprep.schema import LIVE
     hist = normalize_live(live_from_events(spark, sf, 3)).where(F.col("date") < _START)
     seeds = C.last_n_per_chat(hist, 20).select(
@@ -261,13 +262,18 @@ def q_stream_context_init(spark, sf):
         F.lit(None).cast("bigint").alias("reply_to_sender_id"), F.lit(True).alias("is_seed"))
     live = spark.read.parquet(_live_files(spark, sf)).where(F.col("date") >= _START) \
         .withColumn("is_seed", F.lit(False))
-    path = _run_dir(spark, "derived", "live_seeded")
-    live.unionByName(seeds).write.mode("overwrite").parquet(path)
+    path, run = _run_dir(spark, "derived", "live_seeded"), uuid.uuid4().hex[:12]
     schema = with_fields(LIVE, reply_to_sender_id=T.LongType(), is_seed=T.BooleanType())
-    s = normalize_live(live_source(spark, path, schema=schema), keep=("is_seed",))
-    ctx = SC.stream_context(s, _B, F.length("text") + 2, seed=F.col("is_seed"))
-    out = SC.run_available_now(ctx.drop("context", "tag", "is_first"), "stream_context_init")
-    return spark.read.parquet(out).select("chat_id", "id", "n_context", "context_chars", "context_start_id")
+
+    def arrivals():
+        s = normalize_live(live_source(spark, path, schema=schema), keep=("is_seed",))
+        ctx = SC.stream_context(s, _B, F.length("text") + 2, seed=F.col("is_seed"))
+        return SC.run_available_now(ctx.drop("context", "tag", "is_first"), "stream_context_init", run)
+
+    seeds.write.parquet(path)
+    arrivals()
+    live.unionByName(seeds.limit(0)).write.mode("append").parquet(path)
+    return spark.read.parquet(arrivals()).select("chat_id", "id", "n_context", "context_chars", "context_start_id")
 
 
 def _rules_after_intro():

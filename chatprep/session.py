@@ -7,6 +7,7 @@ local runs).
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,13 +48,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and derived tables.
 
     Read from the session (``spark.checkpoint.dir``, or the context's checkpoint
-    directory). A private folder is created only where the session has none, which
-    is the case in tests and local runs; ``spark.checkpoint.dir`` is a static setting,
-    so only the context's checkpoint directory is set then.
+    directory). A private folder is created only in local mode and where the session has
+    none; on a cluster a folder of the driver's machine would be lost to the executors, so
+    a missing setting raises. ``spark.checkpoint.dir`` is a static setting, so only the
+    context's checkpoint directory is set then.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="chatprep-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)

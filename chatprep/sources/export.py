@@ -9,7 +9,12 @@ the text is a string or a list of strings and ``{"text": ...}`` parts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatprep import constants as K
@@ -17,6 +22,9 @@ from chatprep.functions.text import default_sender, iso_of, iso_to_hhmm, iso_to_
 
 EXPORT_FILE = "result.json"
 
+# Python workers need not have this package installed: its UDF code travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def export_scan(spark: SparkSession, path_glob: str, chat_pattern: str = r"([^/]+)/[^/]+$",
                 exclude: str | None = None, repartition: int | None = None) -> DataFrame:
@@ -42,12 +50,19 @@ def export_lines_scan(spark: SparkSession, path_glob: str, chat_pattern: str = r
                       exclude: str | None = None) -> DataFrame:
     """Exports converted to JSON lines (one message object per line) -> (chat_id,
     pos, msg VARIANT). Line files split across tasks, so one huge chat reads in
-    parallel; ``pos`` is the message id (export ids run in message order)."""
+    parallel. ``pos`` is the record's place in its file, from 0 (the head), whatever its id:
+    places inside a split are counted there, and a small table of splits gives their offsets."""
     raw = spark.read.option("singleVariantColumn", "msg").option("mode", "FAILFAST").json(path_glob)
-    raw = raw.select(F.regexp_extract(F.col("_metadata.file_path"), chat_pattern, 1).alias("chat_id"), "msg")
+    raw = raw.select(F.regexp_extract(F.col("_metadata.file_path"), chat_pattern, 1).alias("chat_id"), "msg",
+                     F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
+                     F.monotonically_increasing_id().alias("_row"))
     if exclude:
         raw = raw.where(~F.col("chat_id").rlike(exclude))
-    return raw.select("chat_id", F.try_variant_get("msg", "$.id", "bigint").alias("pos"), "msg")
+    splits = raw.groupBy("_file", "_at").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return raw.join(splits, ["_file", "_at"]).select(
+        "chat_id", (F.col("_off") + F.col("_row") - F.col("_first")).cast("bigint").alias("pos"), "msg")
 
 
 def skip_head(msgs: DataFrame, n: int = 1) -> DataFrame:
@@ -55,40 +70,44 @@ def skip_head(msgs: DataFrame, n: int = 1) -> DataFrame:
     return msgs.where(F.col("pos") >= n)
 
 
-def _part_text(e: Column) -> Column:
-    """A rich-text part: a string, or an object whose ``text`` is a string or a list
-    of strings / objects with string ``text``."""
-    as_str = F.try_variant_get(e, "$", "string")
-    inner = F.try_variant_get(e, "$.text", "array<variant>")
-    inner_join = F.array_join(F.transform(inner, lambda x: F.coalesce(
-        F.try_variant_get(x, "$.text", "string"), F.try_variant_get(x, "$", "string"), F.lit(""))), "")
-    inner_v = F.try_variant_get(e, "$.text", "variant")
-    obj = F.when(F.schema_of_variant(inner_v).startswith("ARRAY"), inner_join) \
-        .otherwise(F.try_variant_get(e, "$.text", "string"))
-    return F.when(F.schema_of_variant(e).startswith("OBJECT"), F.coalesce(obj, F.lit(""))) \
-        .otherwise(F.coalesce(as_str, F.lit("")))
+def plain_text(value) -> str:
+    """The text of a rich-text value of any depth: strings as they are, lists end to end, objects
+    by their ``text``. Anything else is no text and raises."""
+    out, todo = [], [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif isinstance(x, list):
+            todo += reversed(x)
+        elif isinstance(x, dict) and "text" in x:
+            todo.append(x["text"])
+        else:
+            raise ValueError(f"not a text: {json.dumps(x)[:100]}")
+    return "".join(out)
 
 
 def flatten_rich_text(v) -> Column:
-    """VARIANT text -> string: strings as they are, lists joined without separator."""
+    """VARIANT text -> string: strings as they are, lists joined without separator, objects by
+    their ``text``, to any depth; null stays null, other values raise.
+
+    Strings and flat lists are column expressions; only deeper texts go through Python, as JSON."""
     c = v if isinstance(v, Column) else F.col(v)
     arr = F.try_variant_get(c, "$", "array<variant>")
-    joined = F.array_join(F.transform(arr, _part_text), "")
-    return F.when(c.isNull(), F.lit(None).cast("string")) \
-        .when(F.schema_of_variant(c).startswith("ARRAY"), joined) \
-        .otherwise(F.try_variant_get(c, "$", "string"))
+    is_text = lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False))
+    inner = lambda e: F.try_variant_get(e, "$.text", "variant")
+    flat = F.schema_of_variant(c).startswith("ARRAY") & F.forall(arr, lambda e: is_text(e) | is_text(inner(e)))
+    joined = F.array_join(F.transform(arr, lambda e: F.when(is_text(e), F.try_variant_get(e, "$", "string"))
+                                      .otherwise(F.try_variant_get(e, "$.text", "string"))), "")
 
+    @F.pandas_udf("string")
+    def deep_text(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else plain_text(json.loads(x)))
 
-def unsupported_text_shapes(msgs: DataFrame, col: str = "msg") -> DataFrame:
-    """Messages whose text nests deeper than list -> object -> list (counted, not parsed)."""
-    t = F.try_variant_get(F.col(col), "$.text", "variant")
-    deep = F.exists(F.coalesce(F.try_variant_get(t, "$", "array<variant>"), F.array().cast("array<variant>")),
-                    lambda e: F.exists(F.coalesce(F.try_variant_get(e, "$.text", "array<variant>"),
-                                                  F.array().cast("array<variant>")),
-                                       lambda x: F.schema_of_variant(x).startswith("ARRAY")
-                                       | (F.schema_of_variant(F.try_variant_get(x, "$.text", "variant")) != "STRING")
-                                       & F.schema_of_variant(x).startswith("OBJECT")))
-    return msgs.where(deep)
+    void = c.isNull() | (F.schema_of_variant(c) == "VOID")
+    simple = F.coalesce(void | is_text(c) | flat, F.lit(False))
+    return F.when(void, F.lit(None).cast("string")).when(is_text(c), F.try_variant_get(c, "$", "string")) \
+        .when(F.coalesce(flat, F.lit(False)), joined).otherwise(deep_text(F.when(~simple, F.to_json(c))))
 
 
 def normalize_export(msgs: DataFrame, col: str = "msg") -> DataFrame:
@@ -122,13 +141,15 @@ def _json_str(c: Column) -> Column:
 
 def _message_json(rich_every: int = 7) -> Column:
     """One export message object as JSON text; every ``rich_every``-th text is a
-    rich-text list ``["head ", {"type": "bold", "text": "tail"}]``."""
+    rich-text list ``["head ", {"type": "bold", "text": "tail"}]``, and the one after it nests deeper."""
     text = F.col("text")
     sp = F.instr(text, " ")
     rich = F.concat(F.lit("["), _json_str(F.substr(text, F.lit(1), sp)), F.lit(',{"type":"bold","text":'),
                     _json_str(F.substr(text, sp + 1)), F.lit("}]"))
-    use_rich = (F.pmod(F.col("id"), F.lit(rich_every)) == 0) & (sp > 0)
-    text_json = F.when(use_rich, rich).otherwise(_json_str(text))
+    deep = F.concat(F.lit('{"type":"quote","text":['), _json_str(F.substr(text, F.lit(1), sp)), F.lit(',[{"text":{"text":['),
+                    _json_str(F.substr(text, sp + 1)), F.lit("]}}]]}"))
+    nth = F.pmod(F.col("id"), F.lit(rich_every))
+    text_json = F.when((nth == 0) & (sp > 0), rich).when((nth == 1) & (sp > 0), deep).otherwise(_json_str(text))
     reply = F.when(F.col("reply_to_message_id").isNotNull(),
                    F.concat(F.lit(',"reply_to_message_id":'), F.col("reply_to_message_id").cast("string"))) \
         .otherwise(F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,10 +14,28 @@ def jsonl_sink(examples: DataFrame, path: str, split_col: str = "split") -> None
         .option("ignoreNullFields", "true").json(path)
 
 
-def parquet_log_sink(msgs: DataFrame, path: str) -> None:
-    """Message log partitioned by chat (the per-chat files of the live bot). The
-    rebalance hint keeps the file count per chat low while AQE splits a hot chat."""
-    msgs.hint("rebalance", "chat_id").write.mode("append").partitionBy("chat_id").parquet(path)
+#: Folders of a message log. Chats share them by hash, so millions of chats don't make millions of folders.
+LOG_BUCKETS = 64
+
+
+def log_bucket(n: int = LOG_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64("chat_id"), F.lit(n)).cast("int")
+
+
+def parquet_log_sink(msgs: DataFrame, path: str, buckets: int = LOG_BUCKETS) -> None:
+    """Message log in folders by a hash of the chat (``log_bucket``); the chat stays a column.
+    The rebalance hint keeps the files per folder few while AQE splits a hot chat."""
+    msgs.withColumn("log_bucket", log_bucket(buckets)).hint("rebalance", "log_bucket") \
+        .write.mode("append").partitionBy("log_bucket").parquet(path)
+
+
+def read_log(spark, path: str, chat_id: int | None = None, buckets: int = LOG_BUCKETS) -> DataFrame:
+    """A message log; of one chat, only its folder is read."""
+    log = spark.read.parquet(path)
+    if chat_id is not None:
+        bucket = F.pmod(F.xxhash64(F.lit(chat_id).cast("bigint")), F.lit(buckets)).cast("int")
+        log = log.where((F.col("log_bucket") == bucket) & (F.col("chat_id") == chat_id))
+    return log.drop("log_bucket")
 
 
 def read_jsonl(spark, path: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from chatprep.operators import routing as R
 from chatprep.session import scratch_path
+from chatprep.sources.sinks import LOG_BUCKETS, log_bucket
 
 # Python workers need not have this package installed: its UDF code travels by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -138,25 +139,28 @@ def stream_prompts(routed: DataFrame, system_json: str | None) -> DataFrame:
         .select("chat_id", "id", "action", prompt.alias("prompt"))
 
 
-def stream_append(stream: DataFrame, path: str, checkpoint: str, partition_by: str = "chat_id"):
-    """Durable per-chat message log (parquet, append) with a recovery checkpoint."""
-    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint) \
-        .partitionBy(partition_by).outputMode("append")
+def stream_append(stream: DataFrame, path: str, checkpoint: str, buckets: int = LOG_BUCKETS):
+    """Durable message log (parquet, append) with a recovery checkpoint, in folders by a hash of
+    the chat; ``sources.sinks.read_log`` reads it."""
+    return stream.withColumn("log_bucket", log_bucket(buckets)).writeStream.format("parquet") \
+        .option("path", path).option("checkpointLocation", checkpoint).partitionBy("log_bucket").outputMode("append")
 
 
-def run_available_now(stream: DataFrame, name: str, partition_by: str | None = None) -> str:
+def finish(query) -> None:
+    """Waits for a query with an ``availableNow`` trigger; raises if it failed."""
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
+def run_available_now(stream: DataFrame, name: str, run: str | None = None) -> str:
     """Run a streaming query over everything available, write it to a parquet sink in
-    the shared scratch folder and return the sink path."""
+    the shared scratch folder and return the sink path. A query with the ``run`` of an
+    earlier one goes on from its checkpoint, state included."""
     spark = stream.sparkSession
-    run = uuid.uuid4().hex[:12]
+    run = run or uuid.uuid4().hex[:12]
     out = scratch_path(spark, "streams", name, run, "out")
     ck = scratch_path(spark, "streams", name, run, "checkpoint")
-    w = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck) \
-        .outputMode("append").trigger(availableNow=True)
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    q = w.start()
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    finish(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+           .outputMode("append").trigger(availableNow=True).start())
     return out

@@ -4,6 +4,8 @@ import json
 import os
 import time
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from chatprep import constants as K
@@ -57,7 +59,31 @@ def test_golden_export(spark, tmp_path):
     ]
     everything = X.export_scan(spark, str(tmp_path / "*" / "result.json"))
     assert everything.select("chat_id").distinct().count() == 2
-    assert X.unsupported_text_shapes(raw).count() == 0
+
+
+def test_rich_text_of_any_depth(spark):
+    texts = ['"plain"', '{"text":"obj top"}', '["a",["b","c"]]', '["a",{"text":{"text":"deep"}}]', '["a",{"text":["x",["q"]]}]',
+             '["a",{"type":"bold","text":"b"}]', "[]", "null"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(X.flatten_rich_text(F.parse_json("t")).alias("x"))
+    assert [r.x for r in df.collect()] == ["plain", "obj top", "abc", "adeep", "axq", "ab", "", None]
+    for bad in ("5", '["a",7]', '{"no":"text"}'):
+        with pytest.raises(Exception, match="not a text"):
+            spark.createDataFrame([(bad,)], "t string").select(X.flatten_rich_text(F.parse_json("t"))).collect()
+
+
+def test_line_positions_do_not_depend_on_ids(spark, tmp_path):
+    (tmp_path / "chatL").mkdir()
+    heads = [{"id": 10, "text": "head"}, {"id": -5, "text": "a"}, {"text": "b"}, {"id": 11, "text": "c"}]
+    lines = heads + [{"id": 20 + k, "text": "x" * 50} for k in range(400)]
+    (tmp_path / "chatL" / "part.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # several splits of one file
+    try:
+        raw = X.export_lines_scan(spark, str(tmp_path / "*" / "part.jsonl"))
+        got = sorted((r.pos, r.t) for r in X.skip_head(raw).select("pos", F.variant_get("msg", "$.text", "string").alias("t")).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(k, x["text"]) for k, x in enumerate(lines)][1:]
 
 
 def test_history_csv_roundtrip(spark, tmp_path):
