@@ -81,33 +81,34 @@ def parse_record_replies(c, bot_name) -> Column:
     following part is a record (its end marker was consumed by the split). Records
     are taken while they parse and come from the bot; placeholder texts are skipped.
     """
-    s = _c(c)
     bot = bot_name if isinstance(bot_name, Column) else F.lit(bot_name)
-    parts = F.split(s, _END_RE, -1)
-    first = F.split(F.get(parts, 0), _SEP_RE, -1)
-    first_reply = F.struct(F.get(first, 0).alias("text"),
-                           F.trim(F.get(first, 1)).try_cast("bigint").alias("reply_to_message_id"))
-    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    # each part lost its end marker to the split and holds no other one: it decodes
-    # when it has a begin marker and 4 or 5 fields. Split once per part, then read
-    # the fields from the bound array (no re-evaluation inside the lambda).
-    has_begin = F.transform(rest, lambda p: p.contains(K.BEGIN_MSG))
-    fields = F.transform(rest, lambda p: F.split(F.replace(p, F.lit(K.BEGIN_MSG), F.lit("")), _SEP_RE, -1))
-    recs = F.transform(fields, lambda f, i: F.when(
-        F.element_at(has_begin, i + 1) & F.size(f).isin(4, 5),
-        F.struct(F.get(f, 0).alias("id"), F.get(f, 1).alias("time"), F.get(f, 2).alias("from"),
-                 F.get(f, 3).alias("text"), F.when(F.size(f) == 5, F.get(f, 4)).alias("reply_to_message_id"))))
-    bad = F.transform(recs, lambda r: r.isNull() | (r["from"] != bot))
-    stop = F.array_position(bad, True)
-    taken = F.when(stop == 0, recs).otherwise(F.slice(recs, 1, F.greatest(stop - 1, F.lit(0))))
-    # slice(arr, 1, 0) is an empty array
-    kept = F.filter(taken, lambda r: r["text"] != F.lit(K.PLACEHOLDER_TEXT))
-    follow = F.transform(kept, lambda r: F.struct(
-        r["text"].alias("text"),
-        F.trim(r["reply_to_message_id"]).try_cast("bigint").alias("reply_to_message_id")))
-    has_first = F.get(parts, 0).contains(K.SEP)
-    return F.when(has_first, F.concat(F.array(first_reply), follow)).otherwise(
-        F.array().cast("array<struct<text:string,reply_to_message_id:bigint>>"))
+    out_type = "array<struct<text:string,reply_to_message_id:bigint>>"
+    reply = lambda text, rid: F.struct(text.alias("text"), F.trim(rid).try_cast("bigint").alias("reply_to_message_id"))
+
+    def record(part: Column) -> Column:
+        # a part lost its end marker to the split: it is the bot's record when it has a begin
+        # marker, 4 or 5 fields and the bot as its sender
+        return _bind(F.split(F.replace(part, F.lit(K.BEGIN_MSG), F.lit("")), _SEP_RE, -1), lambda f: F.when(
+            part.contains(K.BEGIN_MSG) & F.size(f).isin(4, 5) & (F.get(f, 2) == bot),
+            reply(F.get(f, 3), F.when(F.size(f) == 5, F.get(f, 4)))))
+
+    def followed(records: Column) -> Column:
+        stop = F.array_position(F.transform(records, lambda r: r.isNull()), True)
+        taken = F.when(stop == 0, records).otherwise(F.slice(records, 1, F.greatest(stop - 1, F.lit(0))))
+        return F.filter(taken, lambda r: r["text"] != F.lit(K.PLACEHOLDER_TEXT))
+
+    def replies(parts: Column) -> Column:
+        first = _bind(F.split(F.get(parts, 0), _SEP_RE, -1), lambda f: F.array(reply(F.get(f, 0), F.get(f, 1))))
+        rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), record)
+        return F.when(F.get(parts, 0).contains(K.SEP), F.concat(first, _bind(rest, followed))).otherwise(
+            F.array().cast(out_type))
+
+    return _bind(F.split(_c(c), _END_RE, -1), replies)
+
+
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def is_pass_or_placeholder(text) -> Column:

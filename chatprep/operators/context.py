@@ -116,7 +116,8 @@ def context_budget(msgs: DataFrame, length: Column, budget_chars: int, last_n: i
 
 def context_at_each_message(msgs: DataFrame, length: Column, budget_chars: int, *,
                             payload: Column | None = None, order_col: str = "id",
-                            width: int = BLOCK_WIDTH, wanted: Column | None = None) -> DataFrame:
+                            width: int = BLOCK_WIDTH, wanted: Column | None = None,
+                            dense: bool = True) -> DataFrame:
     """Per message (anchor): the context the live path holds right after it arrives.
 
     Output: the anchor's columns plus ``n_context`` (messages kept), ``context_chars``
@@ -135,7 +136,7 @@ def context_at_each_message(msgs: DataFrame, length: Column, budget_chars: int,
         return (msgs if wanted is None else msgs.where(wanted)).withColumns(empty)
     m = msgs.withColumn("_len", length.cast("bigint"))
     m = number_rows(m, ["chat_id"], [order_col, "sent_at"], block_col=order_col,
-                    width=width, sums={"_P": F.col("_len")})
+                    width=width, dense=dense, sums={"_P": F.col("_len")})
     m = m.withColumn("_Q", F.col("_P") - F.col("_len"))
     if payload is None:
         return _context_counts(m, B, order_col, wanted)

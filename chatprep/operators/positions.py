@@ -10,11 +10,14 @@ and running sums of all earlier blocks of the chat). The data is shuffled once,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatprep.session import scratch_path
+
 BLOCK_WIDTH = 1 << 16
 NULL_BLOCK = -(1 << 62)
 
@@ -26,11 +29,25 @@ def block_of(col, width: int = BLOCK_WIDTH) -> Column:
     return ((c - F.pmod(c, F.lit(width))) / F.lit(width)).cast("bigint")
 
 
+def _by_range(x: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """``x`` dealt out by ranges of (key, order), with the range's number as ``_blk``.
+
+    Whatever the ids (far apart, repeated across keys), a range holds about an equal share of
+    the rows, and a key's ranges follow its order. The dealt rows are written once to the shared
+    folder: range bounds come from a sample, so they must not be drawn twice."""
+    spark = x.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "ranges", uuid.uuid4().hex)
+    dealt = x.repartitionByRange(n, "_gk", *order).withColumn("_blk", F.spark_partition_id().cast("bigint"))
+    dealt.write.parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path)
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], *,
                 block_col: str, width: int = BLOCK_WIDTH,
                 sums: Mapping[str, Column] | None = None,
                 pos_col: str = "pos", total_col: str | None = None,
-                sum_totals: bool = False) -> DataFrame:
+                sum_totals: bool = False, dense: bool = True) -> DataFrame:
     """Add a 0-based position ``pos_col`` within ``keys`` following ``order``.
 
     ``block_col`` must be integral and non-decreasing along ``order`` (normally the
@@ -40,16 +57,19 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     (message ids, ingest positions); for sparse values choose a larger ``width``.
     ``order`` should end in a unique tie-break for reproducible positions. ``sums`` maps new column names to non-negative per-row values and adds
     their running (inclusive) sums; ``total_col`` adds the row count of the key,
-    ``sum_totals`` the full sum per key as ``<name>_total``.
+    ``sum_totals`` the full sum per key as ``<name>_total``. ``dense=False`` makes no
+    assumption on ``block_col``: blocks are the parts of a range partitioning instead.
     """
     sums = dict(sums or {})
     keys = list(keys)
     # struct(keys) is never null and null fields compare equal, so rows of a null
     # chat are numbered like any other chat; null order values sort first and get
     # the lowest block. Join and window share the key (_gk, _blk): one exchange.
-    x = df.withColumns({"_gk": F.struct(*keys),
-                        "_blk": F.coalesce(block_of(block_col, width), F.lit(NULL_BLOCK)),
-                        **{f"_v_{n}": c.cast("bigint") for n, c in sums.items()}})
+    x = df.withColumns({"_gk": F.struct(*keys), **{f"_v_{n}": c.cast("bigint") for n, c in sums.items()}})
+    if dense:
+        x = x.withColumn("_blk", F.coalesce(block_of(block_col, width), F.lit(NULL_BLOCK)))
+    else:
+        x = _by_range(x, order)
 
     aggs = [F.count(F.lit(1)).alias("_bn")] + [F.sum(f"_v_{n}").alias(f"_bs_{n}") for n in sums]
     w_before = Window.partitionBy("_gk").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)

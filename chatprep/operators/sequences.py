@@ -20,9 +20,10 @@ SEQ_KEY = ["chat_id", "seq_id"]
 
 def with_scope(msgs: DataFrame, scope: str = "chat") -> DataFrame:
     """``scope='global'`` treats the whole table as one history (all chats joined
-    end to end, as a combined export is), ``'chat'`` keeps chats apart."""
+    end to end, as a combined export is; ``source_chat_id`` keeps the chat), ``'chat'``
+    keeps chats apart."""
     if scope == "global":
-        return msgs.withColumn("chat_id", F.lit(0).cast("bigint"))
+        return msgs.withColumn("source_chat_id", F.col("chat_id")).withColumn("chat_id", F.lit(0).cast("bigint"))
     if scope != "chat":
         raise ValueError(f"scope must be 'chat' or 'global', not {scope!r}")
     return msgs
@@ -33,8 +34,14 @@ TIEBREAK = ("sent_at", "sender", "text")
 
 def positions(msgs: DataFrame, order_col: str = "id", tiebreak=TIEBREAK, **kw) -> DataFrame:
     """0-based ``pos`` and chat size ``n_chat`` per message, ordered by ``order_col``
-    (duplicate ids are ordered by time, sender and text, so positions are reproducible)."""
+    (duplicate ids are ordered by time, sender and text, so positions are reproducible).
+
+    In a global scope ids say nothing about the order of different chats: a message's place is
+    the size of the chats before its own plus its place there. Ids may repeat and lie far apart
+    (``dense=False`` does the same for a scope of chats)."""
     order = [order_col] + [c for c in (tiebreak or ()) if c in msgs.columns]
+    if order_col == "id" and "source_chat_id" in msgs.columns:
+        order, kw = ["source_chat_id", *order], {**kw, "dense": False}
     return number_rows(msgs, ["chat_id"], order, block_col=order_col, total_col="n_chat", **kw)
 
 
@@ -136,12 +143,12 @@ def assemble_examples(turns: DataFrame, system_text: str | None = K.SYSTEM_TEXT_
 def build_sequences(msgs: DataFrame, *, length: int = K.SEQ_LEN_V1, min_len: int = K.SEQ_MIN_LEN,
                     max_id_gap: int | None = K.SEQ_MAX_ID_GAP, max_minutes: int | None = K.SEQ_MAX_MINUTES,
                     clock: str = "hhmm", drop_tail: bool = True, scope: str = "chat",
-                    relabel_by: str = "sender", order_col: str = "id") -> DataFrame:
+                    relabel_by: str = "sender", order_col: str = "id", dense: bool = True) -> DataFrame:
     """messages -> one row per kept sequence message, with seq ids and roles.
 
     Rows are taken in ``order_col`` order (an integral column: the message id, or an
     ingest position when ids repeat across the chats of a combined history)."""
-    m = positions(with_scope(msgs, scope), order_col=order_col)
+    m = positions(with_scope(msgs, scope), order_col=order_col, dense=dense)
     m = chunk_fixed(m, length, drop_tail)
     m = prefix_until_break(gap_breaks(m, max_id_gap, max_minutes, clock))
     m = filter_min_length(m, min_len)
@@ -154,12 +161,13 @@ def training_examples(msgs: DataFrame, *, system_text: str | None = K.SYSTEM_TEX
 
 
 def sequence_stats(msgs: DataFrame, *, length: int = K.SEQ_LEN_V1, min_len: int = K.SEQ_MIN_LEN,
-                   scope: str = "chat", **kw) -> DataFrame:
+                   max_id_gap: int | None = K.SEQ_MAX_ID_GAP, max_minutes: int | None = K.SEQ_MAX_MINUTES,
+                   clock: str = "hhmm", drop_tail: bool = True, scope: str = "chat", order_col: str = "id",
+                   dense: bool = True) -> DataFrame:
     """Per candidate chunk: how it ended (``full`` / ``id_gap`` / ``time_gap``), kept
     length and whether it was discarded as too short. Aggregated by reason."""
-    m = chunk_fixed(positions(with_scope(msgs, scope)), length, kw.pop("drop_tail", True))
-    m = gap_breaks(m, kw.pop("max_id_gap", K.SEQ_MAX_ID_GAP), kw.pop("max_minutes", K.SEQ_MAX_MINUTES),
-                   kw.pop("clock", "hhmm"))
+    m = chunk_fixed(positions(with_scope(msgs, scope), order_col=order_col, dense=dense), length, drop_tail)
+    m = gap_breaks(m, max_id_gap, max_minutes, clock)
     w = Window.partitionBy(*SEQ_KEY).orderBy("seq_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     m = m.withColumn("_cut", F.max((F.col("brk_id") | F.col("brk_time")).cast("int")).over(w))
     per = m.groupBy(*SEQ_KEY).agg(

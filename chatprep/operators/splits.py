@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chatprep import constants as K
 from chatprep.functions.hashing import seeded_md5, seeded_int
-from chatprep.operators.positions import BLOCK_WIDTH, number_rows
+from chatprep.operators.positions import number_rows
 from chatprep.session import scratch_path
 
 
@@ -72,15 +72,16 @@ def split_random(df: DataFrame, keys, frac: float = K.VALIDATION_FRAC, seed: int
 
 
 def split_ordered(df: DataFrame, order_col: str, test_frac: float = K.SEGMENT_TEST_FRAC, keys=(),
-                  names: tuple[str, str] = ("train", "test"), width: int = BLOCK_WIDTH) -> DataFrame:
+                  names: tuple[str, str] = ("train", "test"), dense: bool | None = None) -> DataFrame:
     """The first ``int(n * (1 - test_frac))`` rows in order are train, the rest test
     (n per ``keys`` group, or over the whole table). Ties of ``order_col`` are ordered by a hash
-    of the row, so every evaluation splits alike."""
+    of the row, so every evaluation splits alike. ``dense``: the order column is dense and unique
+    per group, as ids of one chat are (default: only with ``keys``)."""
     keys = list(keys)
     g = df if keys else df.withColumn("_all", F.lit(0))
     gk = keys or ["_all"]
     m = number_rows(g, gk, [order_col, F.xxhash64(*df.columns)], block_col=order_col, pos_col="_pos", total_col="_n",
-                    width=width)
+                    dense=bool(keys) if dense is None else dense)
     train_n = F.floor(F.col("_n") * F.lit(1.0 - test_frac)).cast("bigint")
     out = m.withColumn("split", F.when(F.col("_pos") < train_n, F.lit(names[0])).otherwise(F.lit(names[1])))
     return out.drop("_pos", "_n", *([] if keys else ["_all"]))

@@ -29,15 +29,21 @@ def _doc_sender():
     return F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.lit("")).otherwise(F.col("text"))
 
 
-@register("default_sender", sql=f"SELECT doc_id, COALESCE(NULLIF({DOC_SENDER_SQL}, ''), 'Anonym') AS sender FROM documents")
+@register("default_sender", sql=f"""SELECT doc_id, COALESCE(NULLIF(text, ''), 'Anonym') AS sender,
+  COALESCE(NULLIF({DOC_SENDER_SQL}, ''), 'Anonym') AS sender_or_blank FROM documents""")
 def q_default_sender(spark, sf):
-    return _docs(spark, sf).select("doc_id", TX.default_sender(_doc_sender()).alias("sender"))
+    """Every whole text as a sender, and the same with some made null or empty."""
+    return _docs(spark, sf).select("doc_id", TX.default_sender("text").alias("sender"),
+                                   TX.default_sender(_doc_sender()).alias("sender_or_blank"))
 
 
-@register("ascii_handle", sql=f"SELECT doc_id, {ascii_handle_sql(DOC_SENDER_SQL)} AS handle FROM documents")
+@register("ascii_handle", sql=f"""SELECT doc_id, {ascii_handle_sql('text')} AS handle,
+  {ascii_handle_sql(DOC_SENDER_SQL)} AS handle_or_blank FROM documents""")
 def q_ascii_handle(spark, sf):
-    """Handles folded from whole document texts (letters of four languages, '@', quotes)."""
-    return _docs(spark, sf).select("doc_id", TX.ascii_handle(_doc_sender()).alias("handle"))
+    """Handles folded from whole document texts (letters of four languages, '@', quotes), and
+    from the same with some made null or empty."""
+    return _docs(spark, sf).select("doc_id", TX.ascii_handle("text").alias("handle"),
+                                   TX.ascii_handle(_doc_sender()).alias("handle_or_blank"))
 
 
 @register("iso_to_hhmm", sql="""SELECT event_id, strftime(strptime(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '%Y-%m-%dT%H:%M:%S'), '%H:%M') AS hhmm
@@ -53,11 +59,13 @@ def q_unix_to_iso(spark, sf):
     return live_from_events(spark, sf).select("message_id", TX.unix_to_iso("date").alias("iso"))
 
 
-@register("current_hhmm")
+@register("current_hhmm", sql=f"""SELECT chat_id, max(id) AS last_id, strftime(max(sent_at), '%H:%M') AS now
+FROM ({events_messages_sql(3)}) GROUP BY chat_id""")
 def q_current_hhmm(spark, sf):
-    """Clock of the open record; the wall clock is not reproducible, so rows-only."""
-    return messages_from_events(spark, sf, 3).groupBy("chat_id").agg(F.max("id").alias("last_id")) \
-        .select("chat_id", "last_id", TX.current_hhmm().alias("now"))
+    """Clock of the open record, here as of each chat's newest message (so it can be reproduced)."""
+    return messages_from_events(spark, sf, 3).groupBy("chat_id").agg(
+        F.max("id").alias("last_id"), F.max("sent_at").alias("t")) \
+        .select("chat_id", "last_id", TX.current_hhmm(F.col("t")).alias("now"))
 
 
 @register("placeholder_text", sql=f"""SELECT message_id, COALESCE(NULLIF(text, ''), NULLIF(sticker_emoji, ''), '(image or file)') AS text

@@ -12,4 +12,4 @@ def test_entry_runs(spark):
 def test_every_query_has_sql_or_is_known_rows_only():
     q, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(q)
-    assert set(E.QUERIES) - set(E.ORACLE_SQL) == {"current_hhmm"}
+    assert set(E.QUERIES) == set(E.ORACLE_SQL)

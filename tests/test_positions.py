@@ -73,3 +73,31 @@ def test_single_exchange_between_join_and_window(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_ids_far_apart_and_repeated_across_chats(spark):
+    """No density assumption: ids a million apart, and a global order over chats that repeat ids."""
+    from chatprep.operators import context as C, segments as G, sequences as S, splits as P
+    far = spark.range(3000).selectExpr("id % 3 as chat_id", "id * 1000000 as id", "timestamp_seconds(id) as sent_at",
+                                       "'00:00' as hhmm", "concat('u', id % 2) as sender", "'hello' as text",
+                                       "cast(null as bigint) as reply_to_message_id")
+    rank = Window.partitionBy("chat_id").orderBy("id")
+    got = number_rows(far, ["chat_id"], ["id"], block_col="id", dense=False, total_col="n", sums={"s": F.length("text")})
+    want = far.withColumn("w", F.row_number().over(rank) - 1)
+    assert got.join(want.select("chat_id", "id", "w"), ["chat_id", "id"]).where("pos = w and n = 1000 and s = 5 * (w + 1)").count() == 3000
+    segs = G.segment_fixed(far, 10, dense=False)
+    assert segs.groupBy("chat_id", "seg_id").count().where("count = 10").count() == 300
+    ctx = C.context_at_each_message(far, F.length("text"), 12, dense=False)
+    assert ctx.where("n_context = 2").count() == 2997
+    same = far.withColumn("id", (F.col("id") / 3_000_000).cast("bigint"))  # 0..999 in every chat
+    whole = S.positions(S.with_scope(same, "global"))
+    assert whole.where("pos = source_chat_id * 1000 + id and n_chat = 3000").count() == 3000
+    train = P.split_ordered(same, "id", 0.5).where("split = 'train'")
+    assert train.count() == 1500 and train.agg(F.max("id")).first()[0] == 499
+
+
+def test_ranges_bound_the_largest_group(spark):
+    from chatprep.operators.positions import _by_range
+    x = spark.range(100_000).selectExpr("struct(1) as _gk", "id * 1000003 as id")
+    sizes = [r["count"] for r in _by_range(x, ["id"]).groupBy("_blk").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 2 * 100_000 / len(sizes)
