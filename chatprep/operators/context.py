@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from chatprep import constants as K
 from chatprep.functions.chat import encode_chat_turn, system_turn, turn_json_length
-from chatprep.functions.text import ascii_handle
+from chatprep.functions.records import encode_record, encode_record_prefix
+from chatprep.functions.text import ascii_handle, current_hhmm
 from chatprep.operators.positions import BLOCK_WIDTH, number_rows
 
 PROMPT_OVERHEAD = 16  # '{"messages": [' + ']}'
@@ -244,6 +245,50 @@ def chat_prompts_at_each_message(msgs: DataFrame, max_tokens: int = K.TOKEN_BUDG
     return c.withColumn("prompt", chat_prompt_json(F.col("context"), pre_prompt)).drop("context")
 
 
+def current_chat_prompts(msgs: DataFrame, max_tokens: int = K.TOKEN_BUDGET_APP, bot_name: str = K.BOT_NAME_API,
+                         pre_prompt: str | None = K.CHAT_PRE_PROMPT) -> DataFrame:
+    """(chat_id, n_turns, n_tokens, prompt): the chat prompt of each chat as it stands now, and its
+    size as the budget measures it. Chats whose newest message alone is too long have no row."""
+    import json
+    turn = encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id", bot_name)
+    cur = context_budget(msgs.withColumn("turn", turn), chat_turn_length(bot_name), chat_budget_chars(max_tokens, pre_prompt),
+                         min_length=MIN_CHAT_TURN_CHARS)
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("id", "turn"))), lambda e: e["turn"])
+    fixed = PROMPT_OVERHEAD if pre_prompt is None else PROMPT_OVERHEAD + len(
+        json.dumps({"role": "system", "content": pre_prompt}, ensure_ascii=False))
+    g = cur.groupBy("chat_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_turns"), turns.alias("turns"),
+                                   ((F.lit(fixed) + F.max("suffix_chars")) / K.CHARS_PER_TOKEN).cast("bigint").alias("n_tokens"))
+    return g.select("chat_id", "n_turns", "n_tokens", chat_prompt_json(F.col("turns"), pre_prompt).alias("prompt"))
+
+
+def next_message_id(msgs: DataFrame) -> DataFrame:
+    """(chat_id, next_id): the id that the next message of each chat would get."""
+    return msgs.groupBy("chat_id").agg((F.max("id") + 1).alias("next_id"))
+
+
+def context_prompts(msgs: DataFrame, pre_prompt: str, bot_name: str = K.BOT_NAME_LOCAL, clock: Column | None = None,
+                    budget_chars: int | None = None, last_n: int | None = None) -> DataFrame:
+    """(chat_id, prompt): the delimited prompt of each chat: preamble, the newest records, and an
+    open record for the bot with the chat's next id.
+
+    ``budget_chars`` bounds the preamble, records and open record together, as the local head's
+    budget does; the newest records that fit stay. ``last_n`` bounds their number (both None: all)."""
+    rec = F.concat(encode_record("id", "hhmm", "sender", "text", "reply_to_message_id"), F.lit("\n"))
+    clock = clock if clock is not None else current_hhmm()
+    open_record = lambda i: encode_record_prefix(i, clock, F.lit(bot_name))
+    m = msgs.withColumn("_rec", rec)
+    if budget_chars is not None:
+        # the open record is longest for the largest id there can be
+        spare = budget_chars - len(pre_prompt) - len(K.BEGIN_MSG + 3 * K.SEP + bot_name) - 5 - 19
+        kept = context_budget(m, F.length("_rec"), spare, last_n, min_length=len(K.BEGIN_MSG + 4 * K.SEP + K.END_MSG) + 1)
+    else:
+        kept = m if last_n is None else last_n_per_chat(m, last_n)
+    body = F.transform(F.array_sort(F.collect_list(F.struct("id", "_rec"))), lambda e: e["_rec"])
+    g = next_message_id(msgs).join(kept.groupBy("chat_id").agg(F.array_join(body, "").alias("_body")), "chat_id", "left")
+    return g.select("chat_id", F.concat(F.lit(pre_prompt), F.coalesce("_body", F.lit("")), open_record(F.col("next_id")))
+                    .alias("prompt"))
+
+
 MODEL_ACTIONS = ("joke", "random", "trigger", "reply_to_bot")
 
 

@@ -35,3 +35,8 @@ def response_violations(responses: DataFrame, mode: str = "local", bot_name: str
     """Prompts whose answer parses to more than one reply (the API head allows one)."""
     n = F.size(parse_record_replies(text_col, bot_name)) if mode == "local" else F.lit(1)
     return responses.select("chat_id", "prompt_id", n.cast("bigint").alias("n_replies")).where(F.col("n_replies") > 1)
+
+
+def union_bot_messages(msgs: DataFrame, sent: DataFrame, bot_name: str = K.BOT_NAME_API) -> DataFrame:
+    """The bot's sent messages (columns of ``msgs``, without a sender) join the history."""
+    return msgs.unionByName(sent.withColumn("sender", F.lit(bot_name)), allowMissingColumns=True)

@@ -113,7 +113,7 @@ def q_first_preview(spark, sf):
 @register("ingest_stats", sql=f"WITH {EXPORT_SQL} SELECT chat_id, CAST(count(*) AS BIGINT) AS n_messages FROM e GROUP BY chat_id")
 def q_ingest_stats(spark, sf):
     m = X.normalize_export(X.skip_head(_export_msgs(spark, sf)))
-    return m.groupBy("chat_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_messages"))
+    return X.ingest_stats(m)
 
 
 @register("union_exports", sql=f"WITH {EXPORT_SQL} SELECT chat_id, id FROM e")
@@ -146,6 +146,16 @@ def _csv(spark, sf, by_chat=False) -> str:
 _CSV_ROWS = f"""SELECT id, hhmm AS time, sender AS "from", text, reply_to_message_id FROM ({events_messages_sql(3)})"""
 
 
+@register("history_csv_lines", sql=f"SELECT doc_id AS id, COALESCE(text, '') AS text FROM documents")
+def q_history_csv_lines(spark, sf):
+    """Whole document texts, line breaks included, through the form of one line per record."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    path = _run_dir(spark, "derived", "history_csv_lines", _tag(sf))
+    H.history_csv_sink(d.select(F.col("doc_id").alias("id"), F.lit("00:00").alias("hhmm"), F.col("source").alias("sender"), "text",
+                                F.lit(None).cast("bigint").alias("reply_to_message_id")), path, line_safe=True)
+    return H.history_csv_scan(spark, path, line_safe=True).select("id", "text")
+
+
 @register("history_csv_scan", sql=_CSV_ROWS)
 def q_csv_scan(spark, sf):
     return H.history_csv_scan(spark, _csv(spark, sf))

@@ -98,14 +98,7 @@ SELECT chat_id, CAST(count(*) AS BIGINT) AS n_turns,
        '{{"messages":[' || '{_sq(_SYS_JSON)}' || ',' || string_agg(tj, ',' ORDER BY id) || ']}}' AS prompt
 FROM s WHERE suf <= {_BUDGET} GROUP BY chat_id""")
 def q_chat_prompt(spark, sf):
-    m = _conv(spark, sf)
-    turn = encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id", K.BOT_NAME_API)
-    cur = C.context_budget(m.withColumn("turn", turn), C.chat_turn_length(), _BUDGET, last_n=None,
-                           min_length=C.MIN_CHAT_TURN_CHARS)
-    g = cur.groupBy("chat_id").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_turns"),
-        F.transform(F.array_sort(F.collect_list(F.struct("id", "turn"))), lambda e: e["turn"]).alias("turns"))
-    return g.select("chat_id", "n_turns", C.chat_prompt_json(F.col("turns")).alias("prompt"))
+    return C.current_chat_prompts(_conv(spark, sf), _MAX_TOK).select("chat_id", "n_turns", "prompt")
 
 
 @register("prompt_size", sql=f"""WITH m AS ({CONV_MESSAGES_SQL}),
@@ -116,10 +109,7 @@ SELECT chat_id, CAST(({16 + len(json.dumps({"role": "system", "content": K.CHAT_
 FROM s WHERE suf <= {_BUDGET} GROUP BY chat_id""")
 def q_prompt_size(spark, sf):
     """Prompt size in tokens (characters div 3) as the budget measures it."""
-    m = _conv(spark, sf)
-    cur = C.context_budget(m, C.chat_turn_length(), _BUDGET, last_n=None, min_length=C.MIN_CHAT_TURN_CHARS)
-    fixed = C.PROMPT_OVERHEAD + len(json.dumps({"role": "system", "content": K.CHAT_PRE_PROMPT}, ensure_ascii=False))
-    return cur.groupBy("chat_id").agg(((F.lit(fixed) + F.max("suffix_chars")) / 3).cast("bigint").alias("n_tokens"))
+    return C.current_chat_prompts(_conv(spark, sf), _MAX_TOK).select("chat_id", "n_tokens")
 
 
 _LOCAL_PRE = K.local_pre_prompt(K.BOT_NAME_LOCAL)
@@ -134,18 +124,29 @@ FROM l GROUP BY chat_id""")
 def q_context_prompt(spark, sf):
     """Delimited prompt of the newest 20 messages: preamble, records, open record
     for the bot (last id + 1, a fixed clock here for reproducibility)."""
-    last = C.last_n_per_chat(_conv(spark, sf), 20)
-    rec = F.concat(encode_record("id", "hhmm", "sender", "text", "reply_to_message_id"), F.lit("\n"))
-    g = last.groupBy("chat_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", rec.alias("r")))), lambda e: e["r"]), "")
-        .alias("_body"), (F.max("id") + 1).alias("_next"))
-    open_rec = encode_record_prefix(F.col("_next"), F.lit("12:00"), F.lit(K.BOT_NAME_LOCAL))
-    return g.select("chat_id", F.concat(F.lit(_LOCAL_PRE), "_body", open_rec).alias("prompt"))
+    return C.context_prompts(_conv(spark, sf), _LOCAL_PRE, clock=F.lit("12:00"), last_n=20)
+
+
+_PROMPT_CHARS = 900
+_OPEN = len(f"[MSG][FS][FS]{K.BOT_NAME_LOCAL}[FS]") + 5 + 19
+
+
+@register("context_prompt_budget", sql=f"""WITH m AS ({CONV_MESSAGES_SQL}),
+r AS (SELECT *, '[MSG]' || CAST(id AS VARCHAR) || '[FS]' || hhmm || '[FS]' || sender || '[FS]' || text || '[FS]'
+  || COALESCE(CAST(reply_to_message_id AS VARCHAR), '') || '[MEG]' || chr(10) AS rec FROM m),
+s AS (SELECT *, sum(length(rec)) OVER (PARTITION BY chat_id ORDER BY id DESC ROWS UNBOUNDED PRECEDING) AS suf FROM r),
+b AS (SELECT chat_id, string_agg(rec, '' ORDER BY id) AS body FROM s WHERE suf <= {_PROMPT_CHARS - len(_LOCAL_PRE) - _OPEN} GROUP BY chat_id)
+SELECT chat_id, '{_sq(_LOCAL_PRE)}' || COALESCE(body, '') || '[MSG]' || CAST(max(id) + 1 AS VARCHAR)
+  || '[FS]12:00[FS]{K.BOT_NAME_LOCAL}[FS]' AS prompt
+FROM m LEFT JOIN b USING (chat_id) GROUP BY chat_id, body""")
+def q_context_prompt_budget(spark, sf):
+    """The delimited prompt trimmed to a budget of characters, as the local head does."""
+    return C.context_prompts(_conv(spark, sf), _LOCAL_PRE, clock=F.lit("12:00"), budget_chars=_PROMPT_CHARS)
 
 
 @register("next_message_id", sql=f"""SELECT chat_id, max_by(id, id) + 1 AS next_id FROM ({events_messages_sql(3)}) GROUP BY chat_id""")
 def q_next_id(spark, sf):
-    return messages_from_events(spark, sf, 3).groupBy("chat_id").agg((F.max_by("id", "id") + 1).alias("next_id"))
+    return C.next_message_id(messages_from_events(spark, sf, 3))
 
 
 # ------------------------------------------------------------------ live adapter + routing
@@ -293,10 +294,10 @@ def q_allowed(spark, sf):
 @register("allow_list_semi", sql=f"""WITH lm AS ({LIVE_MSGS_SQL}), al AS (SELECT * FROM (VALUES (0), (2)) t(chat_id))
 SELECT chat_id, id FROM lm SEMI JOIN al USING (chat_id)""")
 def q_allow_semi(spark, sf):
-    """Allow-list as a table: a broadcast semi-join (the list is a handful of chat ids)."""
+    """Allow-list as a table."""
     allow = spark.createDataFrame([(0,), (2,)], "chat_id bigint")
     m = normalize_live(live_from_events(spark, sf, 3))
-    return m.join(F.broadcast(allow), "chat_id", "left_semi").select("chat_id", "id")
+    return R.allow_list_semi(m, allow).select("chat_id", "id")
 
 
 _START = 1704067200 + 5 * 86400  # process start: midnight of 2024-01-06 UTC
@@ -439,8 +440,8 @@ SELECT chat_id, max(id) + 1 AS id, '{K.BOT_NAME_API}' AS sender FROM lm GROUP BY
 def q_union_bot(spark, sf):
     """The bot's sent replies join the history (one reply per chat after its last message here)."""
     m = normalize_live(live_from_events(spark, sf, 3))
-    sent = m.groupBy("chat_id").agg((F.max("id") + 1).alias("id")).withColumn("sender", F.lit(K.BOT_NAME_API))
-    return m.select("chat_id", "id", "sender").unionByName(sent)
+    sent = C.next_message_id(m).withColumnRenamed("next_id", "id")
+    return RS.union_bot_messages(m.select("chat_id", "id", "sender"), sent)
 
 
 @register("parse_responses", sql=f"""SELECT 'api' AS mode, * FROM ({ORACLE_SQL['filter_responses']})

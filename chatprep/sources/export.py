@@ -128,6 +128,11 @@ def normalize_export(msgs: DataFrame, col: str = "msg") -> DataFrame:
     )
 
 
+def ingest_stats(msgs: DataFrame) -> DataFrame:
+    """Messages read of each export."""
+    return msgs.groupBy("chat_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_messages"))
+
+
 def first_message_preview(msgs: DataFrame) -> DataFrame:
     """First message of each export (after the head is skipped)."""
     return msgs.groupBy("chat_id").agg(F.min_by(F.struct("pos", "id", "sender", "text"), "pos").alias("first")) \

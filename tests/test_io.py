@@ -199,3 +199,18 @@ def test_seeded_stream_over_batches(spark, tmp_path):
     got = {tuple(r) for r in res.select("chat_id", "id", "n_context", "context_chars").collect()}
     batch = C.context_at_each_message(normalize_live(lv), F.length("text") + 2, 250).where(F.col("id") >= cut1)
     assert got == {tuple(r) for r in batch.select("chat_id", "id", "n_context", "context_chars").collect()}
+
+
+def test_history_csv_lines_split_one_file(spark, tmp_path):
+    texts = ["a;b", 'quote " in', "new\nline\r\nx", "back\\slash", "\\n", "\\\\n\n", "nan", "😀", ""]
+    rows = [(1, i, "2024-01-01 00:00:00", "Ann\nB", texts[i % len(texts)], None) for i in range(2000)]
+    path = str(tmp_path / "csv")
+    H.history_csv_sink(messages_df(spark, rows).coalesce(1), path, line_safe=True)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        back = H.history_csv_scan(spark, path, line_safe=True)
+        assert back.rdd.getNumPartitions() > 3
+        assert [(r.id, r["from"], r.text) for r in back.orderBy("id").collect()] == [(r[1], r[3], r[4]) for r in rows]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
