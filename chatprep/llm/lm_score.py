@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from chatprep.llm.common import Scratch
 
 #: Words of a shard (a longer text is a shard of its own) and entries of a bucket, about.
-SHARD_WORDS = 2_000_000
-BUCKET_ENTRIES = 1_000_000
+SHARD_WORDS = 1_000_000
+BUCKET_ENTRIES = 500_000
 #: Buckets of context frequency: one for each power of two up to 2^FREQ_BUCKETS.
 FREQ_BUCKETS = 24
 #: Steps of a ratio of probabilities, per factor e, in the table of deleted counts, and its range.
@@ -129,15 +129,15 @@ class _Shard:
     def of(cls, words: bytes, ids: bytes, lengths: list[int], parts: list[int]) -> _Shard:
         names = zlib.decompress(words).split(b" ")
         hashes = _word_hashes([b"", b" ", *names[1:]])
-        tokens = _unpack(ids, np.uint32).astype(np.int64)
+        tokens = _unpack(ids, np.uint32).astype(np.int32)
         n = np.array(lengths, np.int64)
         context = np.empty_like(tokens)
         context[1:] = tokens[:-1]
         context[np.concatenate([[0], np.cumsum(n)[:-1]])] = START
-        keys, pair_of = np.unique(context * len(hashes) + tokens, return_inverse=True)
+        keys, pair_of = np.unique(context.astype(np.int64) * len(hashes) + tokens, return_inverse=True)
         pairs = _pair_hashes(hashes[keys // len(hashes)], hashes[keys % len(hashes)])
-        return cls(hashes, tokens, np.repeat(np.arange(len(n)), n), pairs, pair_of, context,
-                   np.repeat(np.array(parts, np.int64), n))
+        return cls(hashes, tokens, np.repeat(np.arange(len(n), dtype=np.int32), n), pairs, pair_of.astype(np.int32),
+                   context, np.repeat(np.array(parts, np.int8), n))
 
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, deleted count, retained count) of words, with START counted once a text, then pairs."""
