@@ -32,6 +32,8 @@ HEADLINE = [
     "chat_prompt",
     "route_messages",
     "response_plan",
+    "response_prompts",
+    "segments_per_split",
     "parse_record_replies",
     "normalize_export",           # variant export reader (write + read)
     "history_csv_scan",
