@@ -150,7 +150,7 @@ def test_duplicate_ids_last_wins(spark):
 def test_bot_turns_in_history(spark):
     """A history that contains the bot renders assistant turns (no failure), and the
     bot's folded name matches its folded handle."""
-    rows = [(1, 1, "2024-01-01 10:00:00", K.BOT_NAME_API, "moi", None), (1, 2, "2024-01-01 10:01:00", "FinGPTbot", "hei", None),
+    rows = [(1, 1, "2024-01-01 10:00:00", K.BOT_NAME_API, "moi", None), (1, 2, "2024-01-01 10:01:00", K.BOT_ALIASES[0], "hei", None),
             (1, 3, "2024-01-01 10:02:00", "Anna", "no?", 1)]
     df = messages_df(spark, rows)
     turns = df.select(encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id").alias("t")).collect()
