@@ -100,3 +100,14 @@ def draw_with_replacement(items: DataFrame, index_col: str, n_items: int, num_dr
     draws = spark.range(num_draws).withColumnRenamed("id", "draw") \
         .withColumn(index_col, seeded_int(seed, 0, max(n_items - 1, 0), "draw").cast("bigint"))
     return draws.join(items, on=index_col, how="inner")
+
+
+def draw_segments(segs: DataFrame, num_draws: int, seed: int = 42) -> DataFrame:
+    """``num_draws`` seeded draws (with replacement) of whole segments, of any number of chats:
+    ``draw`` and the rows of the segment drawn. No segments: no rows."""
+    keys = segs.select("chat_id", "seg_id").distinct().withColumn("_all", F.lit(0))
+    numbered = number_rows(keys, ["_all"], ["chat_id", "seg_id"], block_col="seg_id", pos_col="_index",
+                           dense=False).drop("_all")
+    n = numbered.count()  # one number
+    return draw_with_replacement(numbered, "_index", n, num_draws if n else 0, seed).drop("_index") \
+        .join(segs, ["chat_id", "seg_id"])

@@ -264,16 +264,14 @@ def q_head_sample(spark, sf):
     return P.head_sample(_ev(spark, sf, 3), "id", 100).select("id", "sender", "text")
 
 
-@register("eval_sample", sql=f"""WITH {seg_sql(events_messages_sql(None))},
-segs AS (SELECT DISTINCT seg_id FROM rec),
-d AS (SELECT range AS draw, {pmod_sql(seeded_u32_sql(SEED, 'range'), '(SELECT count(*) FROM segs)')} AS seg_id FROM range(200))
-SELECT d.draw, rec.seg_id, rec.seg_pos, rec.record FROM d JOIN rec USING (seg_id)""")
+@register("eval_sample", sql=f"""WITH {seg_sql(events_messages_sql(3))},
+segs AS (SELECT chat_id, seg_id, row_number() OVER (ORDER BY chat_id, seg_id) - 1 AS i FROM (SELECT DISTINCT chat_id, seg_id FROM rec)),
+d AS (SELECT range AS draw, {pmod_sql(seeded_u32_sql(SEED, 'range'), '(SELECT count(*) FROM segs)')} AS i FROM range(200))
+SELECT d.draw, chat_id, seg_id, rec.seg_pos, rec.record FROM d JOIN segs USING (i) JOIN rec USING (chat_id, seg_id)""")
 def q_eval_sample(spark, sf):
-    segs = G.build_segments(_ev(spark, sf, None), seed=SEED)
-    last = segs.agg(F.max("seg_id")).first()[0]  # one number reaches the driver
-    n_seg = 0 if last is None else last + 1
-    d = P.draw_with_replacement(segs, "seg_id", n_seg, 200 if n_seg else 0, SEED)
-    return d.select("draw", "seg_id", "seg_pos", "record")
+    """200 draws of segments over all chats."""
+    d = P.draw_segments(G.build_segments(_ev(spark, sf, 3), seed=SEED), 200, SEED)
+    return d.select("draw", "chat_id", "seg_id", "seg_pos", "record")
 
 
 @register("custom_renderer", sql=f"""WITH {seg_sql(CONV_MESSAGES_SQL)}
