@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct words that a worker remembers; beyond, it starts again (results don't change).
-MAX_REMEMBERED = 500_000
+MAX_REMEMBERED = 300_000
 _SPLIT = re.compile(r"[ \n\t\r\f\v]+")
 # A common split pattern, and what it comes to for lower-case printable ASCII.
 _KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
