@@ -141,8 +141,10 @@ def block_pairs(blocks: DataFrame, bits: int) -> DataFrame:
         levels.append(_upper(levels[-1], F.col("parent")).withColumn("parent", parent(F.col("id"))))
         top >>= FAN.bit_length() - 1
     roots = sorted(tuple(r) for r in levels[-1].select("id", "mask", "pattern").collect())  # at most FAN
+    # Python counts the bits of the absolute value, so the 64 bits are taken without their sign
     pairs = spark.createDataFrame(
-        [(i, j) for i, m, p in roots for j, n, q in roots if i <= j and ((p ^ q) & m & n).bit_count() <= bits],
+        [(i, j) for i, m, p in roots for j, n, q in roots
+         if i <= j and ((p ^ q) & m & n & (1 << 64) - 1).bit_count() <= bits],
         "a bigint, b bigint")
     for nodes in reversed(levels[:-1]):
         side = lambda s: nodes.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "mask", "pattern", "parent")])  # noqa: B023,E731

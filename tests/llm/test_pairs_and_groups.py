@@ -1,6 +1,7 @@
 """SimHash groups, connected components, decontamination: against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -82,6 +83,34 @@ def test_forest_joins_what_lies_near():
     assert all(bin(int(p) ^ int(q)).count("1") <= 6 for p, q in zip(x, y)) and len(x)
 
 
+@pytest.mark.parametrize("ranges", [32, 64])
+def test_links_over_roots_that_differ_in_the_top_bit(spark, ranges, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 4)
+    monkeypatch.setattr(S, "BLOCKS_PER_RANGE", 1)
+    rnd = random.Random(7)
+    fps = set()
+    for _ in range(ranges // 4):  # two ranges of near fingerprints, and their copies across bit 63
+        base = rnd.getrandbits(63)
+        fps |= {base ^ low ^ top for low in (0, 1, 2, 3, 4, 5, 6, 7) for top in (0, 1 << 63 | 1 << 59)}
+    fps = sorted(fps)
+    assert len(fps) == ranges * 4
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(3)
+    member = connected_components(S.links(df, len(fps), 3, Scratch(spark, "t")), Scratch(spark, "t"))
+    groups = {}
+    for r in member.collect():
+        groups.setdefault(r.label, set()).add(r.node % (1 << 64))
+    label = {f: f for f in fps}
+    for a, b in itertools.combinations(fps, 2):
+        if bin(a ^ b).count("1") <= 3 and label[a] != label[b]:
+            old, new = label[a], label[b]
+            label = {f: new if g == old else g for f, g in label.items()}
+    want = {}
+    for f, g in label.items():
+        want.setdefault(g, set()).add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
 def test_one_of_each_group(spark, texts):
     df = spark.createDataFrame([(d, t, 7, "s") for d, t in texts] + [(203, "one", 7, "s")],
                                "doc_id long, text string, group_key int, fingerprint string")
