@@ -37,6 +37,21 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 SKIPPED = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video",
            "title", "textarea", "select", "button", "head"}
 RAW = {"script", "style", "noscript", "template", "iframe", "title", "textarea"}
+# What can stand in head; what ends an unclosed skipped element; what ends svg and math, and where not.
+IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script",
+           "template"}
+BLOCK_TAGS = {"body", "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "div", "dl", "dt",
+              "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup",
+              "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot",
+              "th", "thead", "tr", "ul"}
+BREAKOUT = {"b", "big", "blockquote", "body", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2",
+            "h3", "h4", "h5", "h6", "hr", "i", "img", "li", "listing", "menu", "meta", "nobr", "ol", "p", "pre", "ruby", "s",
+            "small", "span", "strong", "strike", "sub", "sup", "table", "tt", "u", "ul", "var"}
+FOREIGN = {"svg", "math"}
+INTEGRATION = {"foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"}
+#: Start tags that end an open element of the name.
+ENDED_BY = {"button": {"button"}, "select": {"select", "input", "textarea"}}
+SCOPE = {"table", "caption", "td", "th", "object", "marquee"}
 ARTICLE = {"article", "main"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "header"}
 # Words in class, id and role attributes that name boilerplate.
@@ -76,16 +91,72 @@ class Block:
 
 def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
     """Blocks of text in page order, and the elements they stand in. Unclosed elements are closed
-    as HTML does for paragraphs and list items; end tags without a start are ignored."""
+    as HTML does for paragraphs, list items, head, button, select, svg and math; end tags without
+    a start are ignored. A skipped element without an end tag of its own ends at the first block
+    in it, where a browser would show the rest of the page inside it; for that the page is read
+    again, once."""
+    out, elements, unclosed = _parse(page, frozenset())
+    if unclosed:
+        out, elements, _ = _parse(page, unclosed)
+    return out, elements
+
+
+def _parse(page: str, unclosed: frozenset[int]) -> tuple[list[Block], list[Element], frozenset[int]]:
+    """Blocks, elements, and the places of skipped start tags that have no end tag of their own;
+    those at ``unclosed`` end at the first block in them."""
     elements = [Element("", -1)]
     stack, out = [0], []
     block: Block | None = None
     at, in_link, size = 0, 0, len(page)
+    in_body = False
+    places: dict[int, int] = {}  # where skipped elements start
+    starts: dict[int, int] = {}  # the same, of those without an end tag so far
+
+    def body_begins() -> None:
+        nonlocal in_body
+        in_body = True
+        for k in range(len(stack) - 1, 0, -1):
+            if elements[stack[k]].tag == "head":
+                del stack[k:]
+                break
+
+    def ends_skipped(tag: str) -> None:
+        """Closes the skipped elements that a start tag ends."""
+        if tag in BREAKOUT:
+            cut = 0
+            for k in range(len(stack) - 1, 0, -1):
+                if elements[stack[k]].tag in INTEGRATION:
+                    break
+                if elements[stack[k]].tag in FOREIGN:
+                    cut = k
+            if cut:
+                for e in stack[cut:]:
+                    if elements[e].tag in FOREIGN:
+                        starts.pop(e, None)
+                del stack[cut:]
+        for k in range(len(stack) - 1, 0, -1):
+            open_tag = elements[stack[k]].tag
+            if tag in ENDED_BY.get(open_tag, ()):
+                del stack[k:]
+                break
+            if open_tag in SCOPE:
+                break
+        if unclosed and tag in BLOCK_TAGS:
+            cut = 0
+            for k in range(len(stack) - 1, 0, -1):
+                if elements[stack[k]].skipped:
+                    if places.get(stack[k]) not in unclosed:
+                        break
+                    cut = k
+            if cut:
+                del stack[cut:]
 
     def text(chunk: str) -> None:
         nonlocal block
         if not chunk:
             return
+        if not in_body and not chunk.isspace():
+            body_begins()
         if any(elements[e].skipped for e in stack):
             return
         chunk = entities.unescape(chunk) if "&" in chunk else chunk
@@ -119,6 +190,17 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
                 text(m[0][9:-3])
             continue
         tag = name.lower()
+        if not m[1]:
+            if tag == "head" and in_body:
+                continue
+            if not in_body and tag not in IN_HEAD:
+                body_begins()
+            if any(elements[e].skipped for e in stack):
+                open_ = len(stack)
+                ends_skipped(tag)
+                if len(stack) < open_:
+                    flush()
+                    in_link = sum(elements[e].tag == "a" for e in stack)
         if tag == "br":
             if block is not None:
                 block.parts.append(" ")
@@ -128,6 +210,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
                 flush()
             for k in range(len(stack) - 1, 0, -1):
                 if elements[stack[k]].tag == tag:
+                    starts.pop(stack[k], None)
                     del stack[k:]
                     break
                 # an inline end tag doesn't close the blocks around it
@@ -164,9 +247,11 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
             continue
         if tag == "a":
             in_link += 1
+        if e.skipped and tag != "head":
+            starts[len(elements) - 1] = places[len(elements) - 1] = m.start()
         stack.append(len(elements) - 1)
     flush()
-    return out, elements
+    return out, elements, frozenset(starts.values())
 
 
 def evidence(block: Block, elements: list[Element]) -> float:

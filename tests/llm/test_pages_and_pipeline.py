@@ -59,6 +59,25 @@ def test_extract_boilerplate_kinds(spark):
     assert H.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<html><head><title>T</title><meta charset=utf-8><body><p>One<p>Two", "One\nTwo"),  # no </head>
+    ("<head><title>T</title><script>x</script><link rel=a><p>One", "One"),  # neither </head> nor <body>
+    ("<head><title>T</title> One", "One"),
+    ("<head></head><body><p>One<head><p>Two</body>", "One\nTwo"),  # a stray head
+    ("<div><p>One<button>Buy<p>Two</p> tail<div>Three</div></div><p>Four", "One\nTwo\ntail\nThree\nFour"),  # no </button>
+    ("<p>One</p><button>Buy<p>Two</p><button><div>Share</div></button><p>Three", "One\nTwo\nThree"),
+    ("<p>One</p><object><param name=a>Old<p>Two</p><object><p>Old</p></object><p>Three", "One\nTwo\nThree"),
+    ("<p>One</p><select><option>a<option>b<p>Two", "One\nTwo"),
+    ("<p>One</p><select><option>a<select><option>b</select><p>Two", "One\nTwo"),
+    ("<p>One</p><svg><g><text>icon<p>Two</p></svg><span>Three</span>", "One\nTwo\nThree"),
+    ("<p>One</p><svg><foreignObject><p>icon</p></foreignObject></svg><p>Two", "One\nTwo"),
+    ("<p>One</p><video><button>Buy<p>No</p></video><canvas>No<section>Two</section>", "One\nTwo"),
+    ("<button>Buy<video><p>No</p></video><p>One", "One"),
+])
+def test_unclosed_skipped_elements(page, want):
+    assert H.extract_text(page, np.zeros(7)) == want
+
+
 WARC_ROWS = [(3, "u3", "x"), (1, "u1", "x"), (2, "u2", None), (4, None, ""), (5, "a\r\nb: c", "é😀"), (5, "z", "é😀"),
              (None, "n", "x"), (None, "n2", "only null"), (None, "n3", "y"), (None, "n4", "only null"), (6, "q", "y" * 100_000),
              (7, "w", "y" * 100_000), (6, "v", "other")]
