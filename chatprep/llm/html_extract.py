@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 FIT_PAGES = 256
 #: Evidence of semantic elements and of boilerplate containers, in log-odds.
 IN_ARTICLE, IN_BOILERPLATE, TEXT_LIMIT = 4.0, -9.0, 1.5
+#: Inside an article, a word that names other things too takes the article's evidence back.
+AMBIGUOUS_IN_ARTICLE = -4.0
 #: Smoothness: same container, same grandparent, or only next to each other; siblings further apart.
 SAME, NEAR, NEXT, SIBLING = 1.0, 0.5, 0.1, 0.3
 
@@ -54,7 +56,8 @@ ENDED_BY = {"button": {"button"}, "select": {"select", "input", "textarea"}}
 SCOPE = {"table", "caption", "td", "th", "object", "marquee"}
 ARTICLE = {"article", "main"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "header"}
-# Words in class, id and role attributes that name boilerplate.
+# Class, id and role names of boilerplate. A name counts as a whole, or as a compound of these
+# words and of PARTS alone; AMBIGUOUS_WORDS are names, and ids made of headings, of other things too.
 BOILERPLATE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner", "banners", "sponsor", "sponsored", "promo",
     "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay",
@@ -63,20 +66,31 @@ BOILERPLATE_WORDS = {
     "replies", "disqus", "discussion", "share", "sharing", "social", "related", "recommended", "newsletter",
     "subscribe", "subscription", "login", "signup", "search", "copyright", "contentinfo", "complementary", "header",
 }
-COMMENT_WORDS = {"comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "discussion"}
+AMBIGUOUS_WORDS = {"promotion", "consent", "notice", "notices", "alert", "overlay", "rail", "menu", "navigation", "banner",
+                   "sponsor", "respond", "reply", "discussion", "share", "sharing", "social", "related", "recommended",
+                   "subscription", "search", "copyright", "header"}
+COMMENT_WORDS = {"comment", "comments", "commentlist", "replies", "disqus"}
+PARTS = {"slot", "box", "bar", "container", "wrapper", "wrap", "area", "block", "list", "item", "items", "link", "links",
+         "button", "buttons", "btn", "icon", "icons", "left", "right", "top", "bottom", "main", "primary", "secondary",
+         "site", "page", "global", "inner", "outer", "section", "panel", "unit", "form", "posts", "articles", "stories",
+         "recent", "entries", "popular", "leaderboard", "rectangle", "skyscraper", "placeholder", "toggle", "brand",
+         "body", "author", "content", "meta", "title", "text", "media", "policy", "message", "thread", "reader", "user"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>",
                     re.S)
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_SPLIT = re.compile(r"[-_:.0-9]+")
 
 
 @dataclass
 class Element:
     tag: str
     parent: int
-    named: bool = False      # its class, id or role names boilerplate
+    named: int = 0           # whether its class, id or role names boilerplate: 2 surely, 1 by an ambiguous word
+    own_comment: bool = False  # they name reader comments
     comment: bool = False    # it, or an element around it, holds reader comments
+    size: int = 0            # characters of the blocks in it
     has_article: bool = False
     skipped: bool = False
 
@@ -89,6 +103,25 @@ class Block:
     text: str = ""
 
 
+def names_in(tag: str, attributes: str) -> tuple[int, bool]:
+    """How surely class, id and role name boilerplate (0 to 2), and whether they name reader comments."""
+    named, comment = 0, False
+    for attribute, *values in _ATTRIBUTE.findall(attributes):
+        attribute = attribute.lower()
+        if attribute not in ("class", "id", "role") or (attribute == "id" and tag in HEADINGS):
+            continue
+        for name in "".join(values).lower().split():
+            parts = [x for x in _SPLIT.split(name) if x]
+            words = BOILERPLATE_WORDS.intersection(parts)
+            if not words or not all(x in words or x in PARTS for x in parts):
+                continue
+            # an id may be a heading's text, so a compound of ambiguous words makes it no surer
+            sure = not words <= AMBIGUOUS_WORDS or (len(parts) > 1 and attribute != "id")
+            named = max(named, 1 + sure)
+            comment = comment or not COMMENT_WORDS.isdisjoint(words)
+    return named, comment
+
+
 def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
     """Blocks of text in page order, and the elements they stand in. Unclosed elements are closed
     as HTML does for paragraphs, list items, head, button, select, svg and math; end tags without
@@ -98,9 +131,33 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
     out, elements, unclosed = _parse(page, frozenset())
     if unclosed:
         out, elements, _ = _parse(page, unclosed)
+    _settle(out, elements)
     return out, elements
 
 
+def _settle(blocks: list[Block], elements: list[Element]) -> None:
+    """Which elements hold comments, and which hold an article. On a page without an article, names
+    around most of its text count for nothing: they can't tell its parts from each other."""
+    for b in blocks:
+        elements[b.element].size += len(b.text)
+    for e in reversed(elements[1:]):  # children come after their parents
+        elements[e.parent].size += e.size
+    articles = []
+    for whole in (False, True):
+        for e in elements[1:]:
+            if whole and 2 * e.size > elements[0].size:
+                e.named, e.own_comment = 0, False
+            e.comment = e.own_comment or elements[e.parent].comment
+        articles = [e for e in elements if e.tag in ARTICLE and e.size and not e.comment]
+        if articles:
+            break
+    for e in articles:
+        k = e.parent
+        while k >= 0 and not elements[k].has_article:
+            elements[k].has_article = True
+            k = elements[k].parent
+
+
 def _parse(page: str, unclosed: frozenset[int]) -> tuple[list[Block], list[Element], frozenset[int]]:
     """Blocks, elements, and the places of skipped start tags that have no end tag of their own;
     those at ``unclosed`` end at the first block in them."""
@@ -231,15 +288,10 @@ def _parse(page: str, unclosed: frozenset[int]) -> tuple[list[Block], list[Eleme
         if tag in VOID or m[3].endswith("/"):
             continue
         e = Element(tag, stack[-1])
-        e.comment = elements[e.parent].comment
         if tag not in ("html", "body") and "=" in m[3]:
-            words = {w for n in _NAMES.findall(m[3]) for w in _WORD.findall("".join(n).lower())}
-            e.named = tag not in ARTICLE and not BOILERPLATE_WORDS.isdisjoint(words)
-            e.comment = e.comment or not COMMENT_WORDS.isdisjoint(words)
+            named, e.own_comment = names_in(tag, m[3])
+            e.named = 0 if tag in ARTICLE else named
         e.skipped = tag in SKIPPED
-        if tag in ARTICLE and not e.comment:
-            for k in stack:
-                elements[k].has_article = True
         elements.append(e)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -255,17 +307,23 @@ def _parse(page: str, unclosed: frozenset[int]) -> tuple[list[Block], list[Eleme
 
 
 def evidence(block: Block, elements: list[Element]) -> float:
-    """What the elements around a block say; containers that hold the article don't count."""
-    found, k = 0.0, block.element
+    """What the elements around a block say; containers that hold the article don't count. Inside an
+    article, names only take from its evidence, so that text and neighbours have their say."""
+    found, named, k = 0.0, 0, block.element
     while k > 0:
         e = elements[k]
         if not e.has_article:
-            if e.named or e.comment or (e.tag in BOILERPLATE and not (e.tag == "header" and _inside(k, elements))):
+            if e.tag in BOILERPLATE and not (e.tag == "header" and _inside(k, elements)):
                 return IN_BOILERPLATE
-        if e.tag in ARTICLE:
+            named = max(named, 2 if e.comment else e.named)
+        if e.tag in ARTICLE and not e.comment:
             found = IN_ARTICLE
         k = e.parent
-    return found
+    if not named:
+        return found
+    if not found:
+        return IN_BOILERPLATE
+    return found + (IN_BOILERPLATE if named == 2 else AMBIGUOUS_IN_ARTICLE)
 
 
 def _inside(k: int, elements: list[Element]) -> bool:

@@ -78,6 +78,23 @@ def test_unclosed_skipped_elements(page, want):
     assert H.extract_text(page, np.zeros(7)) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<article><h2 id="related-work">Related</h2><p>One</p><section id="discussion"><h2 id="search">S</h2><p>Two</p></section>'
+     '<section id="social-history"><p>Three</p></section></article>', "Related\nOne\nS\nTwo\nThree"),
+    ('<article><div class="entry-header"><p>One</p></div><p class="share-price">Two</p><p data-id="ad" title="id=ad">Three</p>'
+     '</article>', "One\nTwo\nThree"),
+    ('<div class="post comments-open"><article><p>One</article></div><div id="comments"><p>Two, with much more text', "One"),
+    ('<div class="site has-sidebar"><p>One</p><div class="sidebar"><p>S</p></div></div>', "One"),
+    ('<div class="sidebar"><p>One</p><p>Two</p></div><div class="ad-slot">Buy</div>', "One\nTwo"),  # around most of it
+    ('<div id="discussion"><article><p>One</article></div>', "One"),
+    ('<div class="comments"><article><p>One</article></div>', "One"),  # all there is
+    ('<main><article><p>One</article><section id="comments"><article class="comment"><p>Two</article></section></main>', "One"),
+    ('<article><p>One</p><div class="ad-slot">Buy</div><div class="related-posts"><p>R</p></div><p>Two</p></article>', "One\nTwo"),
+])
+def test_names_count_as_whole_names(page, want):
+    assert H.extract_text(page, np.eye(7)[0]) == want  # every text counts as content by 1
+
+
 WARC_ROWS = [(3, "u3", "x"), (1, "u1", "x"), (2, "u2", None), (4, None, ""), (5, "a\r\nb: c", "é😀"), (5, "z", "é😀"),
              (None, "n", "x"), (None, "n2", "only null"), (None, "n3", "y"), (None, "n4", "only null"), (6, "q", "y" * 100_000),
              (7, "w", "y" * 100_000), (6, "v", "other")]
