@@ -9,7 +9,9 @@ the components come from ``components.connected_components``.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,9 @@ from chatprep.llm.common import Scratch, skew_join
 from chatprep.llm.components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Character references of HTML, and those of 128 to 159, which are read as windows-1252.
+NAMED = json.dumps({"&" + k: v for k, v in html5.items()})
+LATIN = json.dumps({str(i): bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)})
 
 
 @dataclass(frozen=True)
@@ -54,9 +59,48 @@ def url_scheme(url: Column) -> Column:
     return F.coalesce(F.when(at > 0, F.substring(url, F.lit(1), at - 1)), F.lit(""))
 
 
+def decoded(text: Column) -> Column:
+    """An attribute's value with its character references resolved, as HTML does in attributes."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[a-zA-Z][a-zA-Z0-9]*+(?:;|(?!=))|&|[^&]+)"), F.lit(1))
+    strings = "map<string,string>"
+
+    def piece(p: Column) -> Column:
+        digits = F.regexp_extract(p, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+        hexadecimal = p.rlike("^&#[xX]")
+        short = F.length(digits).between(1, 7)  # longer ones are no code points
+        code = F.when(short & hexadecimal, F.conv(digits, 16, 10).cast("int")).when(short, digits.cast("int")).otherwise(0)
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        letter = F.when(code.between(128, 159), F.from_json(F.lit(LATIN), strings)[code.cast("string")]).when(
+            valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        named = F.coalesce(F.from_json(F.lit(NAMED), strings)[p], p)
+        return F.when(p.rlike("^&#[xX]?[0-9a-fA-F]"), letter).when(p.startswith("&"), named).otherwise(p)
+
+    return F.when(F.instr(text, "&") > 0, F.array_join(F.transform(pieces, piece), "")).otherwise(text)
+
+
+def plain_path(path: Column) -> Column:
+    """The path without ``.`` and ``..`` segments."""
+    dot, two = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
+    parts = F.split(path, "/")
+
+    def step(done: Column, part: Column) -> Column:
+        return (F.when(part.rlike(two), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1))))
+                .when(part.rlike(dot), done).otherwise(F.concat(done, F.array(part))))
+
+    ends = F.when(path.rlike(r"(?i)/(\.|%2e){1,2}$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    kept = F.concat(F.aggregate(parts, F.array().cast("array<string>"), step), ends)
+    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), F.array_join(kept, "/")).otherwise(path)
+
+
 def url_node(url: Column) -> Column:
-    """The url as a node of the alias graph: without its fragment."""
-    return F.regexp_replace(url, "(?s)#.*$", "")
+    """The url as a node of the alias graph: scheme and host in lower case, dot segments resolved,
+    without its fragment."""
+    bare = F.regexp_replace(url, "(?s)#.*$", "")
+    user = F.regexp_extract(raw_host(bare), "^(.*@)?", 1)
+    host = F.translate(F.regexp_extract(raw_host(bare), "([^@]*)$", 1), UPPER, LOWER)
+    query = F.regexp_extract(_rest(bare), r"(?s)^[^?]*(\?.*)$", 1)
+    return F.when(F.instr(bare, "://") > 0, F.concat(
+        F.translate(url_scheme(bare), UPPER, LOWER), F.lit("://"), user, host, plain_path(url_path(bare)), query)).otherwise(bare)
 
 
 def rule_of(host: Column, path: Column, rules: list[UrlRule]) -> Column:
@@ -80,9 +124,11 @@ def link_targets(url: Column, html: Column) -> Column:
         found = F.regexp_extract_all(body, F.lit(rf"(?is)(<{name}\b[^>]*>)"), F.lit(1))
         return F.transform(F.filter(found, lambda t: t.rlike(sign)), lambda t: F.regexp_extract(t, target, 1))
 
-    links = F.concat(
-        tags("link", r"(?i)rel\s*=\s*[\"']?canonical", r"(?i)href\s*=\s*[\"']?([^\"'\s>]+)"),
-        tags("meta", r"(?i)http-equiv\s*=\s*[\"']?refresh", r"(?i)url\s*=\s*['\"]?([^\"'\s>]+)"))
+    canonical = (r"(?is)[\s\"'/]rel\s*=\s*(?:\"(?:[^\"]*\s)?canonical(?:\s[^\"]*)?\"|'(?:[^']*\s)?canonical(?:\s[^']*)?'"
+                 r"|canonical(?=[\s>/]))")
+    refresh = F.transform(tags("meta", r"(?i)http-equiv\s*=\s*[\"']?refresh", r"(?i)url\s*=\s*['\"]?([^\"'\s>]+)"),
+                          lambda t: F.regexp_extract(decoded(t), r"^['\"]?([^\"'\s]*)", 1))
+    links = F.concat(F.transform(tags("link", canonical, r"(?i)[\s\"'/]href\s*=\s*[\"']?([^\"'\s>]+)"), decoded), refresh)
     site = F.concat(url_scheme(url), F.lit("://"), raw_host(url))
     folder = F.regexp_replace(F.when(url_path(url) == "", "/").otherwise(url_path(url)), "[^/]*$", "")
 
@@ -100,7 +146,7 @@ def judge(pages: DataFrame, rules: list[UrlRule], scratch: Scratch, default: str
           url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One row per row of ``pages``: ``keep``, host, path, rule, verdict, alias_of.
 
-    ``alias_of`` is the smallest url of the page's component, null if it has no links. Null urls
+    ``alias_of`` is the smallest url of the page's component, as ``url_node`` writes it, null if it has no links. Null urls
     and urls without ``://`` have an empty host and path, fit no rule and get ``default``;
     repeated rows are judged alike; an empty table gives an empty one.
     """

@@ -163,6 +163,31 @@ def test_url_filter(spark):
     assert U.judge(df.limit(0), URL_RULES, Scratch(spark, "t")).count() == 0
 
 
+def test_alias_urls_are_compared_as_urls(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    target = "http://b.com/de/1?p=1&q=2"  # blocked by its own url
+    rows = [("http://a.net/1", link("http://b.com/de/1?p=1&amp;q=2")), ("http://a.net/2", link("HTTP://B.com/de/1?p=1&#38;q=2")),
+            ("http://a.net/3", link("http://b.com/x/../de/./1?p=1&#x26;q=2#t")), ("HTTP://A.net/4/x", link("http://b.com/de/1?p=1&q=2")),
+            ("http://a.net/5", '<link rel="alternate canonical" href="http://b.com/de/1?p=1&q=2">'),
+            ("http://a.net/6", "<link href='http://b.com/de/1?p=1&q=2' rel='canonical alternate'>"),
+            ("http://a.net/7/8/9", link("../../1")), ("http://A.NET/q/w", '<meta http-equiv=refresh content="0; url=&#39;../7/8/9&#39;">'),
+            ("http://a.net/8", '<link rel="canonicals" href="http://b.com/de/1?p=1&q=2">'),
+            ("http://a.net/9", link("http://b.com/de/1?p=1&amp;amp;q=2")), (target, "")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows, 1)], "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.alias_of) for r in U.judge(df, URL_RULES, Scratch(spark, "t")).collect()}
+    assert {k for k, (_, alias) in got.items() if alias == "http://a.net/1"} == {1, 2, 3, 4, 5, 6, 7, 8, 11}
+    assert {k for k, (verdict, _) in got.items() if verdict == "allow"} == {9}
+    texts = ["a&amp;b", "a&ampb", "a&amp=b", "&amp", "&copy=1&lt;&eacute;", "&#233;&#xE9&#x1F600;", "&#128;", "&#xD800;&#0;&#99999999;",
+             "&nosuch;&", "&#;&#x;&#xg", "x\ny&lt;"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = ["a&b", "a&ampb", "a&amp=b", "&", "&copy=1<é", "éé😀", "€", "\ufffd" * 3, "&nosuch;&", "&#;&#x;&#xg", "x\ny<"]
+    assert [r[0] for r in frame.select(U.decoded(F.col("t"))).collect()] == want
+    urls = {"http://a/b/../c": "http://a/c", "http://a/../..": "http://a/", "http://a/b/.": "http://a/b/", "HTTP://U:P@A?Q/..": "http://U:P@a?Q/..",
+            "http://a/%2E%2e/b//..": "http://a/b/", "http://A": "http://a", "No/..#x": "No/..", None: None}
+    frame = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert [r[0] for r in frame.select(U.url_node(F.col("u"))).collect()] == list(urls.values())
+
+
 def test_pipeline_equals_brute_force(spark):
     import corpus_pipeline as P
     from chatprep.llm import language_id as L
