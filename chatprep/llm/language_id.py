@@ -123,8 +123,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     """Fits on labelled rows; rows without a language, a key or a letter are left out.
 
     The sample is chosen from (key, lang) alone; only its texts are read, and what reaches the
-    driver are their sets of n-gram codes (at most fit_rows sets). No rows: a model without
-    languages, which finds every text undetermined.
+    driver are their sets of n-gram codes, one for each chosen (key, lang) (at most fit_rows sets,
+    or one a language). No rows: a model without languages, which finds every text undetermined.
     """
     rows = labelled.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(
         F.col("lang").isNotNull() & F.col("key").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -139,9 +139,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                     "codes": pa.array([code_set(r["text"], max_gram).tobytes()], pa.binary())})
 
     kind = dict(rows.dtypes)["key"]
-    wanted = rows.filter(F.col("key").isin([k for k, _ in chosen]))
-    got = wanted.mapInArrow(codes, f"key {kind}, lang string, codes binary").collect() if chosen else []
+    pairs = rows.sparkSession.createDataFrame(sorted(set(chosen), key=str), f"key {kind}, lang string")
+    wanted = rows.filter(F.col("key").isin([k for k, _ in chosen])).join(F.broadcast(pairs), ["key", "lang"], "left_semi")
     # repeated keys: one row each, whichever text has the smaller set of codes
+    got = (wanted.select("key", "lang", "text").mapInArrow(codes, f"key {kind}, lang string, codes binary")
+           .groupBy("key", "lang").agg(F.min("codes").alias("codes")).collect()) if chosen else []
     sets = {}
     for r in sorted(got, key=lambda r: (str(r["key"]), r["lang"], bytes(r["codes"]))):
         sets.setdefault((r["lang"], r["key"]), np.frombuffer(bytes(r["codes"]), np.int32))

@@ -93,6 +93,30 @@ def test_language_odd_texts(spark, languages):
     assert L.predict(docs_of(spark, rows).limit(0), model).count() == 0
 
 
+def test_fit_collects_one_set_of_codes_a_row(spark, monkeypatch):
+    rows = [(k, f"text number {k} of {lang}", lang) for k in range(6) for lang in ("en", "fr")]
+    repeated = rows + [(3, f"other words {k}", "en") for k in range(200)] + [(3, "a", "en")]
+    schema = "doc_id long, text string, lang string"
+    frame = spark.createDataFrame(repeated, schema).repartition(3)
+    seen, collect = [], type(frame).collect
+
+    def counted(df):
+        out = collect(df)
+        seen.extend(r for r in out if "codes" in df.columns)
+        return out
+
+    monkeypatch.setattr(type(frame), "collect", counted)
+    model = L.fit(frame, fit_rows=1024)
+    assert len(seen) == 12 and len({(r.key, r.lang) for r in seen}) == 12
+    smallest = min((t for k, t, lang in repeated if (k, lang) == (3, "en")), key=lambda t: L.code_set(t).tobytes())
+    once = [(k, smallest if (k, lang) == (3, "en") else t, lang) for k, t, lang in rows]
+    want = L.fit(spark.createDataFrame(once, schema), fit_rows=1024)
+    assert (model.features == want.features).all() and np.allclose(model.coefficients, want.coefficients)
+    seen.clear()
+    L.fit(frame, fit_rows=4)  # a key of two languages counts for those it was chosen in
+    assert len(seen) <= 4
+
+
 def test_kernel_is_presence_overlap(languages, monkeypatch):
     _, model = languages
     texts = ["some words in a text", "et le reste", "x"]
