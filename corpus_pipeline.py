@@ -24,8 +24,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language can be told; fitted on the labels of the documents it gets."""
+    """Drops the documents whose language is undetermined: those without a letter, and no others.
+
+    Fitted on the labels of the documents it gets; the score is not used. Without a labelled
+    document there is no language to tell, and every row stays.
+    """
     model = language_id.fit(docs)
+    if not model.languages:
+        return docs
     return docs.filter(language_id.prediction(model, F.col("text"))["lang_pred"] != language_id.UNDETERMINED)
 
 

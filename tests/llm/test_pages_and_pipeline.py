@@ -234,3 +234,13 @@ def test_pipeline_stages_take_odd_rows(spark):
                 assert out.columns == docs.columns
                 rows_ = Scratch(spark, "t").table(out, str(k))
         assert [r.doc_id for r in out.collect()] == ([2] if sample is docs else [])
+
+
+def test_language_stage_without_labels_keeps_all_rows(spark):
+    import corpus_pipeline as P
+
+    rows = [(1, "some words", None), (2, "12 34", None), (3, None, None), (3, "more words", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(map(str, P.language(spark, docs, SF0001).collect())) == sorted(map(str, docs.collect()))
+    labelled = docs.union(spark.createDataFrame([(4, "one", "en")], docs.schema))
+    assert sorted(r.doc_id for r in P.language(spark, labelled, SF0001).collect()) == [1, 3, 4]
