@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatprep.llm import (bpe, decontaminate, html_extract, language_id, license_scan, lm_score, merkle, quality,
+from chatprep.llm import (bpe, decontaminate, hard_negatives, html_extract, language_id, license_scan, lm_score, merkle, quality,
                           simhash, url_filter, warc)
 from chatprep.llm import sql as S
 from chatprep.llm.common import Scratch
@@ -104,3 +104,15 @@ TAMPERED_PART = 5
 def op13_merkle_manifest(spark, sf_dir):
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % TAMPERED_PART
     return merkle.manifest_report(table(spark, sf_dir, "documents"), Scratch(spark, "op13"), part == 0)
+
+
+#: Rows whose id is a multiple of this are anchors; those of a multiple of LABEL_STEP move one label on.
+ANCHOR_STEP, LABEL_STEP, LABELS = 50, 7, 10
+
+
+@register("op11_hard_negatives", S.OP11)
+def op11_hard_negatives(spark, sf_dir):
+    moved = (F.col("label") + 1) % LABELS
+    label = F.when(F.col("vec_id") % LABEL_STEP == 0, moved).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % ANCHOR_STEP == 0,
+                               Scratch(spark, "op11"), label=label)
