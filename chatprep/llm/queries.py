@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatprep.llm import (bpe, decontaminate, hard_negatives, html_extract, language_id, license_scan, lm_score, merkle, quality,
-                          simhash, url_filter, warc)
+                          simhash, suffix_dedup, url_filter, warc)
 from chatprep.llm import sql as S
 from chatprep.llm.common import Scratch
 from chatprep.llm.registry import ORACLE_SQL, QUERIES, register, table  # noqa: F401
@@ -116,3 +116,8 @@ def op11_hard_negatives(spark, sf_dir):
     label = F.when(F.col("vec_id") % LABEL_STEP == 0, moved).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % ANCHOR_STEP == 0,
                                Scratch(spark, "op11"), label=label)
+
+
+@register("op12_suffix_dedup")
+def op12_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op12"))
