@@ -1,10 +1,9 @@
 """Chat exports: one JSON document ``{"messages": [...]}`` per chat folder.
 
-Each file is read as a single VARIANT value: a multi-line JSON document is one
-task, so many exports read in parallel, and one export is bounded by the size of a
-VARIANT value (reading fails loudly beyond it). Big exports belong in JSON lines
-(``export_lines_scan``), which split across tasks. Message fields are optional and
-the text is a string or a list of strings and ``{"text": ...}`` parts.
+A document is read by byte ranges (``sources/ranges.py``), so one huge export is the work of many
+tasks; each message becomes a VARIANT. Exports as JSON lines (``export_lines_scan``) need no such
+scan. Message fields are optional and the text is a string or a list of strings and
+``{"text": ...}`` parts.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from chatprep import constants as K
 from chatprep.functions.text import default_sender, iso_of, iso_to_hhmm, iso_to_ntz, placeholder_text, ymd_of
+from chatprep.sources.ranges import JsonScan, scan_records
 
 EXPORT_FILE = "result.json"
 
@@ -31,16 +31,15 @@ def export_scan(spark: SparkSession, path_glob: str, chat_pattern: str = r"([^/]
     """Read export files -> (chat_id STRING, pos BIGINT, msg VARIANT).
 
     ``chat_pattern`` extracts the chat id from the file path (default: the folder
-    name). ``exclude`` is a regex on that chat id; matching folders are skipped."""
-    # FAILFAST: a document that cannot be read (malformed, or larger than one VARIANT
-    # value may be) raises instead of turning into an empty export
-    raw = spark.read.option("multiLine", True).option("singleVariantColumn", "v").option("mode", "FAILFAST") \
-        .json(path_glob)
-    raw = raw.select(F.regexp_extract(F.col("_metadata.file_path"), chat_pattern, 1).alias("chat_id"), "v")
+    name). ``exclude`` is a regex on that chat id; matching folders are skipped.
+    A document of any size is read by byte ranges, and each message is a VARIANT of its own.
+    A message that is no valid JSON, or a document that ends too early, raises."""
+    chat = F.regexp_extract(F.col("file"), chat_pattern, 1)
+    raw = scan_records(spark, path_glob, JsonScan("messages"), "}").select(
+        chat.alias("chat_id"), F.col("number").alias("pos"), F.ltrim("text", F.lit(", \t\r\n")).alias("text"))
     if exclude:
         raw = raw.where(~F.col("chat_id").rlike(exclude))
-    msgs = raw.select("chat_id", F.posexplode(F.variant_get("v", "$.messages", "array<variant>")).alias("pos", "msg"))
-    msgs = msgs.withColumn("pos", F.col("pos").cast("bigint"))
+    msgs = raw.where(F.trim(F.col("text"), F.lit(" \t\r\n")) != "").select("chat_id", "pos", F.parse_json("text").alias("msg"))
     if repartition:
         msgs = msgs.repartition(repartition, "chat_id", "pos")
     return msgs

@@ -1,9 +1,8 @@
 """The ``;``-separated history CSV (``id;time;from;text;reply_to_message_id``).
 
 Read with an explicit schema (no inference pass). Quoted fields of the plain form may hold
-newlines, so it is read with ``multiLine`` and each file is one task. The ``line_safe`` form
-escapes line breaks (and backslashes) in its texts: a record is a line, and one big file is
-read by many tasks.
+newlines; ``sources/ranges.py`` finds the ends of its records in ranges of a file. The
+``line_safe`` form escapes line breaks (and backslashes) in its texts: a record is a line.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chatprep.functions.text import clean_text, to_reply_id
 from chatprep.schema import HISTORY_CSV
+from chatprep.sources.ranges import CsvScan, scan_records
 
 CSV_OPTIONS = {"sep": ";", "header": "true", "multiLine": "true", "quote": '"', "escape": '"',
                "encoding": "UTF-8"}
@@ -44,9 +44,19 @@ def _options(line_safe: bool) -> dict:
 
 
 def history_csv_raw_scan(spark: SparkSession, path: str, line_safe: bool = False) -> DataFrame:
-    """The CSV as written: empty fields are null, reply id kept as text."""
-    raw = spark.read.schema(HISTORY_CSV).options(**_options(line_safe)).csv(path)
-    return raw.withColumns({f: unescape_lines(f) for f in TEXT_FIELDS}) if line_safe else raw
+    """The CSV as written: empty fields are null, reply id kept as text.
+
+    The plain form is cut into records at the line breaks outside quotes, by byte ranges, so that
+    one big file is read by many tasks; each record is then parsed on its own. Line breaks in
+    quotes stay as they are written (Spark's ``multiLine`` reader turns CR LF into LF)."""
+    if line_safe:
+        raw = spark.read.schema(HISTORY_CSV).options(**_options(line_safe)).csv(path)
+        return raw.withColumns({f: unescape_lines(f) for f in TEXT_FIELDS})
+    line = F.regexp_replace("text", r"\r?\n?\z", "")
+    records = scan_records(spark, path, CsvScan(), "\n").where((F.col("number") > 0) & (line != ""))
+    options = {k: v for k, v in CSV_OPTIONS.items() if k != "header"} | {"mode": "FAILFAST"}
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in HISTORY_CSV.fields)
+    return records.select(F.from_csv(line, fields, options).alias("r")).select("r.*")
 
 
 def history_csv_scan(spark: SparkSession, path: str, line_safe: bool = False) -> DataFrame:
