@@ -32,23 +32,21 @@ TURN_SEPARATOR = 2    # ', '
 MIN_CHAT_TURN_CHARS = 36 + TURN_SEPARATOR
 
 
-def last_n_per_chat(msgs: DataFrame, n: int = K.CONTEXT_INIT_ROWS, order_col: str = "id",
-                    width: int = BLOCK_WIDTH) -> DataFrame:
-    """The newest ``n`` messages of every chat (``rn`` = 1 for the newest); rows whose order is
-    null come after all others.
+def last_n_per_chat(msgs: DataFrame, n: int = K.CONTEXT_INIT_ROWS, order_col: str = "id") -> DataFrame:
+    """The newest ``n`` messages of every chat (``rn`` = 1 for the newest), by an order column of
+    any orderable type; rows whose order is null come after all others, ties in any order.
 
     Up to the optimizer's group-limit threshold, ``row_number() <= n`` is planned with
     a partial group limit before the exchange, so a huge chat sends at most n rows per
-    input partition to the final window. Beyond it, the blocked numbering over the
-    reversed order ranks every chat without a whole-chat window."""
+    input partition to the final window. Beyond it, ranges of (chat, order) are numbered
+    instead, by the same order, without a whole-chat window."""
     limit = int(msgs.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    newest = F.col(order_col).desc_nulls_last()
     if n <= limit:
-        w = Window.partitionBy("chat_id").orderBy(F.col(order_col).desc_nulls_last())
+        w = Window.partitionBy("chat_id").orderBy(newest)
         return msgs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
-    neg = F.coalesce(-F.col(order_col).cast("bigint"), F.lit((1 << 63) - 1))  # rows without order come last
-    ranked = number_rows(msgs.withColumn("_neg", neg), ["chat_id"], ["_neg"], block_col="_neg", pos_col="_rpos",
-                         width=width)
-    return ranked.where(F.col("_rpos") < n).withColumn("rn", (F.col("_rpos") + 1).cast("int")).drop("_neg", "_rpos")
+    ranked = number_rows(msgs, ["chat_id"], [newest], block_col=order_col, pos_col="_rpos", dense=False)
+    return ranked.where(F.col("_rpos") < n).withColumn("rn", (F.col("_rpos") + 1).cast("int")).drop("_rpos")
 
 
 def _json_literal_length(c: Column) -> Column:

@@ -165,13 +165,21 @@ def sequence_stats(msgs: DataFrame, *, length: int = K.SEQ_LEN_V1, min_len: int
                    clock: str = "hhmm", drop_tail: bool = True, scope: str = "chat", order_col: str = "id",
                    dense: bool = True) -> DataFrame:
     """Per candidate chunk: how it ended (``full`` / ``id_gap`` / ``time_gap``), kept
-    length and whether it was discarded as too short. Aggregated by reason."""
+    length and whether it was discarded as too short. Aggregated by reason, with the number of
+    assistant turns of kept sequences that the byte-compatible recovery can't read back (``n_failed``)."""
+    from chatprep.operators.compat import content_recover_compat
+
     m = chunk_fixed(positions(with_scope(msgs, scope), order_col=order_col, dense=dense), length, drop_tail)
     m = gap_breaks(m, max_id_gap, max_minutes, clock)
     w = Window.partitionBy(*SEQ_KEY).orderBy("seq_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     m = m.withColumn("_cut", F.max((F.col("brk_id") | F.col("brk_time")).cast("int")).over(w))
+    # the last speaker of what is kept: these messages become the assistant's
+    last = F.max(F.when(F.col("_cut") == 0, F.struct("seq_pos", "sender"))).over(Window.partitionBy(*SEQ_KEY))["sender"]
+    spoken = (F.col("_cut") == 0) & F.col("sender").eqNullSafe(F.col("_last"))
+    m = m.withColumn("_last", last).withColumn("_failed", spoken & F.when(spoken, content_recover_compat()["failed"]))
     per = m.groupBy(*SEQ_KEY).agg(
         F.sum(1 - F.col("_cut")).cast("bigint").alias("kept"),
+        F.count_if("_failed").alias("_n_failed"),
         F.min(F.when(F.col("brk_id"), F.col("seq_pos"))).alias("_first_id"),
         F.min(F.when(F.col("brk_time"), F.col("seq_pos"))).alias("_first_time"))
     reason = F.when(F.col("_first_id").isNull() & F.col("_first_time").isNull(), F.lit("full")) \
@@ -180,7 +188,8 @@ def sequence_stats(msgs: DataFrame, *, length: int = K.SEQ_LEN_V1, min_len: int
     per = per.withColumn("end_reason", reason).withColumn("discarded", F.col("kept") < min_len)
     return per.groupBy("end_reason", "discarded").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_sequences"),
-        F.sum("kept").cast("bigint").alias("n_messages"))
+        F.sum("kept").cast("bigint").alias("n_messages"),
+        F.sum(F.when(F.col("discarded"), 0).otherwise(F.col("_n_failed"))).cast("bigint").alias("n_failed"))
 
 
 def observe_examples(examples: DataFrame, name: str = "examples"):

@@ -38,17 +38,15 @@ def _cut(hashes: DataFrame, k: int) -> tuple[str, int]:
         prefix = b["b"]
 
 
-def split_random(df: DataFrame, keys, frac: float = K.VALIDATION_FRAC, seed: int = 42,
-                 names: tuple[str, str] = ("train", "validation")) -> DataFrame:
-    """Exactly ``int(n * frac)`` rows (smallest seeded hash of ``keys``) go to the
-    second split, the rest to the first.
+def _first_rows(df: DataFrame, key, frac: float, names: tuple[str, str]) -> DataFrame:
+    """``df`` with ``split``: names[1] for the first ``int(n * frac)`` rows by the string ``key``,
+    names[0] for the rest.
 
-    The table is never sorted: ``_cut`` finds the hash of the last row that goes. Where rows
-    share that hash, a hash of the whole row decides among them, and among identical rows their
-    number. The counted hashes are written once to the shared folder, so finding the cut reads
-    the input once.
+    The table is never sorted, numbered or rewritten: the counted keys are written once to the
+    shared folder, and ``_cut`` finds the key of the last row that goes. Where rows share that key,
+    a hash of the whole row decides among them, and among identical rows their number.
     """
-    h = df.withColumn("_h", seeded_md5(seed, *keys))
+    h = df.withColumn("_h", key)
     path = scratch_path(df.sparkSession, "split", uuid.uuid4().hex)
     h.groupBy(F.col("_h").alias("h")).agg(F.count(F.lit(1)).alias("c")).write.parquet(path)
     counts = df.sparkSession.read.schema("h string, c bigint").parquet(path)
@@ -71,13 +69,47 @@ def split_random(df: DataFrame, keys, frac: float = K.VALIDATION_FRAC, seed: int
     return rest.unionByName(copies.withColumn("split", label(goes)).drop("_c", "_r", "_k"))
 
 
+def split_random(df: DataFrame, keys, frac: float = K.VALIDATION_FRAC, seed: int = 42,
+                 names: tuple[str, str] = ("train", "validation")) -> DataFrame:
+    """Exactly ``int(n * frac)`` rows (smallest seeded hash of ``keys``) go to the second split, the
+    rest to the first; see ``_first_rows`` for rows that share a hash."""
+    return _first_rows(df, seeded_md5(seed, *keys), frac, names)
+
+
+def sortable_text(df: DataFrame, col: str):
+    """A column as text whose bytewise order is the column's order, nulls first: integers, dates and
+    timestamps as hexadecimal numbers, strings as they are. None for other types."""
+    c, kind = F.col(col), dict(df.dtypes)[col]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        number = c.cast("bigint")
+    elif kind == "date":
+        number = F.unix_date(c).cast("bigint")
+    elif kind == "timestamp":
+        number = F.unix_micros(c)
+    elif kind == "timestamp_ntz":
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        number = F.timestamp_diff("MICROSECOND", epoch, c)
+    elif kind == "string":
+        return F.coalesce(F.concat(F.lit("1"), c), F.lit("0"))
+    else:
+        return None
+    text = F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.coalesce(F.concat(F.lit("1"), text), F.lit("0"))
+
+
 def split_ordered(df: DataFrame, order_col: str, test_frac: float = K.SEGMENT_TEST_FRAC, keys=(),
                   names: tuple[str, str] = ("train", "test"), dense: bool | None = None) -> DataFrame:
     """The first ``int(n * (1 - test_frac))`` rows in order are train, the rest test
     (n per ``keys`` group, or over the whole table). Ties of ``order_col`` are ordered by a hash
-    of the row, so every evaluation splits alike. ``dense``: the order column is dense and unique
-    per group, as ids of one chat are (default: only with ``keys``)."""
+    of the row, so every evaluation splits alike.
+
+    Over the whole table the cut is the k-th row by refined counts of the order column (integers,
+    dates, timestamps, strings); other types, and groups, are numbered. ``dense``: the order column
+    is dense and unique per group, as ids of one chat are (default: only with ``keys``)."""
     keys = list(keys)
+    key = None if keys or dense else sortable_text(df, order_col)
+    if key is not None:
+        return _first_rows(df, key, 1.0 - test_frac, (names[1], names[0]))
     g = df if keys else df.withColumn("_all", F.lit(0))
     gk = keys or ["_all"]
     m = number_rows(g, gk, [order_col, F.xxhash64(*df.columns)], block_col=order_col, pos_col="_pos", total_col="_n",

@@ -126,15 +126,41 @@ def q_reply_prefix(spark, sf):
     return m.select("chat_id", "seq_id", "seq_pos", reply_prefix_content("text", "reply_to_message_id").alias("content"))
 
 
+_REPR_SQL = """CASE WHEN contains({x}, chr(39)) AND NOT contains({x}, '"') THEN '"' || {e} || '"'
+  ELSE chr(39) || replace({e}, chr(39), chr(92) || chr(39)) || chr(39) END"""
+
+
+def _repr_sql(x: str) -> str:
+    e = f"replace(replace(replace(replace({x}, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
+    return _REPR_SQL.format(x=x, e=e)
+
+
+def _recovered_sql() -> str:
+    """CTEs over the built sequences ``r``: ``j``, assistant turns as printed (``raw``), with their
+    quotes exchanged (``fixed``), and whether that is no JSON (``failed``)."""
+    return f"""raw AS (SELECT *, '{{''id'': ' || id || ', ''time'': ' || {_repr_sql('hhmm')} || ', ''from'': ' || {_repr_sql('sender')}
+  || ', ''text'': ' || {_repr_sql('text')} || ', ''reply_to_message_id'': ' || coalesce(CAST(reply_to_message_id AS VARCHAR), 'nan') || '}}' AS raw
+  FROM r WHERE role = 'assistant'),
+sw AS (SELECT *, replace(replace(replace(raw, '"', chr(39)), 'nan', 'null'), chr(39), '"') AS s FROM raw),
+pl AS (SELECT *, instr(substr(s, 2), '{{') AS first, length(s) - instr(reverse(s), '}}') AS last FROM sw),
+fx AS (SELECT *, CASE WHEN first = 0 OR last <= first THEN s ELSE
+  array_to_string([CASE WHEN substr(s, first + i, 1) = '"' THEN chr(39) ELSE substr(s, i, 1) END FOR i IN range(1, last - first + 1)], '')
+  || substr(s, last - first + 1) END AS fixed FROM pl),
+j AS (SELECT *, NOT json_valid(fixed) AS failed FROM fx)"""
+
+
 @register("sequence_stats", sql=f"""WITH {seq_sql(15, 3)},
 kk AS (SELECT *, max(CAST(brk_id OR brk_time AS INT)) OVER (PARTITION BY chat_id, seq_id ORDER BY seq_pos
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cut FROM g),
 per AS (SELECT chat_id, seq_id, CAST(sum(1 - cut) AS BIGINT) AS kept,
                min(CASE WHEN brk_id THEN seq_pos END) AS fi, min(CASE WHEN brk_time THEN seq_pos END) AS ft
-        FROM kk GROUP BY chat_id, seq_id)
+        FROM kk GROUP BY chat_id, seq_id),
+{_recovered_sql()},
+ff AS (SELECT chat_id, seq_id, count(*) FILTER (failed) AS nf FROM j GROUP BY chat_id, seq_id)
 SELECT CASE WHEN fi IS NULL AND ft IS NULL THEN 'full' WHEN ft IS NULL OR fi < ft THEN 'id_gap' ELSE 'time_gap' END AS end_reason,
-       kept < 10 AS discarded, CAST(count(*) AS BIGINT) AS n_sequences, CAST(sum(kept) AS BIGINT) AS n_messages
-FROM per GROUP BY ALL""")
+       kept < 10 AS discarded, CAST(count(*) AS BIGINT) AS n_sequences, CAST(sum(kept) AS BIGINT) AS n_messages,
+       CAST(coalesce(sum(nf), 0) AS BIGINT) AS n_failed
+FROM per LEFT JOIN ff USING (chat_id, seq_id) GROUP BY ALL""")
 def q_sequence_stats(spark, sf):
     return S.sequence_stats(_ev(spark, sf, 3), length=15)
 
@@ -284,25 +310,8 @@ def q_custom_renderer(spark, sf):
     return G.segment_prompt(segs, render=F.concat(F.col("sender"), F.lit(": "), F.col("text")))
 
 
-_REPR_SQL = """CASE WHEN contains({x}, chr(39)) AND NOT contains({x}, '"') THEN '"' || {e} || '"'
-  ELSE chr(39) || replace({e}, chr(39), chr(92) || chr(39)) || chr(39) END"""
-
-
-def _repr_sql(x: str) -> str:
-    e = f"replace(replace(replace(replace({x}, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
-    return _REPR_SQL.format(x=x, e=e)
-
-
 @register("content_recover_compat", sql=f"""WITH {seq_sql(15, None)},
-raw AS (SELECT *, '{{''id'': ' || id || ', ''time'': ' || {_repr_sql('hhmm')} || ', ''from'': ' || {_repr_sql('sender')}
-  || ', ''text'': ' || {_repr_sql('text')} || ', ''reply_to_message_id'': ' || coalesce(CAST(reply_to_message_id AS VARCHAR), 'nan') || '}}' AS raw
-  FROM r WHERE role = 'assistant'),
-sw AS (SELECT *, replace(replace(replace(raw, '"', chr(39)), 'nan', 'null'), chr(39), '"') AS s FROM raw),
-pl AS (SELECT *, instr(substr(s, 2), '{{') AS first, length(s) - instr(reverse(s), '}}') AS last FROM sw),
-fx AS (SELECT *, CASE WHEN first = 0 OR last <= first THEN s ELSE
-  array_to_string([CASE WHEN substr(s, first + i, 1) = '"' THEN chr(39) ELSE substr(s, i, 1) END FOR i IN range(1, last - first + 1)], '')
-  || substr(s, last - first + 1) END AS fixed FROM pl),
-j AS (SELECT *, NOT json_valid(fixed) AS failed FROM fx)
+{_recovered_sql()}
 SELECT chat_id, seq_id, seq_pos, failed, CASE WHEN failed THEN raw
   ELSE coalesce('@' || (CAST(CASE WHEN failed THEN NULL ELSE fixed END AS JSON)->>'reply_to_message_id') || ' ', '')
        || (CAST(CASE WHEN failed THEN NULL ELSE fixed END AS JSON)->>'text') END AS content

@@ -273,3 +273,48 @@ def test_fast_turn_length_equals_rendered(spark):
         turn = encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id", K.BOT_NAME_API)
         bad = m.where(C.chat_turn_length() != turn_json_length(turn) + 2).count()
         assert bad == 0
+
+
+def test_last_n_of_any_order_type_on_either_side_of_the_threshold(spark):
+    rows = spark.range(3000).selectExpr("id % 2 as chat_id", "timestamp_micros(1700000000000000 + (id * 7919 % 3000) * 250) as at",
+                                        "cast((id * 7919 % 3000) * 0.25 as decimal(20, 2)) as price", "cast(id * 7919 % 3000 as string) as name")
+    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    try:
+        for col in ("at", "price", "name"):
+            values = {c: sorted((r[1] for r in rows.select("chat_id", col).where(f"chat_id = {c}").collect()), reverse=True) for c in (0, 1)}
+            for limit, n in (("1000", 3), ("1", 3), ("1", 1499)):
+                spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", limit)
+                got = C.last_n_per_chat(rows, n, order_col=col).select("chat_id", "rn", col).collect()
+                assert {(r[0], r[1], r[2]) for r in got} == {(c, k + 1, v) for c in (0, 1) for k, v in enumerate(values[c][:n])}
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
+
+
+def test_ordered_split_by_any_type_with_ties_and_nulls(spark):
+    rows = spark.range(-500, 500).selectExpr(
+        "case when id % 10 = 0 then null else id * 1000003 end as big", "cast(date_add(date'1969-12-01', cast(id % 90 as int)) as date) as day",
+        "timestamp_ntz'1969-12-31 00:00:00' + make_dt_interval(0, 0, 0, id * 250) as at", "timestamp_micros(id * 999983) as moment",
+        "concat('é', id % 40) as name", "cast(id as decimal(10, 1)) as price", "7 as same")
+    for col in rows.columns:
+        out = P.split_ordered(rows, col, 0.3)
+        low = out.where("split = 'train'").select(col).collect()
+        high = out.where("split = 'test'").select(col).collect()
+        key = lambda r: (r[0] is not None, r[0].encode() if isinstance(r[0], str) else r[0] or 0)
+        assert len(low) == 700 and len(high) == 300
+        if col != "same":
+            assert max(map(key, [r for r in low if r[0] is not None])) <= min(map(key, [r for r in high if r[0] is not None]))
+            assert not any(r[0] is None for r in high)
+
+
+def test_failed_messages_are_counted(spark):
+    """A brace in a text sets quotes off, so its turn can't be read back; only the last speaker's turns of kept sequences count."""
+    texts = {3: 'he said {"x"', 5: "fine", 11: "it's {'b'} {", 40: "{'q' {"}
+    rows = [(1, i, f"2024-01-01 10:{i:02d}:00", "ab"[i % 2], texts.get(i, "t"), None) for i in range(48)]
+    df = messages_df(spark, rows)
+    seqs = S.build_sequences(df, length=12).where("role = 'assistant'")
+    from chatprep.operators.compat import content_recover_compat
+    want = seqs.where(content_recover_compat()["failed"]).count()
+    stats = S.sequence_stats(df, length=12).collect()
+    assert sum(r.n_failed for r in stats) == want > 0
+    short = messages_df(spark, rows[:5] + [(1, 500 + i, f"2024-01-01 12:{i:02d}:00", "b", texts[3], None) for i in range(20)])
+    assert all(r.n_failed == 0 for r in S.sequence_stats(short, length=5).collect() if r.discarded)
