@@ -5,12 +5,13 @@ Words are sequences of symbols; the distinct words of a batch go into a trie, an
 walk carries, for every prefix, the last token of its encoding. The encoding of a prefix that
 ends in token t is the encoding of what stands before t, plus t, if t may follow that prefix's
 own last token; so each shared prefix is worked out once, and a word's ids are read back along
-the chain of last tokens. Two tokens may stand side by side if merging their symbols by rank
-gives these two again, which is looked up once per pair.
+the chain of last tokens. Whether two tokens may stand side by side follows from the merges that
+make them, undone from the last one back, and is looked up once per pair.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import sys
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words that a worker remembers; beyond, it starts again (results don't change).
+#: Distinct words that a worker remembers: when half as many are new, those not met meanwhile go.
 MAX_REMEMBERED = 300_000
 _SPLIT = re.compile(r"[ \n\t\r\f\v]+")
 # A common split pattern, and what it comes to for lower-case printable ASCII.
@@ -60,15 +61,21 @@ class WordBpe:
         self.special_re = re.compile(f"({marks})") if marks else None
         # tokens by their symbols, as a trie over the reversed symbols: all tokens that end here
         self.suffixes: dict = {}
+        self.tokens: list[dict] = []
         for token in {a + b for a, b in self.ranks} | {s for s in self.vocab if len(self._symbols(s)) == 1}:
             if token in self.vocab:
                 node = self.suffixes
                 for s in reversed(self._symbols(token)):
                     node = node.setdefault(s, {})
-                node[None] = token
+                node[None] = {0: token}  # and whether it may follow others, by their names
+                self.tokens.append(node[None])
         self.id_bytes = {s: i.to_bytes(4, "little") for s, i in self.vocab.items()}
-        self.pairs: dict[tuple[str | None, str], bool] = {}
-        self.seen: dict[str, tuple[bytes, str]] = {}
+        self.n_pairs = 0
+        self.last_merges: dict[str, tuple[str, str, int] | None] = {}
+        # what is known of pieces of text: ids as little-endian uint32, and names; the older half, too
+        self.ids: dict[str, bytes] = {}
+        self.shown: dict[str, str] = {}
+        self.old: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
 
     def _symbols(self, token: str) -> list[str]:
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
@@ -76,45 +83,65 @@ class WordBpe:
             return [*body[:-1], body[-1] + self.end]
         return list(token)
 
-    def _merge(self, symbols: list[str]) -> list[str]:
-        """Merges by rank; only for the symbols of two tokens."""
-        parts = list(symbols)
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get((parts[i], parts[i + 1]), sys.maxsize))
-            pair = parts[best], parts[best + 1]
-            if pair not in self.ranks:
+    def _last_merge(self, token: str) -> tuple[str, str, int] | None:
+        """The two parts whose merge makes the token, and that merge's rank; rank -1 and no parts
+        for one symbol; None for a token that merging its symbols by rank doesn't give."""
+        if token not in self.last_merges:
+            parts, found = self._symbols(token), ("", "", -1)
+            while len(parts) > 1:
+                best = min(range(len(parts) - 1), key=lambda i: self.ranks.get((parts[i], parts[i + 1]), sys.maxsize))
+                pair = parts[best], parts[best + 1]
+                if pair not in self.ranks:
+                    break
+                found = *pair, self.ranks[pair]
+                parts[best:best + 2] = ["".join(pair)]  # the leftmost of the lowest rank
+            self.last_merges[token] = found if parts == [token] else None
+        return self.last_merges[token]
+
+    def _may_follow(self, a: str | None, follows: dict) -> bool:
+        """Whether the symbols of two tokens, or of one (``a`` None), merge to these tokens again;
+        kept in ``follows``, the second token's entry.
+
+        Seen backwards, the merge of the higher rank is the last; of equal ranks the one further
+        to the right. Before it, its part at the border stood beside the other token, and these
+        two must not have been merged earlier.
+        """
+        b = follows[0]
+        right = self._last_merge(b)
+        left = self._last_merge(a) if a else None
+        ok = right is not None and (a is None or left is not None)
+        x, y, limit = a, b, sys.maxsize
+        while ok and a is not None:
+            if self.ranks.get((x, y), sys.maxsize) < limit:
+                ok = False
+            elif left[2] > right[2]:
+                x, limit = left[1], left[2]
+                left = self._last_merge(x)
+            elif right[2] >= 0:
+                y, limit = right[0], right[2] + 1
+                right = self._last_merge(y)
+            else:
                 break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
-
-    def _may_follow(self, a: str | None, b: str) -> bool:
-        if len(self.pairs) > MAX_REMEMBERED:
-            self.pairs.clear()
-        if (a, b) in self.ranks:  # these two would be merged
-            ok = False
-        else:
-            ok = self._merge((self._symbols(a) if a else []) + self._symbols(b)) == ([a, b] if a else [b])
-        self.pairs[a, b] = ok
+        if self.n_pairs == MAX_REMEMBERED:
+            for entry in self.tokens:
+                token = entry[0]
+                entry.clear()
+                entry[0] = token
+            self.n_pairs = 0
+        self.n_pairs += 1
+        follows[a] = ok
         return ok
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[bytes, str]]:
-        """(ids as little-endian uint32, token names) of each word, normalised and split.
+    def encode_words(self, words: Iterable[str], ids: dict[str, bytes], shown: dict[str, str]) -> None:
+        """Fills in the ids (little-endian uint32) and token names of words, normalised and split.
 
         Sorted words are the leaves of their trie in depth-first order, so the walk keeps one
         branch: a word goes on from the prefix that it shares with the word before it.
         """
-        out: dict[str, tuple[bytes, str]] = {}
-        # last[d]: the last token of the encoding of the branch's first d symbols, and its symbols
-        last: list[tuple[str | None, int]] = [(None, 0)]
-        pairs, suffixes, end, id_bytes, before = self.pairs, self.suffixes, self.end, self.id_bytes, ""
+        # of the branch's first d symbols: the last token of their encoding, and where it begins
+        last: list[str | None] = [None]
+        begin: list[int] = [0]
+        suffixes, end, id_bytes, before = self.suffixes, self.end, self.id_bytes, ""
         for word in sorted(words):
             n, shared = len(word), 0
             for x, y in zip(before, word):
@@ -124,66 +151,75 @@ class WordBpe:
             # a word's last symbol carries the word end, so it is no prefix of another word
             shared = min(shared, n - 1, len(before) - 1) if before else 0
             del last[shared + 1:]
+            del begin[shared + 1:]
             before = word
             for d in range(shared, n):
-                at, node = d, suffixes.get(word[d] + end if d == n - 1 else word[d])
+                node, at = suffixes.get(word[d] + end if d == n - 1 else word[d]), d
                 while node is not None:
-                    token = node.get(None)
-                    if token is not None:
-                        known = pairs.get((last[at][0], token))
+                    follows = node.get(None)
+                    if follows is not None:  # a token, and what is known of the tokens before it
+                        known = follows.get(last[at])
                         if known is None:
-                            known = self._may_follow(last[at][0], token)
+                            known = self._may_follow(last[at], follows)
                         if known:
-                            last.append((token, d + 1 - at))
+                            last.append(follows[0])
+                            begin.append(at)
                             break
                     at -= 1
-                    if at < 0:
-                        node = None
-                    else:
-                        node = node.get(word[at])
+                    node = node.get(word[at]) if at >= 0 else None
                 if node is None:
                     raise ValueError(f"symbol outside the vocabulary: {word[d]!r}")
             tokens, at = [], n
             while at:
-                token, width = last[at]
-                tokens.append(token)
-                at -= width
+                tokens.append(last[at])
+                at = begin[at]
             tokens.reverse()
-            out[word] = b"".join([id_bytes[t] for t in tokens]), " ".join(tokens)
-        return out
+            ids[word], shown[word] = b"".join([id_bytes[t] for t in tokens]), " ".join(tokens)
 
     def pieces(self, chunk: str) -> list[str]:
         """The library's normalised words of a text without special tokens."""
         if self.simple_ascii and chunk.isascii() and chunk.isprintable():
-            return _ASCII_WORDS.findall(chunk.lower())
+            return [chunk.lower()] if chunk.isalpha() else _ASCII_WORDS.findall(chunk.lower())
         return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
 
-    def remember(self, chunks: Iterable[str]) -> dict[str, tuple[bytes, str]]:
-        """For pieces of text without white space: ids as little-endian uint32, and their names."""
-        seen = self.seen
-        if len(seen) > MAX_REMEMBERED:
-            seen.clear()
+    def remember(self, chunks: set[str]) -> None:
+        """Fills ``ids`` and ``shown`` for pieces of text without white space."""
+        if len(self.ids) > MAX_REMEMBERED // 2:
+            self.old, self.ids, self.shown = (self.ids, self.shown), {}, {}
+        ids, shown, (old_ids, old_shown) = self.ids, self.shown, self.old
+        fresh = chunks.difference(ids)
+        for chunk in fresh.intersection(old_ids):
+            ids[chunk], shown[chunk] = old_ids[chunk], old_shown[chunk]
+        fresh.difference_update(ids)
+        words: set[str] = set()  # of small ASCII letters: each is its own only piece
+        odd: set[str] = set()
         split: list[tuple[str, list]] = []
-        words: set[str] = set()
-        for chunk in chunks:
-            if chunk in seen:
-                continue
-            if self.special_re and self.special_re.search(chunk):
-                parts: list = []
+        for chunk in fresh:
+            if self.simple_ascii and chunk.isascii() and chunk.isalpha():
+                parts = [chunk.lower()]
+            elif self.special_re and self.special_re.search(chunk):
+                parts = []
                 for k, piece in enumerate(self.special_re.split(chunk)):
                     parts += [self.special[piece]] if k % 2 else self.pieces(piece) if piece else []
             else:
                 parts = self.pieces(chunk)
-            words.update([p for p in parts if isinstance(p, str)])
-            split.append((chunk, parts))
-        of_word = self.encode_words(words)
+            for p in parts:
+                if isinstance(p, str):
+                    (words if self.simple_ascii and p.isascii() and p.isalpha() else odd).add(p)
+            if len(parts) != 1 or parts[0] != chunk:
+                split.append((chunk, parts))
+            elif chunk in odd:  # its own only piece, too
+                words.add(chunk)
+        for word in words.intersection(old_ids):
+            ids[word], shown[word] = old_ids[word], old_shown[word]
+        self.encode_words(words.difference(ids), ids, shown)
+        odd.difference_update(words)
+        odd_ids, odd_shown = {}, {}
+        self.encode_words(odd, odd_ids, odd_shown)
         for chunk, parts in split:
-            if len(parts) == 1 and isinstance(parts[0], str):
-                seen[chunk] = of_word[parts[0]]
-            else:
-                got = [of_word[p] if isinstance(p, str) else (p.to_bytes(4, "little"), self.names[p]) for p in parts]
-                seen[chunk] = b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
-        return seen
+            got = [(p.to_bytes(4, "little"), self.names[p]) if isinstance(p, int) else
+                   (odd_ids[p], odd_shown[p]) if p in odd else (ids[p], shown[p]) for p in parts]
+            ids[chunk], shown[chunk] = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), " ".join([g[1] for g in got]))
 
     def encode_texts(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """(ids, decoded) of each whole text; null counts as empty.
@@ -196,16 +232,25 @@ class WordBpe:
         for words in cut:  # a few hundred thousand distinct pieces at a time
             chunks.update(words)
             group.append(words)
-            if len(chunks) > MAX_REMEMBERED:
+            if len(chunks) > MAX_REMEMBERED // 2:
                 yield from self._joined(group, chunks)
                 group, chunks = [], set()
         yield from self._joined(group, chunks)
 
     def _joined(self, group: list[list[str]], chunks: set[str]) -> Iterator[tuple[bytes, str]]:
-        seen = self.remember(chunks)
+        collecting = gc.isenabled()
+        gc.disable()  # no cycles are made here, and collections would walk all that is remembered
+        try:
+            self.remember(chunks)
+        finally:
+            if collecting:
+                gc.enable()
+        ids, shown = self.ids, self.shown
+        empty = {c for c in chunks if not ids[c]}  # pieces that the tokenizer drops
         for words in group:
-            got = [seen[w] for w in words]
-            yield b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])
+            if empty:
+                words = [w for w in words if w not in empty]
+            yield b"".join(map(ids.__getitem__, words)), " ".join(map(shown.__getitem__, words))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The library's decode without a decoder: token names joined by spaces."""
@@ -219,6 +264,7 @@ def encoder(path: str) -> WordBpe:
     """One encoder per worker process and file."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordBpe(path)
+        gc.freeze()  # the vocabulary's many small objects stay; no collection need look at them again
     return _ENCODERS[path]
 
 
@@ -265,7 +311,6 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
 def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``rows`` with the decoded text of an id array; null ids give null."""
 
-
     @F.pandas_udf("string")
     def run(col: pd.Series) -> pd.Series:
         enc = encoder(path)
