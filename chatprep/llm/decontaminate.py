@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatprep.llm.common import Scratch, skew_join
-from chatprep.llm.tokens import Words, gram_hashes
+from chatprep.llm.tokens import WORK_BYTES, Words, by_bytes, gram_hashes, stretches
 
 WINDOW = 10
 GRAM = 5
@@ -101,29 +101,39 @@ def text_fingerprints(docs: DataFrame, table: np.ndarray, sizes: list[int], wind
             slot = h & np.uint64((1 << FILTER_BITS) - 1)
             return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
+        def hits_of(w, number):
+            """The hits of each text of ``w``, whose words are numbered from ``number``."""
+            found = [[] for _ in range(len(w.first) - 1)]
+            for size in sizes:
+                g = gram if size == window else size
+                hashes = gram_hashes(w.hash, g)
+                per = size - g + 1
+                whole = w.doc[:len(hashes)] == w.doc[g - 1:] if len(hashes) else np.zeros(0, bool)
+                # winnowing works on runs inside one text; fingerprints of runs across two are no match for any item
+                pick = winnow(hashes, per)
+                pick = pick[whole[pick]]
+                pick = pick[passes(hashes[pick])]
+                for p in pick.tolist():
+                    d = int(w.doc[p])
+                    a, b = int(w.first[d]), int(w.first[d + 1])
+                    lo, hi = max(a, p - (per - 1)), min(b, p + size)
+                    found[d].append({"h": int(hashes[p].view(np.int64)), "pos": p - a + number, "size": size,
+                                     "from": lo - a + number, "words": w.text(lo, hi)})
+            return found
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                w = Words(part.column(n_keep))
-                found = [[] for _ in range(part.num_rows)]
-                for size in sizes:
-                    g = gram if size == window else size
-                    hashes = gram_hashes(w.hash, g)
-                    per = size - g + 1
-                    whole = w.doc[:len(hashes)] == w.doc[g - 1:] if len(hashes) else np.zeros(0, bool)
-                    # winnowing works on runs inside one text; fingerprints of runs across two are no match for any item
-                    pick = winnow(hashes, per)
-                    pick = pick[whole[pick]]
-                    pick = pick[passes(hashes[pick])]
-                    for p in pick.tolist():
-                        d = int(w.doc[p])
-                        a, b = int(w.first[d]), int(w.first[d + 1])
-                        lo, hi = max(a, p - (per - 1)), min(b, p + size)
-                        found[d].append({"h": int(hashes[p].view(np.int64)), "pos": p - a, "size": size,
-                                         "from": lo - a, "words": w.text(lo, hi)})
+            for part in by_bytes(batch, n_keep, WORK_BYTES):
+                if part.num_rows > 1 or len(part.column(n_keep)[0].as_buffer()) <= WORK_BYTES:
+                    w = Words(part.column(n_keep))
+                    counts, found = np.diff(w.first), hits_of(w, 0)
+                else:  # a long text, a stretch at a time; a hit in what two stretches share may come twice
+                    counts, found = [0], [[]]
+                    for w, number in stretches(part.column(n_keep)[0].as_py(), window - 1, WORK_BYTES):
+                        counts[0] = number + len(w.start)
+                        found[0] += hits_of(w, number)[0]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(n_keep)]
-                    + [pa.array(np.diff(w.first)), pa.array(found, hit_type)], [*keep, "n_words", "hits"])
+                    + [pa.array(counts, pa.int64()), pa.array(found, hit_type)], [*keep, "n_words", "hits"])
 
     return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text")).mapInArrow(run, schema)
 

@@ -84,14 +84,21 @@ class KernelModel:
         self._place = None
 
     def presence(self, texts: list[str]) -> np.ndarray:
-        if self._place is None:  # once per worker: the feature of each code, or the last, unused column
-            self._place = np.full(code_space(self.max_gram), len(self.features), np.int32)
-            self._place[self.features] = np.arange(len(self.features))
-        x = np.zeros((len(texts), len(self.features) + 1), np.float32)
+        if self._place is None:  # once per worker: a bit for each code, and the features before each 64 codes
+            bits = np.zeros(code_space(self.max_gram) + 63 >> 6, np.uint64)
+            codes = self.features.astype(np.int64)
+            np.bitwise_or.at(bits, codes >> 6, np.uint64(1) << (codes & 63).astype(np.uint64))
+            before = np.cumsum(np.bitwise_count(bits), dtype=np.int32) - np.bitwise_count(bits)
+            self._place = bits, before
+        bits, before = self._place
+        x = np.zeros((len(texts), len(self.features)), np.float32)
         for row, text in zip(x, texts):
             for codes in gram_codes(text, self.max_gram):
-                row[self._place[codes]] = 1
-        return x[:, :-1]
+                word, bit = codes >> 6, (codes & 63).astype(np.uint64)
+                known = np.flatnonzero((bits[word] >> bit) & np.uint64(1))
+                word, bit = word[known], bit[known]
+                row[before[word] + np.bitwise_count(bits[word] & ((np.uint64(1) << bit) - np.uint64(1)))] = 1
+        return x
 
     def kernel(self, texts: list[str]) -> np.ndarray:
         x = self.presence(texts)

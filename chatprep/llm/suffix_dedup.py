@@ -23,13 +23,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatprep.llm.common import Scratch, skew_join
 from chatprep.llm.suffix_array import MAX_TEXT, repeated
-from chatprep.llm.tokens import mix
+from chatprep.llm.tokens import by_bytes, mix
 
 #: Bytes of a string that must not repeat, and of the grams whose smallest hash marks it.
 LENGTH, GRAM = 400, 32
@@ -112,16 +111,6 @@ def units(texts: Sequence[bytes], length: int, gram: int) -> list[tuple[np.ndarr
     return out
 
 
-def _batches(batch: pa.RecordBatch, column: int, limit: int = STRETCH) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch, about ``limit`` bytes of a binary column at a time."""
-    sizes = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))])
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + limit, "right")) - 1)
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def marked(docs: DataFrame, doc_id: str, text: str, length: int, gram: int) -> DataFrame:
     """(doc_id, sha, t, n_bytes, starts, keys, selves): each row's text by its hash, and its units."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -129,7 +118,7 @@ def marked(docs: DataFrame, doc_id: str, text: str, length: int, gram: int) -> D
 
     def run(batches):
         for batch in batches:
-            for part in _batches(batch, 2):
+            for part in by_bytes(batch, 2, STRETCH):
                 texts = part.column(2).to_pylist()
                 found = units(texts, length, gram)
                 yield pa.RecordBatch.from_arrays(

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of texts that are worked on at once: arrays of words take some sixty times as much.
+WORK_BYTES = 256 << 10
 
 #: Odd multipliers of the word hash and of its final mixing (any odd numbers do).
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -25,6 +31,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, limit: int = WORK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, about ``limit`` bytes of a binary or string column at a time, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sizes = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + limit, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 class Words:
     """Words of a batch: ``start``/``end`` in ``data`` (lower-cased bytes), ``doc``, ``hash``;
     ``first[d]:first[d + 1]`` are the words of text d."""
@@ -72,6 +89,31 @@ class Words:
         return " ".join([bytes(self.data[self.start[i]:self.end[i]]).decode() for i in range(a, b)])
 
 
+def stretches(text: bytes, overlap: int, limit: int = WORK_BYTES, kind: np.ndarray = ALNUM) -> Iterator[tuple[Words, int]]:
+    """The words of a long text, ``limit`` bytes or little more at a time, each time with the number
+    of its first word. Stretches end between words and share ``overlap`` words, so that every run
+    of overlap + 1 words lies in one of them."""
+    data = np.frombuffer(text, np.uint8)
+    at, number, size = 0, 0, limit
+    while True:
+        end = at + size
+        while end < len(data):  # to the end of a word
+            gap = np.flatnonzero(~kind[_LOWER[data[end:end + 4096]]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end += 4096
+        words = Words(pa.array([text[at:end]], pa.binary()), kind)
+        if end < len(data) and len(words.start) <= overlap:  # very long words
+            size *= 2
+            continue
+        yield words, number
+        if end >= len(data):
+            return
+        skip = len(words.start) - overlap
+        at, number, size = at + (int(words.start[skip]) if overlap else end - at), number + skip, limit
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n word hashes, in order."""
     m = max(0, len(words) - n + 1)

@@ -196,6 +196,19 @@ def test_decontamination(spark):
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(d for d, *_, bad in slow_report(docs, long_items) if not bad)
 
 
+def test_long_texts_are_read_in_stretches(spark, monkeypatch):
+    """With stretches of 64 bytes nearly every text is long; windows cross their ends."""
+    monkeypatch.setattr(D, "WORK_BYTES", 64)
+    random.seed(9)
+    word = lambda: random.choice(["ab", "cde", "Fgh", "é", "x" * 40])
+    items = [(k, " ".join(word() for _ in range(14))) for k in range(6)] + [(7, "lone " + "y" * 90)]
+    rows = [(k, " ".join(word() for _ in range(20)) + ", " + items[k % 7][1] + "; " + " ".join(word() for _ in range(9))) for k in range(30)]
+    rows += [(31, "z" * 300), (32, None), (33, "-" * 500 + items[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = D.report(docs, spark.createDataFrame(items, "item_id long, text string"), Scratch(spark, "t"))
+    assert sorted(tuple(map(str, r)) for r in got.collect()) == sorted(tuple(map(str, r)) for r in slow_report(rows, items))
+
+
 def test_winnowing_keeps_a_fingerprint_of_every_window():
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 50, 500).astype(np.uint64)
