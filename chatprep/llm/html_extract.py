@@ -1,12 +1,13 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page is cut into blocks of text. A classifier gives each block the cost of calling it content
-and the cost of calling it boilerplate: a logistic regression over the block's text (length,
-link share, punctuation, place), fitted on a bounded sample of pages whose own semantic elements
-label their blocks, plus the evidence of the elements around the block. These costs are the
-capacities to the two terminals; smoothness edges join blocks that follow each other, stronger
-the closer they are in the document tree, and blocks of one container across what stands
-between them. The minimum cut separates content from boilerplate.
+and the cost of calling it boilerplate: a logistic regression over the block's text and place in
+the tree (length, link share, punctuation, what its container holds), plus the evidence of the
+elements around the block. It is fitted on a bounded sample of blocks that semantic elements label,
+and sees neither these elements nor class, id or role, so it also judges pages that have none.
+These costs are the capacities to the two terminals; smoothness edges join blocks that follow each
+other, stronger the closer they are in the document tree, and blocks of one container across what
+stands between them. The minimum cut separates content from boilerplate.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,8 +25,12 @@ from pyspark.sql import functions as F
 
 #: The classifier is fitted on the blocks of at most so many pages, smallest hash of the url first.
 FIT_PAGES = 256
-#: Evidence of semantic elements and of boilerplate containers, in log-odds.
-IN_ARTICLE, IN_BOILERPLATE, TEXT_LIMIT = 4.0, -9.0, 1.5
+#: Of their labelled blocks at most so many, smallest hash first, reach the driver.
+FIT_BLOCKS = 16_384
+#: Evidence of semantic elements and of boilerplate containers, and the classifier's limit, in log-odds.
+IN_ARTICLE, IN_BOILERPLATE, TEXT_LIMIT = 4.0, -9.0, 4.0
+#: Deeper elements count as children of the element at this depth, as browsers do.
+MAX_DEPTH = 512
 #: Inside an article, a word that names other things too takes the article's evidence back.
 AMBIGUOUS_IN_ARTICLE = -4.0
 #: Smoothness: same container, same grandparent, or only next to each other; siblings further apart.
@@ -46,6 +51,11 @@ BLOCK_TAGS = {"body", "address", "article", "aside", "blockquote", "center", "dd
               "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup",
               "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot",
               "th", "thead", "tr", "ul"}
+#: Elements that end a block of text; all others stand within a line, so removing them doesn't split it.
+BREAKS = BLOCK_TAGS | {"html", "caption", "col", "colgroup", "dir", "legend", "listing", "optgroup", "option", "plaintext",
+                       "search", "xmp"}
+#: Elements that hold text of their own; text right inside another block element is bare.
+TEXT_TAGS = {"p", "pre", "blockquote", "li", "dd", "dt", "td", "th", "figcaption", "caption", "summary"}
 BREAKOUT = {"b", "big", "blockquote", "body", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2",
             "h3", "h4", "h5", "h6", "hr", "i", "img", "li", "listing", "menu", "meta", "nobr", "ol", "p", "pre", "ruby", "s",
             "small", "span", "strong", "strike", "sub", "sup", "table", "tt", "u", "ul", "var"}
@@ -77,8 +87,8 @@ PARTS = {"slot", "box", "bar", "container", "wrapper", "wrap", "area", "block",
          "body", "author", "content", "meta", "title", "text", "media", "policy", "message", "thread", "reader", "user"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>",
-                    re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_TAG_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[-_:.0-9]+")
 
@@ -93,11 +103,56 @@ class Element:
     size: int = 0            # characters of the blocks in it
     has_article: bool = False
     skipped: bool = False
+    breaks: bool = True      # ends blocks of text
+
+
+class Tokens:
+    """Tags, comments and the like of a page, in time linear in its length.
+
+    What is not found after a place is not searched again. If the quotes of a tag don't close
+    before the page ends, quotes count for nothing in that tag and all after it."""
+
+    def __init__(self, page: str):
+        self.page, self.none, self.quotes = page, {}, True
+
+    def find(self, what: str, at: int) -> int:
+        if self.none.get(what, len(self.page) + 1) <= at:
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.none[what] = at
+        return k
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, name, "/" of an end tag, attributes) of the next token; comments, doctypes
+        and instructions have no name, CDATA sections are named by their opening."""
+        page = self.page
+        while (start := self.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = self.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", "", ""
+            close = self.find(">", start + 1)
+            if close >= 0 and page[start + 1] in "!?":
+                if page.startswith(CDATA, start) and (end := self.find("]]>", start + len(CDATA))) >= 0:
+                    return start, end + 3, CDATA, "", ""
+                return start, close + 1, "", "", ""
+            if close >= 0 and (name := _NAME.match(page, start + 1)):
+                rest = _TAG_REST.match(page, name.end()) if self.quotes else None
+                if rest:
+                    return start, rest.end(), name[2].lower(), name[1], rest[1]
+                self.quotes = False
+                close = self.find(">", name.end())
+                return start, close + 1, name[2].lower(), name[1], page[name.end():close]
+            at = start + 1
+        return None
+
+
+CDATA = "<![CDATA["
 
 
 @dataclass
 class Block:
-    element: int             # nearest element that is not inline
+    element: int             # nearest element that ends blocks
     parts: list = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -163,23 +218,31 @@ def _parse(page: str, unclosed: frozenset[int]) -> tuple[list[Block], list[Eleme
     those at ``unclosed`` end at the first block in them."""
     elements = [Element("", -1)]
     stack, out = [0], []
+    open_: Counter[str] = Counter()  # open elements by tag
+    n_skipped = 0
     block: Block | None = None
-    at, in_link, size = 0, 0, len(page)
+    at, size, tokens = 0, len(page), Tokens(page)
     in_body = False
     places: dict[int, int] = {}  # where skipped elements start
     starts: dict[int, int] = {}  # the same, of those without an end tag so far
 
+    def close(k: int) -> None:
+        """Closes the open elements from the k-th on."""
+        nonlocal n_skipped
+        for e in stack[k:]:
+            open_[elements[e].tag] -= 1
+            n_skipped -= elements[e].skipped
+        del stack[k:]
+
     def body_begins() -> None:
         nonlocal in_body
         in_body = True
-        for k in range(len(stack) - 1, 0, -1):
-            if elements[stack[k]].tag == "head":
-                del stack[k:]
-                break
+        if open_["head"]:
+            close(max(k for k in range(len(stack)) if elements[stack[k]].tag == "head"))
 
     def ends_skipped(tag: str) -> None:
         """Closes the skipped elements that a start tag ends."""
-        if tag in BREAKOUT:
+        if tag in BREAKOUT and any(open_[x] for x in FOREIGN):
             cut = 0
             for k in range(len(stack) - 1, 0, -1):
                 if elements[stack[k]].tag in INTEGRATION:
@@ -190,14 +253,15 @@ def _parse(page: str, unclosed: frozenset[int]) -> tuple[list[Block], list[Eleme
                 for e in stack[cut:]:
                     if elements[e].tag in FOREIGN:
                         starts.pop(e, None)
-                del stack[cut:]
-        for k in range(len(stack) - 1, 0, -1):
-            open_tag = elements[stack[k]].tag
-            if tag in ENDED_BY.get(open_tag, ()):
-                del stack[k:]
-                break
-            if open_tag in SCOPE:
-                break
+                close(cut)
+        if any(open_[x] and tag in by for x, by in ENDED_BY.items()):
+            for k in range(len(stack) - 1, 0, -1):
+                open_tag = elements[stack[k]].tag
+                if tag in ENDED_BY.get(open_tag, ()):
+                    close(k)
+                    break
+                if open_tag in SCOPE:
+                    break
         if unclosed and tag in BLOCK_TAGS:
             cut = 0
             for k in range(len(stack) - 1, 0, -1):
@@ -206,7 +270,7 @@ def _parse(page: str, unclosed: frozenset[int]) -> tuple[list[Block], list[Eleme
                         break
                     cut = k
             if cut:
-                del stack[cut:]
+                close(cut)
 
     def text(chunk: str) -> None:
         nonlocal block
@@ -214,16 +278,15 @@ def _parse(page: str, unclosed: frozenset[int]) -> tuple[list[Block], list[Eleme
             return
         if not in_body and not chunk.isspace():
             body_begins()
-        if any(elements[e].skipped for e in stack):
+        if n_skipped:
             return
         chunk = entities.unescape(chunk) if "&" in chunk else chunk
         if block is None:
             if chunk.isspace():
                 return
-            inner = next(e for e in reversed(stack) if elements[e].tag not in INLINE)
-            block = Block(inner)
+            block = Block(next(e for e in reversed(stack) if elements[e].breaks))
         block.parts.append(chunk)
-        if in_link:
+        if open_["a"]:
             block.linked += len(chunk.strip())
 
     def flush() -> None:
@@ -235,115 +298,132 @@ def _parse(page: str, unclosed: frozenset[int]) -> tuple[list[Block], list[Eleme
             block = None
 
     while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        token = tokens.after(at)
+        if token is None:
             text(page[at:])
             break
-        text(page[at:m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:  # comments, doctypes, instructions
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:-3])
+        start, end, tag, ends, attributes = token
+        text(page[at:start])
+        at = end
+        if tag == CDATA:
+            text(page[start + len(CDATA):end - 3])
+            continue
+        if not tag:
             continue
-        tag = name.lower()
-        if not m[1]:
+        if not ends:
             if tag == "head" and in_body:
                 continue
             if not in_body and tag not in IN_HEAD:
                 body_begins()
-            if any(elements[e].skipped for e in stack):
-                open_ = len(stack)
+            if n_skipped:
+                was = len(stack)
                 ends_skipped(tag)
-                if len(stack) < open_:
+                if len(stack) < was:
                     flush()
-                    in_link = sum(elements[e].tag == "a" for e in stack)
         if tag == "br":
             if block is not None:
                 block.parts.append(" ")
             continue
-        if m[1]:
-            if tag not in INLINE:
+        if ends:
+            if tag in BREAKS and not n_skipped:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if elements[stack[k]].tag == tag:
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
+                e = elements[stack[k]]
+                if e.tag == tag:
                     starts.pop(stack[k], None)
-                    del stack[k:]
+                    close(k)
+                    if e.breaks and not n_skipped:
+                        flush()
                     break
                 # an inline end tag doesn't close the blocks around it
-                if tag in INLINE and elements[stack[k]].tag not in INLINE:
+                if tag in INLINE and e.tag not in INLINE:
                     break
-            in_link = sum(elements[e].tag == "a" for e in stack) if tag == "a" or in_link else 0
             continue
-        if tag not in INLINE:
-            flush()
+        if tag in BREAKS:
+            if not n_skipped:
+                flush()
             for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, a list item the one before
                 open_tag = elements[stack[k]].tag
                 if open_tag == "p" or (open_tag == tag and tag in ("li", "option", "tr", "td", "th", "dt", "dd")):
-                    del stack[k:]
+                    close(k)
                     break
                 if open_tag not in INLINE:
                     break
-            in_link = sum(elements[e].tag == "a" for e in stack) if in_link else 0
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
+        if len(stack) > MAX_DEPTH:
+            close(MAX_DEPTH)
         e = Element(tag, stack[-1])
-        if tag not in ("html", "body") and "=" in m[3]:
-            named, e.own_comment = names_in(tag, m[3])
+        if tag not in ("html", "body") and "=" in attributes:
+            named, e.own_comment = names_in(tag, attributes)
             e.named = 0 if tag in ARTICLE else named
         e.skipped = tag in SKIPPED
+        # an unknown element that surely names boilerplate is a box of its own
+        e.breaks = tag in BREAKS or (e.named == 2 and not e.skipped and tag not in INLINE)
+        if e.breaks and tag not in BREAKS and not n_skipped:
+            flush()
         elements.append(e)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
+            found = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            stop = tokens.find(">", found.end()) if found else -1
+            at = stop + 1 if stop >= 0 else size
             continue
-        if tag == "a":
-            in_link += 1
         if e.skipped and tag != "head":
-            starts[len(elements) - 1] = places[len(elements) - 1] = m.start()
+            starts[len(elements) - 1] = places[len(elements) - 1] = start
         stack.append(len(elements) - 1)
+        open_[tag] += 1
+        n_skipped += e.skipped
     flush()
     return out, elements, frozenset(starts.values())
 
 
-def evidence(block: Block, elements: list[Element]) -> float:
-    """What the elements around a block say; containers that hold the article don't count. Inside an
+def evidence(blocks: list[Block], elements: list[Element]) -> list[float]:
+    """What the elements around each block say; containers that hold the article don't count. Inside an
     article, names only take from its evidence, so that text and neighbours have their say."""
-    found, named, k = 0.0, 0, block.element
-    while k > 0:
-        e = elements[k]
+    inside, in_article, in_boilerplate, named = ([0] * len(elements) for _ in range(4))
+    for k, e in enumerate(elements[1:], 1):  # parents come before their children
+        up = e.parent
+        inside[k] = inside[up] or e.tag in ARTICLE
+        in_article[k] = in_article[up] or (e.tag in ARTICLE and not e.comment)
+        in_boilerplate[k], named[k] = in_boilerplate[up], named[up]
         if not e.has_article:
-            if e.tag in BOILERPLATE and not (e.tag == "header" and _inside(k, elements)):
-                return IN_BOILERPLATE
-            named = max(named, 2 if e.comment else e.named)
-        if e.tag in ARTICLE and not e.comment:
-            found = IN_ARTICLE
-        k = e.parent
-    if not named:
-        return found
-    if not found:
-        return IN_BOILERPLATE
-    return found + (IN_BOILERPLATE if named == 2 else AMBIGUOUS_IN_ARTICLE)
+            in_boilerplate[k] |= e.tag in BOILERPLATE and not (e.tag == "header" and inside[k])
+            named[k] = max(named[up], 2 if e.comment else e.named)
+    out = []
+    for k in (b.element for b in blocks):
+        found = IN_ARTICLE if in_article[k] else 0.0
+        if in_boilerplate[k] or (named[k] and not found):
+            found = IN_BOILERPLATE
+        elif named[k]:
+            found += IN_BOILERPLATE if named[k] == 2 else AMBIGUOUS_IN_ARTICLE
+        out.append(found)
+    return out
 
 
-def _inside(k: int, elements: list[Element]) -> bool:
-    while k > 0:
-        if elements[k].tag in ARTICLE:
-            return True
-        k = elements[k].parent
-    return False
+N_FEATURES = 14
 
 
 def features(blocks: list[Block], elements: list[Element]) -> np.ndarray:
-    """Of each block's text alone: constant, log length, link share, marks, heading, item, place."""
-    n = len(blocks)
+    """Of each block, without any mark of article or boilerplate: constant, log length, link share,
+    punctuation, heading, item, place, bare text, end of a sentence, its element's and container's
+    share of the page's text, and the container's number of blocks, text per block and heading."""
+    n, total = len(blocks), max(1, elements[0].size)
+    boxes = [max(0, elements[b.element].parent) for b in blocks]
+    tags = [elements[b.element].tag for b in blocks]
+    held, lengths = Counter(boxes), Counter()
+    for b, box in zip(blocks, boxes):
+        lengths[box] += len(b.text)
+    headed = {box for box, tag in zip(boxes, tags) if tag in HEADINGS}
     rows = []
-    for k, b in enumerate(blocks):
-        size, tag = len(b.text), elements[b.element].tag
+    for k, (b, box, tag) in enumerate(zip(blocks, boxes, tags)):
+        size = len(b.text)
         marks = sum(b.text.count(c) for c in ".,;:!?")
         rows.append((1.0, math.log1p(size) / 5, min(1.0, b.linked / size), min(1.0, 10 * marks / size),
-                     float(tag[:1] == "h" and tag[1:].isdigit()), float(tag == "li"), abs(2 * (k + 0.5) / n - 1)))
-    return np.array(rows, np.float64).reshape(n, 7)
+                     float(tag in HEADINGS), float(tag == "li"), abs(2 * (k + 0.5) / n - 1),
+                     float(tag not in TEXT_TAGS and tag not in HEADINGS), float(b.text[-1] in ".!?"),
+                     elements[b.element].size / total, elements[box].size / total, math.log(held[box]) / 3,
+                     math.log1p(lengths[box] / held[box]) / 5, float(box in headed)))
+    return np.array(rows, np.float64).reshape(n, N_FEATURES)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
@@ -358,33 +438,36 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
-def fit(pages: DataFrame, url: str = "url", html: str = "html", fit_pages: int = FIT_PAGES) -> np.ndarray:
-    """Weights of the text classifier. At most ``fit_pages`` pages (smallest hash of their url)
-    are read; blocks inside article or main are content, those inside boilerplate are not, and
-    the rest are left out. What reaches the driver are sums of a few numbers for each block."""
+def fit(pages: DataFrame, url: str = "url", html: str = "html", fit_pages: int = FIT_PAGES,
+        fit_blocks: int = FIT_BLOCKS) -> np.ndarray:
+    """Weights of the classifier. At most ``fit_pages`` pages (smallest hash of their url) are read;
+    blocks inside article or main are content, those inside boilerplate are not, and the rest are
+    left out. At most ``fit_blocks`` blocks, smallest hash first, reach the driver, as a few numbers
+    each."""
     chosen = (pages.select(F.col(url).alias("u")).filter(F.col("u").isNotNull()).distinct()
               .orderBy(F.xxhash64("u"), "u").limit(fit_pages))
     urls = [r[0] for r in chosen.collect()]
     if not urls:
-        return np.zeros(7)
+        return np.zeros(N_FEATURES)
 
     def run(batches):
         for batch in batches:
             for page in batch.column(0).to_pylist():
                 blocks, elements = blocks_of(page)
-                marks = [evidence(b, elements) for b in blocks]
+                marks = evidence(blocks, elements)
                 x = features(blocks, elements)
-                for row, m in zip(x.tolist(), marks):
-                    if m:
-                        yield pa.RecordBatch.from_pydict({"x": pa.array([row], pa.list_(pa.float64())),
-                                                          "y": pa.array([float(m > 0)])})
+                chosen = [k for k, m in enumerate(marks) if m]
+                yield pa.RecordBatch.from_pydict({
+                    "x": pa.array([x[k].tolist() for k in chosen], pa.list_(pa.float64())),
+                    "y": pa.array([float(marks[k] > 0) for k in chosen], pa.float64())})
 
     # repeated urls: one page each
     sample = (pages.filter(F.col(url).isin(urls) & F.col(html).isNotNull()).groupBy(F.col(url).alias("u"))
               .agg(F.min(html).alias("html")).select("html"))
-    rows = sample.mapInArrow(run, "x array<double>, y double").collect()
-    x = np.array(sorted((*r.x, r.y) for r in rows)).reshape(-1, 8)
-    return fit_logistic(x[:, :7], x[:, 7])
+    rows = (sample.mapInArrow(run, "x array<double>, y double")
+            .orderBy(F.xxhash64("x", "y"), "x", "y").limit(fit_blocks).collect())
+    x = np.array(sorted((*r.x, r.y) for r in rows)).reshape(-1, N_FEATURES + 1)
+    return fit_logistic(x[:, :-1], x[:, -1])
 
 
 def min_cut(costs: np.ndarray, edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -495,7 +578,7 @@ def extract_text(page: str | None, weights: np.ndarray) -> str:
     if not blocks:
         return ""
     z = np.clip(features(blocks, elements) @ weights, -TEXT_LIMIT, TEXT_LIMIT)
-    z = z + np.array([evidence(b, elements) for b in blocks])
+    z = z + np.array(evidence(blocks, elements))
     # logistic costs: -log(1 - p) for content called boilerplate, -log p for the other way round
     costs = np.logaddexp(0, z) - np.logaddexp(0, -z)
     keep = min_cut(costs, smoothness(blocks, elements))

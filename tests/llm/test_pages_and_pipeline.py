@@ -7,6 +7,7 @@ import html as entities
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -51,7 +52,7 @@ def test_extract_boilerplate_kinds(spark):
       <p>Second &eacute;&#233; a<br>b <ul><li>one<li>two</ul><div class="ad-slot">Buy!</div><form>Name <input></form>
       <p>Third</main></div><section id="comments"><article class="comment"><p>Nice post, very good indeed.</p></article></section>
       <aside>Side</aside><footer>(c)</footer><script>if(a<b){"</p>"}</script><style>p{}</style><!-- <p>no</p> --></body></html>"""
-    assert H.extract_text(page, np.zeros(7)) == "Title & more\nFirst para boldword.\nSecond éé a b\none\ntwo\nThird"
+    assert H.extract_text(page, np.zeros(H.N_FEATURES)) == "Title & more\nFirst para boldword.\nSecond éé a b\none\ntwo\nThird"
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<p>x"), (3, "u", "<p>x"), (4, "u", "a < b <"), (5, "v", "<p>w " * 20_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = [(r.page_id, r.text, r.n_chars) for r in H.extract(df).collect()]
@@ -75,7 +76,7 @@ def test_extract_boilerplate_kinds(spark):
     ("<button>Buy<video><p>No</p></video><p>One", "One"),
 ])
 def test_unclosed_skipped_elements(page, want):
-    assert H.extract_text(page, np.zeros(7)) == want
+    assert H.extract_text(page, np.zeros(H.N_FEATURES)) == want
 
 
 @pytest.mark.parametrize("page,want", [
@@ -92,7 +93,56 @@ def test_unclosed_skipped_elements(page, want):
     ('<article><p>One</p><div class="ad-slot">Buy</div><div class="related-posts"><p>R</p></div><p>Two</p></article>', "One\nTwo"),
 ])
 def test_names_count_as_whole_names(page, want):
-    assert H.extract_text(page, np.eye(7)[0]) == want  # every text counts as content by 1
+    assert H.extract_text(page, np.eye(H.N_FEATURES)[0]) == want  # every text counts as content by 1
+
+
+@pytest.fixture(scope="module")
+def weights(spark):
+    return H.fit(spark.read.parquet(f"{SF001}/pages.parquet"))
+
+
+def test_pages_without_marks(spark, weights):
+    """Elements renamed to div, class, id and role taken out: text and tree alone tell the article."""
+    pages = spark.read.parquet(f"{SF001}/pages.parquet")
+    bare = F.regexp_replace(F.regexp_replace("html", r"<(/?)(article|nav|footer|aside|header|section|form|main)\b", "<$1div"),
+                            r"\s(class|id|role)=\"[^\"]*\"", "")
+    with_marks = {r.page_id: r.text for r in H.extract(pages, weights).collect()}
+    without = {r.page_id: r.text for r in H.extract(pages.withColumn("html", bare), weights).collect()}
+    assert without == with_marks
+
+
+def test_neighbours_decide_a_doubtful_block(weights):
+    line = "<p>Words of the story go on, and the reader follows them to the end of the line.</p>"
+    page = ("<div><div><h2>A story of some kind</h2>" + line * 3 + "<div><a href=/x>See this one</a></div>" + line * 3
+            + "</div><div>Copyright us</div></div>")
+    blocks, elements = H.blocks_of(page)
+    costs = np.clip(H.features(blocks, elements) @ weights, -H.TEXT_LIMIT, H.TEXT_LIMIT)
+    assert H.min_cut(costs, [])[4] is False  # its own cost alone
+    assert H.min_cut(costs, H.smoothness(blocks, elements))[4] is True
+    assert H.extract_text(page, weights).split("\n")[4] == "See this one"
+
+
+@pytest.mark.parametrize("part", ["<script>x()</script>", "<svg><g/></svg>", "<button>go</button>", "<noscript>n</noscript>",
+                                  "<nobr></nobr>", "<textarea>t</textarea>", "<x-y></x-y>", "<select><option>a</select>"])
+def test_removed_elements_do_not_split_a_block(part):
+    page = f"<article><p>The price{part} rose.</p><p>More.</p></article>"
+    assert H.extract_text(page, np.zeros(H.N_FEATURES)) == "The price rose.\nMore."
+
+
+@pytest.mark.parametrize("page", [
+    "<p>a</p>" + "<b" * 20_000, "<div>" * 20_000 + "a" + "</div>" * 20_000, "<p>a</p>" + "<a href=\"x>y</a>'" * 8_000,
+    "<p>a" + "<![CDATA[" * 20_000, "<svg>" + "<g>" * 20_000 + "</svg><p>a", "<script>" + "</script " * 20_000,
+    "<button>" + "<div>a" * 20_000, "<b>" * 20_000 + "a"])
+def test_odd_markup_takes_linear_time(page):
+    start = time.process_time()
+    H.extract_text(page, np.zeros(H.N_FEATURES))
+    assert time.process_time() - start < 2
+
+
+def test_fit_reads_a_bounded_number_of_blocks(spark):
+    pages = spark.read.parquet(f"{SF001}/pages.parquet")
+    assert len(H.fit(pages, fit_pages=5, fit_blocks=20)) == H.N_FEATURES
+    assert not H.fit(pages.limit(0)).any()
 
 
 WARC_ROWS = [(3, "u3", "x"), (1, "u1", "x"), (2, "u2", None), (4, None, ""), (5, "a\r\nb: c", "é😀"), (5, "z", "é😀"),
