@@ -116,7 +116,7 @@ def context_budget(msgs: DataFrame, length: Column, budget_chars: int, last_n: i
 def context_at_each_message(msgs: DataFrame, length: Column, budget_chars: int, *,
                             payload: Column | None = None, order_col: str = "id",
                             width: int = BLOCK_WIDTH, wanted: Column | None = None,
-                            dense: bool = True) -> DataFrame:
+                            dense: bool | None = None) -> DataFrame:
     """Per message (anchor): the context the live path holds right after it arrives.
 
     Output: the anchor's columns plus ``n_context`` (messages kept), ``context_chars``

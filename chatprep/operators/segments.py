@@ -23,7 +23,7 @@ def filter_length(msgs: DataFrame, max_chars: int = K.SEGMENT_MAX_CHARS) -> Data
 
 
 def segment_fixed(msgs: DataFrame, segment_len: int = K.SEGMENT_LEN, order_col: str = "id",
-                  by: tuple[str, ...] = (), width: int = BLOCK_WIDTH, dense: bool = True) -> DataFrame:
+                  by: tuple[str, ...] = (), width: int = BLOCK_WIDTH, dense: bool | None = None) -> DataFrame:
     """Consecutive segments of ``segment_len`` rows; the short tail segment is kept.
     ``by`` names columns that split a chat into parts, each segmented on its own."""
     order = [order_col] + [c for c in ("sent_at", "sender", "text") if c in msgs.columns]
@@ -67,7 +67,7 @@ def reply_remap(segs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def build_segments(msgs: DataFrame, *, max_chars: int = K.SEGMENT_MAX_CHARS, segment_len: int = K.SEGMENT_LEN,
                    bot_name: str = K.SEGMENT_BOT_NAME, seed: int = 42, by: tuple[str, ...] = (),
-                   width: int = BLOCK_WIDTH, dense: bool = True) -> DataFrame:
+                   width: int = BLOCK_WIDTH, dense: bool | None = None) -> DataFrame:
     """messages -> prepared segment rows with the delimited ``record`` column."""
     s = segment_fixed(filter_length(msgs, max_chars), segment_len, by=by, width=width, dense=dense)
     s = reply_remap(renumber_ids(relabel_segment_speaker(s, bot_name, by), seed), by)

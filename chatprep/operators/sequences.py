@@ -37,8 +37,8 @@ def positions(msgs: DataFrame, order_col: str = "id", tiebreak=TIEBREAK, **kw) -
     (duplicate ids are ordered by time, sender and text, so positions are reproducible).
 
     In a global scope ids say nothing about the order of different chats: a message's place is
-    the size of the chats before its own plus its place there. Ids may repeat and lie far apart
-    (``dense=False`` does the same for a scope of chats)."""
+    the size of the chats before its own plus its place there. Ids may repeat and lie far apart,
+    in either scope (see ``number_rows``)."""
     order = [order_col] + [c for c in (tiebreak or ()) if c in msgs.columns]
     if order_col == "id" and "source_chat_id" in msgs.columns:
         order, kw = ["source_chat_id", *order], {**kw, "dense": False}
@@ -143,7 +143,7 @@ def assemble_examples(turns: DataFrame, system_text: str | None = K.SYSTEM_TEXT_
 def build_sequences(msgs: DataFrame, *, length: int = K.SEQ_LEN_V1, min_len: int = K.SEQ_MIN_LEN,
                     max_id_gap: int | None = K.SEQ_MAX_ID_GAP, max_minutes: int | None = K.SEQ_MAX_MINUTES,
                     clock: str = "hhmm", drop_tail: bool = True, scope: str = "chat",
-                    relabel_by: str = "sender", order_col: str = "id", dense: bool = True) -> DataFrame:
+                    relabel_by: str = "sender", order_col: str = "id", dense: bool | None = None) -> DataFrame:
     """messages -> one row per kept sequence message, with seq ids and roles.
 
     Rows are taken in ``order_col`` order (an integral column: the message id, or an
@@ -163,7 +163,7 @@ def training_examples(msgs: DataFrame, *, system_text: str | None = K.SYSTEM_TEX
 def sequence_stats(msgs: DataFrame, *, length: int = K.SEQ_LEN_V1, min_len: int = K.SEQ_MIN_LEN,
                    max_id_gap: int | None = K.SEQ_MAX_ID_GAP, max_minutes: int | None = K.SEQ_MAX_MINUTES,
                    clock: str = "hhmm", drop_tail: bool = True, scope: str = "chat", order_col: str = "id",
-                   dense: bool = True) -> DataFrame:
+                   dense: bool | None = None) -> DataFrame:
     """Per candidate chunk: how it ended (``full`` / ``id_gap`` / ``time_gap``), kept
     length and whether it was discarded as too short. Aggregated by reason, with the number of
     assistant turns of kept sequences that the byte-compatible recovery can't read back (``n_failed``)."""

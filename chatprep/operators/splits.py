@@ -104,8 +104,8 @@ def split_ordered(df: DataFrame, order_col: str, test_frac: float = K.SEGMENT_TE
     of the row, so every evaluation splits alike.
 
     Over the whole table the cut is the k-th row by refined counts of the order column (integers,
-    dates, timestamps, strings); other types, and groups, are numbered. ``dense``: the order column
-    is dense and unique per group, as ids of one chat are (default: only with ``keys``)."""
+    dates, timestamps, strings); other types, and groups, are numbered. ``dense``: as in
+    ``number_rows``; True takes blocks of the order column over the whole table too."""
     keys = list(keys)
     key = None if keys or dense else sortable_text(df, order_col)
     if key is not None:
@@ -113,7 +113,7 @@ def split_ordered(df: DataFrame, order_col: str, test_frac: float = K.SEGMENT_TE
     g = df if keys else df.withColumn("_all", F.lit(0))
     gk = keys or ["_all"]
     m = number_rows(g, gk, [order_col, F.xxhash64(*df.columns)], block_col=order_col, pos_col="_pos", total_col="_n",
-                    dense=bool(keys) if dense is None else dense)
+                    dense=dense if keys or dense else False)
     train_n = F.floor(F.col("_n") * F.lit(1.0 - test_frac)).cast("bigint")
     out = m.withColumn("split", F.when(F.col("_pos") < train_n, F.lit(names[0])).otherwise(F.lit(names[1])))
     return out.drop("_pos", "_n", *([] if keys else ["_all"]))

@@ -101,3 +101,43 @@ def test_ranges_bound_the_largest_group(spark):
     x = spark.range(100_000).selectExpr("struct(1) as _gk", "id * 1000003 as id")
     sizes = [r["count"] for r in _by_range(x, ["id"]).groupBy("_blk").count().collect()]
     assert len(sizes) >= 4 and max(sizes) < 2 * 100_000 / len(sizes)
+
+
+def test_repeated_sparse_and_null_ids_need_no_hint(spark, monkeypatch):
+    """Defaults: one id that holds most rows, ids far apart and null ids are numbered like a plain
+    window, and no block passes its bound."""
+    from chatprep.operators import positions as P, sequences as S, segments as G
+    df = spark.range(20_000).selectExpr("1L as chat_id", "case when id % 10 < 7 then 5L when id % 10 = 9 then null else id * 99991 end as id",
+                                        "id as v", "'x' as text")
+    w = Window.partitionBy("chat_id").orderBy("id", "v")
+    want = {r.v: r.pos for r in df.withColumn("pos", F.row_number().over(w) - 1).collect()}
+    seen = []
+    ranges = P._by_range
+    monkeypatch.setattr(P, "_by_range", lambda x, order: seen.append(ranges(x, order)) or seen[-1])
+    got = number_rows(df, ["chat_id"], ["id", "v"], block_col="id", width=1000, total_col="n", sums={"s": F.lit(1)})
+    assert {r.v: r.pos for r in got.collect()} == want
+    assert got.where("n = 20000 and s = pos + 1").count() == 20_000
+    sizes = [r["count"] for r in seen[0].groupBy("_blk").count().collect()]
+    assert len(seen) == 1 and max(sizes) < 2 * 20_000 / len(sizes)
+    # rows that agree in the whole order are split too, and positions stay a permutation
+    same = number_rows(df.select("chat_id", F.lit(5).alias("id")), ["chat_id"], ["id"], block_col="id", width=1000)
+    sizes = [r["count"] for r in seen[1].groupBy("_blk").count().collect()]
+    assert max(sizes) < 2 * 20_000 / len(sizes)
+    assert same.agg(F.countDistinct("pos"), F.min("pos"), F.max("pos")).first()[:] == (20_000, 0, 19_999)
+    # few blocks are allowed: ids far apart go to ranges
+    monkeypatch.setattr(P, "MAX_BLOCKS", 100)
+    far = df.select("chat_id", (F.col("v") * 1_000_003).alias("id"), "text")
+    assert number_rows(far, ["chat_id"], ["id"], block_col="id").where("pos = id / 1000003").count() == 20_000
+    assert len(seen) == 3
+    chunks = S.chunk_fixed(S.positions(far), 15).groupBy("seq_id").count()
+    assert chunks.count() == 1333 and chunks.where("count <> 15").count() == 0
+    assert G.segment_fixed(far, 10).groupBy("seg_id").count().where("count = 10").count() == 2000
+    assert len(seen) == 5
+
+
+def test_ids_in_blocks_are_not_dealt_out(spark, monkeypatch):
+    from chatprep.operators import positions as P
+    monkeypatch.setattr(P, "_by_range", lambda *a: 1 / 0)
+    df = spark.range(5000).selectExpr("id % 2 as chat_id", "id")
+    assert number_rows(df, ["chat_id"], ["id"], block_col="id", width=100).agg(F.max("pos")).first()[0] == 2499
+    assert number_rows(df.limit(0), ["chat_id"], ["id"], block_col="id").count() == 0
