@@ -22,7 +22,7 @@ from chatprep.operators import routing as R
 from chatprep.operators import sequences as S
 from chatprep.operators import splits as P
 from chatprep.plans.live import (LIVE_SQL, LIVE_MSGS_SQL, ROUTE_INPUT_SQL, route_case_sql, chat_turn_sql, bot_rules,
-                                 _bot_sql, _ctx_sql, SEED)
+                                 _bot_sql, _ctx_sql, LOCAL_JOKE_SQL, SEED)
 from chatprep.plans.registry import register, events_messages_sql, ascii_handle_sql, seeded_md5_sql
 from chatprep.plans.training import seq_sql, docs_sql
 from chatprep.schema import with_fields
@@ -323,3 +323,52 @@ def q_stream_prompts(spark, sf):
     routed = SC.stream_route(s, _PB, C.chat_turn_length(), _rules_after_intro(), payload=F.to_json(turn))
     out = SC.run_available_now(SC.stream_prompts(routed, _SYS), "stream_prompts")
     return spark.read.parquet(out)
+
+
+_API_JOKE = f"""CASE WHEN len(string_split(a.text, ' ')) > 1 THEN '{_sq(K.JOKE_TOPIC_PROMPT)}' || array_to_string(string_split(a.text, ' ')[2:], ' ')
+     ELSE '{_sq(K.JOKE_RANDOM_PROMPT)}' END"""
+
+
+@register("stream_prompts_joke", sql=f"""WITH {ROUTE_INPUT_SQL}, rt AS (SELECT *, {route_case_sql()} AS action FROM ri),
+t AS (SELECT *, {chat_turn_sql()} AS tj FROM rt),
+l AS (SELECT *, length(tj) + CASE WHEN {_bot_sql(ascii_handle_sql('sender'))} THEN 3 ELSE 5 END + 2 AS len FROM t),
+p AS (SELECT *, sum(len) OVER (PARTITION BY chat_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS P FROM l),
+q AS (SELECT *, P - len AS Q FROM p)
+SELECT a.chat_id, a.id, a.action,
+       '{{"messages":[{_sq(_SYS)}' || COALESCE(',' || string_agg(e.tj, ',' ORDER BY e.id), '')
+       || ',{{"role":"system","content":' || CAST(to_json({_API_JOKE}) AS VARCHAR) || '}}]}}' AS prompt
+FROM q a LEFT JOIN q e ON e.chat_id = a.chat_id AND e.id <= a.id AND e.Q >= a.P - {_PB}
+WHERE a.action = 'joke' GROUP BY a.chat_id, a.id, a.action, a.text""")
+def q_stream_prompts_joke(spark, sf):
+    """Chat prompt of each joke command in the stream: its context, then the joke's instruction."""
+    s = normalize_live(_live_stream(spark, sf))
+    turn = encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id", K.BOT_NAME_API)
+    routed = SC.stream_route(s, _PB, C.chat_turn_length(), _rules_after_intro(), payload=F.to_json(turn),
+                             instruction=R.command_prompt("api"))
+    out = SC.run_available_now(SC.stream_prompts(routed, _SYS), "stream_prompts_joke")
+    return spark.read.parquet(out).where(F.col("action") == "joke")
+
+
+_LOCAL_PRE = K.local_pre_prompt(K.BOT_NAME_LOCAL)
+_LOCAL_CHARS = 900
+_LOCAL_FIXED = len(_LOCAL_PRE) + len(f"[MSG][FS][FS]{K.BOT_NAME_LOCAL}[FS]") + 5
+
+
+@register("stream_prompts_delimited", sql=f"""WITH {ROUTE_INPUT_SQL}, rt AS (SELECT *, {route_case_sql()} AS action FROM ri),
+r AS (SELECT *, '[MSG]' || CAST(id AS VARCHAR) || '[FS]' || hhmm || '[FS]' || sender || '[FS]' || COALESCE(text, '') || '[FS]'
+      || COALESCE(CAST(reply_to_message_id AS VARCHAR), '') || '[MEG]' || chr(10) AS rec, {LOCAL_JOKE_SQL} AS joke FROM rt),
+p AS (SELECT *, sum(length(rec)) OVER (PARTITION BY chat_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS P FROM r),
+q AS (SELECT *, P - length(rec) AS Q FROM p)
+SELECT a.chat_id, a.id, a.action, CASE WHEN a.action = 'joke' THEN a.joke ELSE '{_sq(_LOCAL_PRE)}'
+       || COALESCE(string_agg(e.rec, '' ORDER BY e.id), '') || '[MSG]' || CAST(a.id + 1 AS VARCHAR) || '[FS]12:00[FS]{K.BOT_NAME_LOCAL}[FS]' END AS prompt
+FROM q a LEFT JOIN q e ON e.chat_id = a.chat_id AND e.id <= a.id
+     AND e.Q >= a.P - ({_LOCAL_CHARS - _LOCAL_FIXED} - length(CAST(a.id + 1 AS VARCHAR)))
+WHERE a.action IN ('joke', 'random', 'trigger', 'reply_to_bot') GROUP BY a.chat_id, a.id, a.action, a.joke""")
+def q_stream_prompts_delimited(spark, sf):
+    """Delimited prompt (records, 900 characters with preamble and open record) for each arrival routed
+    to the model by the API head's rules; jokes ask with the local head's opener. A fixed clock."""
+    s = normalize_live(_live_stream(spark, sf))
+    routed = SC.stream_route(s, SC.record_budget(_LOCAL_CHARS, _LOCAL_PRE), F.length(SC.record_payload()), _rules_after_intro(),
+                             payload=SC.record_payload(), instruction=R.command_prompt("local", SEED, clock=F.col("hhmm")))
+    prompts = SC.stream_delimited_prompts(routed, _LOCAL_PRE, clock=F.lit("12:00"))
+    return spark.read.parquet(SC.run_available_now(prompts, "stream_prompts_delimited"))

@@ -331,14 +331,16 @@ def q_response_plan(spark, sf):
     return R.response_plan(routed, "api")
 
 
-@register("command_prompt", sql=f"""WITH lm AS ({LIVE_MSGS_SQL})
-SELECT chat_id, id,
-  '[MSG]' || CAST(id AS VARCHAR) || '[FS]' || hhmm || '[FS]{K.BOT_NAME_LOCAL}[FS]' ||
+LOCAL_JOKE_SQL = f"""'[MSG]' || CAST(id AS VARCHAR) || '[FS]' || hhmm || '[FS]{K.BOT_NAME_LOCAL}[FS]' ||
   ['{"', '".join(_sq(o) for o in K.JOKE_OPENERS)}'][1 + {pmod_sql(seeded_u32_sql(SEED, 'chat_id', 'id', "'o'"), len(K.JOKE_OPENERS))}]
   || CASE WHEN NULLIF(trim(replace(lower(text), '/vitsi', ''), ' ' || chr(9) || chr(10) || chr(13)), '') IS NOT NULL
           THEN ' aiheesta ''' || trim(replace(lower(text), '/vitsi', ''), ' ' || chr(9) || chr(10) || chr(13)) || '''' ELSE '' END
-  || ': ' || ['{"', '".join(_sq(b) for b in K.JOKE_BEGINS)}'][1 + {pmod_sql(seeded_u32_sql(SEED, 'chat_id', 'id', "'b'"), len(K.JOKE_BEGINS))}] AS prompt
-FROM lm WHERE content_type = 'text' AND starts_with(text, '/vitsi')""".replace("\"', '\"", "', '"))
+  || ': ' || ['{"', '".join(_sq(b) for b in K.JOKE_BEGINS)}'][1 + {pmod_sql(seeded_u32_sql(SEED, 'chat_id', 'id', "'b'"), len(K.JOKE_BEGINS))}]""".replace("\"', '\"", "', '")
+
+
+@register("command_prompt", sql=f"""WITH lm AS ({LIVE_MSGS_SQL})
+SELECT chat_id, id, {LOCAL_JOKE_SQL} AS prompt
+FROM lm WHERE content_type = 'text' AND starts_with(text, '/vitsi')""")
 def q_command_prompt(spark, sf):
     """Local head's joke prompt: seeded opener, topic, seeded joke beginning."""
     m = normalize_live(live_from_events(spark, sf, 3)).where(R.match_command(K.CMD_JOKE))

@@ -214,3 +214,62 @@ def test_history_csv_lines_split_one_file(spark, tmp_path):
         assert [(r.id, r["from"], r.text) for r in back.orderBy("id").collect()] == [(r[1], r[3], r[4]) for r in rows]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_stream_prompts_of_both_heads_over_batches(spark, tmp_path):
+    """Delimited and joke prompts of a stream in three micro-batches equal a plain loop that keeps the
+    records of each chat and drops the oldest while the whole prompt, open record included, is too long."""
+    import json
+    from chatprep import constants as K
+    from chatprep.functions.chat import encode_chat_turn
+    from chatprep.operators import routing as R
+    from chatprep.schema import with_fields
+    from pyspark.sql import types as T
+    lv = live_from_events(spark, SF0001, 3).where("message_id < 400")
+    src, pre, budget = str(tmp_path / "live"), "Intro.\n", 420
+    for lo, hi in ((0, 95), (95, 105), (105, 400)):  # the id in the open record gets a digit more within a batch
+        lv.where((F.col("message_id") >= lo) & (F.col("message_id") < hi)).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    schema = with_fields(LIVE, reply_to_sender_id=T.LongType())
+    rules = [R.Rule("joke", F.col("id") % 5 == 0), R.Rule("trigger", F.lit(True))]
+
+    def arrivals():
+        return normalize_live(live_source(spark, src, max_files_per_trigger=1, schema=schema))
+
+    local = SC.stream_route(arrivals(), SC.record_budget(budget, pre), F.length(SC.record_payload()), rules,
+                            payload=SC.record_payload(), instruction=R.command_prompt("local", clock=F.col("hhmm")))
+    out = SC.run_available_now(SC.stream_delimited_prompts(local, pre, clock=F.lit("12:00")), "local")
+    got = {(r.chat_id, r.id): r.prompt for r in spark.read.parquet(out).collect()}
+    rows = normalize_live(lv).select("chat_id", "id", SC.record_payload().alias("rec"),
+                                     F.to_json(encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id")).alias("turn"),
+                                     R.command_prompt("local", clock=F.col("hhmm")).alias("joke"),
+                                     R.command_prompt("api").alias("ask"), C.chat_turn_length().alias("n")).orderBy("id").collect()
+    kept, want = {}, {}
+    for r in rows:
+        first = r.chat_id not in kept
+        have = kept.setdefault(r.chat_id, [])
+        have.append(r.rec)
+        open_ = f"[MSG]{r.id + 1}[FS]12:00[FS]{K.BOT_NAME_LOCAL}[FS]"
+        while have and len(pre) + len("".join(have)) + len(open_) > budget:
+            have.pop(0)
+        if not first:
+            want[r.chat_id, r.id] = r.joke if r.id % 5 == 0 else pre + "".join(have) + open_
+    assert got == want and len({len(p) for p in want.values()}) > 20
+
+    api = SC.stream_route(arrivals(), C.chat_budget_chars(250, "Sys"), C.chat_turn_length(), rules,
+                          payload=F.to_json(encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id")),
+                          instruction=R.command_prompt("api"))
+    system = {"role": "system", "content": "Sys"}
+    out = SC.run_available_now(SC.stream_prompts(api, json.dumps(system, separators=(",", ":"))), "api")
+    got = {(r.chat_id, r.id): json.loads(r.prompt)["messages"] for r in spark.read.parquet(out).collect()}
+    kept, want = {}, {}
+    for r in rows:
+        first = r.chat_id not in kept
+        have = kept.setdefault(r.chat_id, [])
+        have.append(r)
+        while sum(x.n for x in have) > C.chat_budget_chars(250, "Sys"):
+            have.pop(0)
+        if not first:
+            tail = [{"role": "system", "content": r.ask}] if r.id % 5 == 0 else []
+            want[r.chat_id, r.id] = [system, *(json.loads(x.turn) for x in have), *tail]
+    assert got == want and any(len(m) > 4 for m in want.values())
