@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import uuid
 import zlib
 
@@ -28,6 +29,8 @@ GAP = 64 << 10
 READ = 4 << 20
 #: A file is closed, and the next begun, at this size.
 FILE_BYTES = 512 << 20
+#: A reading task has about so many bytes of the archives.
+TASK_BYTES = 128 << 20
 
 INDEX = ("file string, offset bigint, length bigint, url string, page_id bigint, digest string, "
          "payload_bytes bigint, record_type string, refers_to bigint")
@@ -174,9 +177,21 @@ def coalesced(selected: DataFrame, gap: int = GAP, read: int = READ) -> DataFram
             .select("file", "begin", "end", "records"))
 
 
-def read_records(selected: DataFrame, with_payload: bool = False, gap: int = GAP, read: int = READ) -> DataFrame:
+def dealt_ranges(selected: DataFrame, gap: int = GAP, read: int = READ, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``coalesced`` ranges, dealt out by the bytes they cover of the archives, not by the small rows
+    that name them: a task for every ``task_bytes``, and for small reads one for every range, up to the
+    cores there are. Each task reads its ranges in order of file and offset."""
+    total = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    cores = selected.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, math.ceil(total / task_bytes), min(cores, math.ceil(total / read)))
+    return coalesced(selected, gap, read).repartition(tasks, "file", "begin").sortWithinPartitions("file", "begin")
+
+
+def read_records(selected: DataFrame, with_payload: bool = False, gap: int = GAP, read: int = READ,
+                 task_bytes: int = TASK_BYTES) -> DataFrame:
     """The records of the selected index rows, from the archives: page_id, url, payload_bytes,
     payload_digest, record_type, refers_to, and the payload where asked for (null for revisits).
+    Page ids are integers, as the index keeps them.
 
     Every payload that is read is checked against its digest and length; a mismatch raises.
     """
@@ -206,4 +221,4 @@ def read_records(selected: DataFrame, with_payload: bool = False, gap: int = GAP
                 names = [x.split()[0] for x in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    return coalesced(selected, gap, read).mapInArrow(run, schema)
+    return dealt_ranges(selected, gap, read, task_bytes).mapInArrow(run, schema)

@@ -190,6 +190,22 @@ def test_warc_coalesces_ranges(spark):
     assert got == [("f", 0, 30, 3), ("f", 500, 505, 1), ("g", 0, 3, 1)]
 
 
+def test_warc_reads_are_dealt_by_archive_bytes(spark):
+    """A record over the size of a read is one range, and many tasks read few index rows."""
+    rnd = random.Random(3)
+    rows = [(i, f"u{i}", "".join(chr(rnd.randrange(33, 5000)) for _ in range(60_000 if i == 7 else 3000))) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    index = X.write_archives(df, Scratch(spark, "t"))
+    ranges = X.dealt_ranges(index, gap=0, read=20_000, task_bytes=100_000)
+    tasks = ranges.groupBy(F.spark_partition_id()).agg(F.sum(F.col("end") - F.col("begin")).alias("b")).collect()
+    total = sum(r.b for r in tasks)
+    assert total == index.agg(F.sum("length")).first()[0] and len(tasks) >= 8
+    assert max(r.b for r in tasks) < total / 3
+    got = X.read_records(index, with_payload=True, read=20_000, task_bytes=100_000).collect()
+    assert {r.page_id: bytes(r.payload).decode() for r in got} == {r[0]: r[2] for r in rows}
+    assert index.filter("page_id = 7").first().length > 20_000
+
+
 def test_warc_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert X.read_records(X.write_archives(df, Scratch(spark, "t"))).count() == 0
