@@ -173,26 +173,29 @@ def _context_counts(m: DataFrame, B: int, order_col: str, wanted: Column | None
         F.when(ok, F.col("_first.oid")).alias("context_start_id"))
 
 
-#: Positions of a stretch of members that anchors meet when only some of them are wanted.
-STRETCH = 64
-
-
 def _wanted_items(m: DataFrame, B: int, payload: Column, order_col: str, wanted: Column) -> DataFrame:
-    """Kept payloads of the wanted anchors: the count form gives each anchor's first and last
-    position, and the anchor meets the stretches of members in between (equal stretch numbers,
-    so a long chat spreads over many keys)."""
-    counts = _context_counts(m, B, order_col, wanted)
-    lo = F.col("pos") - F.col("n_context") + 1
-    stretches = F.when(F.col("n_context") > 0, F.sequence(F.floor(lo / STRETCH), F.floor(F.col("pos") / STRETCH)))
-    asked = counts.select("chat_id", F.col("pos").alias("_to"), lo.alias("_from"), F.explode(stretches).alias("_stretch"))
-    members = m.select("chat_id", F.floor(F.col("pos") / STRETCH).alias("_stretch"), F.col("pos").alias("_pos"),
-                       payload.alias("_payload"))
-    held = asked.join(members, ["chat_id", "_stretch"]).where(F.col("_pos").between(F.col("_from"), F.col("_to")))
-    items = F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_payload"))), lambda e: e["_payload"])
-    kept = held.groupBy("chat_id", F.col("_to").alias("pos")).agg(items.alias("context"))
-    kind = kept.schema["context"].dataType
-    return counts.join(kept, ["chat_id", "pos"], "left").withColumn(
-        "context", F.coalesce("context", F.array().cast(kind))).drop("pos")
+    """Kept payloads of the wanted anchors. The messages that an anchor keeps have Q in (Q_r - B, Q_r],
+    so they lie in its bucket of width B or the one before: each message goes to both, and anchors and
+    members meet in one shuffle on (chat, bucket), in groups of at most 2B/min_length rows."""
+    cols = [c for c in m.columns if c not in ("_len", "_P", "_Q", "pos")]
+    home = F.floor(F.col("_Q") / B).cast("bigint")
+    anchor = F.when(F.coalesce(wanted, F.lit(False)), F.struct(*cols, "_P", "pos"))
+    rows = m.select("chat_id", "pos", F.col("_Q").alias("q"), F.col(order_col).cast("bigint").alias("oid"),
+                    payload.alias("payload"), anchor.alias("_anchor"), home.alias("_home"))
+    rows = rows.withColumn("_bk", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
+    own = F.when(F.col("_home") == F.col("_bk"), F.col("_anchor"))  # null elsewhere: not collected
+    groups = rows.groupBy("chat_id", "_bk").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "q", "oid", "payload"))).alias("_items"),
+        F.collect_list(own).alias("_anchors")).where(F.size("_anchors") > 0)
+    met = groups.select("_items", F.explode("_anchors").alias("_a"))
+    kept = F.filter("_items", lambda e: (e["q"] >= F.col("_a._P") - B) & (e["pos"] <= F.col("_a.pos")))
+    out = met.select(*[F.col(f"_a.{c}").alias(c) for c in cols], F.col("_a._P").alias("_P"), kept.alias("_kept"))
+    some = F.size("_kept") > 0
+    return out.select(
+        *cols, F.size("_kept").cast("bigint").alias("n_context"),
+        F.when(some, F.col("_P") - F.get("_kept", 0)["q"]).otherwise(F.lit(0)).cast("bigint").alias("context_chars"),
+        F.get("_kept", 0)["oid"].alias("context_start_id"),
+        F.transform("_kept", lambda e: e["payload"]).alias("context"))
 
 
 def _context_items(m: DataFrame, B: int, payload: Column, order_col: str) -> DataFrame:
