@@ -95,6 +95,24 @@ def test_suffix_array_and_prefixes(values, depth, times):
     assert sorted(want[i] for i in np.flatnonzero(speaks)) == sorted(seen)
 
 
+def test_prefix_walk_goes_on_only_in_order(monkeypatch):
+    """Long lanes: where two places share exactly ``depth`` bytes, the suffixes after them may stand the
+    other way round, so the walk may not go on from there; nor past the end of a text that ends in zeros."""
+    monkeypatch.setattr(A, "LANES", 2)
+    rng, depth = np.random.default_rng(3), 12
+    data = rng.integers(97, 101, 4000).astype(np.uint8)
+    for a, b, k in rng.integers([0, 0, 8], [3950, 3950, 40], (60, 3)):
+        data[b:b + k] = data[a:a + k].copy()
+    zeros = np.concatenate([data[:300], np.zeros(20, np.uint8), data[:50], np.zeros(30, np.uint8)])
+    for x in (data, zeros):
+        padded = x.tobytes() + b"\0" * depth
+        want = [padded[i:i + depth] for i in range(len(x))]
+        seen = Counter(want)
+        again, speaks = A.repeated(x, depth)
+        assert again.tolist() == [seen[w] > 1 for w in want]
+        assert sorted(want[i] for i in np.flatnonzero(speaks)) == sorted(seen)
+
+
 def test_hashes_of_windows():
     data = np.frombuffer(random.Random(1).randbytes(300), np.uint8)
     for size in (1, 2, 3, 7, 32, 100, 300, 301):
