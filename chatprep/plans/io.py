@@ -30,7 +30,7 @@ from chatprep.session import scratch_path
 from chatprep.sources import export as X
 from chatprep.sources import history_csv as H
 from chatprep.sources.live import live_source, normalize_live
-from chatprep.sources.sinks import jsonl_sink, parquet_log_sink, read_jsonl, read_log
+from chatprep.sources.sinks import jsonl_sink, land_arrivals, parquet_log_sink, read_jsonl, read_log
 from chatprep.sources.tables import messages_from_events, live_from_events
 from chatprep.streaming import context as SC
 
@@ -208,22 +208,33 @@ def q_chat_log_append(spark, sf):
 
 # ------------------------------------------------------------------ streams
 
-def _live_files(spark, sf) -> str:
-    """Live events as they would land from the chat service, with the author of the
-    replied-to message attached (the service sends it with the reply)."""
-    path = _run_dir(spark, "derived", "live", _tag(sf))
+def _live(spark, sf):
+    """Live events with the author of the replied-to message attached (the service sends it with
+    the reply)."""
     lv = live_from_events(spark, sf, 3)
     tgt = lv.groupBy("chat_id", F.col("message_id").alias("_target_id")) \
         .agg(F.max("sender_id").alias("reply_to_sender_id"))
-    lv = R.join_reply_target(lv, tgt, id_col="message_id")
-    # one availableNow batch reads all files; the state sorts each chat's arrivals by id
-    lv.write.mode("overwrite").parquet(path)
-    return path
+    return R.join_reply_target(lv, tgt, id_col="message_id")
 
 
-def _live_stream(spark, sf):
+def _live_schema(**more):
     from chatprep.schema import LIVE
-    return live_source(spark, _live_files(spark, sf), schema=with_fields(LIVE, reply_to_sender_id=T.LongType()))
+    return with_fields(LIVE, reply_to_sender_id=T.LongType(), **more)
+
+
+def _live_stream(spark, sf):
+    """All live events as one micro-batch, for streams without state."""
+    path = _run_dir(spark, "derived", "live", _tag(sf))
+    _live(spark, sf).write.mode("overwrite").parquet(path)
+    return live_source(spark, path, schema=_live_schema())
+
+
+def _arrivals(spark, sf):
+    """Live events landed file after file in the order of their ids, a file for each micro-batch:
+    what the state of a chat reads at once stays bounded, however long the log."""
+    path = _run_dir(spark, "derived", "arrivals", _tag(sf))
+    land_arrivals(_live(spark, sf), path, _run_dir(spark, "derived", "slices"), live_from_events(spark, sf, 3))
+    return live_source(spark, path, max_files_per_trigger=1, schema=_live_schema())
 
 
 @register("live_source", sql=f"SELECT message_id, chat_id, content_type FROM ({LIVE_SQL})")
@@ -245,7 +256,7 @@ _B = 400
 
 @register("stream_context", sql=_ctx_sql(LIVE_MSGS_SQL, "length(text) + 2", _B))
 def q_stream_context(spark, sf):
-    s = normalize_live(_live_stream(spark, sf))
+    s = normalize_live(_arrivals(spark, sf))
     ctx = SC.stream_context(s, _B, F.length("text") + 2)
     out = SC.run_available_now(ctx.drop("context", "tag", "is_first"), "stream_context")
     return spark.read.parquet(out).select("chat_id", "id", "n_context", "context_chars", "context_start_id")
@@ -264,26 +275,24 @@ def q_stream_context_init(spark, sf):
     """State seeded with the newest 20 stored messages of each chat (stored = before
     process start): a first run over the seeds alone fills the state, and the run over the live
     rows goes on from its checkpoint. Seeds are not emitted."""
-    from chatprep.schema import LIVE
     hist = normalize_live(live_from_events(spark, sf, 3)).where(F.col("date") < _START)
     seeds = C.last_n_per_chat(hist, 20).select(
         F.col("id").alias("message_id"), "chat_id", "date", "sender_id", F.col("sender").alias("username"),
         "content_type", "text", F.lit(None).cast("string").alias("sticker_emoji"), "reply_to_message_id",
         F.lit(None).cast("bigint").alias("reply_to_sender_id"), F.lit(True).alias("is_seed"))
-    live = spark.read.parquet(_live_files(spark, sf)).where(F.col("date") >= _START) \
-        .withColumn("is_seed", F.lit(False))
+    live = _live(spark, sf).where(F.col("date") >= _START).withColumn("is_seed", F.lit(False))
     path, run = _run_dir(spark, "derived", "live_seeded"), uuid.uuid4().hex[:12]
-    schema = with_fields(LIVE, reply_to_sender_id=T.LongType(), is_seed=T.BooleanType())
+    schema = _live_schema(is_seed=T.BooleanType())
 
-    def arrivals():
-        s = normalize_live(live_source(spark, path, schema=schema), keep=("is_seed",))
+    def arrivals(files=None):
+        s = normalize_live(live_source(spark, path, max_files_per_trigger=files, schema=schema), keep=("is_seed",))
         ctx = SC.stream_context(s, _B, F.length("text") + 2, seed=F.col("is_seed"))
         return SC.run_available_now(ctx.drop("context", "tag", "is_first"), "stream_context_init", run)
 
     seeds.write.parquet(path)
     arrivals()
-    live.unionByName(seeds.limit(0)).write.mode("append").parquet(path)
-    return spark.read.parquet(arrivals()).select("chat_id", "id", "n_context", "context_chars", "context_start_id")
+    land_arrivals(live, path, _run_dir(spark, "derived", "slices"), live_from_events(spark, sf, 3).where(F.col("date") >= _START))
+    return spark.read.parquet(arrivals(1)).select("chat_id", "id", "n_context", "context_chars", "context_start_id")
 
 
 def _rules_after_intro():
@@ -292,7 +301,7 @@ def _rules_after_intro():
 
 @register("stream_route", sql=f"WITH {ROUTE_INPUT_SQL} SELECT chat_id, id, {route_case_sql()} AS action FROM ri")
 def q_stream_route(spark, sf):
-    s = normalize_live(_live_stream(spark, sf))
+    s = normalize_live(_arrivals(spark, sf))
     routed = SC.stream_route(s, _B, F.length("text") + 2, _rules_after_intro())
     out = SC.run_available_now(routed.select("chat_id", "id", "action"), "stream_route")
     return spark.read.parquet(out)
@@ -318,7 +327,7 @@ FROM q a LEFT JOIN q e ON e.chat_id = a.chat_id AND e.id <= a.id AND e.Q >= a.P
 WHERE a.action IN ('random', 'trigger', 'reply_to_bot') GROUP BY a.chat_id, a.id, a.action""")
 def q_stream_prompts(spark, sf):
     """Chat prompt (API head, 400-token budget) for each arrival routed to the model."""
-    s = normalize_live(_live_stream(spark, sf))
+    s = normalize_live(_arrivals(spark, sf))
     turn = encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id", K.BOT_NAME_API)
     routed = SC.stream_route(s, _PB, C.chat_turn_length(), _rules_after_intro(), payload=F.to_json(turn))
     out = SC.run_available_now(SC.stream_prompts(routed, _SYS), "stream_prompts")
@@ -341,7 +350,7 @@ FROM q a LEFT JOIN q e ON e.chat_id = a.chat_id AND e.id <= a.id AND e.Q >= a.P
 WHERE a.action = 'joke' GROUP BY a.chat_id, a.id, a.action, a.text""")
 def q_stream_prompts_joke(spark, sf):
     """Chat prompt of each joke command in the stream: its context, then the joke's instruction."""
-    s = normalize_live(_live_stream(spark, sf))
+    s = normalize_live(_arrivals(spark, sf))
     turn = encode_chat_turn("id", "hhmm", "sender", "text", "reply_to_message_id", K.BOT_NAME_API)
     routed = SC.stream_route(s, _PB, C.chat_turn_length(), _rules_after_intro(), payload=F.to_json(turn),
                              instruction=R.command_prompt("api"))
@@ -367,7 +376,7 @@ WHERE a.action IN ('joke', 'random', 'trigger', 'reply_to_bot') GROUP BY a.chat_
 def q_stream_prompts_delimited(spark, sf):
     """Delimited prompt (records, 900 characters with preamble and open record) for each arrival routed
     to the model by the API head's rules; jokes ask with the local head's opener. A fixed clock."""
-    s = normalize_live(_live_stream(spark, sf))
+    s = normalize_live(_arrivals(spark, sf))
     routed = SC.stream_route(s, SC.record_budget(_LOCAL_CHARS, _LOCAL_PRE), F.length(SC.record_payload()), _rules_after_intro(),
                              payload=SC.record_payload(), instruction=R.command_prompt("local", SEED, clock=F.col("hhmm")))
     prompts = SC.stream_delimited_prompts(routed, _LOCAL_PRE, clock=F.lit("12:00"))

@@ -9,6 +9,9 @@ of one micro-batch may arrive unordered and are sorted by id per chat first.
 Seed rows (``_seed``) fill the state from stored history and are not emitted.
 A budget may depend on the arrival (the open record of a delimited prompt grows with
 its id); a message once dropped never returns.
+
+The arrivals of a chat in one micro-batch are held at once, so a long backlog must come in many:
+files in the order of their ids (``sources.sinks.land_arrivals``) and ``max_files_per_trigger``.
 """
 
 from __future__ import annotations
@@ -33,6 +36,9 @@ from chatprep.operators.context import MODEL_ACTIONS
 from chatprep.session import scratch_path
 from chatprep.sources.sinks import LOG_BUCKETS, log_bucket
 
+#: Arrivals whose contexts are built and sent on at once.
+OUT_ROWS = 4096
+
 # Python workers need not have this package installed: its UDF code travels by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -84,20 +90,21 @@ def _context_updater():
         starts = np.maximum.accumulate(np.minimum(first_kept, i + 1))
         ns = i - starts + 1
         chars = np.where(ns > 0, P[new] - Q[np.minimum(starts, len(ids) - 1)], 0)
-        seed = batch["_seed"].to_numpy(dtype=bool)
+        out = ~batch["_seed"].to_numpy(dtype=bool)
         want = batch["_want"].to_numpy(dtype=bool)
-        first = np.zeros(len(batch), dtype=bool)
-        if not seen:
-            first[0] = True
-        out = pd.DataFrame({
-            "chat_id": key[0], "id": ids[new], "n_context": ns, "context_chars": chars,
-            "context_start_id": [int(ids[j]) if c > 0 else None for j, c in zip(starts, ns)],
-            "is_first": first, "tag": batch["_tag"].to_numpy(), "instruction": batch["_instruction"].to_numpy(),
-            "context": [pays[j:k + r + 1] if (w and c > 0) else [] for r, (j, c, w) in enumerate(zip(starts, ns, want))],
-        })
+        tags, instructions = batch["_tag"].to_numpy(), batch["_instruction"].to_numpy()
+        del batch, frames
         last = int(starts[-1])
         state.update((ids[last:].tolist(), lens[last:].tolist(), pays[last:], True))
-        yield out[~seed]
+        rows = np.flatnonzero(out)
+        for at in range(0, len(rows), OUT_ROWS):  # a message stands in many contexts, which go in pieces
+            r = rows[at:at + OUT_ROWS]
+            yield pd.DataFrame({
+                "chat_id": key[0], "id": ids[k + r], "n_context": ns[r], "context_chars": chars[r],
+                "context_start_id": [int(ids[j]) if c > 0 else None for j, c in zip(starts[r], ns[r])],
+                "is_first": (r == 0) & (not seen), "tag": tags[r], "instruction": instructions[r],
+                "context": [pays[j:k + x + 1] if (want[x] and ns[x] > 0) else [] for j, x in zip(starts[r], r)],
+            })
     return update
 
 

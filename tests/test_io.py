@@ -136,6 +136,61 @@ def test_stream_equals_batch(spark, tmp_path):
     assert firsts == lv.select("chat_id").distinct().count()
 
 
+def test_arrivals_land_in_the_order_of_their_ids(spark, tmp_path):
+    from chatprep.sources.sinks import land_arrivals
+    lv = live_from_events(spark, SF0001, 3).where("message_id < 700")
+    odd = lv.where("message_id % 7 = 0").unionByName(lv).withColumn(
+        "message_id", F.when(F.col("message_id") % 50 != 49, F.col("message_id")))
+    rows = odd.repartition(5, F.xxhash64("date"))
+    src = str(tmp_path / "live")
+    n = land_arrivals(rows, src, str(tmp_path / "work"), file_rows=200)
+    files = sorted((os.path.join(src, f) for f in os.listdir(src) if f.endswith(".parquet")), key=os.path.getmtime)
+    held = [[r.message_id for r in spark.read.parquet(f).collect()] for f in files]
+    assert n == len(files) > 2 and max(map(len, held)) < 300
+    known = [[i for i in h if i is not None] for h in held]
+    spans = [(min(h), max(h)) for h in known if h]
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert all(None not in h for h in held[:-1]) and None in held[-1]
+    assert sorted(map(str, spark.read.parquet(src).collect())) == sorted(map(str, rows.collect()))
+    none = str(tmp_path / "none")
+    assert land_arrivals(rows.limit(0), none, str(tmp_path / "work0")) == 1 and spark.read.parquet(none).count() == 0
+
+
+@pytest.mark.parametrize("query", ["stream_prompts_joke", "stream_context_init"])
+def test_state_reads_bounded_batches(spark, monkeypatch, query):
+    """Registered streams with state land and take their arrivals in several files, with the same results."""
+    from functools import partial
+    from chatprep.plans import io
+    want = sorted(map(str, getattr(io, "q_" + query)(spark, SF0001).collect()))
+    land, files = partial(io.land_arrivals, file_rows=600), []
+    monkeypatch.setattr(io, "land_arrivals", lambda *a: files.append(land(*a)))
+    got = getattr(io, "q_" + query)(spark, SF0001).collect()
+    assert files[0] > 1 and sorted(map(str, got)) == want
+
+
+def test_contexts_go_on_in_pieces(monkeypatch):
+    import pandas as pd
+    monkeypatch.setattr(SC, "OUT_ROWS", 7)
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    def batch(ids):
+        return pd.DataFrame({"_oid": ids, "_len": 10, "_payload": [f"m{i}" for i in ids], "_seed": [i == 3 for i in ids],
+                             "_want": True, "_tag": None, "_instruction": None, "_budget": 25})
+
+    state, update = State(), SC._context_updater()
+    pieces = list(update((1,), iter([batch([5, 3, 4]), batch(list(range(6, 40)))]), state))
+    assert len(pieces) > 1 and max(map(len, pieces)) <= 7
+    out = pd.concat(pieces)
+    assert out["id"].tolist() == list(range(4, 40)) and not out["is_first"].any()
+    assert out["context"].tolist() == [[f"m{j}" for j in range(max(3, i - 1), i + 1)] for i in range(4, 40)]
+    assert state.get[0] == [38, 39]
+
+
 def test_stream_route_gate(spark, tmp_path):
     """Blocked chats still fill the context but are not routed."""
     from chatprep.operators import routing as R
