@@ -110,28 +110,25 @@ def write_archives(pages: DataFrame, scratch: Scratch, min_bytes: int = 0, page_
     """
     types = record_types(pages, scratch, min_bytes, page_id, payload)
     body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.cast("binary").alias("body"),
-                        F.sha1(body.cast("binary")).alias("sha"))
-    same = rows["page_id"].eqNullSafe(types["page_id"]) & (rows["sha"] == types["sha"])
-    rows = rows.join(types, same).select(rows["page_id"], "url", "body", "first").sortWithinPartitions(
-        rows["page_id"], "url")
+    same = ["id", "no_id", "sha"]  # the join's keys, null ids told by the second
+    keyed = lambda df: df.withColumn("id", F.coalesce("page_id", F.lit(0))).withColumn("no_id", F.isnull("page_id"))
+    rows = keyed(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.cast("binary").alias("body"),
+                              F.sha1(body.cast("binary")).alias("sha")))
+    # the window keeps rows of one id and payload in one task, however the join is run; one of them is new
+    rows = rows.join(keyed(types).select(*same, "first"), same).withColumn(
+        "new", F.row_number().over(W.partitionBy(*same).orderBy("url")) == 1).select("page_id", "url", "body", "first", "new")
     folder = f"{scratch.path}/archives"
 
     def write(batches):
         files, at = None, ("", 0)
-        last, written = None, set()
         out = None
         try:
             for batch in batches:
                 index = []
                 for k in range(batch.num_rows):
-                    pid, link, data, first = (batch.column(c)[k].as_py() for c in range(4))
+                    pid, link, data, first, new = (batch.column(c)[k].as_py() for c in range(5))
                     digest = base32_sha1(data)
-                    if pid != last:  # rows that repeat an id are neighbours
-                        last, written = pid, set()
-                    kind = "response" if pid == first and not (len(data) >= min_bytes and digest in written) else "revisit"
-                    if kind == "response":
-                        written.add(digest)
+                    kind = "response" if pid == first and (new or len(data) < min_bytes) else "revisit"
                     refers = first if kind == "revisit" else None
                     member = _member(record_bytes(kind, pid, link, data, digest, refers))
                     if out is None or at[1] + len(member) > FILE_BYTES:

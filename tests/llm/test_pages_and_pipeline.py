@@ -8,6 +8,7 @@ import itertools
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -183,6 +184,20 @@ def test_warc_round_trip(spark, least):
     assert sorted(r.page_id for r in some.collect()) == [3, 6, 6]
 
 
+def test_warc_rows_that_repeat_an_id_and_payload_have_one_response(spark):
+    """Where the small side of the join is broadcast, equal rows may stay in tasks of their own until they are written."""
+    html = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=400_000))
+    rows = [(p, f"u{k}", html + str(p)) for p in (5, None) for k in range(4)] + [(7, "w", html + "5"), (8, "s", "x"), (8, "t", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")  # less than the payloads
+    try:
+        got = X.write_archives(df, Scratch(spark, "t"), 2).select("page_id", "record_type", "refers_to").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert Counter(tuple(r) for r in got) == {(5, "response", None): 1, (5, "revisit", 5): 3, (None, "response", None): 1,
+                                              (None, "revisit", None): 3, (7, "revisit", 5): 1, (8, "response", None): 2}
+
+
 def test_warc_coalesces_ranges(spark):
     index = spark.createDataFrame([("f", 0, 10), ("f", 10, 10), ("f", 25, 5), ("f", 500, 5), ("g", 0, 3)],
                                   "file string, offset long, length long")
